@@ -6,6 +6,7 @@ import importlib
 
 MODULES = (
     "tidepool.plans.q_search",
+    "tidepool.plans.q_ingest",
 )
 
 
