@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "tidepool.plans.q_search",
     "tidepool.plans.q_ingest",
+    "tidepool.plans.q_relational",
 )
 
 
