@@ -8,6 +8,7 @@ MODULES = (
     "tidepool.plans.q_search",
     "tidepool.plans.q_ingest",
     "tidepool.plans.q_relational",
+    "tidepool.plans.q_metrics",
 )
 
 

@@ -37,7 +37,7 @@ def _typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
         if isinstance(f.dataType, T.StringType):
             typed = src
         else:
-            typed = F.try_cast(F.trim(src), f.dataType) if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) \
+            typed = F.trim(src).try_cast(f.dataType) if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) \
                 else F.from_json(src, f.dataType)
         bad = src.isNotNull() & typed.isNull()
         if not f.nullable:
