@@ -9,6 +9,7 @@ MODULES = (
     "tidepool.plans.q_ingest",
     "tidepool.plans.q_relational",
     "tidepool.plans.q_metrics",
+    "tidepool.plans.q_index",
 )
 
 
