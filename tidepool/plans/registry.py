@@ -10,6 +10,7 @@ MODULES = (
     "tidepool.plans.q_relational",
     "tidepool.plans.q_metrics",
     "tidepool.plans.q_index",
+    "tidepool.plans.q_stream",
 )
 
 
