@@ -229,7 +229,10 @@ def publish(spark: SparkSession, st: Stage, audits=()) -> Stage:
     staged = spark.read.parquet(st.path)
     for audit in audits:
         audit(staged)
-    _write_text(spark, os.path.join(st.root, "_CURRENT"), st.txn)
+    # pointer entries are never overwritten: each publish adds a newer, uniquely named entry
+    # (atomic create + rename), and readers take the newest one
+    entry = f"{time.time_ns():020d}-{st.txn}"
+    _write_text(spark, os.path.join(st.root, "_CURRENT", entry), st.txn)
     st.state = "PUBLISHED"
     return st
 
@@ -248,10 +251,13 @@ def abandon(spark: SparkSession, st: Stage) -> Stage:
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
     """Readers resolve the pointer once per query."""
-    txn = _read_text(spark, os.path.join(root, "_CURRENT"))
-    if txn is None:
+    fs, p, _ = _fs(spark, os.path.join(root, "_CURRENT"))
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    names = sorted(n for n in names if ".tmp-" not in n)
+    if not names:
         raise FileNotFoundError(f"nothing published under {root}")
-    return spark.read.parquet(os.path.join(root, "_versions", txn.strip()))
+    txn = names[-1].split("-", 1)[1]
+    return spark.read.parquet(os.path.join(root, "_versions", txn))
 
 
 # ---------------------------------------------------------------- layout
