@@ -202,6 +202,8 @@ def _alert_fn(step_us: int, for_us: dict):
                 if not continues:
                     if last_true - active >= need:
                         emit("RESOLVED", us if us - last_true <= step_us else last_true + step_us)
+                    else:
+                        emit("INACTIVE")  # retracts a PENDING row sent at an earlier batch end
                     active = None
             if cond:
                 if active is None:
@@ -219,8 +221,9 @@ def _alert_fn(step_us: int, for_us: dict):
 def stream_alerts(samples: DataFrame, rules: list[dict], step_seconds: int) -> DataFrame:
     """A4: the A2 state machine, live.  Input: a stream of sampled series points
     (metric, ts, value) - windowed aggregates, not raw rows.  Output (update mode): the
-    current state of every island touched by a micro-batch; the last row per
-    (rule_id, active_at) equals A2 on the same samples.  State is per rule series."""
+    current state of every island touched by a micro-batch (INACTIVE retracts a pending
+    island that ended before firing); the last row per (rule_id, active_at), INACTIVE
+    dropped, equals A2 on the same samples.  State is per rule series."""
     parts = []
     for r in rules:
         if not r.get("name") or not r.get("expression") or not r.get("severity"):
