@@ -130,7 +130,10 @@ def match_any(col, keywords, parser: str = "standard") -> Column:
     parser = _check_parser(parser)
     toks = keywords if isinstance(keywords, list) else keyword_tokens(keywords, parser)
     if _uses_regex(parser):
-        pred = F.lower(_as_col(col)).rlike(_token_regex(toks, parser))
+        low = F.lower(_as_col(col))
+        # cheap substring prefilter first: a token occurrence implies a substring occurrence
+        pre = reduce(lambda a, b: a | b, [F.instr(low, t) > 0 for t in toks])
+        pred = pre & low.rlike(_token_regex(toks, parser))
     else:
         pred = F.arrays_overlap(tokens(col, parser), F.array(*[F.lit(t) for t in toks]))
     return F.coalesce(pred, F.lit(False))
@@ -142,7 +145,7 @@ def match_all(col, keywords, parser: str = "standard") -> Column:
     toks = keywords if isinstance(keywords, list) else keyword_tokens(keywords, parser)
     if _uses_regex(parser):
         low = F.lower(_as_col(col))
-        pred = reduce(lambda a, b: a & b, [low.rlike(_token_regex([t], parser)) for t in toks])
+        pred = reduce(lambda a, b: a & b, [(F.instr(low, t) > 0) & low.rlike(_token_regex([t], parser)) for t in toks])
     else:
         pred = F.size(F.array_except(F.array(*[F.lit(t) for t in toks]), tokens(col, parser))) == 0
     return F.coalesce(pred, F.lit(False))
