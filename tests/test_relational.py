@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepool.operators import relational as rel
-from tidepool.operators.running import running
+from tidepool.operators.running import running, slice_ids
 
 
 def _ts(m):
@@ -17,7 +17,7 @@ def test_asof_equal_times_and_earlier_buckets(spark):
                                  "lid long, k long, ts timestamp_ntz")
     right = spark.createDataFrame([(100, 1, _ts(10)), (101, 1, _ts(10)), (102, 1, _ts(11)), (103, 2, _ts(6))],
                                   "rid long, k long, rts timestamp_ntz")
-    got = {r["lid"]: r["asof_rid"] for r in rel.asof_join(left, right, "k", "ts", "rts", ["rts"], "rid", 86400).collect()}
+    got = {r["lid"]: r["asof_rid"] for r in rel.asof_join(left, right, "k", "ts", "rts", ["rts"], "rid").collect()}
     # equal time: the right row counts; ties among right rows -> the larger id
     assert got == {1: 101, 2: 102, 3: None, 4: None}
 
@@ -28,7 +28,7 @@ def test_asof_matches_brute_force(spark):
     rrows = [(1000 + i, rnd.choice([0, 0, 0, 1, 2]), _ts(rnd.randint(0, 60 * 24 * 10))) for i in range(400)]
     left = spark.createDataFrame(lrows, "lid long, k long, ts timestamp_ntz")
     right = spark.createDataFrame(rrows, "rid long, k long, rts timestamp_ntz")
-    got = {r["lid"]: r["asof_rid"] for r in rel.asof_join(left, right, "k", "ts", "rts", [], "rid", 3600 * 6).collect()}
+    got = {r["lid"]: r["asof_rid"] for r in rel.asof_join(left, right, "k", "ts", "rts", [], "rid", slices=16).collect()}
     for lid, k, t in lrows:
         cands = [(rt, rid) for rid, rk, rt in rrows if rk == k and rt <= t]
         assert got[lid] == (max(cands)[1] if cands else None)
@@ -50,7 +50,7 @@ def test_running_equals_plain_window_on_a_hot_key(spark):
     rows = [(0 if rnd.random() < 0.5 else rnd.randint(1, 5), i, _ts(rnd.randint(0, 60 * 24 * 20)),
              float(rnd.randint(1, 9)), rnd.choice([None, float(i)])) for i in range(2000)]
     df = spark.createDataFrame(rows, "k long, seq long, ts timestamp_ntz, v double, x double")
-    r = running(df, ["k"], "ts", ["seq"], sums={"s": F.col("v")}, lasts={"lx": F.col("x")}, bucket_seconds=86400)
+    r = running(df, ["k"], ["ts", "seq"], sums={"s": F.col("v")}, lasts={"lx": F.col("x")}, slices=16)
     w = Window.partitionBy("k").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     plain = df.select("seq", F.sum("v").over(w).alias("s2"), F.last("x", ignorenulls=True).over(w).alias("lx2"))
     j = r.join(plain, "seq").where((F.col("s") != F.col("s2")) | ~F.col("lx").eqNullSafe(F.col("lx2")))
@@ -70,3 +70,27 @@ def test_topk_per_group_plans_a_group_limit(spark):
     o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
     t = rel.top_k_per_group(o, ["o_custkey"], 3, [F.col("o_totalprice").desc(), F.col("o_orderkey")])
     assert "WindowGroupLimit" in t._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_key_is_split_into_slices(spark):
+    rnd = random.Random(5)
+    # key 0 holds half the rows, all inside one hour (a burst)
+    rows = [(0, _ts(rnd.randint(0, 59))) if i % 2 else (rnd.randint(1, 50), _ts(rnd.randint(0, 60 * 24 * 30)))
+            for i in range(4000)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp_ntz")
+    s = df.withColumn("_b", slice_ids(df, ["ts"], 16))
+    per = s.where("k = 0").groupBy("_b").count().collect()
+    assert len(per) >= 6 and max(r["count"] for r in per) < 2000 / 3
+
+
+def test_rank_within_matches_window(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([0, 0, 0, 1, 2]), rnd.randint(0, 20) * 1.0, i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k long, v double, id long")
+    got = rel.rank_within(df, ["k"], [("v", "DESC")], ["id"], n_tiles=4, slices=8)
+    w = Window.partitionBy("k").orderBy(F.col("v").desc())
+    wt = Window.partitionBy("k").orderBy(F.col("v").desc(), F.col("id"))
+    want = df.select("id", F.row_number().over(wt).alias("a"), F.rank().over(w).alias("b"),
+                     F.dense_rank().over(w).alias("c"), F.ntile(4).over(wt).alias("d"))
+    j = got.join(want, "id").where("row_number <> a OR rank <> b OR dense_rank <> c OR ntile <> d")
+    assert j.count() == 0 and got.count() == 1500

@@ -31,23 +31,25 @@ def counter(df: DataFrame, labels: list[str], value: str | None = None) -> DataF
     return df.groupBy(*labels).agg(agg)
 
 
-def gauge(df: DataFrame, keys: list[str], ts: str, op: str, amount: str, tiebreak: list[str] | None = None,
-          bucket_seconds: int = 86400) -> DataFrame:
+def gauge(df: DataFrame, keys: list[str], ts: str, op: str, amount: str, tiebreak: list[str] | None = None) -> DataFrame:
     """M2: value over time of a gauge driven by set / inc / dec / add / sub operations.
 
     value(row) = amount of the latest ``set`` + the sum of the deltas since it (0 before
-    any set).  Both parts are running windows, split by time bucket for hot series.
+    any set).  Both parts are skew-safe running windows; the arithmetic is DECIMAL so the
+    difference of running sums stays exact on long series.
     """
     o = F.lower(F.col(op))
-    a = F.col(amount).cast("double")
-    delta = (F.when(o == "inc", F.lit(1.0)).when(o == "dec", F.lit(-1.0)).when(o == "add", a)
-             .when(o == "sub", -a).otherwise(F.lit(0.0)))
+    a = F.col(amount).cast("decimal(38,9)")
+    one = F.lit(1).cast("decimal(38,9)")
+    delta = (F.when(o == "inc", one).when(o == "dec", -one).when(o == "add", a)
+             .when(o == "sub", -a).otherwise(one - one))
     is_set = o == "set"
-    r = running(df.withColumn("_d", delta), keys, ts, tiebreak, sums={"_run": F.col("_d")}, bucket_seconds=bucket_seconds)
+    order = [F.col(ts), *[F.col(c) for c in (tiebreak or [])]]
+    r = running(df.withColumn("_d", delta), keys, order, sums={"_run": F.col("_d")})
     # at a set row the base is amount - run(at the set); carried forward as "last non-null"
     r = r.withColumn("_base", F.when(is_set, a - F.col("_run")))
-    r = running(r, keys, ts, tiebreak, lasts={"_last_base": F.col("_base")}, bucket_seconds=bucket_seconds)
-    value = F.coalesce(F.col("_last_base"), F.lit(0.0)) + F.col("_run")
+    r = running(r, keys, order, lasts={"_last_base": F.col("_base")})
+    value = (F.coalesce(F.col("_last_base"), one - one) + F.col("_run")).cast("double")
     return r.withColumn("gauge_value", value).drop("_d", "_run", "_base", "_last_base")
 
 
@@ -145,13 +147,13 @@ def slow_queries(log: DataFrame, threshold: float, k: int, duration="duration_s"
 
 
 def group_concurrency(log: DataFrame, limits: DataFrame, group="group_name", start="start_ts", duration="duration_s",
-                      qid="query_id", bucket_seconds: int = 86400) -> DataFrame:
+                      qid="query_id") -> DataFrame:
     """Running queries per group over time (+1 at start, -1 at end; ends first on ties),
     with the concurrency limit and the queue length above it, at every change point."""
     end = (F.col(start).cast("timestamp") + F.make_dt_interval(secs=F.col(duration).cast("decimal(18,6)"))).cast("timestamp_ntz")
     ev = log.select(F.col(group), F.col(start).alias("at_ts"), F.lit(1).alias("delta"), F.col(qid)) \
         .unionByName(log.select(F.col(group), end.alias("at_ts"), F.lit(-1).alias("delta"), F.col(qid)))
-    r = running(ev, [group], "at_ts", ["delta", qid], sums={"running": F.col("delta")}, bucket_seconds=bucket_seconds)
+    r = running(ev, [group], ["at_ts", "delta", qid], sums={"running": F.col("delta")})
     lim = F.broadcast(limits)  # one row per configured group: bounded by the configuration
     j = r.join(lim, on=group, how="left")
     return j.select(group, "at_ts", "delta", qid, F.col("running").cast("bigint").alias("running"), "concurrency_limit",
@@ -193,10 +195,8 @@ def group_share(log: DataFrame, groups: DataFrame, group="group_name", duration=
                     F.when(F.col("invalid_reason").isNull(), F.col("cpu_share") / tot_share).alias("entitled_share"))
 
 
-def audit_timeline(df: DataFrame, entity: str, ts: str, tiebreak: list[str] | None = None,
-                   bucket_seconds: int = 86400) -> DataFrame:
+def audit_timeline(df: DataFrame, entity: str, ts: str, tiebreak: list[str] | None = None) -> DataFrame:
     """Events per entity in order with the time since the previous one (seconds)."""
-    r = running(df, [entity], ts, tiebreak, lasts={"prev_ts": F.col(ts)}, exclusive_lasts=True,
-                bucket_seconds=bucket_seconds)
+    r = running(df, [entity], [ts, *(tiebreak or [])], lasts={"prev_ts": F.col(ts)}, exclusive_lasts=True)
     gap = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))) / F.lit(1e6)
     return r.withColumn("since_prev_s", gap)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.operators.running import running
+
 # A side is broadcast only when its estimated size is below this bound.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
@@ -101,54 +103,69 @@ def _micros_col(c: Column) -> Column:
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, l_ts: str, r_ts: str, r_cols: list[str],
-              r_id: str, bucket_seconds: int = 86400, prefix: str = "asof_") -> DataFrame:
+              r_id: str, prefix: str = "asof_", slices: int | None = None) -> DataFrame:
     """For every left row, the latest right row of the same key with ``r.ts <= l.ts``
     (at equal times the right row counts as earlier; ties among right rows by ``r_id``).
 
-    Skew-proof form: rows are windowed per (key, time bucket), so a hot key is split by
-    time.  Left rows with no right row in their own bucket take the last right row of the
-    nearest earlier bucket, found by a window over one row per (key, bucket) - a table
-    whose size is bounded by keys x buckets, not by rows.
+    Both sides are merged into one stream ordered by (key, ts, side, r_id) and each left row
+    takes the last right row seen so far: one skew-safe running window (``running``), so a
+    hot key is cut into range slices instead of landing in one task.  NULL keys never match.
     """
-    w = int(bucket_seconds) * 1_000_000
     payload = [r_id] + [c for c in r_cols if c != r_id]
-    rinfo = F.struct(F.col(r_ts).alias("t"), F.col(r_id).alias("i"),
-                     F.struct(*[F.col(c) for c in payload]).alias("row"))
-    rsel = right.select(F.col(key).alias("_k"), F.col(r_ts).alias("_ts"), F.lit(0).alias("_side"), rinfo.alias("_r"))
+    rsel = right.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("_k"), F.col(r_ts).alias("_ts"), F.lit(0).alias("_side"), F.col(r_id).alias("_rid"),
+        F.struct(*[F.col(c) for c in payload]).alias("_r"))
     lsel = left.select(F.col(key).alias("_k"), F.col(l_ts).alias("_ts"), F.lit(1).alias("_side"),
                        F.struct(*[F.col(c) for c in left.columns]).alias("_left"))
-    lsel = lsel.withColumn("_r", F.lit(None).cast(rsel.schema["_r"].dataType))
+    lsel = lsel.withColumn("_rid", F.lit(None).cast(rsel.schema["_rid"].dataType)) \
+        .withColumn("_r", F.lit(None).cast(rsel.schema["_r"].dataType))
     rsel = rsel.withColumn("_left", F.lit(None).cast(lsel.schema["_left"].dataType))
-    bucket = F.floor(_micros_col(F.col("_ts")) / F.lit(w)).cast("bigint")
-    both = lsel.unionByName(rsel).withColumn("_b", bucket)
-
-    # in-bucket: running last right row per (key, bucket); right before left at equal times
-    win = Window.partitionBy("_k", "_b").orderBy(F.col("_ts"), F.col("_side"), F.col("_r.i")) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inb = both.withColumn("_hit", F.last("_r", ignorenulls=True).over(win)).where(F.col("_side") == 1)
-
-    # carry: the last right row of every (key, bucket); a bucket without an in-bucket hit
-    # takes the latest of the strictly earlier buckets (its own bucket sorts after it)
-    lastb = rsel.withColumn("_b", bucket).groupBy("_k", "_b").agg(F.max("_r").alias("_last"))
-    need = inb.where(F.col("_hit").isNull()).select("_k", "_b").distinct() \
-        .withColumn("_last", F.lit(None).cast(lastb.schema["_last"].dataType))
-    marks = need.withColumn("_m", F.lit(0)).unionByName(lastb.withColumn("_m", F.lit(1)))
-    wc = Window.partitionBy("_k").orderBy("_b", "_m").rowsBetween(Window.unboundedPreceding, -1)
-    carry = marks.withColumn("_carry", F.last("_last", ignorenulls=True).over(wc)) \
-        .where(F.col("_m") == 0).select("_k", "_b", "_carry")
-    joined = inb.join(carry, on=["_k", "_b"], how="left")
-    hit = F.coalesce(F.col("_hit"), F.col("_carry"))
-    return joined.select(F.col("_left.*"), *[hit["row"][c].alias(prefix + c) for c in payload])
+    both = lsel.unionByName(rsel)
+    r = running(both, ["_k"], [F.col("_ts"), F.col("_side"), F.col("_rid")], lasts={"_hit": F.col("_r")}, slices=slices)
+    return r.where(F.col("_side") == 1).select(F.col("_left.*"), *[F.col("_hit")[c].alias(prefix + c) for c in payload])
 
 
 # ---------------------------------------------------------------- windows
 
-def rank_within(df: DataFrame, by: list[str], order: list[Column], tiebreak: list[str] | None = None, n_tiles: int = 4) -> DataFrame:
-    """row_number (with a tie-break for a total order), rank, dense_rank, ntile."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    wt = Window.partitionBy(*by).orderBy(*order, *[F.col(c) for c in (tiebreak or [])])
-    return df.select("*", F.row_number().over(wt).alias("row_number"), F.rank().over(w).alias("rank"),
-                     F.dense_rank().over(w).alias("dense_rank"), F.ntile(n_tiles).over(wt).alias("ntile"))
+def _sort(order) -> list[Column]:
+    out = []
+    for c, d in order:
+        out.append(F.col(c).desc_nulls_last() if d.upper() == "DESC" else F.col(c).asc_nulls_first())
+    return out
+
+
+def _eq(keys: list[str], a: str = "l", b: str = "r") -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return cond
+
+
+def rank_within(df: DataFrame, by: list[str], order: list[tuple[str, str]], tiebreak: list[str] | None = None,
+                n_tiles: int = 4, slices: int | None = None) -> DataFrame:
+    """row_number (order + tie-break), rank, dense_rank, ntile per key, skew-safe.
+
+    row_number is a running count over range slices; rank = the first row number of the
+    row's peer group; dense_rank = the row number of the peer group among the distinct peer
+    groups; ntile from the row number and the key's row count.  The joins back are on
+    (key, order values) and key; AQE splits a hot key's partition on the large side.
+    """
+    vals = [c for c, _ in order]
+    tb = [(c, "ASC") for c in (tiebreak or [])]
+    rn = running(df, by, list(order) + tb, sums={"row_number": F.lit(1).cast("bigint")}, slices=slices)
+    peers = rn.groupBy(*by, *vals).agg(F.min("row_number").alias("rank"))
+    peers = running(peers, by, list(order), sums={"dense_rank": F.lit(1).cast("bigint")}, slices=slices)
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_cnt"))
+    j = rn.alias("l").join(peers.alias("r"), _eq(by + vals)).select("l.*", "r.rank", "r.dense_rank")
+    j = j.alias("l").join(counts.alias("r"), _eq(by)).select("l.*", "r._cnt")
+    size = F.floor(F.col("_cnt") / n_tiles)
+    extra = F.col("_cnt") % n_tiles
+    r0 = F.col("row_number") - 1
+    tile = F.when(r0 < extra * (size + 1), F.floor(r0 / (size + 1)) + 1) \
+        .otherwise(extra + F.floor((r0 - extra * (size + 1)) / size) + 1)
+    return j.select(*df.columns, F.col("row_number").cast("bigint").alias("row_number"),
+                    F.col("rank").cast("bigint").alias("rank"), F.col("dense_rank").cast("bigint").alias("dense_rank"),
+                    tile.cast("bigint").alias("ntile"))
 
 
 def top_k(df: DataFrame, k: int, order: list[Column]) -> DataFrame:
@@ -163,20 +180,48 @@ def top_k_per_group(df: DataFrame, by: list[str], k: int, order: list[Column]) -
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= int(k)).drop("_rn")
 
 
-def analytic(df: DataFrame, by: list[str], ts: str, value: str, moving_rows: int = 3, range_seconds: int = 3600) -> DataFrame:
-    """Lag / lead / running sum / moving average over rows / sum over a time range."""
-    w = Window.partitionBy(*by).orderBy(F.col(ts))
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mov = w.rowsBetween(-(moving_rows - 1), Window.currentRow)
-    rng = Window.partitionBy(*by).orderBy(_micros(ts)).rangeBetween(-range_seconds * 1_000_000, 0)
-    return df.select(
-        "*",
-        F.lag(value).over(w).alias("prev_value"),
-        F.lead(value).over(w).alias("next_value"),
-        F.sum(value).over(run).alias("running_sum"),
-        F.avg(value).over(mov).alias("moving_avg"),
-        F.sum(value).over(rng).alias("range_sum"),
-    )
+def analytic(df: DataFrame, by: list[str], ts: str, value: str, tiebreak: list[str] | None = None, moving_rows: int = 3,
+             range_seconds: int = 3600, slices: int | None = None) -> DataFrame:
+    """Lag / lead / running sum / moving average over rows / sum over a time range,
+    per key in (ts, tie-break) order, without a per-key task.
+
+    Running sums are exact (DECIMAL) so that frame sums taken as differences of running sums
+    stay exact: lag/lead/moving frames join on (key, row number +- k), balanced by both
+    columns; the range frame [ts - range, ts] (peers included) is the running sum at the
+    last peer minus the running sum before ``ts - range`` (an as-of lookup, also skew-safe).
+    """
+    order = [ts, *(tiebreak or [])]
+    dec = "decimal(38,9)"
+    v = F.col(value).cast(dec)
+    r = running(df, by, order, sums={"_pos": F.lit(1).cast("bigint"), "_s": F.coalesce(v, F.lit(0).cast(dec)),
+                                     "_n": F.when(v.isNotNull(), 1).otherwise(0).cast("bigint")}, slices=slices)
+    k = int(moving_rows)
+    shifted = r.select(*by, "_pos", "_s", "_n", F.col(value).alias("_v"))
+    prev = shifted.select(*by, (F.col("_pos") + 1).alias("_pos"), F.col("_v").alias("prev_value"))
+    nxt = shifted.select(*by, (F.col("_pos") - 1).alias("_pos"), F.col("_v").alias("next_value"))
+    back = shifted.select(*by, (F.col("_pos") + k).alias("_pos"), F.col("_s").alias("_s_k"), F.col("_n").alias("_n_k"))
+    j = r.join(prev, [*by, "_pos"], "left").join(nxt, [*by, "_pos"], "left").join(back, [*by, "_pos"], "left")
+    mov_s = F.col("_s") - F.coalesce(F.col("_s_k"), F.lit(0).cast(dec))
+    mov_n = F.col("_n") - F.coalesce(F.col("_n_k"), F.lit(0))
+    # range frame: running sum at the last peer of ts ...
+    peer = r.groupBy(*by, ts).agg(F.max_by("_s", "_pos").alias("_s_peer"))
+    # ... minus the running sum of the rows strictly before ts - range (as-of on the merged stream)
+    probe = r.select(*by, ts).distinct().select(
+        *by, F.col(ts).alias("_t"), (F.col(ts).cast("timestamp") - F.make_dt_interval(secs=F.lit(range_seconds))).cast(
+            df.schema[ts].dataType).alias("_pt"))
+    marks = r.select(*by, F.col(ts).alias("_pt"), F.lit(1).alias("_side"), F.col("_pos"), F.col("_s").alias("_sv"),
+                     F.lit(None).cast(df.schema[ts].dataType).alias("_t"))
+    qs = probe.select(*by, "_pt", F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias("_pos"),
+                      F.lit(None).cast(dec).alias("_sv"), "_t")
+    asof = running(qs.unionByName(marks), by, [F.col("_pt"), F.col("_side"), F.col("_pos")],
+                   lasts={"_s_before": F.col("_sv")}, slices=slices).where(F.col("_side") == 0) \
+        .select(*by, F.col("_t").alias(ts), "_s_before")
+    rng = peer.join(asof, [*by, ts], "left").select(
+        *by, ts, (F.col("_s_peer") - F.coalesce(F.col("_s_before"), F.lit(0).cast(dec))).alias("_range"))
+    j = j.join(rng, [*by, ts], "left")
+    return j.select(*df.columns, "prev_value", "next_value", F.col("_s").cast("double").alias("running_sum"),
+                    F.when(mov_n > 0, (mov_s / mov_n).cast("double")).alias("moving_avg"),
+                    F.col("_range").cast("double").alias("range_sum"))
 
 
 def time_buckets(df: DataFrame, ts: str, unit: str = "hour", by: list[str] | None = None) -> DataFrame:

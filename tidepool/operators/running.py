@@ -1,58 +1,119 @@
-"""Skew-safe running windows: running sums and "last non-null so far" per key in time order.
+"""Skew-safe ordered windows per key: running sums, running "last non-null", row numbers.
 
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task; a key holding a
-third of the rows would then be a third of the job in one task.  Here the rows are
-windowed per (key, time bucket) and each bucket adds a carry computed from one summary
-row per earlier (key, bucket) - a table bounded by keys x buckets, not by rows.
+third of the rows would be a third of the job in one task.  Here every row gets a slice id:
+the bucket of its first order value among quantile bounds of that column over the whole
+input (``approxQuantile``; only the n-1 bounds reach the driver).  Quantiles follow the data,
+so a hot key - or a burst of one key in a short time - is cut into many slices.  The window
+runs per (key, slice); each slice adds a carry computed from one summary row per earlier
+slice of the same key, a table bounded by keys x slices, not by rows.  Slice ids are a
+deterministic expression of the row (literal bounds), so every branch of the plan agrees.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DEFAULT_BUCKET_SECONDS = 86400
 
+def _norm_order(order) -> list[tuple[Column, bool]]:
+    """-> [(column, descending)]; items are names, Columns (ascending) or (name|Column, 'ASC'|'DESC')."""
+    out = []
+    for o in order:
+        if isinstance(o, (tuple, list)):
+            c, d = o
+            out.append((F.col(c) if isinstance(c, str) else c, str(d).upper() == "DESC"))
+        else:
+            out.append((F.col(o) if isinstance(o, str) else o, False))
+    return out
 
-def _bucket(ts: str, bucket_seconds: int) -> Column:
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(int(bucket_seconds) * 1_000_000)).cast("bigint")
 
+def _sort_cols(order: list[tuple[Column, bool]]) -> list[Column]:
+    return [c.desc_nulls_last() if d else c.asc_nulls_first() for c, d in order]
 
-def running(df: DataFrame, keys: list[str], ts: str, tiebreak: list[str] | None = None, sums: dict | None = None,
-            lasts: dict | None = None, exclusive_lasts: bool = False,
-            bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
-    """Add, per row, in the order (ts, *tiebreak) within ``keys``:
+
+def _numeric(c: Column, dtype: T.DataType) -> Column | None:
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c).cast("double")
+    if isinstance(dtype, T.NumericType):
+        return c.cast("double")
+    return None
+
+
+def slice_ids(df: DataFrame, order, slices: int) -> Column:
+    """Slice id of a row: the number of quantile bounds its first order value passes, in
+    the order's direction (NULLs in their own end slice).  Non-numeric first columns give one
+    slice (the plain per-key window)."""
+    (first, desc), = _norm_order(order)[:1]
+    probe = df.select(first.alias("_o"))
+    num = _numeric(F.col("_o"), probe.schema["_o"].dataType)
+    if num is None or slices <= 1:
+        return F.lit(0)
+    qs = probe.select(num.alias("_q")).where(F.col("_q").isNotNull()).approxQuantile(
+        "_q", [i / slices for i in range(1, slices)], 1.0 / (10 * slices))
+    bounds = sorted(set(qs))
+    x = _numeric(first, probe.schema["_o"].dataType)
+    if desc:
+        x = -x
+        bounds = sorted({-b for b in bounds})
+    if not bounds:
+        b = F.lit(0)
+    else:
+        b = F.size(F.filter(F.array(*[F.lit(float(v)) for v in bounds]), lambda v: v < x))
+    null_slice = F.lit(len(bounds) + 1) if desc else F.lit(-1)
+    return F.when(first.isNull(), null_slice).otherwise(b)
+
+
+def running(df: DataFrame, keys: list[str], order, sums: dict | None = None, lasts: dict | None = None,
+            exclusive_lasts: bool = False, slices: int | None = None) -> DataFrame:
+    """Add, per row, in ``order`` (a total order within ``keys``):
 
     * ``sums[name] = col``: running sum of ``col`` up to and including the row;
-    * ``lasts[name] = col``: the last non-null ``col`` up to the row (inclusive), or up to
-      the previous row when ``exclusive_lasts``.
+    * ``lasts[name] = col``: the last non-null ``col`` up to the row (inclusive), or before
+      the row when ``exclusive_lasts``.
     """
     sums, lasts = sums or {}, lasts or {}
-    tb = [F.col(c) for c in (tiebreak or [])]
-    order_key = F.struct(F.col(ts), *tb)
-    src = df.withColumn("_b", _bucket(ts, bucket_seconds)).withColumn("_ord", order_key)
-    for n, c in {**sums, **lasts}.items():
-        src = src.withColumn(f"_v_{n}", c)
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    norm = _norm_order(order)
+    oc = _sort_cols(norm)
+    src = df.withColumn("_b", slice_ids(df, order, n))
+    for name, c in {**sums, **lasts}.items():
+        src = src.withColumn(f"_v_{name}", c)
 
     part = [*keys, "_b"]
-    w_in = Window.partitionBy(*part).orderBy("_ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w_ex = Window.partitionBy(*part).orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
-    for n in sums:
-        src = src.withColumn(f"_in_{n}", F.sum(f"_v_{n}").over(w_in))
-    for n in lasts:
-        src = src.withColumn(f"_in_{n}", F.last(f"_v_{n}", ignorenulls=True).over(w_ex if exclusive_lasts else w_in))
-
-    # one summary row per (key, bucket), then a carry over strictly earlier buckets
-    aggs = [F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums]
-    aggs += [F.max_by(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), F.col("_ord"))).alias(f"_t_{n}") for n in lasts]
+    w = Window.partitionBy(*part).orderBy(*oc)
+    w_in = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w_ex = w.rowsBetween(Window.unboundedPreceding, -1)
+    src = src.withColumn("_rn", F.row_number().over(w))
+    for name in sums:
+        src = src.withColumn(f"_in_{name}", F.sum(f"_v_{name}").over(w_in))
+    for name in lasts:
+        src = src.withColumn(f"_in_{name}", F.last(f"_v_{name}", ignorenulls=True).over(w_ex if exclusive_lasts else w_in))
+
+    # one summary row per (key, slice); carry = aggregate over strictly earlier slices
+    aggs = [F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums]
+    aggs += [F.max_by(F.col(f"_v_{name}"), F.when(F.col(f"_v_{name}").isNotNull(), F.col("_rn"))).alias(f"_t_{name}")
+             for name in lasts]
     summ = src.groupBy(*part).agg(*aggs)
     w_c = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summ.select(*part, *[F.sum(f"_t_{n}").over(w_c).alias(f"_c_{n}") for n in sums],
-                        *[F.last(f"_t_{n}", ignorenulls=True).over(w_c).alias(f"_c_{n}") for n in lasts])
-    out = src.join(carry, on=part, how="left")
-    for n in sums:
-        out = out.withColumn(n, F.coalesce(F.col(f"_c_{n}"), F.lit(0)) + F.col(f"_in_{n}"))
-    for n in lasts:
-        out = out.withColumn(n, F.coalesce(F.col(f"_in_{n}"), F.col(f"_c_{n}")))
-    drop = ["_b", "_ord"] + [f"_{p}_{n}" for n in {**sums, **lasts} for p in ("v", "in", "c")]
+    carry = summ.select(*part, *[F.sum(f"_t_{name}").over(w_c).alias(f"_c_{name}") for name in sums],
+                        *[F.last(f"_t_{name}", ignorenulls=True).over(w_c).alias(f"_c_{name}") for name in lasts])
+    cond = F.lit(True)
+    for k in part:
+        cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    out = src.alias("l").join(carry.alias("r"), cond, "left").select(
+        "l.*", *[F.col(f"r._c_{name}") for name in {**sums, **lasts}])
+    for name in sums:
+        out = out.withColumn(name, F.coalesce(F.col(f"_c_{name}"), F.lit(0)) + F.col(f"_in_{name}"))
+    for name in lasts:
+        out = out.withColumn(name, F.coalesce(F.col(f"_in_{name}"), F.col(f"_c_{name}")))
+    drop = ["_b", "_rn"] + [f"_{p}_{name}" for name in {**sums, **lasts} for p in ("v", "in", "c")]
     return out.drop(*drop)
+
+
+def row_numbers(df: DataFrame, keys: list[str], order, name: str = "row_number", slices: int | None = None) -> DataFrame:
+    """``row_number()`` per key over a total order, without a per-key task."""
+    return running(df, keys, order, sums={name: F.lit(1).cast("bigint")}, slices=slices)

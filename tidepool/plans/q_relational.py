@@ -229,7 +229,7 @@ LEFT JOIN v ON v.view_id = m.view_id"""
 
 def s13_ranking(spark, sf):
     li = load(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
-    return rel.rank_within(li, ["l_suppkey"], [F.col("l_extendedprice").desc()], ["l_orderkey", "l_linenumber"])
+    return rel.rank_within(li, ["l_suppkey"], [("l_extendedprice", "DESC")], ["l_orderkey", "l_linenumber"])
 
 
 S13_SQL = """SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice,
@@ -242,7 +242,7 @@ FROM lineitem"""
 
 def s14_analytic(spark, sf):
     e = load(spark, sf, "events").select("user_id", "event_id", "ts", "value")
-    out = rel.analytic(e, ["user_id"], "ts", "value")
+    out = rel.analytic(e, ["user_id"], "ts", "value", tiebreak=["event_id"])
     return out.select("user_id", "event_id", "prev_value", "next_value", F.round("running_sum", 4).alias("running_sum"),
                       F.round("moving_avg", 4).alias("moving_avg"), F.round("range_sum", 4).alias("range_sum"))
 
