@@ -27,22 +27,28 @@ def token_bucket(token: Column, buckets: int = TOKEN_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def build_inverted_index(tables: list[SearchTable], parser: str = "standard") -> tuple[DataFrame, DataFrame]:
+def build_inverted_index(tables: list[SearchTable], parser: str = "standard",
+                         slices: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(postings, doc_lengths).
 
     postings: source_table, field, id, tie, token, tf, positions (0-based token positions)
     doc_lengths: source_table, field, id, tie, length (tokens in the field)
     Grouping is per (row, field, token), so a very common token never forms one big group.
     """
-    longs = []
+    rows_of = []
     for t in tables:
         fields = t.fields or searchable_fields(t.df)
         pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
-        longs.append(t.df.select(F.lit(t.name).alias("source_table"), _hit_id(t).alias("id"), _tie(t).alias("tie"),
-                                 F.explode(pairs).alias("p"))
-                     .select("source_table", "id", "tie", F.col("p.field").alias("field"),
-                             tx.tokens(F.col("p.value"), parser).alias("toks")))
-    long = reduce(lambda a, b: a.unionByName(b), longs)
+        rows_of.append(t.df.select(F.lit(t.name).alias("source_table"), _hit_id(t).alias("id"), _tie(t).alias("tie"),
+                                   pairs.alias("p")))
+    rows = reduce(lambda a, b: a.unionByName(b), rows_of)
+    # rows are hash-partitioned by their key once (moving texts, not exploded tokens): the
+    # per-(row, field, token) aggregation below is then clustered already and needs no
+    # shuffle of the exploded occurrences
+    n = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "source_table", "id", "tie")
+    long = rows.select("source_table", "id", "tie", F.explode("p").alias("p")) \
+        .select("source_table", "id", "tie", F.col("p.field").alias("field"), tx.tokens(F.col("p.value"), parser).alias("toks"))
     lengths = long.select("source_table", "field", "id", "tie", F.coalesce(F.size("toks"), F.lit(0)).alias("length"))
     post = long.select("source_table", "field", "id", "tie", F.posexplode("toks").alias("pos", "token")) \
         .groupBy("source_table", "field", "id", "tie", "token") \
@@ -53,8 +59,10 @@ def build_inverted_index(tables: list[SearchTable], parser: str = "standard") ->
 def write_index(postings: DataFrame, lengths: DataFrame, path: str, buckets: int = TOKEN_BUCKETS) -> None:
     """T18 layout: postings partitioned by token bucket and sorted by token; lengths beside."""
     p = postings.withColumn("bucket", token_bucket(F.col("token"), buckets))
-    p.repartition(F.col("bucket")).sortWithinPartitions("token").write.mode("overwrite") \
-        .partitionBy("bucket").parquet(f"{path}/postings")
+    # one writer per bucket (choose ``buckets`` to scale with the data), each file sorted by
+    # token so row-group statistics prune lookups inside a bucket
+    p.repartition(buckets, F.col("bucket")).sortWithinPartitions("token") \
+        .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
