@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.session import spread_for_write
 from tidepool.sources import loading
 
 MERGEABLE = ("sum", "count", "min", "max", "avg", "approx_distinct")
@@ -133,7 +134,7 @@ def refresh_partitions(query: DataFrame, path: str, partition_col: str) -> None:
     old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        query.repartition(F.col(partition_col)).write.mode("overwrite").partitionBy(partition_col).parquet(path)
+        spread_for_write(query, [partition_col]).write.mode("overwrite").partitionBy(partition_col).parquet(path)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
 

@@ -70,3 +70,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     for name in names:
         load(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def spread_for_write(df: DataFrame, cols: list[str], spread: int = 16) -> DataFrame:
+    """Cluster rows by the output partition columns before a partitioned write, but split each
+    output partition over up to ``spread`` tasks with a deterministic salt (a hash of the
+    row), so a hot value (one type or day holding a third of the rows) is written by many
+    tasks; a retried task recomputes the same salt."""
+    from pyspark.sql import functions as F
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashable = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in hashable]), F.lit(int(spread)))
+    return df.repartition(n, *[F.col(c) for c in cols], salt)

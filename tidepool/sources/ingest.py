@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tidepool.session import spread_for_write
+
 # The validation rules in the order they are checked (first failure wins).
 REASON_EMPTY_SOURCE = "empty data_source_id"
 REASON_EMPTY_TYPE = "empty data_type"
@@ -104,10 +106,11 @@ def route_counts(df: DataFrame, type_col: str = "data_type") -> DataFrame:
 def route_by_type(df: DataFrame, root: str, type_col: str = "data_type", mode: str = "append") -> None:
     """One write, partitioned by the data type; never one job per type.
 
-    Rows are clustered by type first so each task writes few files.
+    Rows are clustered by type first so each task writes few files; a hot type is salted
+    over several writers.
     """
     valid, _ = split_rejects(df)
-    (valid.repartition(F.col(type_col)).write.mode(mode).partitionBy(type_col).parquet(root))
+    spread_for_write(valid, [type_col]).write.mode(mode).partitionBy(type_col).parquet(root)
 
 
 def dead_letter(df: DataFrame, path: str, mode: str = "append") -> None:

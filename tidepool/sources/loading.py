@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepool.session import spread_for_write
+
 CORRUPT = "_corrupt_record"
 REASON = "_reject_reason"
 
@@ -274,7 +276,7 @@ def write_by_time(df: DataFrame, path: str, ts: str, unit: str = "day", mode: st
     """Partitioned by a derived day (``d``) or hour (``h``) column."""
     name = "d" if unit == "day" else "h"
     out = df.withColumn(name, time_partition(ts, unit))
-    out.repartition(F.col(name)).write.mode(mode).partitionBy(name).parquet(path)
+    spread_for_write(out, [name]).write.mode(mode).partitionBy(name).parquet(path)
 
 
 def read_time_range(spark: SparkSession, path: str, ts: str, start: str, end: str, unit: str = "day") -> DataFrame:
