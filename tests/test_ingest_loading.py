@@ -152,3 +152,14 @@ def test_keyed_loads_with_duplicate_keys_in_batch(spark):
     m = {r["k"]: r["v"] for r in keyed.merge_condition(target, spark.createDataFrame(
         [(1, 9.0, 5), (2, 25.0, 5)], "k long, v double, seq long"), ["k"], "v", "seq").collect()}
     assert m == {1: 10.0, 2: 25.0}
+
+
+def test_stage_is_one_pass_and_abandons_a_bad_load(spark, tmp):
+    df = spark.createDataFrame([(1, "a", None), (2, "b", "bad"), (3, "c", None)], f"id long, name string, {loading.REASON} string")
+    st = loading.stage(df, tmp, "ok1", max_filter_ratio=0.5)
+    assert (st.report.total_rows, st.report.filtered_rows, st.report.loaded_rows) == (3, 1, 2)
+    loading.publish(spark, st)
+    assert loading.read_current(spark, tmp).count() == 2
+    with pytest.raises(loading.LoadRejected):
+        loading.stage(df, tmp, "bad1", max_filter_ratio=0.1)
+    assert loading.read_current(spark, tmp).count() == 2

@@ -80,3 +80,14 @@ def test_run_sql_refuses_empty_and_duplicates(spark):
     with pytest.raises(ValueError):
         sqlapi.run_sql(spark, "SELECT 1 AS a, 2 AS a")
     assert sqlapi.run_sql(spark, "SELECT :x + 1 AS y", {"x": 41}).first()["y"] == 42
+
+
+def test_keyset_pages_equal_offset_pages(spark):
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_totalprice")
+    order = [("o_totalprice", "DESC"), ("o_orderkey", "ASC")]
+    after = None
+    for p in range(1, 4):
+        keyset = sqlapi.page_after(o, order, after, 7).collect()
+        offset = sqlapi.paginate(o, p, 7, order).collect()
+        assert keyset == offset
+        after = (keyset[-1]["o_totalprice"], keyset[-1]["o_orderkey"])

@@ -9,8 +9,6 @@ RESOLVED (ended); an open island that has not lasted long enough is PENDING.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,18 +46,20 @@ def evaluate_alerts(series: DataFrame, rules: list[dict], step_seconds: int, lab
     The evaluation time is the last sample of each series: an island still true there is open.
     """
     labels = labels or []
-    parts = []
-    for r in rules:
-        if not r.get("name") or not r.get("expression") or not r.get("severity"):
-            continue
-        s = series.where(F.col("metric") == F.lit(r["metric"])).select(
-            F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["name"]).alias("rule_name"),
-            F.lit(r["severity"]).alias("severity"), F.lit(int(r.get("for_duration_s", 0))).alias("for_s"),
-            *labels, "ts", "value", F.coalesce(F.expr(r["expression"]), F.lit(False)).alias("cond"))
-        parts.append(s)
-    if not parts:
+    valid = [r for r in rules if r.get("name") and r.get("expression") and r.get("severity")]
+    if not valid:
         raise ValueError("no valid rule")
-    s = reduce(lambda a, b: a.unionByName(b), parts)
+    spark = series.sparkSession
+    # the rule table is configuration (bounded by the number of rules): broadcast it and
+    # evaluate every rule in one scan of the series; the condition is a CASE over rule ids
+    rule_df = spark.createDataFrame(
+        [(r["rule_id"], r["name"], r["severity"], int(r.get("for_duration_s", 0)), r["metric"]) for r in valid],
+        "rule_id string, rule_name string, severity string, for_s int, metric string")
+    cond = F.when(F.lit(False), F.lit(False))
+    for r in valid:
+        cond = cond.when(F.col("rule_id") == F.lit(r["rule_id"]), F.coalesce(F.expr(r["expression"]), F.lit(False)))
+    s = series.join(F.broadcast(rule_df), "metric").select(
+        "rule_id", "rule_name", "severity", "for_s", *labels, "ts", "value", cond.alias("cond"))
     key = ["rule_id", *labels]
     # the sampled series has at most one row per step, so a series is bounded by time/step
     w = Window.partitionBy(*key).orderBy("ts")

@@ -20,8 +20,10 @@ TAG_PATTERN = r"<[^>]*>"
 DEFAULT_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
-def column_inventory(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
-    """Table, column, model type, nullable, rows, nulls, NDV - one aggregate per table."""
+def column_inventory(tables: dict[str, DataFrame], exact: bool = False) -> DataFrame:
+    """Table, column, model type, nullable, rows, nulls, NDV - one aggregate per table.
+    NDV is a HyperLogLog estimate by default (bounded memory); ``exact=True`` counts
+    distinct values (one Expand per column - for checks and small tables)."""
     if not tables:
         raise ValueError("at least one table must be given")
     parts = []

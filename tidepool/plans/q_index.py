@@ -210,7 +210,7 @@ INVENTORY_COLUMNS = {
 
 
 def d1_inventory(spark, sf):
-    return qa.column_inventory({t: load(spark, sf, t) for t in INVENTORY_COLUMNS})
+    return qa.column_inventory({t: load(spark, sf, t) for t in INVENTORY_COLUMNS}, exact=True)
 
 
 D1_SQL = " UNION ALL ".join(

@@ -82,6 +82,29 @@ def paginate(df: DataFrame, page: int | None, size: int | None, order_by, max_si
     return (ordered.offset(off) if off else ordered).limit(size)
 
 
+def page_after(df: DataFrame, order_by, after: tuple | None, size: int) -> DataFrame:
+    """Keyset paging: the ``size`` rows that follow the row whose order values are ``after``.
+
+    Deep pages cost the same as the first one (a filter plus a top-``size``), unlike
+    ``offset``, whose per-partition heaps grow with the offset.  ``order_by`` must be a total
+    order without NULLs in its columns."""
+    cols = order_columns(order_by)
+    if after is not None:
+        specs = [(f[0], (f[1] if len(f) > 1 else "ASC").upper()) if isinstance(f, (tuple, list)) else (f, "ASC")
+                 for f in order_by]
+        if len(after) != len(specs):
+            raise ValueError("after needs one value per order column")
+        # (a, b, c) > (x, y, z) in the order's directions, as an OR of prefix-equal comparisons
+        pred = F.lit(False)
+        for i, (name, d) in enumerate(specs):
+            term = (F.col(name) > F.lit(after[i])) if d == "ASC" else (F.col(name) < F.lit(after[i]))
+            for j in range(i):
+                term = (F.col(specs[j][0]) == F.lit(after[j])) & term
+            pred = pred | term
+        df = df.where(pred)
+    return df.orderBy(*cols).limit(int(size))
+
+
 @dataclass
 class Page:
     rows: list

@@ -214,14 +214,34 @@ class Stage:
     txn: str
     path: str
     state: str = "STAGED"
+    report: LoadReport | None = None
 
 
 def stage(df: DataFrame, root: str, txn: str | None = None, max_filter_ratio: float = 0.0) -> Stage:
-    """L18 begin: write the batch to a staging version (readers do not see it)."""
+    """L18 begin, one pass: the good rows are written to a staging version while an
+    ``Observation`` counts total / bad / unselected rows on the same scan; the ratio (L10)
+    is checked afterwards and a failing load is abandoned before anyone can publish it."""
+    spark = df.sparkSession
     txn = txn or uuid.uuid4().hex
     path = os.path.join(root, "_versions", txn)
-    write_load(df, path, txn, max_filter_ratio, mode="errorifexists")
-    return Stage(root, txn, path)
+    bad = F.col(REASON).isNotNull() if REASON in df.columns else F.lit(False)
+    uns = F.col("_unselected") if "_unselected" in df.columns else F.lit(False)
+    obs = Observation(f"stage-{txn}")
+    observed = df.observe(obs, F.count(F.lit(1)).alias("total_rows"), F.count_if(bad).alias("filtered_rows"),
+                          F.count_if(uns).alias("unselected_rows"))
+    good = observed.where(~bad & ~uns).drop(*[c for c in (REASON, "_unselected") if c in df.columns])
+    good.write.mode("errorifexists").parquet(path)
+    counts = {k: int(v) for k, v in obs.get.items()}
+    st = Stage(root, txn, path)
+    try:
+        check_filter_ratio(counts, max_filter_ratio)
+    except LoadRejected:
+        abandon(spark, st)
+        raise
+    st.report = LoadReport(label=txn, status="STAGED", path=path, loaded_bytes=_bytes(spark, path),
+                           loaded_rows=counts["total_rows"] - counts["filtered_rows"] - counts["unselected_rows"],
+                           **counts)
+    return st
 
 
 def publish(spark: SparkSession, st: Stage, audits=()) -> Stage:
