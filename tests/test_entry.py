@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as entry  # noqa: E402
 from tidepool.session import TABLES  # noqa: E402
 from tools.oracle_check import digest  # noqa: E402
+from tools.type_check import SPARK_TO_DUCK  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
@@ -46,6 +47,9 @@ def test_query_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    dtypes = dict(zip(dcols, [str(t) for t in res.description and duck.sql(SQL[name]).types]))
+    for f in df.schema.fields:
+        assert SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) == dtypes[f.name], f.name
     assert len(srows) == len(drows)
     assert digest(df.columns, srows)[0] == digest(dcols, drows)[0]
 

@@ -31,7 +31,8 @@ def sample_series(points: DataFrame, step: str = "1 hour", name="name", value="v
     """The sampled series: mean value per (metric, labels, step bucket)."""
     labels = labels or []
     return points.groupBy(F.col(name).alias("metric"), *labels,
-                          F.date_trunc(_trunc_unit(step), F.col(ts)).alias("ts")).agg(F.avg(value).alias("value"))
+                          F.date_trunc(_trunc_unit(step), F.col(ts)).cast(points.schema[ts].dataType).alias("ts")) \
+        .agg(F.avg(value).alias("value"))
 
 
 def _trunc_unit(step: str) -> str:

@@ -226,5 +226,5 @@ def analytic(df: DataFrame, by: list[str], ts: str, value: str, tiebreak: list[s
 
 def time_buckets(df: DataFrame, ts: str, unit: str = "hour", by: list[str] | None = None) -> DataFrame:
     """Counts per date_trunc bucket."""
-    return df.groupBy(F.date_trunc(unit, F.col(ts)).alias("bucket"), *(by or [])).agg(
+    return df.groupBy(F.date_trunc(unit, F.col(ts)).cast(df.schema[ts].dataType).alias("bucket"), *(by or [])).agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))

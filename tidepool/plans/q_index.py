@@ -186,9 +186,9 @@ def v5_staleness(spark, sf):
 
 
 V5_SQL = f"""SELECT max(ts) AS base_max_ts, max(ts) FILTER (WHERE ts < TIMESTAMP '{STALE_CUT}') AS view_max_ts,
-COUNT(*) AS base_rows, count_if(ts < TIMESTAMP '{STALE_CUT}') AS view_rows,
+COUNT(*) AS base_rows, CAST(count_if(ts < TIMESTAMP '{STALE_CUT}') AS BIGINT) AS view_rows,
 round(epoch_us(max(ts)) / 1e6 - epoch_us(max(ts) FILTER (WHERE ts < TIMESTAMP '{STALE_CUT}')) / 1e6, 3) AS lag_s,
-COUNT(*) - count_if(ts < TIMESTAMP '{STALE_CUT}') AS rows_behind FROM events"""
+CAST(COUNT(*) - count_if(ts < TIMESTAMP '{STALE_CUT}') AS BIGINT) AS rows_behind FROM events"""
 
 
 def v5_staleness_by_day(spark, sf):
@@ -197,7 +197,7 @@ def v5_staleness_by_day(spark, sf):
     return vw.staleness_by_partition(e, view, F.to_date("ts"), F.to_date("ts"))
 
 
-V5_DAY_SQL = f"""SELECT CAST(ts AS DATE) AS part, COUNT(*) AS base_rows, count_if(ts < TIMESTAMP '{STALE_CUT}') AS view_rows
+V5_DAY_SQL = f"""SELECT CAST(ts AS DATE) AS part, COUNT(*) AS base_rows, CAST(count_if(ts < TIMESTAMP '{STALE_CUT}') AS BIGINT) AS view_rows
 FROM events GROUP BY 1"""
 
 
@@ -215,7 +215,7 @@ def d1_inventory(spark, sf):
 
 D1_SQL = " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{ty}' AS model_type, true AS nullable, "
-    f"count_if({c} IS NULL) AS nulls, COUNT(DISTINCT {c}) AS ndv, COUNT(*) AS rows FROM {t}"
+    f"CAST(count_if({c} IS NULL) AS BIGINT) AS nulls, COUNT(DISTINCT {c}) AS ndv, COUNT(*) AS rows FROM {t}"
     for t, cols in INVENTORY_COLUMNS.items() for c, ty in cols)
 
 SCHEMA_SPEC = [
@@ -235,10 +235,10 @@ D2_SQL = """SELECT * FROM (VALUES ('type_mismatch', 'l_shipdate', 'DATE vs DATET
   ('extra_column', 'l_partkey', 'BIGINT', 1), ('extra_column', 'l_suppkey', 'BIGINT', 1), ('extra_column', 'l_extendedprice', 'DOUBLE', 1),
   ('extra_column', 'l_discount', 'DOUBLE', 1), ('extra_column', 'l_tax', 'DOUBLE', 1), ('extra_column', 'l_returnflag', 'STRING', 1),
   ('extra_column', 'l_linestatus', 'STRING', 1)) AS v("check", column_name, detail, violations)
-UNION ALL SELECT 'not_null', 'l_orderkey', '', count_if(l_orderkey IS NULL) FROM lineitem
-UNION ALL SELECT 'not_null', 'l_linenumber', '', count_if(l_linenumber IS NULL) FROM lineitem
-UNION ALL SELECT 'not_null', 'l_quantity', '', count_if(l_quantity IS NULL) FROM lineitem
-UNION ALL SELECT 'duplicate_key', 'l_orderkey,l_linenumber', '', coalesce(sum(n - 1), 0) FROM
+UNION ALL SELECT 'not_null', 'l_orderkey', '', CAST(count_if(l_orderkey IS NULL) AS BIGINT) FROM lineitem
+UNION ALL SELECT 'not_null', 'l_linenumber', '', CAST(count_if(l_linenumber IS NULL) AS BIGINT) FROM lineitem
+UNION ALL SELECT 'not_null', 'l_quantity', '', CAST(count_if(l_quantity IS NULL) AS BIGINT) FROM lineitem
+UNION ALL SELECT 'duplicate_key', 'l_orderkey,l_linenumber', '', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM
   (SELECT COUNT(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1)"""
 
 
@@ -268,9 +268,9 @@ def d5_time_text(spark, sf):
 
 D5_SQL = """WITH t AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN replace(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), '-', '/')
   ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS t FROM orders)
-SELECT COUNT(*) AS texts, count_if(try_strptime(t, '%Y-%m-%d %H:%M:%S') IS NOT NULL) AS parsed,
-count_if(try_strptime(t, '%Y-%m-%d %H:%M:%S') IS NULL) AS unparsed,
-count_if(strftime(try_strptime(t, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') = t) AS round_trip FROM t"""
+SELECT COUNT(*) AS texts, CAST(count_if(try_strptime(t, '%Y-%m-%d %H:%M:%S') IS NOT NULL) AS BIGINT) AS parsed,
+CAST(count_if(try_strptime(t, '%Y-%m-%d %H:%M:%S') IS NULL) AS BIGINT) AS unparsed,
+CAST(count_if(strftime(try_strptime(t, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') = t) AS BIGINT) AS round_trip FROM t"""
 
 
 def d6_unique_contains(spark, sf):
@@ -290,7 +290,7 @@ def d7_payload(spark, sf):
 
 
 D7_SQL = """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing,
-to_json({'k': CAST(json_extract_string(props, '$.k') AS BIGINT)}) AS packed FROM events"""
+CAST(to_json({'k': CAST(json_extract_string(props, '$.k') AS BIGINT)}) AS VARCHAR) AS packed FROM events"""
 
 
 QUERIES = {

@@ -117,9 +117,9 @@ def l9_l11_load_counts(spark, sf):
 
 L11_SQL = f"""WITH {RAW_SQL}, r AS (SELECT *, {REASON_SQL} AS reason FROM raw)
 SELECT COUNT(*) AS total_rows,
-  count_if(reason IS NULL AND coalesce(data_type <> 'view', false)) AS loaded_rows,
-  count_if(reason IS NOT NULL) AS filtered_rows,
-  count_if(reason IS NULL AND NOT coalesce(data_type <> 'view', false)) AS unselected_rows FROM r"""
+  CAST(count_if(reason IS NULL AND coalesce(data_type <> 'view', false)) AS BIGINT) AS loaded_rows,
+  CAST(count_if(reason IS NOT NULL) AS BIGINT) AS filtered_rows,
+  CAST(count_if(reason IS NULL AND NOT coalesce(data_type <> 'view', false)) AS BIGINT) AS unselected_rows FROM r"""
 
 
 def l12_duplicate(spark, sf):

@@ -45,7 +45,7 @@ SELECT user_id, event_id, round(coalesce(last_value(base IGNORE NULLS) OVER (PAR
 
 def _hist_sql(value_expr: str, src: str, bounds, label: str, where: str = "TRUE") -> str:
     cols = " UNION ALL ".join(
-        f"SELECT {label}, '{float(b)}' AS le, count_if(v <= {float(b)}) AS bucket_count, round(sum(v), 2) AS sum, COUNT(v) AS count "
+        f"SELECT {label}, '{float(b)}' AS le, CAST(count_if(v <= {float(b)}) AS BIGINT) AS bucket_count, round(sum(v), 2) AS sum, COUNT(v) AS count "
         f"FROM x GROUP BY {label}" for b in bounds)
     inf = f"SELECT {label}, '+Inf' AS le, COUNT(v) AS bucket_count, round(sum(v), 2) AS sum, COUNT(v) AS count FROM x GROUP BY {label}"
     return f"WITH {src}, x AS (SELECT {label}, {value_expr} AS v FROM base WHERE {where}) {cols} UNION ALL {inf}"
@@ -64,7 +64,7 @@ def m4_summary_exact(spark, sf):
     return s.select("name", "quantile", F.round("value", 6).alias("value"), F.round("sum", 2).alias("sum"), "count")
 
 
-M4_SQL = """SELECT name, q AS quantile, round(CASE q WHEN 0.5 THEN q50 WHEN 0.9 THEN q90 ELSE q99 END, 6) AS value, sum, count FROM
+M4_SQL = """SELECT name, CAST(q AS DOUBLE) AS quantile, round(CASE q WHEN 0.5 THEN q50 WHEN 0.9 THEN q90 ELSE q99 END, 6) AS value, sum, count FROM
 (SELECT event_type AS name, quantile_cont(value, 0.5) AS q50, quantile_cont(value, 0.9) AS q90, quantile_cont(value, 0.99) AS q99,
  round(sum(value), 2) AS sum, COUNT(value) AS count FROM events GROUP BY 1), (SELECT unnest([0.5, 0.9, 0.99]) AS q)"""
 

@@ -142,7 +142,7 @@ def s9_join_inner(spark, sf):
         F.round(F.sum(rev), 2).alias("revenue"), F.count(F.lit(1)).alias("lines"))
 
 
-S9_SQL = """SELECT r_name, year(o_orderdate) AS o_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
+S9_SQL = """SELECT r_name, CAST(year(o_orderdate) AS INTEGER) AS o_year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
 COUNT(*) AS lines FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, year(o_orderdate)"""
 
@@ -344,7 +344,7 @@ def s19_explode(spark, sf):
     return ex.groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
-S19_EXPLODE_SQL = """SELECT pos - 1 AS pos, COUNT(*) AS n, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM
+S19_EXPLODE_SQL = """SELECT CAST(pos - 1 AS INTEGER) AS pos, COUNT(*) AS n, round(avg(CAST(x AS DOUBLE)), 6) AS mean FROM
 (SELECT vec_id, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY pos"""
 
 

@@ -74,7 +74,7 @@ def r8_messages(spark, sf):
     return m.select("key", "value", "event_time")
 
 
-R8_SQL = """SELECT CAST(user_id AS VARCHAR) AS key, to_json({'event_id': event_id, 'event_type': event_type, 'value': value}) AS value,
+R8_SQL = """SELECT CAST(user_id AS VARCHAR) AS key, CAST(to_json({'event_id': event_id, 'event_type': event_type, 'value': value}) AS VARCHAR) AS value,
 ts AS event_time FROM events"""
 
 
