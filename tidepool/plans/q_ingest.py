@@ -247,3 +247,78 @@ QUERIES = {
     "l20_bucket_skew": (l20_bucket_skew, L20_SQL),
     "l21_scan": (l21_scan, L21_SQL),
 }
+
+
+# ---------------------------------------------------------------- file loads over derived files
+
+# The load fixture spoils the value of every 97th event (text that is no number).
+SPOIL_EVERY = 97
+LOAD_SCHEMA = "event_id bigint, event_type string, value double, ts timestamp_ntz"
+
+
+def _spoiled_events(spark, sf):
+    e = load(spark, sf, "events")
+    bad = F.col("event_id") % SPOIL_EVERY == 0
+    return e.select("event_id", "event_type", F.when(bad, F.lit("n/a")).otherwise(F.col("value").cast("string")).alias("value"),
+                    F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+
+
+def _scratch(spark, name):
+    import uuid
+    from tidepool.session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def l6_load_csv(spark, sf):
+    """Events written as '|'-separated text with spoiled values, loaded back with per-row rejects."""
+    from pyspark.sql import types as T
+    path = _scratch(spark, "l6")
+    _spoiled_events(spark, sf).write.option("sep", "|").csv(path)
+    df = loading.load_csv(spark, path, T._parse_datatype_string(LOAD_SCHEMA), column_separator="|")
+    return df.select("event_id", "value", F.col(loading.REASON).alias("reject_reason"))
+
+
+L6_SQL = f"""SELECT event_id, CASE WHEN event_id % {SPOIL_EVERY} = 0 THEN NULL ELSE value END AS value,
+CASE WHEN event_id % {SPOIL_EVERY} = 0 THEN 'bad value in value' END AS reject_reason FROM events"""
+
+
+def l7_load_json(spark, sf):
+    """The same rows as JSON lines."""
+    from pyspark.sql import types as T
+    path = _scratch(spark, "l7")
+    _spoiled_events(spark, sf).write.json(path)
+    df = loading.load_json(spark, path, T._parse_datatype_string(LOAD_SCHEMA))
+    return df.select("event_id", "value", F.col(loading.REASON).alias("reject_reason"))
+
+
+def l18_staged_publish(spark, sf):
+    """L17 + L18: a labelled staged load of the valid raw events, audited, published, read back."""
+    raw = fx.raw_events(spark, sf)
+    df = raw.withColumn(loading.REASON, ingest.reject_reason(raw)).drop("tags")
+    root = _scratch(spark, "l18")
+    st = loading.stage(df, root, max_filter_ratio=0.1)
+    loading.publish(spark, st, audits=[lambda staged: None])
+    return loading.read_current(spark, root).groupBy("data_type").agg(F.count(F.lit(1)).alias("rows"))
+
+
+L18_SQL = f"""WITH {RAW_SQL} SELECT data_type, COUNT(*) AS rows
+FROM (SELECT data_type, {REASON_SQL} AS r FROM raw) WHERE r IS NULL GROUP BY data_type"""
+
+
+def r1_ingest_stream(spark, sf):
+    """Raw events as a file stream through validate -> route -> table; the sink read back."""
+    from tidepool.streaming import streams as st
+    raw = fx.raw_events(spark, sf).drop("event_id", "value", "tags")
+    src, sink, dead, ck = (_scratch(spark, f"r1-{x}") for x in ("src", "sink", "dead", "ck"))
+    raw.write.parquet(src)
+    q = st.ingest_stream(st.read_stream(spark, src, raw.schema), sink, dead, ck)
+    q.awaitTermination()
+    return spark.read.parquet(sink).groupBy(F.col("data_type").alias("target_table")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+QUERIES.update({
+    "l6_load_csv": (l6_load_csv, L6_SQL),
+    "l7_load_json": (l7_load_json, L6_SQL),
+    "l18_staged_publish": (l18_staged_publish, L18_SQL),
+    "r1_ingest_stream": (r1_ingest_stream, L5_SQL),
+})
