@@ -73,3 +73,10 @@ def test_search_prunes_columns(spark):
     p = _plan(QUERIES["t16_search_page"](spark, SF))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in p
     assert "TakeOrderedAndProject" in p
+
+
+def test_search_scans_each_table_once(spark):
+    p = _plan(QUERIES["t7_search"](spark, SF))
+    assert p.count("FileScan parquet") == 3
+    p8 = _plan(QUERIES["t8_search_long"](spark, SF))
+    assert p8.count("FileScan parquet") == 1

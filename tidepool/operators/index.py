@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidepool.functions import text as tx
 from tidepool.operators.search import SearchTable, _hit_id, _tie, searchable_fields
+from tidepool.session import spread_for_write
 
 TOKEN_BUCKETS = 64
 # BM25 parameters (the published defaults).
@@ -56,12 +57,13 @@ def build_inverted_index(tables: list[SearchTable], parser: str = "standard",
     return post, lengths
 
 
-def write_index(postings: DataFrame, lengths: DataFrame, path: str, buckets: int = TOKEN_BUCKETS) -> None:
+def write_index(postings: DataFrame, lengths: DataFrame, path: str, buckets: int = TOKEN_BUCKETS,
+                spread: int = 4) -> None:
     """T18 layout: postings partitioned by token bucket and sorted by token; lengths beside."""
     p = postings.withColumn("bucket", token_bucket(F.col("token"), buckets))
-    # one writer per bucket (choose ``buckets`` to scale with the data), each file sorted by
-    # token so row-group statistics prune lookups inside a bucket
-    p.repartition(buckets, F.col("bucket")).sortWithinPartitions("token") \
+    # writers per bucket, salted by row so the bucket of a very common token ("the") is written
+    # by several tasks; each file sorted by token so row-group statistics prune lookups
+    spread_for_write(p, ["bucket"], spread).sortWithinPartitions("bucket", "token") \
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
