@@ -199,3 +199,29 @@ def recommend_layout(df: DataFrame, exact: bool = False) -> DataFrame:
               .otherwise(F.lit("none")))
     return long.select("column", "type", F.col("ndv").cast("bigint").alias("ndv"),
                        (F.col("nulls") / F.col("_rows")).alias("null_share"), "avg_length", advice.alias("advice"))
+
+
+def search_with_index(tables: list[SearchTable], postings: DataFrame, keywords: str, recall_priority: bool = True,
+                      parser: str = "standard", document: bool = False, hit_max_bytes: int | None = None) -> DataFrame:
+    """T19 full form: hit keys from the postings (no text matching), then a semi join back
+    to each base table for the hit schema (snippets, optional document).  Equals the scan
+    search (T7) by construction.  The hit-key side is broadcast only when its estimated size
+    is under ``hit_max_bytes`` (default: the relational broadcast bound)."""
+    from tidepool.functions import text as tx_
+    from tidepool.operators.relational import BROADCAST_MAX_BYTES, broadcast_if_small
+
+    keys = search_index(postings, keywords, recall_priority, parser)
+    parts = []
+    for t in tables:
+        fields = t.fields or searchable_fields(t.df)
+        k = keys.where(F.col("source_table") == F.lit(t.name)).select(F.col("id").alias("_kid"), F.col("tie").alias("_ktie"))
+        k = broadcast_if_small(k, hit_max_bytes or BROADCAST_MAX_BYTES)
+        base = t.df.withColumn("_kid", _hit_id(t)).withColumn("_ktie", _tie(t))
+        rows = base.join(k, on=["_kid", "_ktie"], how="left_semi")
+        doc = F.to_json(F.struct(*[F.col(c) for c in t.df.columns])) if document else F.lit(None).cast("string")
+        parts.append(rows.select(
+            F.lit(t.name).alias("source_table"), F.col("_kid").alias("id"), F.lit(1.0).cast("double").alias("score"),
+            doc.alias("document"), tx_.hit_fields(fields, keywords).alias("hit_fields"),
+            (F.col(t.ts_col).cast("timestamp_ntz") if t.ts_col else F.lit(None).cast("timestamp_ntz")).alias("ts"),
+            F.col("_ktie").alias("tie")))
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -10,7 +10,7 @@ from tidepool.operators import quality as qa
 from tidepool.operators import views as vw
 from tidepool.plans import fixtures as fx
 from tidepool.plans.q_search import KEYWORD, T7_ALL_SQL, T7_SQL, T20_SQL, TWO_WORDS, _tok
-from tidepool.session import load
+from tidepool.session import cut_lineage, load
 
 
 def _postings(spark, sf):
@@ -317,3 +317,16 @@ QUERIES = {
     "d6_unique_contains": (d6_unique_contains, D6_SQL),
     "d7_payload": (d7_payload, D7_SQL),
 }
+
+
+def t19_index_hits(spark, sf):
+    """T19 with the semi join back to the base tables: the same hits (with snippets) as T7."""
+    tabs = fx.search_tables(spark, sf)
+    post, _ = ix.build_inverted_index(tabs)
+    # the index is materialised once (reliable checkpoint in the shared folder), as a written
+    # index would be, and every table's semi join reads it
+    hits = ix.search_with_index(tabs, cut_lineage(post), KEYWORD)
+    return hits.select("source_table", "id", "score", F.col("hit_fields")["text"].alias("snippet"), "tie")
+
+
+QUERIES["t19_index_hits"] = (t19_index_hits, T7_SQL)
