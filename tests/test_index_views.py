@@ -78,3 +78,16 @@ def test_partition_refresh_replaces_only_touched_days(spark, tmp):
     back = spark.read.parquet(path)
     assert back.count() == per_day.count()
     assert back.where("n = -1").count() == 1
+
+
+def test_paged_search_by_index_equals_scan(spark, tmp):
+    tabs = fx.search_tables(spark, SF)
+    post, lengths = ix.build_inverted_index(tabs)
+    ix.write_index(post, lengths, tmp)
+    written = ix.read_postings(spark, tmp)
+    for p in (1, 2):
+        a = [tuple(r) for r in se.search_page(tabs, "the license", page=p, size=7, document=False)
+             .select("source_table", "id", "tie", F.col("hit_fields")["text"]).collect()]
+        b = [tuple(r) for r in se.search_page(tabs, "the license", page=p, size=7, index=written)
+             .select("source_table", "id", "tie", F.col("hit_fields")["text"]).collect()]
+        assert a == b and len(a) == 7

@@ -202,7 +202,8 @@ def recommend_layout(df: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def search_with_index(tables: list[SearchTable], postings: DataFrame, keywords: str, recall_priority: bool = True,
-                      parser: str = "standard", document: bool = False, hit_max_bytes: int | None = None) -> DataFrame:
+                      parser: str = "standard", document: bool = False, hit_max_bytes: int | None = None,
+                      time_range=None, filters=None) -> DataFrame:
     """T19 full form: hit keys from the postings (no text matching), then a semi join back
     to each base table for the hit schema (snippets, optional document).  Equals the scan
     search (T7) by construction.  The hit-key side is broadcast only when its estimated size
@@ -216,7 +217,11 @@ def search_with_index(tables: list[SearchTable], postings: DataFrame, keywords:
         fields = t.fields or searchable_fields(t.df)
         k = keys.where(F.col("source_table") == F.lit(t.name)).select(F.col("id").alias("_kid"), F.col("tie").alias("_ktie"))
         k = broadcast_if_small(k, hit_max_bytes or BROADCAST_MAX_BYTES)
-        base = t.df.withColumn("_kid", _hit_id(t)).withColumn("_ktie", _tie(t))
+        base = t.df
+        if time_range is not None or filters:
+            # T13 / T14 on the base rows (pushed into the scan), then the semi join
+            base = base.where(_row_filter(t, time_range, filters))
+        base = base.withColumn("_kid", _hit_id(t)).withColumn("_ktie", _tie(t))
         rows = base.join(k, on=["_kid", "_ktie"], how="left_semi")
         doc = F.to_json(F.struct(*[F.col(c) for c in t.df.columns])) if document else F.lit(None).cast("string")
         parts.append(rows.select(
@@ -225,3 +230,18 @@ def search_with_index(tables: list[SearchTable], postings: DataFrame, keywords:
             (F.col(t.ts_col).cast("timestamp_ntz") if t.ts_col else F.lit(None).cast("timestamp_ntz")).alias("ts"),
             F.col("_ktie").alias("tie")))
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _row_filter(t: SearchTable, time_range, filters):
+    pred = F.lit(True)
+    if time_range is not None:
+        if t.ts_col is None:
+            raise ValueError(f"table {t.name} has no time column for the time range")
+        start, end = time_range
+        if start is not None:
+            pred = pred & (F.col(t.ts_col) >= F.lit(start))
+        if end is not None:
+            pred = pred & (F.col(t.ts_col) < F.lit(end))
+    for k, v in (filters or {}).items():
+        pred = pred & (F.col(k).isin(list(v)) if isinstance(v, (list, tuple, set)) else (F.col(k) == F.lit(v)))
+    return pred

@@ -156,14 +156,25 @@ def order_hits(sort=None) -> list:
     return sort
 
 
-def search_page(tables, keywords, page=1, size=10, sort=None, max_size=None, **kw) -> DataFrame:
-    """The page is cut after merging and global ordering."""
-    return sqlapi.paginate(search(tables, keywords, **kw), page, size, order_hits(sort), max_size)
+def _hits(tables, keywords, index=None, **kw) -> DataFrame:
+    if index is None:
+        return search(tables, keywords, **kw)
+    from tidepool.operators.index import search_with_index
+    if kw.get("score", "const") != "const" or kw.get("cap") is not None:
+        raise ValueError("the index path supports the const score without caps; use index.bm25 for ranking")
+    return search_with_index(tables, index, keywords, kw.get("recall_priority", True), kw.get("parser", "standard"),
+                             kw.get("document", False), time_range=kw.get("time_range"), filters=kw.get("filters"))
 
 
-def search_fetch(tables, keywords, page=1, size=10, sort=None, max_size=None, **kw) -> sqlapi.Page:
+def search_page(tables, keywords, page=1, size=10, sort=None, max_size=None, index=None, **kw) -> DataFrame:
+    """The page is cut after merging and global ordering.  With ``index`` (postings of a
+    written inverted index) the hits come from token lookups instead of scanning the texts."""
+    return sqlapi.paginate(_hits(tables, keywords, index, **kw), page, size, order_hits(sort), max_size)
+
+
+def search_fetch(tables, keywords, page=1, size=10, sort=None, max_size=None, index=None, **kw) -> sqlapi.Page:
     """T16 with ``total_hits`` counted before the cut, in the same pass."""
-    return sqlapi.fetch_page(search(tables, keywords, **kw), page, size, order_hits(sort), max_size)
+    return sqlapi.fetch_page(_hits(tables, keywords, index, **kw), page, size, order_hits(sort), max_size)
 
 
 def search_long(tables: list[SearchTable], keywords: str, *, recall_priority: bool = True,
