@@ -63,7 +63,7 @@ def write_index(postings: DataFrame, lengths: DataFrame, path: str, buckets: int
     p = postings.withColumn("bucket", token_bucket(F.col("token"), buckets))
     # writers per bucket, salted by row so the bucket of a very common token ("the") is written
     # by several tasks; each file sorted by token so row-group statistics prune lookups
-    spread_for_write(p, ["bucket"], spread).sortWithinPartitions("bucket", "token") \
+    spread_for_write(p, ["bucket"], spread, salt_cols=["id", "tie"]).sortWithinPartitions("bucket", "token") \
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 

@@ -123,7 +123,7 @@ M9_TOP_SQL = "SELECT event_id AS query_id, event_type AS group_name, value AS du
 
 
 def m9_slow_groups(spark, sf):
-    _, per = me.slow_queries(fx.query_log(spark, sf), 100.0, 20)
+    _, per = me.slow_queries(fx.query_log(spark, sf), 100.0, 20, exact=True)
     return per.select("group_name", "slow_count", F.round("p95_duration", 6).alias("p95_duration"), "scan_rows")
 
 
