@@ -107,6 +107,9 @@ def test_load_once_and_stage(spark, tmp):
     df = spark.createDataFrame([(1, "a")], "id long, name string")
     r1 = loading.load_once(df, tmp, "lbl")
     r2 = loading.load_once(df, tmp, "lbl")
+    assert loading._claim(spark, os.path.join(tmp, "_labels", "other.json.claim"), "x")
+    with pytest.raises(RuntimeError):
+        loading.load_once(df, tmp, "other")
     assert r2.extra.get("repeated") and r1.loaded_rows == r2.loaded_rows == 1
     assert spark.read.parquet(os.path.join(tmp, "data")).count() == 1
     root = os.path.join(tmp, "staged")

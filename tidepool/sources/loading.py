@@ -194,17 +194,36 @@ def _label_path(root: str, label: str) -> str:
     return os.path.join(root, "_labels", f"{label}.json")
 
 
+def _claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Create ``path`` only if it does not exist (atomic on the cluster file system)."""
+    fs, p, _ = _fs(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Exception:  # noqa: BLE001 - the file exists: someone else claimed it
+        return False
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    return True
+
+
 def load_once(df: DataFrame, root: str, label: str, **kw) -> LoadReport:
-    """A repeated label is a no-op that answers the earlier load's report."""
+    """A repeated label is a no-op that answers the earlier load's report.
+
+    The label is claimed first with an atomic create, so two concurrent loads of one label
+    cannot both write; the report is recorded after the data.  A claim without a report is a
+    load that is running or died: it is refused until the label is released."""
     spark = df.sparkSession
-    prev = _read_text(spark, _label_path(root, label))
+    done = _label_path(root, label)
+    prev = _read_text(spark, done)
     if prev is not None:
         rep = LoadReport(**json.loads(prev))
         rep.extra = {**rep.extra, "repeated": True}
         return rep
+    if not _claim(spark, done + ".claim", label):
+        raise RuntimeError(f"label {label!r} is being loaded (or a load died); release it first")
     rep = write_load(df.withColumn("_load_label", F.lit(label)), os.path.join(root, "data"), label,
                      partition_by=["_load_label"], **kw)
-    _write_text(spark, _label_path(root, label), json.dumps(rep.__dict__))
+    _write_text(spark, done, json.dumps(rep.__dict__))
     return rep
 
 
