@@ -166,3 +166,17 @@ def test_stage_is_one_pass_and_abandons_a_bad_load(spark, tmp):
     with pytest.raises(loading.LoadRejected):
         loading.stage(df, tmp, "bad1", max_filter_ratio=0.1)
     assert loading.read_current(spark, tmp).count() == 2
+
+
+def test_upsert_touches_only_changed_buckets(spark, tmp):
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    path = os.path.join(tmp, "tbl")
+    first = e.where("ts < '2024-01-20'")
+    second = e.where("ts >= '2024-01-15'").withColumn("value", F.col("value") + 1)
+    keyed.upsert(path, first, ["user_id", "event_type"], ["ts", "event_id"], n_buckets=32)
+    touched = keyed.upsert(path, second.where("user_id < 20"), ["user_id", "event_type"], ["ts", "event_id"], n_buckets=32)
+    assert 0 < len(touched) < 32
+    got = spark.read.parquet(path).drop(keyed.KEY_BUCKET)
+    want = keyed.load_unique(first, second.where("user_id < 20"), ["user_id", "event_type"], ["ts", "event_id"])
+    assert got.count() == want.count()
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
