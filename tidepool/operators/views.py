@@ -108,7 +108,7 @@ def refresh_full(spark: SparkSession, root: str, name: str, query: DataFrame) ->
 
 
 def refresh_incremental(spark: SparkSession, root: str, name: str, new_rows: DataFrame, keys: list[str],
-                        measures: list[Measure]) -> str:
+                        measures: list[Measure], txn: str | None = None) -> str:
     """V2: fold the states of the new rows into the current stored states (never rereads the
     base); the result is published as a new version, so the read and the write never share
     a path."""
@@ -119,7 +119,7 @@ def refresh_incremental(spark: SparkSession, root: str, name: str, new_rows: Dat
         cur = None
     delta = states(new_rows, keys, measures)
     merged = delta if cur is None else merge_states(cur, delta, keys, measures)
-    st = loading.stage(merged, path, txn=uuid.uuid4().hex)
+    st = loading.stage(merged, path, txn=txn or uuid.uuid4().hex)
     loading.publish(spark, st)
     return st.txn
 

@@ -290,14 +290,19 @@ def abandon(spark: SparkSession, st: Stage) -> Stage:
     return st
 
 
-def read_current(spark: SparkSession, root: str) -> DataFrame:
-    """Readers resolve the pointer once per query."""
+def current_txn(spark: SparkSession, root: str) -> str | None:
+    """The transaction of the newest published version, or None."""
     fs, p, _ = _fs(spark, os.path.join(root, "_CURRENT"))
     names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
     names = sorted(n for n in names if ".tmp-" not in n)
-    if not names:
+    return names[-1].split("-", 1)[1] if names else None
+
+
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    """Readers resolve the pointer once per query."""
+    txn = current_txn(spark, root)
+    if txn is None:
         raise FileNotFoundError(f"nothing published under {root}")
-    txn = names[-1].split("-", 1)[1]
     return spark.read.parquet(os.path.join(root, "_versions", txn))
 
 

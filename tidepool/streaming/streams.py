@@ -158,13 +158,18 @@ def publish(msgs: DataFrame, path: str, checkpoint: str, fmt: str = "json", opti
 
 def view_refresh_batch(batch: DataFrame, batch_id: int, root: str, name: str, keys: list[str],
                        measures: list[vw.Measure]) -> None:
-    """V4: fold one micro-batch into the incremental view; a replayed batch id is skipped."""
+    """V4: fold one micro-batch into the incremental view; a replayed batch id is skipped.
+
+    The batch id is part of the published version's name (``b<id>-<attempt>``), and the
+    publish is the single commit point: a replay after a crash anywhere before the publish
+    folds the batch again into the previous version; a replay after it sees its own id
+    published and does nothing.  Abandoned attempts are never read."""
+    import uuid
     spark = batch.sparkSession
-    mark = os.path.join(root, name, "_batches", f"{batch_id}.done")
-    if loading._exists(spark, mark):
+    cur = loading.current_txn(spark, os.path.join(root, name))
+    if cur is not None and cur.startswith("b") and int(cur[1:13]) >= batch_id:
         return
-    vw.refresh_incremental(spark, root, name, batch, keys, measures)
-    loading._write_text(spark, mark, str(batch_id))
+    vw.refresh_incremental(spark, root, name, batch, keys, measures, txn=f"b{batch_id:012d}-{uuid.uuid4().hex[:8]}")
 
 
 def view_refresh_stream(src: DataFrame, root: str, name: str, keys: list[str], measures: list[vw.Measure],
