@@ -46,6 +46,8 @@ def build_inverted_index(tables: list[SearchTable], parser: str = "standard",
     # rows are hash-partitioned by their key once (moving texts, not exploded tokens): the
     # per-(row, field, token) aggregation below is then clustered already and needs no
     # shuffle of the exploded occurrences
+    # an explicit count: tokenising is CPU work, and AQE would coalesce by bytes (texts are
+    # small next to the work they cause) down to a few tasks
     n = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "source_table", "id", "tie")
     long = rows.select("source_table", "id", "tie", F.explode("p").alias("p")) \

@@ -82,7 +82,7 @@ def spread_for_write(df: DataFrame, cols: list[str], spread: int = 16, salt_cols
     row), so a hot value (one type or day holding a third of the rows) is written by many
     tasks; a retried task recomputes the same salt."""
     from pyspark.sql import functions as F
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hashable = salt_cols or [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in hashable]), F.lit(int(spread)))
-    return df.repartition(n, *[F.col(c) for c in cols], salt)
+    # no explicit partition count: AQE may coalesce small outputs into fewer writers
+    return df.repartition(*[F.col(c) for c in cols], salt)
