@@ -80,3 +80,16 @@ def test_search_scans_each_table_once(spark):
     assert p.count("FileScan parquet") == 3
     p8 = _plan(QUERIES["t8_search_long"](spark, SF))
     assert p8.count("FileScan parquet") == 1
+
+
+def test_ordered_windows_never_partition_by_key_alone(spark):
+    """Per-key ordered windows run per (key, slice); the only windows keyed by the key alone
+    are the carry windows over the per-(key, slice) summary rows, ordered by the slice."""
+    import re
+    for name in ("s12_asof", "s13_ranking", "s14_analytic", "m2_gauge", "m10_group_concurrency", "m12_audit_timeline"):
+        p = _plan(QUERIES[name](spark, SF))
+        specs = re.findall(r"Window \[.*\], \[([^\[\]]*)\], \[([^\[\]]*)\]\s*$", p, flags=re.M)
+        assert specs, name
+        for part, order in specs:
+            keys = [k.split("#")[0].strip() for k in part.split(",") if k.strip()]
+            assert "_b" in keys or order.strip().startswith("_b#"), (name, part, order)

@@ -83,6 +83,7 @@ def running(df: DataFrame, keys: list[str], order, sums: dict | None = None, las
     for name, c in {**sums, **lasts}.items():
         src = src.withColumn(f"_v_{name}", c)
 
+    pre = src
     part = [*keys, "_b"]
     w = Window.partitionBy(*part).orderBy(*oc)
     w_in = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -93,11 +94,18 @@ def running(df: DataFrame, keys: list[str], order, sums: dict | None = None, las
     for name in lasts:
         src = src.withColumn(f"_in_{name}", F.last(f"_v_{name}", ignorenulls=True).over(w_ex if exclusive_lasts else w_in))
 
-    # one summary row per (key, slice); carry = aggregate over strictly earlier slices
+    # one summary row per (key, slice); carry = aggregate over strictly earlier slices.
+    # Sums, and for ascending orders the last non-null value (max_by over the order as a
+    # struct), are partial aggregates of the unwindowed rows: the summary shuffles one row
+    # per (key, slice) per task instead of the rows.  A descending order needs the in-slice
+    # row number, i.e. the windowed rows.
+    ascending = all(not d for _, d in norm)
+    rank_of = F.struct(*[c for c, _ in norm]) if ascending else F.col("_rn")
+    base = pre if ascending else src
     aggs = [F.sum(f"_v_{name}").alias(f"_t_{name}") for name in sums]
-    aggs += [F.max_by(F.col(f"_v_{name}"), F.when(F.col(f"_v_{name}").isNotNull(), F.col("_rn"))).alias(f"_t_{name}")
+    aggs += [F.max_by(F.col(f"_v_{name}"), F.when(F.col(f"_v_{name}").isNotNull(), rank_of)).alias(f"_t_{name}")
              for name in lasts]
-    summ = src.groupBy(*part).agg(*aggs)
+    summ = base.groupBy(*part).agg(*aggs)
     w_c = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = summ.select(*part, *[F.sum(f"_t_{name}").over(w_c).alias(f"_c_{name}") for name in sums],
                         *[F.last(f"_t_{name}", ignorenulls=True).over(w_c).alias(f"_c_{name}") for name in lasts])
