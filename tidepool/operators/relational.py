@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.operators.running import running
+from tidepool.operators.running import ranks, running
 
 # A side is broadcast only when its estimated size is below this bound.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
@@ -145,27 +145,18 @@ def rank_within(df: DataFrame, by: list[str], order: list[tuple[str, str]], tieb
                 n_tiles: int = 4, slices: int | None = None) -> DataFrame:
     """row_number (order + tie-break), rank, dense_rank, ntile per key, skew-safe.
 
-    row_number is a running count over range slices; rank = the first row number of the
-    row's peer group; dense_rank = the row number of the peer group among the distinct peer
-    groups; ntile from the row number and the key's row count.  The joins back are on
-    (key, order values) and key; AQE splits a hot key's partition on the large side.
+    One sliced pass (``running.ranks``): the window runs per (key, slice) and earlier slices
+    add their row and peer-group counts; ntile follows from the row number and the key's
+    row count, which the same carry table provides.
     """
-    vals = [c for c, _ in order]
-    tb = [(c, "ASC") for c in (tiebreak or [])]
-    rn = running(df, by, list(order) + tb, sums={"row_number": F.lit(1).cast("bigint")}, slices=slices)
-    peers = rn.groupBy(*by, *vals).agg(F.min("row_number").alias("rank"))
-    peers = running(peers, by, list(order), sums={"dense_rank": F.lit(1).cast("bigint")}, slices=slices)
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_cnt"))
-    j = rn.alias("l").join(peers.alias("r"), _eq(by + vals)).select("l.*", "r.rank", "r.dense_rank")
-    j = j.alias("l").join(counts.alias("r"), _eq(by)).select("l.*", "r._cnt")
-    size = F.floor(F.col("_cnt") / n_tiles)
-    extra = F.col("_cnt") % n_tiles
+    r = ranks(df, by, list(order), [(c, "ASC") for c in (tiebreak or [])], slices=slices)
+    cnt = F.col("_total")
+    size = F.floor(cnt / n_tiles)
+    extra = cnt % n_tiles
     r0 = F.col("row_number") - 1
     tile = F.when(r0 < extra * (size + 1), F.floor(r0 / (size + 1)) + 1) \
         .otherwise(extra + F.floor((r0 - extra * (size + 1)) / size) + 1)
-    return j.select(*df.columns, F.col("row_number").cast("bigint").alias("row_number"),
-                    F.col("rank").cast("bigint").alias("rank"), F.col("dense_rank").cast("bigint").alias("dense_rank"),
-                    tile.cast("bigint").alias("ntile"))
+    return r.select(*df.columns, "row_number", "rank", "dense_rank", tile.cast("bigint").alias("ntile"))
 
 
 def top_k(df: DataFrame, k: int, order: list[Column]) -> DataFrame:

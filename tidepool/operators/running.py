@@ -125,3 +125,34 @@ def running(df: DataFrame, keys: list[str], order, sums: dict | None = None, las
 def row_numbers(df: DataFrame, keys: list[str], order, name: str = "row_number", slices: int | None = None) -> DataFrame:
     """``row_number()`` per key over a total order, without a per-key task."""
     return running(df, keys, order, sums={name: F.lit(1).cast("bigint")}, slices=slices)
+
+
+def ranks(df: DataFrame, keys: list[str], order, tiebreak=(), slices: int | None = None) -> DataFrame:
+    """Add ``row_number`` (order + tie-break), ``rank`` and ``dense_rank`` (order only) and the
+    key's row count ``_total``, per key, in one sliced pass.
+
+    Peers (equal order values) share their first order value, hence their slice, so in-slice
+    rank and dense_rank plus a carry (rows, distinct peer groups of earlier slices) are exact.
+    """
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    norm, tb = _norm_order(order), _norm_order(tiebreak)
+    pre = df.withColumn("_b", slice_ids(df, order, n))
+    part = [*keys, "_b"]
+    w_row = Window.partitionBy(*part).orderBy(*_sort_cols(norm + tb))
+    w_peer = Window.partitionBy(*part).orderBy(*_sort_cols(norm))
+    src = pre.withColumn("_rn", F.row_number().over(w_row)).withColumn("_rk", F.rank().over(w_peer)) \
+        .withColumn("_drk", F.dense_rank().over(w_peer))
+    summ = pre.groupBy(*part).agg(F.count(F.lit(1)).alias("_cnt"),
+                                  F.count_distinct(F.struct(*[c for c, _ in norm])).alias("_dcnt"))
+    w_c = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select(*part, F.sum("_cnt").over(w_c).alias("_c_cnt"), F.sum("_dcnt").over(w_c).alias("_c_dcnt"),
+                        F.sum("_cnt").over(Window.partitionBy(*keys)).alias("_total"))
+    cond = F.lit(True)
+    for k in part:
+        cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    out = src.alias("l").join(carry.alias("r"), cond, "left").select("l.*", "r._c_cnt", "r._c_dcnt", "r._total")
+    c_cnt, c_dcnt = F.coalesce(F.col("_c_cnt"), F.lit(0)), F.coalesce(F.col("_c_dcnt"), F.lit(0))
+    return out.select(*df.columns, (c_cnt + F.col("_rn")).cast("bigint").alias("row_number"),
+                      (c_cnt + F.col("_rk")).cast("bigint").alias("rank"),
+                      (c_dcnt + F.col("_drk")).cast("bigint").alias("dense_rank"),
+                      F.col("_total").cast("bigint").alias("_total"))
