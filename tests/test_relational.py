@@ -78,7 +78,7 @@ def test_hot_key_is_split_into_slices(spark):
     rows = [(0, _ts(rnd.randint(0, 59))) if i % 2 else (rnd.randint(1, 50), _ts(rnd.randint(0, 60 * 24 * 30)))
             for i in range(4000)]
     df = spark.createDataFrame(rows, "k long, ts timestamp_ntz")
-    s = df.withColumn("_b", slice_ids(df, ["ts"], 16))
+    s = slice_ids(df, ["ts"], 16)
     per = s.where("k = 0").groupBy("_b").count().collect()
     assert len(per) >= 6 and max(r["count"] for r in per) < 2000 / 3
 

@@ -43,28 +43,45 @@ def _numeric(c: Column, dtype: T.DataType) -> Column | None:
     return None
 
 
-def slice_ids(df: DataFrame, order, slices: int) -> Column:
-    """Slice id of a row: the number of quantile bounds its first order value passes, in
-    the order's direction (NULLs in their own end slice).  Non-numeric first columns give one
-    slice (the plain per-key window)."""
+def default_slices(df: DataFrame) -> int:
+    """Slice count: ``tidepool.window.slices`` when set (size it so a (key, slice) group is
+    about a task's worth of data), else the shuffle partition count."""
+    conf = df.sparkSession.conf
+    return int(conf.get("tidepool.window.slices", None) or conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_slices(df: DataFrame, order, slices: int, name: str = "_b") -> DataFrame:
+    """Add the slice id of every row: the bucket of its first order value among quantile
+    bounds of that column (binary search of the split points by ``Bucketizer``, so many
+    slices stay cheap per row), in the order's direction; NULLs get their own end slice.
+    Non-numeric first columns give one slice (the plain per-key window)."""
+    from pyspark.ml.feature import Bucketizer
+
     (first, desc), = _norm_order(order)[:1]
     probe = df.select(first.alias("_o"))
-    num = _numeric(F.col("_o"), probe.schema["_o"].dataType)
+    dtype = probe.schema["_o"].dataType
+    num = _numeric(F.col("_o"), dtype)
     if num is None or slices <= 1:
-        return F.lit(0)
+        return df.withColumn(name, F.lit(0))
     qs = probe.select(num.alias("_q")).where(F.col("_q").isNotNull()).approxQuantile(
         "_q", [i / slices for i in range(1, slices)], 1.0 / (10 * slices))
+    x = _numeric(first, dtype)
     bounds = sorted(set(qs))
-    x = _numeric(first, probe.schema["_o"].dataType)
     if desc:
-        x = -x
-        bounds = sorted({-b for b in bounds})
+        x, bounds = -x, sorted({-b for b in bounds})
     if not bounds:
-        b = F.lit(0)
-    else:
-        b = F.size(F.filter(F.array(*[F.lit(float(v)) for v in bounds]), lambda v: v < x))
-    null_slice = F.lit(len(bounds) + 1) if desc else F.lit(-1)
-    return F.when(first.isNull(), null_slice).otherwise(b)
+        return df.withColumn(name, F.lit(0))
+    splits = [float("-inf"), *bounds, float("inf")]
+    tmp = df.withColumn("_slice_x", F.coalesce(x, F.lit(0.0)))
+    b = Bucketizer(splits=splits, inputCol="_slice_x", outputCol="_slice_b").transform(tmp)
+    null_slice = F.lit(len(splits)) if desc else F.lit(-1)
+    return b.withColumn(name, F.when(first.isNull(), null_slice).otherwise(F.col("_slice_b").cast("int"))) \
+        .drop("_slice_x", "_slice_b")
+
+
+def slice_ids(df: DataFrame, order, slices: int) -> DataFrame:
+    """Kept for callers that inspect slices: ``df`` with the slice id in ``_b``."""
+    return with_slices(df, order, slices)
 
 
 def running(df: DataFrame, keys: list[str], order, sums: dict | None = None, lasts: dict | None = None,
@@ -76,10 +93,10 @@ def running(df: DataFrame, keys: list[str], order, sums: dict | None = None, las
       the row when ``exclusive_lasts``.
     """
     sums, lasts = sums or {}, lasts or {}
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = slices or default_slices(df)
     norm = _norm_order(order)
     oc = _sort_cols(norm)
-    src = df.withColumn("_b", slice_ids(df, order, n))
+    src = with_slices(df, order, n)
     for name, c in {**sums, **lasts}.items():
         src = src.withColumn(f"_v_{name}", c)
 
@@ -134,9 +151,9 @@ def ranks(df: DataFrame, keys: list[str], order, tiebreak=(), slices: int | None
     Peers (equal order values) share their first order value, hence their slice, so in-slice
     rank and dense_rank plus a carry (rows, distinct peer groups of earlier slices) are exact.
     """
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = slices or default_slices(df)
     norm, tb = _norm_order(order), _norm_order(tiebreak)
-    pre = df.withColumn("_b", slice_ids(df, order, n))
+    pre = with_slices(df, order, n)
     part = [*keys, "_b"]
     w_row = Window.partitionBy(*part).orderBy(*_sort_cols(norm + tb))
     w_peer = Window.partitionBy(*part).orderBy(*_sort_cols(norm))
