@@ -162,3 +162,21 @@ def test_stream_view_refresh_skips_replayed_batches(spark, tmp):
     got = {r["l_returnflag"]: r["n"] for r in vw.read_view(spark, tmp, "v", ["l_returnflag"], ms).collect()}
     want = {r["l_returnflag"]: r["count"] for r in li.groupBy("l_returnflag").count().collect()}
     assert got == want
+
+
+def test_stream_alerts_report_late_samples(spark, tmp):
+    rules = [{"rule_id": "r", "name": "n", "metric": "m", "expression": "value > 10", "for_duration_s": 0, "severity": "x"}]
+    sch = "metric string, ts timestamp_ntz, value double"
+    t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    src = os.path.join(tmp, "s")
+    spark.createDataFrame([("m", t(0), 20.0), ("m", t(1), 20.0), ("m", t(2), 0.0)], sch).coalesce(1) \
+        .write.parquet(os.path.join(src, "part=0"))
+    time.sleep(1.1)
+    spark.createDataFrame([("m", t(1), 0.0), ("m", t(3), 20.0)], sch).coalesce(1).write.parquet(os.path.join(src, "part=1"))
+    stream = st.read_stream(spark, src + "/*", sch, max_files_per_trigger=1)
+    q = st.stream_alerts(stream, rules, H).writeStream.format("memory").queryName("late_out") \
+        .outputMode("update").option("checkpointLocation", os.path.join(tmp, "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    states = sorted((r["state"], r["active_at"].hour) for r in spark.table("late_out").collect())
+    assert ("LATE_SAMPLE", 1) in states and ("RESOLVED", 0) in states and ("FIRING", 3) in states

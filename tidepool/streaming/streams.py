@@ -201,6 +201,10 @@ def _alert_fn(step_us: int, for_us: dict):
 
         rows = pd.concat(list(pdfs)).sort_values("us")
         for us, cond, val in zip(rows["us"].tolist(), rows["cond"].tolist(), rows["value"].tolist()):
+            if last_us is not None and us <= last_us:
+                # a sample at or before the series' last processed time: reported, not folded in
+                out.append((rule_id, pd.Timestamp(us, unit="us"), None, float(val), "LATE_SAMPLE"))
+                continue
             if active is not None:
                 # any next sample ends an island unless it continues it
                 continues = bool(cond) and last_cond and (us - last_us <= step_us)
@@ -228,7 +232,9 @@ def stream_alerts(samples: DataFrame, rules: list[dict], step_seconds: int) -> D
     (metric, ts, value) - windowed aggregates, not raw rows.  Output (update mode): the
     current state of every island touched by a micro-batch (INACTIVE retracts a pending
     island that ended before firing); the last row per (rule_id, active_at), INACTIVE
-    dropped, equals A2 on the same samples.  State is per rule series."""
+    dropped, equals A2 on the same samples.  State is per rule series.  A sample at or
+    before the last processed time of its series comes out as LATE_SAMPLE (counted, not
+    lost) and leaves the state alone."""
     parts = []
     for r in rules:
         if not r.get("name") or not r.get("expression") or not r.get("severity"):
