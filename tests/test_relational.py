@@ -94,3 +94,18 @@ def test_rank_within_matches_window(spark):
                      F.dense_rank().over(w).alias("c"), F.ntile(4).over(wt).alias("d"))
     j = got.join(want, "id").where("row_number <> a OR rank <> b OR dense_rank <> c OR ntile <> d")
     assert j.count() == 0 and got.count() == 1500
+
+
+def test_string_order_is_sliced_and_ranks_exactly(spark):
+    rnd = random.Random(11)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "éclair", ""]
+    rows = [(0 if i % 2 else rnd.randint(1, 4), rnd.choice(words) + str(rnd.randint(0, 30)), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k long, s string, id long")
+    per = slice_ids(df, ["s"], 16).where("k = 0").groupBy("_b").count().collect()
+    assert len(per) >= 6
+    got = rel.rank_within(df, ["k"], [("s", "ASC")], ["id"], n_tiles=3, slices=16)
+    w = Window.partitionBy("k").orderBy(F.col("s"))
+    wt = Window.partitionBy("k").orderBy(F.col("s"), F.col("id"))
+    want = df.select("id", F.row_number().over(wt).alias("a"), F.rank().over(w).alias("b"),
+                     F.dense_rank().over(w).alias("c"), F.ntile(3).over(wt).alias("d"))
+    assert got.join(want, "id").where("row_number <> a OR rank <> b OR dense_rank <> c OR ntile <> d").count() == 0

@@ -40,6 +40,13 @@ def _numeric(c: Column, dtype: T.DataType) -> Column | None:
         return F.unix_date(c).cast("double")
     if isinstance(dtype, T.NumericType):
         return c.cast("double")
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        # Spark orders strings by their UTF-8 bytes (unsigned); the first 7 bytes read as a
+        # big-endian number are monotone in that order (longer common prefixes tie, which
+        # only puts them in the same slice)
+        raw = F.encode(c, "UTF-8") if isinstance(dtype, T.StringType) else c
+        prefix = F.rpad(F.hex(F.substring(raw, 1, 7)), 14, "0")
+        return F.conv(prefix, 16, 10).cast("double")
     return None
 
 
