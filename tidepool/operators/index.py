@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions import text as tx
-from tidepool.operators.search import SearchTable, _hit_id, _tie, searchable_fields
+from tidepool.operators.search import SearchTable, _hit_id, _tie, row_filter, searchable_fields
 from tidepool.session import spread_for_write
 
 TOKEN_BUCKETS = 64
@@ -222,7 +222,7 @@ def search_with_index(tables: list[SearchTable], postings: DataFrame, keywords:
         base = t.df
         if time_range is not None or filters:
             # T13 / T14 on the base rows (pushed into the scan), then the semi join
-            base = base.where(_row_filter(t, time_range, filters))
+            base = base.where(row_filter(t, time_range, filters))
         base = base.withColumn("_kid", _hit_id(t)).withColumn("_ktie", _tie(t))
         rows = base.join(k, on=["_kid", "_ktie"], how="left_semi")
         doc = F.to_json(F.struct(*[F.col(c) for c in t.df.columns])) if document else F.lit(None).cast("string")
@@ -233,17 +233,3 @@ def search_with_index(tables: list[SearchTable], postings: DataFrame, keywords:
             F.col("_ktie").alias("tie")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
-
-def _row_filter(t: SearchTable, time_range, filters):
-    pred = F.lit(True)
-    if time_range is not None:
-        if t.ts_col is None:
-            raise ValueError(f"table {t.name} has no time column for the time range")
-        start, end = time_range
-        if start is not None:
-            pred = pred & (F.col(t.ts_col) >= F.lit(start))
-        if end is not None:
-            pred = pred & (F.col(t.ts_col) < F.lit(end))
-    for k, v in (filters or {}).items():
-        pred = pred & (F.col(k).isin(list(v)) if isinstance(v, (list, tuple, set)) else (F.col(k) == F.lit(v)))
-    return pred

@@ -127,20 +127,6 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, l_ts: str, r_ts: str,
 
 # ---------------------------------------------------------------- windows
 
-def _sort(order) -> list[Column]:
-    out = []
-    for c, d in order:
-        out.append(F.col(c).desc_nulls_last() if d.upper() == "DESC" else F.col(c).asc_nulls_first())
-    return out
-
-
-def _eq(keys: list[str], a: str = "l", b: str = "r") -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
-    return cond
-
-
 def rank_within(df: DataFrame, by: list[str], order: list[tuple[str, str]], tiebreak: list[str] | None = None,
                 n_tiles: int = 4, slices: int | None = None) -> DataFrame:
     """row_number (order + tie-break), rank, dense_rank, ntile per key, skew-safe.

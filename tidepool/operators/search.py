@@ -67,9 +67,10 @@ def _tie(t: SearchTable) -> Column:
     return F.concat_ws("\u0001", *[F.col(c).cast("string") for c in t.tiebreak])
 
 
-def table_filter(t: SearchTable, fields, toks, mode, parser, time_range=None, filters=None) -> Column:
-    """The where-clause of one table: (field1 OR field2 ...) AND time range AND filters."""
-    pred = tx.match_fields(fields, toks, mode, parser)
+def row_filter(t: SearchTable, time_range=None, filters=None) -> Column:
+    """Half-open time range on the table's time column AND equality (or list)
+    filters; both reach the parquet scan as pushed filters."""
+    pred = F.lit(True)
     if time_range is not None:
         if t.ts_col is None:
             raise ValueError(f"table {t.name} has no time column for the time range")
@@ -87,6 +88,11 @@ def table_filter(t: SearchTable, fields, toks, mode, parser, time_range=None, fi
     return pred
 
 
+def table_filter(t: SearchTable, fields, toks, mode, parser, time_range=None, filters=None) -> Column:
+    """The where-clause of one table: (field1 OR field2 ...) AND time range AND filters."""
+    return tx.match_fields(fields, toks, mode, parser) & row_filter(t, time_range, filters)
+
+
 def _score(fields, toks, parser, score: str) -> Column:
     if score == "const":
         return F.lit(1.0).cast("double")
@@ -148,7 +154,7 @@ def search(tables: list[SearchTable], keywords: str, *, recall_priority: bool =
 
 def order_hits(sort=None) -> list:
     """caller's sort fields, then the fixed tie-break (table, id, tie) for a total order."""
-    sort = list(sort or [("score", "DESC")])
+    sort = list(sort or DEFAULT_ORDER[:1])
     names = {s[0] if isinstance(s, (tuple, list)) else s for s in sort}
     for k in ("source_table", "id", "tie"):
         if k not in names:
