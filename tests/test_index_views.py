@@ -91,3 +91,20 @@ def test_paged_search_by_index_equals_scan(spark, tmp):
         b = [tuple(r) for r in se.search_page(tabs, "the license", page=p, size=7, index=written)
              .select("source_table", "id", "tie", F.col("hit_fields")["text"]).collect()]
         assert a == b and len(a) == 7
+
+
+def test_page_from_doc_store_equals_scan_page_and_prunes(spark, tmp):
+    tabs = fx.search_tables(spark, SF)
+    post, lengths = ix.build_inverted_index(tabs)
+    ix.write_index(post, lengths, f"{tmp}/index")
+    ix.write_doc_store(tabs, f"{tmp}/docs", buckets=32)
+    store = spark.read.parquet(f"{tmp}/docs")
+    for p in (1, 2):
+        got = ix.search_page_from_store(ix.read_postings(spark, f"{tmp}/index"), store, "the license", page=p, size=7,
+                                        buckets=32)
+        a = sorted(tuple(r) for r in got.select("source_table", "id", "tie", F.col("hit_fields")["text"]).collect())
+        b = sorted(tuple(r) for r in se.search_page(tabs, "the license", page=p, size=7, document=False)
+                   .select("source_table", "id", "tie", F.col("hit_fields")["text"]).collect())
+        assert a == b and len(a) == 7
+    got.write.format("noop").mode("overwrite").save()
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()

@@ -233,3 +233,50 @@ def search_with_index(tables: list[SearchTable], postings: DataFrame, keywords:
             F.col("_ktie").alias("tie")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
+
+
+# ---------------------------------------------------------------- doc store: fetch only the page's rows
+
+DOC_BUCKETS = 256
+
+
+def id_bucket(id_col: Column, buckets: int = DOC_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int")
+
+
+def write_doc_store(tables: list[SearchTable], path: str, buckets: int = DOC_BUCKETS, document: bool = False) -> None:
+    """The searchable fields of every row, partitioned by (table, id bucket), so the rows of a
+    result page are fetched from a few partitions instead of scanning the texts."""
+    parts = []
+    for t in tables:
+        fields = t.fields or searchable_fields(t.df)
+        doc = F.to_json(F.struct(*[F.col(c) for c in t.df.columns])) if document else F.lit(None).cast("string")
+        parts.append(t.df.select(
+            F.lit(t.name).alias("source_table"), _hit_id(t).alias("id"), _tie(t).alias("tie"),
+            F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f).cast("string") for f in fields]))
+            .alias("fields"), doc.alias("document"),
+            (F.col(t.ts_col).cast("timestamp_ntz") if t.ts_col else F.lit(None).cast("timestamp_ntz")).alias("ts")))
+    rows = reduce(lambda a, b: a.unionByName(b), parts).withColumn("id_bucket", id_bucket(F.col("id"), buckets))
+    spread_for_write(rows, ["source_table", "id_bucket"], 1, salt_cols=["id"]) \
+        .write.mode("overwrite").partitionBy("source_table", "id_bucket").parquet(path)
+
+
+def search_page_from_store(postings: DataFrame, store: DataFrame, keywords: str, page: int = 1, size: int = 10,
+                           recall_priority: bool = True, parser: str = "standard", max_size: int | None = None,
+                           buckets: int = DOC_BUCKETS) -> DataFrame:
+    """T16 over the index: the hit keys come from token lookups, the page is cut from the keys
+    (score is constant, so the order is (table, id, tie)), and only the page's rows are read
+    from the doc store - the join on its partition columns lets dynamic partition pruning
+    skip every other bucket.  Hit fields hold the snippets (T9) of the fields that hold the
+    whole keyword string."""
+    from tidepool.functions import text as tx_
+    from tidepool.operators.search import order_hits
+    from tidepool.plans import sqlapi
+
+    keys = search_index(postings, keywords, recall_priority, parser).withColumn("score", F.lit(1.0).cast("double"))
+    page_keys = sqlapi.paginate(keys, page, size, order_hits(None), max_size) \
+        .withColumn("id_bucket", id_bucket(F.col("id"), buckets))
+    rows = store.join(page_keys, ["source_table", "id_bucket", "id", "tie"], "inner")
+    snippets = F.transform_values("fields", lambda k, v: tx_.snippet(v, keywords))
+    return rows.select("source_table", "id", "score", "document",
+                       F.map_filter(snippets, lambda k, v: v.isNotNull()).alias("hit_fields"), "ts", "tie")

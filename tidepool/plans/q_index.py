@@ -9,7 +9,7 @@ from tidepool.operators import index as ix
 from tidepool.operators import quality as qa
 from tidepool.operators import views as vw
 from tidepool.plans import fixtures as fx
-from tidepool.plans.q_search import KEYWORD, T7_ALL_SQL, T7_SQL, T20_SQL, TWO_WORDS, _tok
+from tidepool.plans.q_search import KEYWORD, T7_ALL_SQL, T7_SQL, T16_SQL, T20_SQL, TWO_WORDS, _tok
 from tidepool.session import cut_lineage, load
 
 
@@ -330,3 +330,20 @@ def t19_index_hits(spark, sf):
 
 
 QUERIES["t19_index_hits"] = (t19_index_hits, T7_SQL)
+
+
+def t16_search_page_store(spark, sf):
+    """T16 over a written index and doc store: the same page as the flagship scan search."""
+    import uuid
+    from tidepool.session import scratch_path
+    tabs = fx.search_tables(spark, sf)
+    root = scratch_path(spark, f"t16store-{uuid.uuid4().hex}")
+    post, lengths = ix.build_inverted_index(tabs)
+    ix.write_index(post, lengths, f"{root}/index")
+    ix.write_doc_store(tabs, f"{root}/docs")
+    page = ix.search_page_from_store(ix.read_postings(spark, f"{root}/index"), spark.read.parquet(f"{root}/docs"),
+                                     KEYWORD, page=2, size=20)
+    return page.select("source_table", "id", "score", F.col("hit_fields")["text"].alias("snippet"), "tie")
+
+
+QUERIES["t16_search_page_store"] = (t16_search_page_store, T16_SQL)
