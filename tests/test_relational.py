@@ -109,3 +109,24 @@ def test_string_order_is_sliced_and_ranks_exactly(spark):
     want = df.select("id", F.row_number().over(wt).alias("a"), F.rank().over(w).alias("b"),
                      F.dense_rank().over(w).alias("c"), F.ntile(3).over(wt).alias("d"))
     assert got.join(want, "id").where("row_number <> a OR rank <> b OR dense_rank <> c OR ntile <> d").count() == 0
+
+
+def test_analytic_matches_plain_windows_with_nulls_and_ties(spark):
+    rnd = random.Random(13)
+    rows = [(0 if i % 2 else rnd.randint(1, 3), i, _ts(rnd.randint(0, 600) // 5 * 5),
+             None if rnd.random() < 0.15 else round(rnd.uniform(0, 50), 2)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "k long, id long, ts timestamp_ntz, v double")
+    got = rel.analytic(df, ["k"], "ts", "v", tiebreak=["id"], moving_rows=3, range_seconds=1800, slices=8)
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    wr = Window.partitionBy("k").orderBy(micros).rangeBetween(-1800 * 1_000_000, 0)
+    want = df.select("id", F.lag("v").over(w).alias("a"), F.lead("v").over(w).alias("b"),
+                     F.sum(F.coalesce("v", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"),
+                     F.avg("v").over(w.rowsBetween(-2, 0)).alias("d"), F.sum(F.coalesce("v", F.lit(0.0))).over(wr).alias("e"))
+    j = got.join(want, "id")
+    bad = j.where(~F.col("prev_value").eqNullSafe(F.col("a")) | ~F.col("next_value").eqNullSafe(F.col("b"))
+                  | (F.abs(F.col("running_sum") - F.col("c")) > 1e-6)
+                  | ~(F.abs(F.col("moving_avg") - F.col("d")) <= 1e-6).eqNullSafe(F.lit(True)) & F.col("d").isNotNull()
+                  | (F.col("moving_avg").isNull() != F.col("d").isNull())
+                  | (F.abs(F.col("range_sum") - F.col("e")) > 1e-6))
+    assert bad.count() == 0 and got.count() == 1200

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.operators.running import ranks, running
+from tidepool.session import cut_lineage
 
 # A side is broadcast only when its estimated size is below this bound.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
@@ -163,8 +164,10 @@ def analytic(df: DataFrame, by: list[str], ts: str, value: str, tiebreak: list[s
     per key in (ts, tie-break) order, without a per-key task.
 
     Running sums are exact (DECIMAL) so that frame sums taken as differences of running sums
-    stay exact: lag/lead/moving frames join on (key, row number +- k), balanced by both
-    columns; the range frame [ts - range, ts] (peers included) is the running sum at the
+    stay exact.  The running pass is materialised once; every row then offers its value to
+    the rows one before / after it and its running sum to the row k after it, one shuffle
+    on (key, row number) - balanced by both columns - gives lag, lead and the moving frame;
+    the range frame [ts - range, ts] (peers included) is the running sum at the
     last peer minus the running sum before ``ts - range`` (an as-of lookup, also skew-safe).
     """
     order = [ts, *(tiebreak or [])]
@@ -172,12 +175,24 @@ def analytic(df: DataFrame, by: list[str], ts: str, value: str, tiebreak: list[s
     v = F.col(value).cast(dec)
     r = running(df, by, order, sums={"_pos": F.lit(1).cast("bigint"), "_s": F.coalesce(v, F.lit(0).cast(dec)),
                                      "_n": F.when(v.isNotNull(), 1).otherwise(0).cast("bigint")}, slices=slices)
+    # the running pass feeds several lookups: materialise it once in the shared folder
+    r = cut_lineage(r, "analytic")
     k = int(moving_rows)
-    shifted = r.select(*by, "_pos", "_s", "_n", F.col(value).alias("_v"))
-    prev = shifted.select(*by, (F.col("_pos") + 1).alias("_pos"), F.col("_v").alias("prev_value"))
-    nxt = shifted.select(*by, (F.col("_pos") - 1).alias("_pos"), F.col("_v").alias("next_value"))
-    back = shifted.select(*by, (F.col("_pos") + k).alias("_pos"), F.col("_s").alias("_s_k"), F.col("_n").alias("_n_k"))
-    j = r.join(prev, [*by, "_pos"], "left").join(nxt, [*by, "_pos"], "left").join(back, [*by, "_pos"], "left")
+    # lag, lead and the row k back, in one shuffle: each row offers itself to its neighbours
+    vtype = df.schema[value].dataType
+    offers = r.select(*by, F.explode(F.array(
+        F.struct((F.col("_pos") + 1).alias("_at"), F.lit(0).alias("_role"), F.col(value).alias("_v"),
+                 F.lit(None).cast(dec).alias("_sk"), F.lit(None).cast("bigint").alias("_nk")),
+        F.struct((F.col("_pos") - 1).alias("_at"), F.lit(1).alias("_role"), F.col(value).alias("_v"),
+                 F.lit(None).cast(dec).alias("_sk"), F.lit(None).cast("bigint").alias("_nk")),
+        F.struct((F.col("_pos") + k).alias("_at"), F.lit(2).alias("_role"), F.lit(None).cast(vtype).alias("_v"),
+                 F.col("_s").alias("_sk"), F.col("_n").alias("_nk")))).alias("_o"))
+    nb = offers.groupBy(*by, F.col("_o._at").alias("_pos")).agg(
+        F.max(F.when(F.col("_o._role") == 0, F.col("_o._v"))).alias("_prev"),
+        F.max(F.when(F.col("_o._role") == 1, F.col("_o._v"))).alias("_next"),
+        F.max(F.col("_o._sk")).alias("_s_k"), F.max(F.col("_o._nk")).alias("_n_k"))
+    j = r.join(nb, [*by, "_pos"], "left")
+    prev_v, next_v = F.col("_prev").alias("prev_value"), F.col("_next").alias("next_value")
     mov_s = F.col("_s") - F.coalesce(F.col("_s_k"), F.lit(0).cast(dec))
     mov_n = F.col("_n") - F.coalesce(F.col("_n_k"), F.lit(0))
     # range frame: running sum at the last peer of ts ...
@@ -196,7 +211,7 @@ def analytic(df: DataFrame, by: list[str], ts: str, value: str, tiebreak: list[s
     rng = peer.join(asof, [*by, ts], "left").select(
         *by, ts, (F.col("_s_peer") - F.coalesce(F.col("_s_before"), F.lit(0).cast(dec))).alias("_range"))
     j = j.join(rng, [*by, ts], "left")
-    return j.select(*df.columns, "prev_value", "next_value", F.col("_s").cast("double").alias("running_sum"),
+    return j.select(*df.columns, prev_v, next_v, F.col("_s").cast("double").alias("running_sum"),
                     F.when(mov_n > 0, (mov_s / mov_n).cast("double")).alias("moving_avg"),
                     F.col("_range").cast("double").alias("range_sum"))
 
