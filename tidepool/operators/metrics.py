@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.operators.running import running
+from tidepool.session import cut_lineage
 
 # Default latency bucket bounds in seconds (the usual client-library default).
 DEFAULT_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
@@ -47,7 +48,9 @@ def gauge(df: DataFrame, keys: list[str], ts: str, op: str, amount: str, tiebrea
     order = [F.col(ts), *[F.col(c) for c in (tiebreak or [])]]
     r = running(df.withColumn("_d", delta), keys, order, sums={"_run": F.col("_d")})
     # at a set row the base is amount - run(at the set); carried forward as "last non-null"
-    r = r.withColumn("_base", F.when(is_set, a - F.col("_run")))
+    # the second pass reads the first one three times (slice bounds, summary, window):
+    # materialise it once in the shared folder instead of recomputing it
+    r = cut_lineage(r.withColumn("_base", F.when(is_set, a - F.col("_run"))), "gauge")
     r = running(r, keys, order, lasts={"_last_base": F.col("_base")})
     value = (F.coalesce(F.col("_last_base"), one - one) + F.col("_run")).cast("double")
     return r.withColumn("gauge_value", value).drop("_d", "_run", "_base", "_last_base")
