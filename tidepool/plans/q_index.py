@@ -47,7 +47,9 @@ T19_ALL_SQL = f"SELECT DISTINCT source_table, id, tie FROM ({T7_ALL_SQL})"
 
 def t12_bm25(spark, sf):
     post, lengths = _postings(spark, sf)
-    return ix.bm25(post, lengths, TWO_WORDS).withColumn("score", F.round("score", 6))
+    # postings are read by three branches (hits, document frequencies, per-row lengths join):
+    # materialised once, as a written index would be
+    return ix.bm25(cut_lineage(post, "postings"), lengths, TWO_WORDS).withColumn("score", F.round("score", 6))
 
 
 T12_BM25_SQL = f"""WITH docs AS (
