@@ -108,3 +108,15 @@ def test_page_from_doc_store_equals_scan_page_and_prunes(spark, tmp):
         assert a == b and len(a) == 7
     got.write.format("noop").mode("overwrite").save()
     assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_fetch_counts_total_in_the_same_pass(spark, tmp):
+    tabs = fx.search_tables(spark, SF)
+    post, lengths = ix.build_inverted_index(tabs)
+    ix.write_index(post, lengths, tmp)
+    page = se.search_fetch(tabs, "license", page=1, size=3, index=ix.read_postings(spark, tmp))
+    scan_total = se.search(tabs, "license", document=False).count()
+    assert page.total == scan_total and len(page.rows) == min(3, scan_total)
+    import pytest
+    with pytest.raises(ValueError):
+        se.search_page(tabs, "license", index=ix.read_postings(spark, tmp), score="tf")

@@ -180,3 +180,26 @@ def test_upsert_touches_only_changed_buckets(spark, tmp):
     want = keyed.load_unique(first, second.where("user_id < 20"), ["user_id", "event_type"], ["ts", "event_id"])
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+def test_upsert_primary_partial_and_condition(spark, tmp):
+    t = spark.createDataFrame([(1, 10.0, "a", 1), (2, 20.0, "b", 1)], "k long, v double, s string, seq long")
+    b = spark.createDataFrame([(1, 15.0, "x", 2), (3, 30.0, "y", 2)], "k long, v double, s string, seq long")
+    p1, p2 = os.path.join(tmp, "p"), os.path.join(tmp, "c")
+    keyed.upsert(p1, t, ["k"], "seq", n_buckets=8)
+    keyed.upsert(p1, b, ["k"], "seq", model="primary", cols=["v"], n_buckets=8)
+    got = {r["k"]: (r["v"], r["s"]) for r in spark.read.parquet(p1).collect()}
+    assert got == {1: (15.0, "a"), 2: (20.0, "b"), 3: (30.0, None)}
+    keyed.upsert(p2, t, ["k"], "seq", n_buckets=8)
+    lower = spark.createDataFrame([(1, 5.0, "z", 3), (2, 25.0, "w", 3)], "k long, v double, s string, seq long")
+    keyed.upsert(p2, lower, ["k"], "seq", model="condition", col="v", n_buckets=8)
+    got = {r["k"]: (r["v"], r["s"]) for r in spark.read.parquet(p2).collect()}
+    assert got == {1: (10.0, "a"), 2: (25.0, "w")}
+
+
+def test_keyed_refusals(spark):
+    t = spark.createDataFrame([(1, 1.0, "a")], "k long, v double, s string")
+    with pytest.raises(ValueError):
+        keyed.load_aggregate(t, t, ["k"], {"v": "sum"}, "v")  # s has no aggregation type
+    with pytest.raises(ValueError):
+        keyed.load_aggregate(t, t, ["k"], {"v": "sum", "s": "median"}, "v")
