@@ -203,3 +203,12 @@ def test_keyed_refusals(spark):
         keyed.load_aggregate(t, t, ["k"], {"v": "sum"}, "v")  # s has no aggregation type
     with pytest.raises(ValueError):
         keyed.load_aggregate(t, t, ["k"], {"v": "sum", "s": "median"}, "v")
+
+
+def test_materialisation_goes_to_the_sessions_checkpoint_dir(spark):
+    from tidepool.session import checkpoint_dir, cut_lineage
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert checkpoint_dir(spark) == root  # read from the session, not replaced
+    m = cut_lineage(spark.range(5), "probe")
+    assert all(f.startswith("file:" + root) or f.startswith(root) for f in m.inputFiles())
+    assert m.count() == 5
