@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import chat, langid, lines, toxicity, urls
+from tidepool.llm import chat, langid, lines, minhash, packing, toxicity, urls
 from tidepool.llm.common import table
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -20,6 +24,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), urls.RULES)
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = langid.identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
@@ -31,9 +39,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": (op1_minhash_near_dedup, None),
     "op2_line_dedup": (op2_line_dedup, lines.ORACLE),
     "op4_chat_formatting": (op4_chat_formatting, chat.ORACLE),
     "op5_url_filters": (op5_url_filters, urls.ORACLE),
+    "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_language_id": (op9_language_id, None),
     "op10_toxicity": (op10_toxicity, None),
 }
