@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import drop_stored, stored
 
 
+#: links one task joins (about 200 bytes each while it does)
+TASK_LINKS = 500_000
+
+
 def _forest(batches):
     """Links of a partition to a spanning forest: each vertex to the least one it reaches there."""
     parent: dict[int, int] = {}
@@ -56,21 +60,27 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
     """(id, component) for every vertex with a link to another: component is the least id reachable.
 
     Null ends and self links are passed over; repeated links count once; no link gives no row.
-    Each round is two grouped minima with joins, its result stored in the shared folder, so no
-    vertex's neighbours are ever gathered in one place; hubs shrink to one row each by partial
-    minima and a hub's join side may be split by AQE.
+    Tasks of at most ``TASK_LINKS`` links each replace theirs by a spanning forest; where that takes
+    more than one task, rounds of two grouped minima with joins follow, each round's result stored
+    in the shared folder.  No vertex's neighbours are ever gathered in one place: hubs shrink to one
+    row a task by partial minima, and a hub's join side may be split by AQE.
     """
-    edges = links.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where(
-        "u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    edges = stored(edges.mapInArrow(_forest, "u long, v long").distinct(), "links")
-    state = _state(edges)
-    while True:
-        after = stored(_star(_star(edges, True), False), "links")
-        now = _state(after)
-        drop_stored(edges)
-        edges = after
-        if now == state:
-            break
-        state = now
-    stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    edges = stored(links.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where(
+        "u IS NOT NULL AND v IS NOT NULL AND u <> v"), "links")
+    tasks = -(-edges.count() // TASK_LINKS)
+    # bounded tasks take the links to spanning forests; if there is one task, its trees are whole
+    forest = edges.coalesce(max(1, tasks)).mapInArrow(_forest, "u long, v long")
+    if tasks > 1:
+        edges = stored(forest.distinct(), "links")
+        state = _state(edges)
+        while True:
+            after = stored(_star(_star(edges, True), False), "links")
+            now = _state(after)
+            drop_stored(edges)
+            edges = after
+            if now == state:
+                break
+            state = now
+        forest = edges
+    stars = stored(forest.select(F.col("u").alias("id"), F.col("v").alias("component")), "stars")
     return stars.union(stars.select(F.col("component").alias("id"), "component").distinct())

@@ -6,9 +6,11 @@ those of the benchmark, so a question with other numbers or names still meets it
 meeting counts only if the slots agree: one slot value of the benchmark item stands for one value
 in the document and the other way round, over all matched windows of the pair together.
 
-Fixed forms, the same in both engines' regular expressions:
-  name   a capitalised word after a blank that follows a small letter, `,` `;` `:` or another name
-  number digits, with inner . or , parts;  unit: one of UNITS after a number
+Forms (the same regular expressions serve both engines):
+  name    a capitalised word after one blank that follows a small letter, `,` `;` `:` or a name
+  number  digits, with . or , between them
+  unit    one of UNITS after a number and one blank
+The value of a slot follows its mark, a private-use character; marks in the input are dropped.
 """
 
 from __future__ import annotations
@@ -19,32 +21,167 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import own_columns
 
 NUM, NAME, UNIT = "", "", ""
+MARKS = NUM + NAME + UNIT
 UNITS = ("kg|km|cm|mm|ml|mg|g|m|l|s|h|min|hours|hour|minutes|minute|seconds|second|days|day|weeks|week|years|year|"
          "miles|mile|meters|metres|meter|metre|feet|foot|inches|inch|pounds|pound|liters|litres|dollars|dollar|euros|"
          "euro|cents|cent|percent|degrees")
 #: window rows of the benchmark that may be broadcast (about 100 bytes each)
 MAX_BROADCAST_WINDOWS = 200_000
-SIZE = 8
+SIZE, MIN_WORDS = 8, 4
 
+#: (pattern, replacement), applied in this order around lower()
+BEFORE = [
+    (rf"[{MARKS}]", ""),
+    (r"([\p{Ll},;:] )(\p{Lu}\p{Ll}+)", rf"$1{NAME}$2"),  # every other one of a run of names ...
+    (rf"([\p{{Ll}},;:] )(\p{{Lu}}\p{{Ll}}+)", rf"$1{NAME}$2"),  # ... and those between
+    (r"([0-9]+(?:[.,][0-9]+)*)", rf"{NUM}$1"),
+]
+AFTER = [
+    (rf"({NUM}[0-9.,]*[0-9]) ({UNITS})\b", rf"$1 {UNIT}$2"),
+    (r"([0-9])[.,]([0-9])", r"$1$2"),
+    (r"([0-9])[.,]([0-9])", r"$1$2"),
+    (rf"[^\p{{L}}\p{{N}}{MARKS}]+", " "),
+]
+BARE = [(rf"{NUM}[0-9]+", NUM), (rf"{NAME}\p{{L}}+", NAME), (rf"{UNIT}\p{{L}}+", UNIT)]
 
-def marked(text: Column) -> Column:
-    """Template words with their values: a slot's value follows its placeholder mark."""
-    t = F.coalesce(text, F.lit(""))
-    for _ in range(2):  # a run of names: odd ones first, then those after a mark
-        t = F.regexp_replace(t, rf"([\p{{Ll}},;:] |{NAME}\p{{Lu}}\p{{Ll}}+ )(\p{{Lu}}\p{{Ll}}+)", rf"$1{NAME}$2")
-    t = F.regexp_replace(t, r"([0-9]+(?:[.,][0-9]+)*)", rf"{NUM}$1")
-    t = F.lower(t)
-    t = F.regexp_replace(t, rf"({NUM}[0-9.,]+) ({UNITS})\b", rf"$1 {UNIT}$2")
-    t = F.regexp_replace(t, rf"[^\p{{L}}\p{{N}}{NUM}{NAME}{UNIT}]+", " ")
-    return F.btrim(t)
+
+def _replace(text: Column, steps) -> Column:
+    for pattern, new in steps:
+        text = F.regexp_replace(text, pattern, new)
+    return text
 
 
-def words(mark: Column) -> Column:
-    return F.filter(F.split(mark, " "), lambda w: w != "")
+def marked(text: Column) -> Column:
+    """Template words with their slot values, parted by single blanks."""
+    return F.btrim(_replace(F.lower(_replace(F.coalesce(text, F.lit("")), BEFORE)), AFTER))
 
 
 def template(mark: Column) -> Column:
-    """Placeholders without their values; the words stay in place."""
-    t = F.regexp_replace(mark, rf"{NUM}[0-9]+( [0-9]+)*", NUM)
-    t = F.regexp_replace(t, rf"{NAME}\p{{L}}+", NAME)
-    return F.regexp_replace(t, rf"{UNIT}\p{{L}}+", UNIT)
+    """The same without the values; the words stay in place."""
+    return _replace(mark, BARE)
+
+
+def _words(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+
+
+def _windows(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` with (mark, template words) unfolded to one row per window: at, from 1, and its hash.
+    Exploding the places, not the windows, keeps each window a slice of the row's array."""
+    n = F.size("words")
+    return rows.withColumn("at", F.explode(F.when(n >= size, F.sequence(F.lit(1), n - size + 1)))).withColumn(
+        "window", F.expr(f"slice(words, at, {size})"))
+
+
+def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
+    """(item_id, at, hash, window, raw) of the benchmark's windows; an item of fewer words, but
+    ``MIN_WORDS`` at least, is one window.  Windows with more slots than plain words are too
+    general to count."""
+    mark = marked(F.col("text"))
+    rows = own_columns(benchmark, "item_id", "text").where("item_id IS NOT NULL").select(
+        "item_id", _words(mark).alias("raw"), _words(template(mark)).alias("words"))
+    n = F.size("words")
+    long = _windows(rows.where(n >= size), size).withColumn("raw", F.expr(f"slice(raw, at, {size})"))
+    short = rows.where((n >= MIN_WORDS) & (n < size)).select("item_id", "raw", "words", F.lit(1).alias("at"), F.col("words").alias("window"))
+    cols = ["item_id", "at", "window", "raw"]
+    plain = F.size(F.filter("window", lambda w: ~w.rlike(f"[{MARKS}]")))
+    return long.select(*cols).union(short.select(*cols)).where(2 * plain >= F.size("window")).withColumn(
+        "hash", F.xxhash64("window"))
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
+    """(doc_id, item_id, n_windows): consistent template matches of documents with benchmark items;
+    n_windows counts the different benchmark windows met."""
+    held = benchmark_windows(benchmark, size).persist()
+    keys = held.select("hash", F.size("window").alias("len")).distinct()
+    lengths = [r["len"] for r in keys.select("len").distinct().collect()]  # at most `size` values
+    few = keys.count() <= MAX_BROADCAST_WINDOWS
+    mark = marked(F.col("text"))
+    docs = own_columns(documents, "doc_id", "text").where("doc_id IS NOT NULL")
+    rows = docs.select("doc_id", _words(template(mark)).alias("words"))
+    hits = None
+    for length in sorted(lengths):  # one pass for whole windows, one for each length of short items
+        own = keys.where(F.col("len") == length).select("hash")
+        found = _windows(rows, length).select("doc_id", "at", F.xxhash64("window").alias("hash")).join(
+            F.broadcast(own) if few else own, "hash").select("doc_id", "at", "hash", F.lit(length).alias("len"))
+        hits = found if hits is None else hits.union(found)
+    if hits is None:
+        hits = rows.select("doc_id", F.lit(0).alias("at"), F.lit(0).cast("long").alias("hash"), F.lit(1).alias("len")).where("false")
+
+    # texts of the documents that were hit, with their slot values
+    places = hits.groupBy("doc_id").agg(F.collect_set(F.struct("at", "len", "hash")).alias("places"))
+    texts = docs.join(places, "doc_id").select("doc_id", _words(marked(F.col("text"))).alias("raw"),
+                                               _words(template(marked(F.col("text")))).alias("words"), "places")
+    met = texts.select("doc_id", "raw", "words", F.explode("places").alias("p")).select(
+        "doc_id", F.expr("slice(raw, p.at, p.len)").alias("own"), F.expr("slice(words, p.at, p.len)").alias("own_window"),
+        F.col("p.hash").alias("hash"))
+    both = met.join(F.broadcast(held) if few else held, "hash").where("own_window = window")
+    slots = F.filter(F.arrays_zip(F.col("window").alias("w"), F.col("raw").alias("a"), F.col("own").alias("b")),
+                     lambda s: s["w"].rlike(f"[{MARKS}]"))
+    # one window: a value of the item stands for one value of the document, and the other way round
+    sized = lambda f: F.size(F.array_distinct(F.transform("slots", f)))
+    both = both.select("doc_id", "item_id", "at", slots.alias("slots")).where(
+        (sized(lambda s: F.struct(s["a"], s["b"])) == sized(lambda s: s["a"]))
+        & (sized(lambda s: F.struct(s["a"], s["b"])) == sized(lambda s: s["b"])))
+    return both.groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("n_windows"))
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = SIZE, min_windows: int = 3) -> DataFrame:
+    """Per document: doc_id, n_items, n_windows, contaminated.
+
+    A document is contaminated if for some item at least ``min_windows`` of its windows, or all of
+    them if it has fewer, are met with consistent slots.  n_items counts such items and n_windows
+    their windows met.  Rows that repeat a doc_id are returned each, judged together.  A null, empty
+    or blank text and a null doc_id are clean; a benchmark without texts leaves every document
+    clean.  No document gives no row.  Other columns are ignored.
+    """
+    total = benchmark_windows(benchmark, size).groupBy("item_id").agg(F.count_distinct("at").alias("total"))
+    met = contamination(documents, benchmark, size).join(total, "item_id").where(
+        F.col("n_windows") >= F.least(F.lit(min_windows), "total"))
+    leaks = met.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum("n_windows").alias("n_windows"))
+    return own_columns(documents, "doc_id").join(leaks, "doc_id", "left").select(
+        "doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.col("n_items").isNotNull().alias("contaminated"))
+
+
+def _sql(expr: str, steps) -> str:
+    """The same replacements in the oracle's dialect."""
+    for pattern, new in steps:
+        new = new.replace("$1", "\\1").replace("$2", "\\2")
+        expr = f"regexp_replace({expr}, '{pattern}', '{new}', 'g')"
+    return expr
+
+
+_MARK = f"trim({_sql('lower(' + _sql(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')', BEFORE) + ')', AFTER)})"
+
+ORACLE = f"""
+WITH bm AS (SELECT item_id, {_MARK} AS mark FROM benchmark WHERE item_id IS NOT NULL),
+dm AS (SELECT doc_id, {_MARK} AS mark FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT item_id, CASE WHEN mark = '' THEN [] ELSE string_split(mark, ' ') END AS raw,
+             CASE WHEN mark = '' THEN [] ELSE string_split({_sql('mark', BARE)}, ' ') END AS words FROM bm),
+d AS (SELECT doc_id, CASE WHEN mark = '' THEN [] ELSE string_split(mark, ' ') END AS raw,
+             CASE WHEN mark = '' THEN [] ELSE string_split({_sql('mark', BARE)}, ' ') END AS words FROM dm),
+bw0 AS (
+  SELECT item_id, pos, words[pos:pos + least(len(words), {SIZE}) - 1] AS win, raw[pos:pos + least(len(words), {SIZE}) - 1] AS raw
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - {SIZE} + 2, 2))) AS pos FROM b WHERE len(words) >= {MIN_WORDS})),
+bw AS (SELECT * FROM bw0 WHERE 2 * len(list_filter(win, w -> NOT regexp_matches(w, '[{MARKS}]'))) >= len(win)),
+lens AS (SELECT DISTINCT len(win) AS n FROM bw),
+dw AS (
+  SELECT doc_id, words[pos:pos + n - 1] AS win, raw[pos:pos + n - 1] AS own
+  FROM (SELECT d.*, n, unnest(range(1, len(words) - n + 2)) AS pos FROM d, lens WHERE len(words) >= n)),
+slots AS (
+  SELECT doc_id, item_id, bw.pos, [x for x in list_zip(bw.win, bw.raw, dw.own) if regexp_matches(x[1], '[{MARKS}]')] AS s
+  FROM dw JOIN bw ON dw.win = bw.win),
+met AS (
+  SELECT doc_id, item_id, count(DISTINCT pos) AS n_windows FROM slots
+  WHERE len(list_distinct([[x[2], x[3]] for x in s])) = len(list_distinct([x[2] for x in s]))
+    AND len(list_distinct([[x[2], x[3]] for x in s])) = len(list_distinct([x[3] for x in s]))
+  GROUP BY doc_id, item_id),
+total AS (SELECT item_id, count(DISTINCT pos) AS total FROM bw GROUP BY item_id),
+leaks AS (
+  SELECT doc_id, count(*) AS n_items, sum(n_windows) AS n_windows FROM met JOIN total USING (item_id)
+  WHERE n_windows >= least(3, total) GROUP BY doc_id)
+SELECT documents.doc_id, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, CAST(coalesce(n_windows, 0) AS BIGINT) AS n_windows,
+       n_items IS NOT NULL AS contaminated
+FROM documents LEFT JOIN leaks USING (doc_id)
+"""

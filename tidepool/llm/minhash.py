@@ -32,7 +32,7 @@ PERMS = TREES * DEPTH
 _SEEDS = mix(np.arange(1, PERMS + 1, dtype=np.uint64) * MULT) | np.uint64(1)
 _OWN = (np.arange(TREES)[:, None] * DEPTH + np.arange(KEY)[None, :]) % PERMS
 #: shingles a block may hold (8 bytes each)
-BLOCK = 1_000_000
+BLOCK = 250_000
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -225,28 +225,21 @@ def _confirm(percent: int):
     return lambda batches: in_chunks(batches, work)
 
 
-def _block_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
+def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Exact links between the open members of each region and all its members.
 
-    ``members``: (region, doc_id, component, open, n_shingles, shingles).  A region is cut into
-    blocks by hash so that none holds many more than ``block`` shingles; open ones into blocks of
-    their own.  A pair of blocks is one task's work.
+    ``members``: (region, doc_id, component, open, shingles, ni, nj).  A region is cut by hash into
+    ``nj`` blocks, its open members into ``ni``; a pair of blocks is one task's work.
     """
-    size = members.groupBy("region").agg(
-        F.ceil(F.sum("n_shingles") / block).cast("int").alias("nj"),
-        F.ceil(F.sum(F.when(F.col("open"), F.col("n_shingles")).otherwise(0)) / block).cast("int").alias("ni"))
-    rows = members.join(size, "region").where("ni > 0")
+    zero = F.lit(0).cast("long")
     own_i, own_j = F.pmod(F.xxhash64("doc_id"), F.col("ni")), F.pmod(F.xxhash64("doc_id"), F.col("nj"))
-    whole = F.when(F.col("nj") == 1, F.lit(True)).otherwise(F.lit(False))
-    both = rows.where(whole).select("region", "doc_id", "component", "open", F.lit(True).alias("target"), "shingles",
-                                    F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"))
-    cut = rows.where(~whole)
+    both = members.where("nj = 1").select("region", "doc_id", "component", "open", F.lit(True).alias("target"), "shingles",
+                                          zero.alias("i"), zero.alias("j"))
+    cut = members.where("nj > 1")
     targets = cut.select("region", "doc_id", "component", F.lit(False).alias("open"), F.lit(True).alias("target"), "shingles",
-                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni").cast("long") - 1)).alias("i"),
-                         own_j.cast("long").alias("j"))
+                         F.explode(F.sequence(zero, F.col("ni") - 1)).alias("i"), own_j.alias("j"))
     opened = cut.where("open").select("region", "doc_id", "component", "open", F.lit(False).alias("target"), "shingles",
-                                      own_i.cast("long").alias("i"),
-                                      F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj").cast("long") - 1)).alias("j"))
+                                      own_i.alias("i"), F.explode(F.sequence(zero, F.col("nj") - 1)).alias("j"))
     dealt = both.union(targets).union(opened)
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(
@@ -294,13 +287,15 @@ def near_duplicates(documents: DataFrame, percent: int = 75, block: int = BLOCK)
     joined = stored(connected_components(links), "joined")
 
     # what these links leave open is compared with its whole region; small regions are all open
-    members = sets.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id"))
-    parts = members.groupBy("region", "component").agg(F.count("*").alias("n"))
-    most = parts.groupBy("region").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("parts"))
-    unsettled = most.where("parts > 1").select("region", F.col("m.component").alias("main"))
-    members = members.join(unsettled, "region").withColumn("open", F.col("component") != F.col("main"))
-    more = _block_pairs(members, percent, block)
+    members = stored(sets.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
+        "component", F.coalesce("component", "doc_id")), "members")
+    parts = members.groupBy("region", "component").agg(F.sum("n_shingles").alias("n"))
+    blocks = lambda n: F.ceil(n / block).cast("long")
+    most = parts.groupBy("region").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("k"))
+    plan = stored(most.where("k > 1").select("region", F.col("m.component").alias("main"), blocks(F.col("n")).alias("nj"),
+                                             blocks(F.col("n") - F.col("m.n")).alias("ni")), "blocks")
+    members = members.join(plan, "region").withColumn("open", F.col("component") != F.col("main"))
+    more = _block_pairs(members, percent)
     groups = stored(connected_components(links.union(more)), "groups")
     drop_stored(pairs)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import chat, langid, lines, minhash, packing, toxicity, urls
+from tidepool.llm import chat, decontam, langid, lines, minhash, packing, substrings, toxicity, urls
 from tidepool.llm.common import table
 
 
@@ -24,6 +24,14 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), urls.RULES)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,8 @@ QUERIES = {
     "op2_line_dedup": (op2_line_dedup, lines.ORACLE),
     "op4_chat_formatting": (op4_chat_formatting, chat.ORACLE),
     "op5_url_filters": (op5_url_filters, urls.ORACLE),
+    "op6_substring_dedup": (op6_substring_dedup, None),
+    "op7_benchmark_decontamination": (op7_benchmark_decontamination, decontam.ORACLE),
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_language_id": (op9_language_id, None),
     "op10_toxicity": (op10_toxicity, None),
