@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import chat, decontam, langid, lines, minhash, packing, substrings, toxicity, urls
+from tidepool.llm import chat, decontam, hnsw, langid, lines, minhash, packing, substrings, toxicity, urls
 from tidepool.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.rotate_perspectives(table(spark, sf_dir, "conversations")))
 
@@ -49,6 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": (op1_minhash_near_dedup, None),
     "op2_line_dedup": (op2_line_dedup, lines.ORACLE),
+    "op3_embedding_near_dedup": (op3_embedding_near_dedup, None),
     "op4_chat_formatting": (op4_chat_formatting, chat.ORACLE),
     "op5_url_filters": (op5_url_filters, urls.ORACLE),
     "op6_substring_dedup": (op6_substring_dedup, None),
