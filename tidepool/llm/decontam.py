@@ -4,13 +4,13 @@ A text is brought to a template: numbers, names and units become typed placehold
 goes, letters are lower-cased.  Windows of ``size`` consecutive template words are hash-joined with
 those of the benchmark, so a question with other numbers or names still meets its origin.  A
 meeting counts only if the slots agree: one slot value of the benchmark item stands for one value
-in the document and the other way round, over all matched windows of the pair together.
+in the document and the other way round, within each matched window.
 
 Forms (the same regular expressions serve both engines):
   name    a capitalised word after one blank that follows a small letter, `,` `;` `:` or a name
   number  digits, with . or , between them
   unit    one of UNITS after a number and one blank
-The value of a slot follows its mark, a private-use character; marks in the input are dropped.
+A slot's mark is a private-use character; such characters in the input are dropped.
 """
 
 from __future__ import annotations
@@ -28,41 +28,27 @@ UNITS = ("kg|km|cm|mm|ml|mg|g|m|l|s|h|min|hours|hour|minutes|minute|seconds|seco
 #: window rows of the benchmark that may be broadcast (about 100 bytes each)
 MAX_BROADCAST_WINDOWS = 200_000
 SIZE, MIN_WORDS = 8, 4
-
-#: (pattern, replacement), applied in this order around lower()
-BEFORE = [
-    (rf"[{MARKS}]", ""),
-    (r"([\p{Ll},;:] )(\p{Lu}\p{Ll}+)", rf"$1{NAME}$2"),  # every other one of a run of names ...
-    (rf"([\p{{Ll}},;:] )(\p{{Lu}}\p{{Ll}}+)", rf"$1{NAME}$2"),  # ... and those between
-    (r"([0-9]+(?:[.,][0-9]+)*)", rf"{NUM}$1"),
-]
-AFTER = [
-    (rf"({NUM}[0-9.,]*[0-9]) ({UNITS})\b", rf"$1 {UNIT}$2"),
-    (r"([0-9])[.,]([0-9])", r"$1$2"),
-    (r"([0-9])[.,]([0-9])", r"$1$2"),
-    (rf"[^\p{{L}}\p{{N}}{MARKS}]+", " "),
-]
-BARE = [(rf"{NUM}[0-9]+", NUM), (rf"{NAME}\p{{L}}+", NAME), (rf"{UNIT}\p{{L}}+", UNIT)]
-
-
-def _replace(text: Column, steps) -> Column:
-    for pattern, new in steps:
-        text = F.regexp_replace(text, pattern, new)
-    return text
-
-
-def marked(text: Column) -> Column:
-    """Template words with their slot values, parted by single blanks."""
-    return F.btrim(_replace(F.lower(_replace(F.coalesce(text, F.lit("")), BEFORE)), AFTER))
-
-
-def template(mark: Column) -> Column:
-    """The same without the values; the words stay in place."""
-    return _replace(mark, BARE)
-
-
-def _words(text: Column) -> Column:
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+NAMES = r" (?<=[\p{Ll},;:] )(\p{Lu}\p{Ll}+)"
+NUMBERS = r"([0-9]+(?:[.,][0-9]+)*)"
+NO_WORD = rf"[^\p{{L}}\p{{N}}{MARKS}]+"
+
+
+def template_words(text: Column, values: bool = False) -> Column:
+    """The template's words; with ``values`` each slot's mark is followed by its value.  Both forms
+    of a text have the same number of words.  Steps that need a digit or a mark in the text are
+    left out without one; no step is evaluated twice."""
+    text = F.coalesce(text, F.lit(""))
+    has_mark = text.contains(NUM) | text.contains(NAME) | text.contains(UNIT)
+    t = F.when(has_mark, F.regexp_replace(text, f"[{MARKS}]", "")).otherwise(text)
+    t = F.lower(F.regexp_replace(t, NAMES, f" {NAME}$1" if values else f" {NAME}"))
+    digits = "[0-9.,]*[0-9]" if values else ""
+    n = F.regexp_replace(t, NUMBERS, f"{NUM}$1" if values else NUM)
+    n = F.regexp_replace(n, rf"({NUM}{digits}) ({UNITS})($|[^\p{{L}}\p{{N}}])", f"$1 {UNIT}$2$3" if values else f"$1 {UNIT}$3")
+    if values:  # one word each, like their marks
+        for _ in range(2):
+            n = F.regexp_replace(n, r"([0-9])[.,]([0-9])", "$1$2")
+    t = F.when(text.rlike("[0-9]"), n).otherwise(t)
+    return F.array_remove(F.split(t, NO_WORD), "")
 
 
 def _windows(rows: DataFrame, size: int) -> DataFrame:
@@ -77,9 +63,8 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """(item_id, at, hash, window, raw) of the benchmark's windows; an item of fewer words, but
     ``MIN_WORDS`` at least, is one window.  Windows with more slots than plain words are too
     general to count."""
-    mark = marked(F.col("text"))
     rows = own_columns(benchmark, "item_id", "text").where("item_id IS NOT NULL").select(
-        "item_id", _words(mark).alias("raw"), _words(template(mark)).alias("words"))
+        "item_id", template_words(F.col("text"), True).alias("raw"), template_words(F.col("text")).alias("words"))
     n = F.size("words")
     long = _windows(rows.where(n >= size), size).withColumn("raw", F.expr(f"slice(raw, at, {size})"))
     short = rows.where((n >= MIN_WORDS) & (n < size)).select("item_id", "raw", "words", F.lit(1).alias("at"), F.col("words").alias("window"))
@@ -96,9 +81,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = SIZE)
     keys = held.select("hash", F.size("window").alias("len")).distinct()
     lengths = [r["len"] for r in keys.select("len").distinct().collect()]  # at most `size` values
     few = keys.count() <= MAX_BROADCAST_WINDOWS
-    mark = marked(F.col("text"))
     docs = own_columns(documents, "doc_id", "text").where("doc_id IS NOT NULL")
-    rows = docs.select("doc_id", _words(template(mark)).alias("words"))
+    rows = docs.select("doc_id", template_words(F.col("text")).alias("words"))
     hits = None
     for length in sorted(lengths):  # one pass for whole windows, one for each length of short items
         own = keys.where(F.col("len") == length).select("hash")
@@ -110,8 +94,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = SIZE)
 
     # texts of the documents that were hit, with their slot values
     places = hits.groupBy("doc_id").agg(F.collect_set(F.struct("at", "len", "hash")).alias("places"))
-    texts = docs.join(places, "doc_id").select("doc_id", _words(marked(F.col("text"))).alias("raw"),
-                                               _words(template(marked(F.col("text")))).alias("words"), "places")
+    texts = docs.join(places, "doc_id").select("doc_id", template_words(F.col("text"), True).alias("raw"),
+                                               template_words(F.col("text")).alias("words"), "places")
     met = texts.select("doc_id", "raw", "words", F.explode("places").alias("p")).select(
         "doc_id", F.expr("slice(raw, p.at, p.len)").alias("own"), F.expr("slice(words, p.at, p.len)").alias("own_window"),
         F.col("p.hash").alias("hash"))
@@ -144,27 +128,29 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = SIZE,
         F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.col("n_items").isNotNull().alias("contaminated"))
 
 
-def _sql(expr: str, steps) -> str:
-    """The same replacements in the oracle's dialect."""
-    for pattern, new in steps:
-        new = new.replace("$1", "\\1").replace("$2", "\\2")
-        expr = f"regexp_replace({expr}, '{pattern}', '{new}', 'g')"
-    return expr
-
+def _sql_words(values: bool) -> str:
+    """The same words in the oracle's dialect, which has no look-behind: a run of names takes two
+    passes, every other one in the first."""
+    named = f"{NAME}\\2" if values else NAME
+    digits = "[0-9.,]*[0-9]" if values else ""
+    steps = [(f"[{MARKS}]", ""), (r"([\p{Ll},;:] )(\p{Lu}\p{Ll}+)", "\\1" + named),
+             (rf"([\p{{Ll}},;:{NAME}] )(\p{{Lu}}\p{{Ll}}+)", "\\1" + named), None,
+             (NUMBERS, f"{NUM}\\1" if values else NUM),
+             (rf"({NUM}{digits}) ({UNITS})($|[^\p{{L}}\p{{N}}])", f"\\1 {UNIT}\\2\\3" if values else f"\\1 {UNIT}\\3"),
+             *[(r"([0-9])[.,]([0-9])", r"\1\2")] * (2 * values)]
+    expr = "coalesce(text, '')"
+    for step in steps:
+        expr = f"regexp_replace({expr}, '{step[0]}', '{step[1]}', 'g')" if step else f"lower({expr})"
+    return f"list_filter(string_split_regex({expr}, '{NO_WORD}'), lambda w: w <> '')"
 
-_MARK = f"trim({_sql('lower(' + _sql(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')', BEFORE) + ')', AFTER)})"
 
 ORACLE = f"""
-WITH bm AS (SELECT item_id, {_MARK} AS mark FROM benchmark WHERE item_id IS NOT NULL),
-dm AS (SELECT doc_id, {_MARK} AS mark FROM documents WHERE doc_id IS NOT NULL),
-b AS (SELECT item_id, CASE WHEN mark = '' THEN [] ELSE string_split(mark, ' ') END AS raw,
-             CASE WHEN mark = '' THEN [] ELSE string_split({_sql('mark', BARE)}, ' ') END AS words FROM bm),
-d AS (SELECT doc_id, CASE WHEN mark = '' THEN [] ELSE string_split(mark, ' ') END AS raw,
-             CASE WHEN mark = '' THEN [] ELSE string_split({_sql('mark', BARE)}, ' ') END AS words FROM dm),
+WITH b AS (SELECT item_id, {_sql_words(True)} AS raw, {_sql_words(False)} AS words FROM benchmark WHERE item_id IS NOT NULL),
+d AS (SELECT doc_id, {_sql_words(True)} AS raw, {_sql_words(False)} AS words FROM documents WHERE doc_id IS NOT NULL),
 bw0 AS (
   SELECT item_id, pos, words[pos:pos + least(len(words), {SIZE}) - 1] AS win, raw[pos:pos + least(len(words), {SIZE}) - 1] AS raw
   FROM (SELECT *, unnest(range(1, greatest(len(words) - {SIZE} + 2, 2))) AS pos FROM b WHERE len(words) >= {MIN_WORDS})),
-bw AS (SELECT * FROM bw0 WHERE 2 * len(list_filter(win, w -> NOT regexp_matches(w, '[{MARKS}]'))) >= len(win)),
+bw AS (SELECT * FROM bw0 WHERE 2 * len(list_filter(win, lambda w: NOT regexp_matches(w, '[{MARKS}]'))) >= len(win)),
 lens AS (SELECT DISTINCT len(win) AS n FROM bw),
 dw AS (
   SELECT doc_id, words[pos:pos + n - 1] AS win, raw[pos:pos + n - 1] AS own
