@@ -26,6 +26,8 @@ SHARD, BLOCK = 8192, 512
 M, EF_BUILD, EF_START = 12, 40, 32
 AUDIT, AUDIT_RECALL = 96, 0.99
 SLACK = 8
+MIN_INTO = 4
+WALK = 0.05
 
 
 def unit(rows) -> np.ndarray:
@@ -49,8 +51,23 @@ class Graph:
         for k, i in enumerate(ids):
             draw = (xxhash.xxh64_intdigest(str(i).encode()) + 1) / 2.0 ** 64
             self._insert(k, int(-np.log(draw) / np.log(M)))
+        self._repair()
         return self
 
+    def _repair(self) -> None:
+        """Nodes that pruning left with hardly a link to them get links back from their neighbours."""
+        rows = np.arange(self.near.shape[1])[None, :] < self.count[:, None]
+        into = np.bincount(self.near[rows], minlength=len(self.x))
+        for node in np.flatnonzero(into < MIN_INTO).tolist():
+            for k in self.near[node, :self.count[node]].tolist():
+                n = self.count[k]
+                if into[node] >= MIN_INTO:
+                    break
+                if n < self.near.shape[1] and node not in self.near[k, :n]:
+                    self.near[k, n] = node
+                    self.count[k] = n + 1
+                    into[node] += 1
+
     def _links(self, node: int, level: int):
         return self.near[node, :self.count[node]] if level == 0 else np.array(self.upper[level - 1].get(node, ()), np.int64)
 
@@ -139,14 +156,15 @@ class Graph:
                 self.count[k] = n + 1
 
     def search(self, q: np.ndarray, least: float, own: int | None = None) -> np.ndarray:
-        """Nodes found that may lie at cosine ``least`` or nearer, with a margin for single precision."""
+        """Nodes found at cosine ``least`` or nearer, and some a little farther: the walk goes on
+        through nodes within ``WALK`` of the threshold, as links often lie behind such."""
         q = q.astype(np.float32)
         start = [self.entry]
         for lv in range(len(self.upper), 0, -1):
             start = [max(self._beam(q, start, 1, lv))[1]]
         if own is not None and own not in start:
             start.append(own)
-        floor = least - 1e-4
+        floor = least - WALK
         return np.array([k for s, k in self._beam(q, start, self.ef, 0, floor) if s >= floor], np.int64)
 
     def audit(self, least: float) -> float:
