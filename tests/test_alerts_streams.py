@@ -90,9 +90,16 @@ def test_ingest_stream_is_replay_safe(spark, tmp):
     good, bad = spark.read.parquet(sink), spark.read.parquet(dead)
     assert good.count() + bad.count() == raw.count()
     assert bad.count() == raw.where(F.col("id").cast("long") % 50 < 4).count()
-    # replaying a batch id rewrites its own folder only
-    st.ingest_batch(raw.limit(5), 0, sink, dead)
-    assert spark.read.parquet(sink).where("batch_id = 0").count() <= 5
+    # a second query on the sink numbers its batches from 0 too, and adds to it
+    q = st.ingest_stream(st.read_stream(spark, src, raw.schema, max_files_per_trigger=1), sink, dead, os.path.join(tmp, "ck2"))
+    q.awaitTermination()
+    assert spark.read.parquet(sink).count() == 2 * good.count() == 2 * (raw.count() - raw.where(F.col("id").cast("long") % 50 < 4).count())
+    # replaying a batch of a query replaces that batch alone
+    first = spark.read.parquet(sink).where(F.col("query_id") == st.query_id(spark, ck)).where("batch_id = 0").count()
+    assert first > 0
+    st.ingest_batch(spark.read.schema(raw.schema).parquet(src).limit(5), 0, sink, dead, "other")
+    st.ingest_batch(spark.read.schema(raw.schema).parquet(src).limit(5), 0, sink, dead, "other")
+    assert 0 < spark.read.parquet(sink).where("query_id = 'other'").count() <= 5
 
 
 def test_dedup_stream_and_windows(spark, tmp):
@@ -158,10 +165,15 @@ def test_stream_view_refresh_skips_replayed_batches(spark, tmp):
     q = st.view_refresh_stream(st.read_stream(spark, src, li.schema, max_files_per_trigger=1), tmp, "v", ["l_returnflag"],
                                ms, os.path.join(tmp, "ck"))
     q.awaitTermination()
-    st.view_refresh_batch(li, 0, tmp, "v", ["l_returnflag"], ms)  # replay of batch 0: skipped
+    own = st.query_id(spark, os.path.join(tmp, "ck"))
+    st.view_refresh_batch(li, 0, tmp, "v", ["l_returnflag"], ms, own)  # replay of batch 0: skipped
     got = {r["l_returnflag"]: r["n"] for r in vw.read_view(spark, tmp, "v", ["l_returnflag"], ms).collect()}
     want = {r["l_returnflag"]: r["count"] for r in li.groupBy("l_returnflag").count().collect()}
     assert got == want
+    # a new checkpoint is another query: its batch 0 is new rows
+    st.view_refresh_batch(li, 0, tmp, "v", ["l_returnflag"], ms, "other")
+    got = {r["l_returnflag"]: r["n"] for r in vw.read_view(spark, tmp, "v", ["l_returnflag"], ms).collect()}
+    assert got == {k: 2 * n for k, n in want.items()}
 
 
 def test_stream_alerts_report_late_samples(spark, tmp):

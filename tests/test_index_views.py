@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidepool.operators import index as ix
@@ -98,10 +99,9 @@ def test_page_from_doc_store_equals_scan_page_and_prunes(spark, tmp):
     post, lengths = ix.build_inverted_index(tabs)
     ix.write_index(post, lengths, f"{tmp}/index")
     ix.write_doc_store(tabs, f"{tmp}/docs", buckets=32)
-    store = spark.read.parquet(f"{tmp}/docs")
+    store = ix.read_doc_store(spark, f"{tmp}/docs")
     for p in (1, 2):
-        got = ix.search_page_from_store(ix.read_postings(spark, f"{tmp}/index"), store, "the license", page=p, size=7,
-                                        buckets=32)
+        got = ix.search_page_from_store(ix.read_postings(spark, f"{tmp}/index"), store, "the license", page=p, size=7)
         a = sorted(tuple(r) for r in got.select("source_table", "id", "tie", F.col("hit_fields")["text"]).collect())
         b = sorted(tuple(r) for r in se.search_page(tabs, "the license", page=p, size=7, document=False)
                    .select("source_table", "id", "tie", F.col("hit_fields")["text"]).collect())
@@ -120,3 +120,35 @@ def test_index_fetch_counts_total_in_the_same_pass(spark, tmp):
     import pytest
     with pytest.raises(ValueError):
         se.search_page(tabs, "license", index=ix.read_postings(spark, tmp), score="tf")
+
+
+@pytest.mark.parametrize("buckets", [16, 64, 256])
+def test_written_index_answers_by_its_own_layout(spark, tmp, buckets):
+    from tidepool.operators.search import SearchTable
+    rows = [(i, f"alpha {'beta' if i % 2 else 'gamma'} delta{i % 4}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tabs = [SearchTable("d", docs, fields=["text"], id_col="doc_id")]
+    post, lengths = ix.build_inverted_index(tabs)
+    ix.write_index(post, lengths, f"{tmp}/index", buckets=buckets)
+    ix.write_doc_store(tabs, f"{tmp}/docs", buckets=buckets)
+    written = ix.read_postings(spark, f"{tmp}/index")
+    for word, n in (("alpha", 40), ("beta", 20), ("gamma", 20), ("delta3", 10), ("nothing", 0)):
+        assert ix.search_index(written, word).count() == n
+    assert ix.match_phrase_index(written, "alpha beta").count() == 20
+    page = ix.search_page_from_store(written, ix.read_doc_store(spark, f"{tmp}/docs"), "beta", page=1, size=7)
+    assert page.count() == 7
+    with pytest.raises(ValueError):
+        ix.search_index(written, "alpha", parser="english")
+    with pytest.raises(ValueError):
+        ix.search_index(spark.read.parquet(f"{tmp}/index/postings"), "alpha")  # no layout, no guess
+
+
+def test_index_refuses_tables_without_a_unique_key(spark, tmp):
+    from tidepool.operators.search import SearchTable
+    plain = spark.createDataFrame([("a b",), ("a c",)], "text string")
+    with pytest.raises(ValueError):
+        ix.build_inverted_index([SearchTable("p", plain, fields=["text"])])
+    twice = spark.createDataFrame([(1, "a b"), (1, "a c")], "doc_id long, text string")
+    post, lengths = ix.build_inverted_index([SearchTable("t", twice, fields=["text"], id_col="doc_id")])
+    with pytest.raises(ValueError):
+        ix.write_index(post, lengths, tmp)

@@ -213,3 +213,19 @@ def test_materialisation_goes_to_the_sessions_checkpoint_dir(spark):
     files = m.inputFiles()
     assert files and all(f.split(":", 1)[-1].lstrip("/").startswith(root.lstrip("/")) for f in files), (root, files[:2])
     assert m.count() == 5
+
+
+def test_upsert_keeps_to_the_stored_layout(spark, tmp):
+    rows = [(k, float(k), 1) for k in range(20)]
+    first = spark.createDataFrame(rows, "k long, v double, seq long")
+    again = first.withColumn("v", F.col("v") + 1).withColumn("seq", F.lit(2).cast("long"))
+    for n in (16, 64, 256):
+        path = f"{tmp}/t{n}"
+        keyed.upsert(path, first, ["k"], "seq", n_buckets=n)
+        keyed.upsert(path, again, ["k"], "seq")  # the stored count is taken
+        got = spark.read.parquet(path)
+        assert got.count() == 20 and got.where("v = k + 1").count() == 20
+        with pytest.raises(ValueError):
+            keyed.upsert(path, again, ["k"], "seq", n_buckets=n + 1)
+        with pytest.raises(ValueError):
+            keyed.upsert(path, again, ["v"], "seq")

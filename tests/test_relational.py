@@ -130,3 +130,14 @@ def test_analytic_matches_plain_windows_with_nulls_and_ties(spark):
                   | (F.col("moving_avg").isNull() != F.col("d").isNull())
                   | (F.abs(F.col("range_sum") - F.col("e")) > 1e-6))
     assert bad.count() == 0 and got.count() == 1200
+
+
+def test_analytic_null_keys_meet_their_own_group(spark):
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [(None, t(h), float(h)) for h in range(1, 6)] + [(1, t(h), float(h)) for h in range(1, 6)]
+    df = spark.createDataFrame(rows, "k long, ts timestamp_ntz, v double")
+    got = {(r.k, r.ts.hour): r for r in rel.analytic(df, ["k"], "ts", "v").collect()}
+    for h in range(1, 6):
+        a, b = got[(None, h)], got[(1, h)]
+        assert tuple(a)[1:] == tuple(b)[1:]
+    assert [got[(None, h)].moving_avg for h in (3, 4, 5)] == [2.0, 3.0, 4.0]

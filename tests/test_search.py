@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tidepool.operators import search as se
@@ -49,7 +50,9 @@ def test_pages_cover_the_whole_result(spark):
 
 def test_page_past_the_end_and_defaults():
     assert sqlapi.normalize_page(0, 0) == (1, 10)
-    assert sqlapi.normalize_page(3, 500, max_size=100) == (3, 100)
+    assert sqlapi.normalize_page(3, 100, max_size=100) == (3, 100)
+    with pytest.raises(ValueError):
+        sqlapi.normalize_page(3, 500, max_size=100)
     assert sqlapi.total_pages_value(21, 10) == 3
 
 

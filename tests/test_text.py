@@ -79,6 +79,7 @@ def test_phrase_and_bool(spark):
     df = spark.createDataFrame([("the quick brown fox",), ("quick the brown",), ("quick, brown!",)], "t string")
     assert df.where(tx.match_phrase("t", "quick brown")).count() == 2
     assert df.where(tx.match_bool("t", must=["quick"], must_not=["fox"])).count() == 2
+    assert df.where(tx.match_bool("t", must=["Quick!"], must_not=["FOX"])).count() == 2
     assert df.where(tx.match_bool("t", should=["fox", "nothing"])).count() == 1
 
 

@@ -179,7 +179,9 @@ def match_phrase(col, phrase: str, parser: str = "standard") -> Column:
 
 def match_bool(col, must=(), should=(), must_not=(), parser: str = "standard") -> Column:
     """T20 boolean query on one field: all of ``must``, at least one of ``should`` when
-    there is no ``must``, none of ``must_not``."""
+    there is no ``must``, none of ``must_not``.  Clauses are tokenised like keywords."""
+    tokens_of = lambda clauses: [t for c in clauses for t in keyword_tokens(c, parser)]
+    must, should, must_not = tokens_of(must), tokens_of(should), tokens_of(must_not)
     parts = []
     if must:
         parts.append(match_all(col, list(must), parser))

@@ -94,4 +94,5 @@ def active_alerts(alerts: DataFrame, page: int = 1, size: int = 10, order=None)
     """A3: FIRING or PENDING only, paged over a total order."""
     from tidepool.plans.sqlapi import paginate
     act = alerts.where(F.col("state").isin("FIRING", "PENDING"))
-    return paginate(act, page, size, order or [("active_at", "DESC"), ("rule_id", "ASC"), ("user", "ASC")])
+    labels = [c for c in ("user", "labels") if c in alerts.columns and not alerts.schema[c].dataType.simpleString().startswith("map")]
+    return paginate(act, page, size, order or [("active_at", "DESC"), ("rule_id", "ASC"), *[(c, "ASC") for c in labels]])

@@ -8,6 +8,7 @@ file so parquet min/max statistics skip row groups.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions import text as tx
-from tidepool.operators.search import SearchTable, _hit_id, _tie, row_filter, searchable_fields
+from tidepool.operators.search import SearchTable, _hit_id, _tie, hit_id_column, row_filter, searchable_fields
 from tidepool.session import spread_for_write
+from tidepool.sources.loading import read_layout, write_layout
 
 TOKEN_BUCKETS = 64
 # BM25 parameters (the published defaults).
@@ -38,6 +40,8 @@ def build_inverted_index(tables: list[SearchTable], parser: str = "standard",
     """
     rows_of = []
     for t in tables:
+        if t.id_col is None and hit_id_column(t.df) is None:
+            raise ValueError(f"table {t.name} has no id column: its rows cannot be told apart in an index")
         fields = t.fields or searchable_fields(t.df)
         pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
         rows_of.append(t.df.select(F.lit(t.name).alias("source_table"), _hit_id(t).alias("id"), _tie(t).alias("tie"),
@@ -60,26 +64,49 @@ def build_inverted_index(tables: list[SearchTable], parser: str = "standard",
 
 
 def write_index(postings: DataFrame, lengths: DataFrame, path: str, buckets: int = TOKEN_BUCKETS,
-                spread: int = 4) -> None:
-    """T18 layout: postings partitioned by token bucket and sorted by token; lengths beside."""
+                spread: int = 4, parser: str = "standard") -> None:
+    """T18 layout: postings partitioned by token bucket and sorted by token; lengths beside.
+
+    The bucket count and the parser are stored with the index and read back by every lookup.
+    Rows that share a key (table, id, tie) are refused: their postings would run together."""
+    twice = lengths.groupBy("source_table", "field", "id", "tie").count().where("count > 1").first()
+    if twice is not None:
+        raise ValueError(f"table {twice['source_table']}: id {twice['id']} with tie {twice['tie']} is not unique")
     p = postings.withColumn("bucket", token_bucket(F.col("token"), buckets))
     # writers per bucket, salted by row so the bucket of a very common token ("the") is written
     # by several tasks; each file sorted by token so row-group statistics prune lookups
     spread_for_write(p, ["bucket"], spread, salt_cols=["id", "tie"]).sortWithinPartitions("bucket", "token") \
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    write_layout(p.sparkSession, path, {"buckets": int(buckets), "parser": parser})
+
+
+def _with_layout(df: DataFrame, col: str, layout: dict) -> DataFrame:
+    """The stored layout travels with the frame, as metadata of its bucket column."""
+    return df.withColumn(col, F.col(col).alias(col, metadata={"layout": json.dumps(layout)}))
+
+
+def _layout_of(df: DataFrame, col: str) -> dict:
+    raw = df.schema[col].metadata.get("layout")
+    if raw is None:
+        raise ValueError("the frame does not carry its layout: read it with read_postings / read_doc_store")
+    return json.loads(raw)
 
 
 def read_postings(spark, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/postings")
+    return _with_layout(spark.read.parquet(f"{path}/postings"), "bucket", read_layout(spark, path))
 
 
-def lookup(postings: DataFrame, toks: list[str], buckets: int = TOKEN_BUCKETS) -> DataFrame:
+def lookup(postings: DataFrame, toks: list[str], parser: str | None = None) -> DataFrame:
     """Postings of the given tokens.  On a written index the bucket predicate (constant
-    folded to literals) prunes the partitions that cannot hold the tokens."""
+    folded to literals) prunes the partitions that cannot hold the tokens; the bucket count is
+    the stored one, and another parser than the index was built with is refused."""
     pred = F.col("token").isin(toks)
     if "bucket" in postings.columns:
-        pred = pred & F.col("bucket").isin([token_bucket(F.lit(t), buckets) for t in toks])
+        layout = _layout_of(postings, "bucket")
+        if parser is not None and parser != layout["parser"]:
+            raise ValueError(f"the index was built with parser {layout['parser']!r}, not {parser!r}")
+        pred = pred & F.col("bucket").isin([token_bucket(F.lit(t), layout["buckets"]) for t in toks])
     return postings.where(pred)
 
 
@@ -87,7 +114,7 @@ def search_index(postings: DataFrame, keywords: str, recall_priority: bool = Tru
     """Hit keys (source_table, id, tie) by token lookup; equals the scan (T4/T5) by
     construction. All-mode needs every token in one field, so it counts per field first."""
     toks = tx.keyword_tokens(keywords, parser)
-    hits = lookup(postings, toks)
+    hits = lookup(postings, toks, parser)
     if recall_priority:
         return hits.select("source_table", "id", "tie").distinct()
     per_field = hits.groupBy("source_table", "field", "id", "tie").agg(F.count_distinct("token").alias("n"))
@@ -101,7 +128,7 @@ def bm25(postings: DataFrame, lengths: DataFrame, keywords: str, parser: str = "
     score = sum idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)).
     N and avgdl are per (table, field); all inputs are aggregates, no collect."""
     toks = tx.keyword_tokens(keywords, parser)
-    hits = lookup(postings, toks)
+    hits = lookup(postings, toks, parser)
     stats = lengths.groupBy("source_table", "field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
     dfreq = hits.groupBy("source_table", "field", "token").agg(F.count(F.lit(1)).alias("df"))
     j = hits.join(dfreq, ["source_table", "field", "token"]).join(stats, ["source_table", "field"]) \
@@ -120,7 +147,7 @@ def match_phrase_index(postings: DataFrame, phrase: str, parser: str = "standard
     """
     toks = tx.keyword_tokens(phrase, parser, dedup=False)
     uniq = list(dict.fromkeys(toks))
-    hits = lookup(postings, uniq)
+    hits = lookup(postings, uniq, parser)
     g = hits.groupBy("source_table", "field", "id", "tie").agg(
         F.map_from_entries(F.collect_list(F.struct("token", "positions"))).alias("m"))
     g = g.where(F.size("m") == len(uniq))
@@ -259,11 +286,15 @@ def write_doc_store(tables: list[SearchTable], path: str, buckets: int = DOC_BUC
     rows = reduce(lambda a, b: a.unionByName(b), parts).withColumn("id_bucket", id_bucket(F.col("id"), buckets))
     spread_for_write(rows, ["source_table", "id_bucket"], 1, salt_cols=["id"]) \
         .write.mode("overwrite").partitionBy("source_table", "id_bucket").parquet(path)
+    write_layout(rows.sparkSession, path, {"buckets": int(buckets)})
+
+
+def read_doc_store(spark, path: str) -> DataFrame:
+    return _with_layout(spark.read.parquet(path), "id_bucket", read_layout(spark, path))
 
 
 def search_page_from_store(postings: DataFrame, store: DataFrame, keywords: str, page: int = 1, size: int = 10,
-                           recall_priority: bool = True, parser: str = "standard", max_size: int | None = None,
-                           buckets: int = DOC_BUCKETS) -> DataFrame:
+                           recall_priority: bool = True, parser: str = "standard", max_size: int | None = None) -> DataFrame:
     """T16 over the index: the hit keys come from token lookups, the page is cut from the keys
     (score is constant, so the order is (table, id, tie)), and only the page's rows are read
     from the doc store - the join on its partition columns lets dynamic partition pruning
@@ -275,7 +306,7 @@ def search_page_from_store(postings: DataFrame, store: DataFrame, keywords: str,
 
     keys = search_index(postings, keywords, recall_priority, parser).withColumn("score", F.lit(1.0).cast("double"))
     page_keys = sqlapi.paginate(keys, page, size, order_hits(None), max_size) \
-        .withColumn("id_bucket", id_bucket(F.col("id"), buckets))
+        .withColumn("id_bucket", id_bucket(F.col("id"), _layout_of(store, "id_bucket")["buckets"]))
     rows = store.join(page_keys, ["source_table", "id_bucket", "id", "tie"], "inner")
     snippets = F.transform_values("fields", lambda k, v: tx_.snippet(v, keywords))
     return rows.select("source_table", "id", "score", "document",

@@ -123,7 +123,7 @@ def key_bucket(keys: list[str], n: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(int(n))).cast("int")
 
 
-def upsert(path: str, batch: DataFrame, keys: list[str], seq, model: str = "unique", n_buckets: int = 64,
+def upsert(path: str, batch: DataFrame, keys: list[str], seq, model: str = "unique", n_buckets: int | None = None,
            cols: list[str] | None = None, col: str | None = None) -> list[int]:
     """L14-L16 on a stored table without rewriting it whole.
 
@@ -132,11 +132,20 @@ def upsert(path: str, batch: DataFrame, keys: list[str], seq, model: str = "uniq
     (partition pruning), merged with the batch under the key model (``unique``, ``primary``
     with optional partial ``cols``, or ``condition`` on ``col``), materialised in the shared
     folder, and written back with dynamic partition overwrite - every other bucket stays as
-    it is.  Returns the touched buckets."""
+    it is.  The first load stores the bucket count (``n_buckets``, 64 unless given) and the keys
+    beside the table; later loads take them from there and another count or other keys are
+    refused, since rows of one key would come to lie in two buckets.  Returns the touched
+    buckets."""
     from tidepool.session import cut_lineage
-    from tidepool.sources.loading import _exists
+    from tidepool.sources.loading import _exists, read_layout, write_layout
 
     spark = batch.sparkSession
+    if _exists(spark, path):
+        layout = read_layout(spark, path)
+        if layout["keys"] != list(keys) or n_buckets not in (None, layout["buckets"]):
+            raise ValueError(f"the table has keys {layout['keys']} in {layout['buckets']} buckets, not {list(keys)} in {n_buckets}")
+        n_buckets = layout["buckets"]
+    n_buckets = n_buckets or 64
     b = batch.withColumn(KEY_BUCKET, key_bucket(keys, n_buckets))
     touched = sorted(r[0] for r in b.select(KEY_BUCKET).distinct().collect())
     empty = not _exists(spark, path)
@@ -152,10 +161,7 @@ def upsert(path: str, batch: DataFrame, keys: list[str], seq, model: str = "uniq
     else:
         raise ValueError("model must be unique, primary or condition")
     merged = cut_lineage(merged.withColumn(KEY_BUCKET, key_bucket(keys, n_buckets)), "upsert")
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        merged.write.mode("overwrite").partitionBy(KEY_BUCKET).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(KEY_BUCKET).parquet(path)
+    if empty:
+        write_layout(spark, path, {"keys": list(keys), "buckets": int(n_buckets)})
     return touched

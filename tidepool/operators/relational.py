@@ -5,6 +5,8 @@ range joins) and the guards that matter at scale (checked broadcast, skew-split
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,6 +160,13 @@ def top_k_per_group(df: DataFrame, by: list[str], k: int, order: list[Column]) -
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= int(k)).drop("_rn")
 
 
+def _left_null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join where NULL keys meet NULL keys."""
+    named = b.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    cond = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return a.join(named, cond, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def analytic(df: DataFrame, by: list[str], ts: str, value: str, tiebreak: list[str] | None = None, moving_rows: int = 3,
              range_seconds: int = 3600, slices: int | None = None) -> DataFrame:
     """Lag / lead / running sum / moving average over rows / sum over a time range,
@@ -191,7 +200,7 @@ def analytic(df: DataFrame, by: list[str], ts: str, value: str, tiebreak: list[s
         F.max(F.when(F.col("_o._role") == 0, F.col("_o._v"))).alias("_prev"),
         F.max(F.when(F.col("_o._role") == 1, F.col("_o._v"))).alias("_next"),
         F.max(F.col("_o._sk")).alias("_s_k"), F.max(F.col("_o._nk")).alias("_n_k"))
-    j = r.join(nb, [*by, "_pos"], "left")
+    j = _left_null_safe(r, nb, [*by, "_pos"])
     prev_v, next_v = F.col("_prev").alias("prev_value"), F.col("_next").alias("next_value")
     mov_s = F.col("_s") - F.coalesce(F.col("_s_k"), F.lit(0).cast(dec))
     mov_n = F.col("_n") - F.coalesce(F.col("_n_k"), F.lit(0))
@@ -208,9 +217,9 @@ def analytic(df: DataFrame, by: list[str], ts: str, value: str, tiebreak: list[s
     asof = running(qs.unionByName(marks), by, [F.col("_pt"), F.col("_side"), F.col("_pos")],
                    lasts={"_s_before": F.col("_sv")}, slices=slices).where(F.col("_side") == 0) \
         .select(*by, F.col("_t").alias(ts), "_s_before")
-    rng = peer.join(asof, [*by, ts], "left").select(
+    rng = _left_null_safe(peer, asof, [*by, ts]).select(
         *by, ts, (F.col("_s_peer") - F.coalesce(F.col("_s_before"), F.lit(0).cast(dec))).alias("_range"))
-    j = j.join(rng, [*by, ts], "left")
+    j = _left_null_safe(j, rng, [*by, ts])
     return j.select(*df.columns, prev_v, next_v, F.col("_s").cast("double").alias("running_sum"),
                     F.when(mov_n > 0, (mov_s / mov_n).cast("double")).alias("moving_avg"),
                     F.col("_range").cast("double").alias("range_sum"))

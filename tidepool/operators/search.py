@@ -136,6 +136,8 @@ def search(tables: list[SearchTable], keywords: str, *, recall_priority: bool =
     """
     if not tables:
         raise ValueError("at least one table must be given")
+    if on_error == "skip" and report is None:
+        raise ValueError("on_error='skip' needs a report, or tables would go missing unseen")
     toks = tx.keyword_tokens(keywords, parser)
     mode = "any" if recall_priority else "all"
     parts = []

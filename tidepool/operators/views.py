@@ -8,6 +8,7 @@ without rereading the base; averages are finalised as sum / count.
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from dataclasses import dataclass
@@ -102,17 +103,30 @@ def refresh_full(spark: SparkSession, root: str, name: str, query: DataFrame) ->
     """V1: write the defining query as a new version, then switch the pointer."""
     if not name or query is None:
         raise ValueError("a view needs a name and a query")
+    done = progress(spark, root, name)
     st = loading.stage(query, os.path.join(root, name), txn=uuid.uuid4().hex)
+    loading._write_text(spark, os.path.join(st.path, "_progress"), json.dumps(done))
     loading.publish(spark, st)
     return st.txn
 
 
+def progress(spark: SparkSession, root: str, name: str) -> dict[str, int]:
+    """Last batch of each stream query that is folded into the current version."""
+    path = os.path.join(root, name)
+    cur = loading.current_txn(spark, path)
+    raw = cur and loading._read_text(spark, os.path.join(path, "_versions", cur, "_progress"))
+    return json.loads(raw) if raw else {}
+
+
 def refresh_incremental(spark: SparkSession, root: str, name: str, new_rows: DataFrame, keys: list[str],
-                        measures: list[Measure], txn: str | None = None) -> str:
+                        measures: list[Measure], txn: str | None = None, done: dict[str, int] | None = None) -> str:
     """V2: fold the states of the new rows into the current stored states (never rereads the
     base); the result is published as a new version, so the read and the write never share
-    a path."""
+    a path.  It is published only if no other refresh was published since it was begun.  ``done``
+    is the stream progress the new version records (the current one's unless given)."""
     path = os.path.join(root, name)
+    parent = loading.current_txn(spark, path)
+    done = progress(spark, root, name) if done is None else done
     try:
         cur = loading.read_current(spark, path)
     except FileNotFoundError:
@@ -120,6 +134,10 @@ def refresh_incremental(spark: SparkSession, root: str, name: str, new_rows: Dat
     delta = states(new_rows, keys, measures)
     merged = delta if cur is None else merge_states(cur, delta, keys, measures)
     st = loading.stage(merged, path, txn=txn or uuid.uuid4().hex)
+    loading._write_text(spark, os.path.join(st.path, "_progress"), json.dumps(done))
+    if loading.current_txn(spark, path) != parent:
+        loading.abandon(spark, st)
+        raise RuntimeError(f"view {name} was refreshed meanwhile; run the refresh again")
     loading.publish(spark, st)
     return st.txn
 

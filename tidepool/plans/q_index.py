@@ -343,9 +343,23 @@ def t16_search_page_store(spark, sf):
     post, lengths = ix.build_inverted_index(tabs)
     ix.write_index(post, lengths, f"{root}/index")
     ix.write_doc_store(tabs, f"{root}/docs")
-    page = ix.search_page_from_store(ix.read_postings(spark, f"{root}/index"), spark.read.parquet(f"{root}/docs"),
+    page = ix.search_page_from_store(ix.read_postings(spark, f"{root}/index"), ix.read_doc_store(spark, f"{root}/docs"),
                                      KEYWORD, page=2, size=20)
     return page.select("source_table", "id", "score", F.col("hit_fields")["text"].alias("snippet"), "tie")
 
 
 QUERIES["t16_search_page_store"] = (t16_search_page_store, T16_SQL)
+
+
+def t19_written_index(spark, sf):
+    """T19 on the written form: an index stored with another bucket count than the default, read back."""
+    import uuid
+
+    from tidepool.session import scratch_path
+    root = scratch_path(spark, f"t19written-{uuid.uuid4().hex}")
+    post, lengths = ix.build_inverted_index(fx.search_tables(spark, sf))
+    ix.write_index(post, lengths, root, buckets=16)
+    return ix.search_index(ix.read_postings(spark, root), KEYWORD)
+
+
+QUERIES["t19_written_index"] = (t19_written_index, T19_ANY_SQL)

@@ -322,3 +322,20 @@ QUERIES.update({
     "l18_staged_publish": (l18_staged_publish, L18_SQL),
     "r1_ingest_stream": (r1_ingest_stream, L5_SQL),
 })
+
+
+def l14_upsert_stored(spark, sf):
+    """L14 on the stored form: target and batch are loaded into a table of 16 key buckets, the batch
+    without naming the count."""
+    import uuid
+
+    from tidepool.session import scratch_path
+    t, b = _target_batch(spark, sf)
+    path = scratch_path(spark, f"l14stored-{uuid.uuid4().hex}")
+    keys, seq = ["user_id", "event_type"], ["ts", "event_id"]
+    keyed.upsert(path, t, keys, seq, n_buckets=16)
+    keyed.upsert(path, b, keys, seq)
+    return spark.read.parquet(path).drop(keyed.KEY_BUCKET).select("user_id", "event_type", "event_id", "ts", "value", "props")
+
+
+QUERIES["l14_upsert_stored"] = (l14_upsert_stored, L14_SQL)

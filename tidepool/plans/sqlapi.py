@@ -34,11 +34,11 @@ def run_sql(spark: SparkSession, sql: str, params: dict | None = None, database:
 
 
 def normalize_page(page: int | None, size: int | None, max_size: int | None = None) -> tuple[int, int]:
-    """Page counts from 1 (below -> 1); size below 1 -> 10; optional clamp (Q12)."""
+    """Page counts from 1 (below -> 1); size below 1 -> 10; above ``max_size`` is refused."""
     page = 1 if page is None or page < 1 else int(page)
     size = DEFAULT_PAGE_SIZE if size is None or size < 1 else int(size)
-    if max_size is not None:
-        size = min(size, max_size)
+    if max_size is not None and size > max_size:
+        raise ValueError(f"page size {size} is above the limit {max_size}")
     return page, size
 
 

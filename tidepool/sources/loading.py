@@ -194,12 +194,26 @@ def _label_path(root: str, label: str) -> str:
     return os.path.join(root, "_labels", f"{label}.json")
 
 
+def write_layout(spark: SparkSession, path: str, layout: dict) -> None:
+    """What a reader must know of a stored table (bucket count, keys, parser), beside its files."""
+    _write_text(spark, os.path.join(path, "_layout"), json.dumps(layout))
+
+
+def read_layout(spark: SparkSession, path: str) -> dict:
+    raw = _read_text(spark, os.path.join(path, "_layout"))
+    if raw is None:
+        raise ValueError(f"no layout is stored at {path}: it cannot be read safely")
+    return json.loads(raw)
+
+
 def _claim(spark: SparkSession, path: str, text: str) -> bool:
     """Create ``path`` only if it does not exist (atomic on the cluster file system)."""
     fs, p, _ = _fs(spark, path)
     try:
         out = fs.create(p, False)
-    except Exception:  # noqa: BLE001 - the file exists: someone else claimed it
+    except Exception:  # noqa: BLE001 - only a file that exists means someone else claimed it
+        if not fs.exists(p):
+            raise
         return False
     out.write(bytearray(text.encode("utf-8")))
     out.close()

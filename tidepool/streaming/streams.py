@@ -1,12 +1,13 @@
 """Structured Streaming forms of the batch jobs.
 
 Sources are file streams here (no broker jar is installed); a Kafka-style source plugs in by
-``format``/``options``.  Sinks write through ``foreachBatch`` to paths keyed by the batch id,
-so a retried micro-batch overwrites its own output instead of duplicating it.
+``format``/``options``.  Sinks write through ``foreachBatch`` to paths keyed by the query's id and the batch id, so a
+retried micro-batch overwrites its own output and no other query's.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import pandas as pd
@@ -36,23 +37,31 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt:
 
 # ---------------------------------------------------------------- R1 ingest
 
-def ingest_batch(batch: DataFrame, batch_id: int, sink: str, dead_letter: str) -> None:
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query that owns a checkpoint; a new checkpoint is a new query."""
+    return json.loads(loading._read_text(spark, os.path.join(checkpoint, "metadata")))["id"]
+
+
+def ingest_batch(batch: DataFrame, batch_id: int, sink: str, dead_letter: str, query: str = "direct") -> None:
     """R1 micro-batch: validate (L1), valid rows routed by type (L5), rejects with reason.
 
-    Output paths carry the batch id, so a replayed batch replaces its own files."""
+    Output paths carry the query's id and the batch id: a replayed batch replaces its own files,
+    and a second query on the same sink adds to it."""
+    own = os.path.join(f"query_id={query}", f"batch_id={batch_id}")
     v = ingest.validate_events(batch).persist()
     try:
         good = v.where(F.col("reject_reason").isNull()).drop("reject_reason")
-        good.write.mode("overwrite").partitionBy("data_type").parquet(os.path.join(sink, f"batch_id={batch_id}"))
+        good.write.mode("overwrite").partitionBy("data_type").parquet(os.path.join(sink, own))
         bad = v.where(F.col("reject_reason").isNotNull())
-        bad.write.mode("overwrite").parquet(os.path.join(dead_letter, f"batch_id={batch_id}"))
+        bad.write.mode("overwrite").parquet(os.path.join(dead_letter, own))
     finally:
         v.unpersist()
 
 
 def ingest_stream(src: DataFrame, sink: str, dead_letter: str, checkpoint: str, trigger_once: bool = True):
     """Queue -> validate -> route -> table, continuously (checkpointed, replay-safe)."""
-    w = src.writeStream.foreachBatch(lambda df, bid: ingest_batch(df, bid, sink, dead_letter)) \
+    w = src.writeStream.foreachBatch(lambda df, bid: ingest_batch(
+        df, bid, sink, dead_letter, query_id(df.sparkSession, checkpoint))) \
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w.trigger(processingTime="10 seconds")
     return w.start()
@@ -78,11 +87,10 @@ def split_late(batch: DataFrame, batch_id: int, ts: str, delay_seconds: int, sta
     delay) go to the late side table, counted and kept, never dropped.  The high-water mark
     is a one-row table per batch id (the latest committed one is used)."""
     spark = batch.sparkSession
-    try:
+    hw = None
+    if loading._exists(spark, state_path):
         marks = spark.read.parquet(state_path).where(F.col("batch_id") < batch_id)
         hw = marks.agg(F.max("high_water")).first()[0]
-    except Exception:  # noqa: BLE001 - first batch: no state yet
-        hw = None
     b = batch.persist()
     try:
         limit = None if hw is None else hw - pd.Timedelta(seconds=delay_seconds)
@@ -157,24 +165,24 @@ def publish(msgs: DataFrame, path: str, checkpoint: str, fmt: str = "json", opti
 # ---------------------------------------------------------------- V4
 
 def view_refresh_batch(batch: DataFrame, batch_id: int, root: str, name: str, keys: list[str],
-                       measures: list[vw.Measure]) -> None:
-    """V4: fold one micro-batch into the incremental view; a replayed batch id is skipped.
-
-    The batch id is part of the published version's name (``b<id>-<attempt>``), and the
-    publish is the single commit point: a replay after a crash anywhere before the publish
-    folds the batch again into the previous version; a replay after it sees its own id
-    published and does nothing.  Abandoned attempts are never read."""
-    import uuid
+                       measures: list[vw.Measure], query: str = "direct") -> None:
+    """V4: fold one micro-batch into the incremental view; a query's replayed batch is skipped.
+
+    Every version stores the last batch of each query that is folded into it, and the publish is
+    the single commit point: a replay after a crash anywhere before the publish folds the batch
+    again into the previous version; a replay after it finds its batch recorded and does nothing.
+    A new checkpoint is a new query, whose batches count from 0 beside the others'."""
     spark = batch.sparkSession
-    cur = loading.current_txn(spark, os.path.join(root, name))
-    if cur is not None and cur.startswith("b") and int(cur[1:13]) >= batch_id:
+    done = vw.progress(spark, root, name)
+    if done.get(query, -1) >= batch_id:
         return
-    vw.refresh_incremental(spark, root, name, batch, keys, measures, txn=f"b{batch_id:012d}-{uuid.uuid4().hex[:8]}")
+    vw.refresh_incremental(spark, root, name, batch, keys, measures, done={**done, query: batch_id})
 
 
 def view_refresh_stream(src: DataFrame, root: str, name: str, keys: list[str], measures: list[vw.Measure],
                         checkpoint: str):
-    return src.writeStream.foreachBatch(lambda df, bid: view_refresh_batch(df, bid, root, name, keys, measures)) \
+    return src.writeStream.foreachBatch(lambda df, bid: view_refresh_batch(
+        df, bid, root, name, keys, measures, query_id(df.sparkSession, checkpoint))) \
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
