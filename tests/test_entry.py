@@ -10,13 +10,15 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry  # noqa: E402
+from tidepool.plans.registry import all_queries  # noqa: E402
 from tidepool.session import TABLES  # noqa: E402
 from tools.oracle_check import digest  # noqa: E402
 from tools.type_check import SPARK_TO_DUCK  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+# the library's own queries; those of the llm subpackage have their tests beside it
+QUERIES = {k: v for k, v in entry.queries().items() if k in all_queries()}
+SQL = {k: v for k, v in entry.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
