@@ -15,7 +15,7 @@ from tidepool.llm.common import own_columns, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: least share of a text that its main language must have
-MIN_SHARE = 0.5
+MIN_SHARE = 0.4
 
 
 def _with_decision(docs: DataFrame, decided: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def _with_decision(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter or without one language that has half of the text; ``lang``
+    """Drop documents without a letter or without a main language (one of ``MIN_SHARE`` of the text); ``lang``
     becomes the language found."""
     found = langid.identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE))
     return _with_decision(docs, found.select("doc_id", "lang_pred")).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
