@@ -42,6 +42,19 @@ def tune(spark: SparkSession) -> None:
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, wherever they run, once per context: operators
+    whose functions run there are imported by name."""
+    import shutil
+    sc = spark.sparkContext
+    if getattr(sc, "_tidepool_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = os.path.join(tempfile.mkdtemp(prefix="tidepool-package-"), "tidepool")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, "tidepool"))
+    sc._tidepool_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``; a private one only when unset (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
