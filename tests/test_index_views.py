@@ -131,6 +131,8 @@ def test_written_index_answers_by_its_own_layout(spark, tmp, buckets):
     post, lengths = ix.build_inverted_index(tabs)
     ix.write_index(post, lengths, f"{tmp}/index", buckets=buckets)
     ix.write_doc_store(tabs, f"{tmp}/docs", buckets=buckets)
+    ix.write_index(post, lengths, f"{tmp}/index", buckets=buckets)  # written again, replaced whole
+    ix.write_doc_store(tabs, f"{tmp}/docs", buckets=buckets)
     written = ix.read_postings(spark, f"{tmp}/index")
     for word, n in (("alpha", 40), ("beta", 20), ("gamma", 20), ("delta3", 10), ("nothing", 0)):
         assert ix.search_index(written, word).count() == n

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tidepool.functions import text as tx
 from tidepool.operators.search import SearchTable, _hit_id, _tie, hit_id_column, row_filter, searchable_fields
 from tidepool.session import spread_for_write
-from tidepool.sources.loading import read_layout, write_layout
+from tidepool.sources.loading import drop_layout, read_layout, write_layout
 
 TOKEN_BUCKETS = 64
 # BM25 parameters (the published defaults).
@@ -72,6 +72,7 @@ def write_index(postings: DataFrame, lengths: DataFrame, path: str, buckets: int
     twice = lengths.groupBy("source_table", "field", "id", "tie").count().where("count > 1").first()
     if twice is not None:
         raise ValueError(f"table {twice['source_table']}: id {twice['id']} with tie {twice['tie']} is not unique")
+    drop_layout(lengths.sparkSession, path)
     p = postings.withColumn("bucket", token_bucket(F.col("token"), buckets))
     # writers per bucket, salted by row so the bucket of a very common token ("the") is written
     # by several tasks; each file sorted by token so row-group statistics prune lookups
@@ -284,6 +285,7 @@ def write_doc_store(tables: list[SearchTable], path: str, buckets: int = DOC_BUC
             .alias("fields"), doc.alias("document"),
             (F.col(t.ts_col).cast("timestamp_ntz") if t.ts_col else F.lit(None).cast("timestamp_ntz")).alias("ts")))
     rows = reduce(lambda a, b: a.unionByName(b), parts).withColumn("id_bucket", id_bucket(F.col("id"), buckets))
+    drop_layout(rows.sparkSession, path)
     spread_for_write(rows, ["source_table", "id_bucket"], 1, salt_cols=["id"]) \
         .write.mode("overwrite").partitionBy("source_table", "id_bucket").parquet(path)
     write_layout(rows.sparkSession, path, {"buckets": int(buckets)})

@@ -199,6 +199,12 @@ def write_layout(spark: SparkSession, path: str, layout: dict) -> None:
     _write_text(spark, os.path.join(path, "_layout"), json.dumps(layout))
 
 
+def drop_layout(spark: SparkSession, path: str) -> None:
+    """Before a stored table is replaced: without a layout nothing reads a half-written one."""
+    fs, p, _ = _fs(spark, os.path.join(path, "_layout"))
+    fs.delete(p, False)
+
+
 def read_layout(spark: SparkSession, path: str) -> dict:
     raw = _read_text(spark, os.path.join(path, "_layout"))
     if raw is None:
