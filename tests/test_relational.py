@@ -1,11 +1,13 @@
 import datetime as dt
+import math
 import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidepool.operators import metrics as me
 from tidepool.operators import relational as rel
-from tidepool.operators.running import running, slice_ids
+from tidepool.operators.running import running, with_slices
 
 
 def _ts(m):
@@ -78,7 +80,7 @@ def test_hot_key_is_split_into_slices(spark):
     rows = [(0, _ts(rnd.randint(0, 59))) if i % 2 else (rnd.randint(1, 50), _ts(rnd.randint(0, 60 * 24 * 30)))
             for i in range(4000)]
     df = spark.createDataFrame(rows, "k long, ts timestamp_ntz")
-    s = slice_ids(df, ["ts"], 16)
+    s = with_slices(df, ["ts"], 16)
     per = s.where("k = 0").groupBy("_b").count().collect()
     assert len(per) >= 6 and max(r["count"] for r in per) < 2000 / 3
 
@@ -101,7 +103,7 @@ def test_string_order_is_sliced_and_ranks_exactly(spark):
     words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "éclair", ""]
     rows = [(0 if i % 2 else rnd.randint(1, 4), rnd.choice(words) + str(rnd.randint(0, 30)), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, s string, id long")
-    per = slice_ids(df, ["s"], 16).where("k = 0").groupBy("_b").count().collect()
+    per = with_slices(df, ["s"], 16).where("k = 0").groupBy("_b").count().collect()
     assert len(per) >= 6
     got = rel.rank_within(df, ["k"], [("s", "ASC")], ["id"], n_tiles=3, slices=16)
     w = Window.partitionBy("k").orderBy(F.col("s"))
@@ -121,14 +123,14 @@ def test_analytic_matches_plain_windows_with_nulls_and_ties(spark):
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     wr = Window.partitionBy("k").orderBy(micros).rangeBetween(-1800 * 1_000_000, 0)
     want = df.select("id", F.lag("v").over(w).alias("a"), F.lead("v").over(w).alias("b"),
-                     F.sum(F.coalesce("v", F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"),
-                     F.avg("v").over(w.rowsBetween(-2, 0)).alias("d"), F.sum(F.coalesce("v", F.lit(0.0))).over(wr).alias("e"))
+                     F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"),
+                     F.avg("v").over(w.rowsBetween(-2, 0)).alias("d"), F.sum("v").over(wr).alias("e"))
     j = got.join(want, "id")
     bad = j.where(~F.col("prev_value").eqNullSafe(F.col("a")) | ~F.col("next_value").eqNullSafe(F.col("b"))
-                  | (F.abs(F.col("running_sum") - F.col("c")) > 1e-6)
+                  | (F.abs(F.col("running_sum") - F.col("c")) > 1e-6) | (F.col("running_sum").isNull() != F.col("c").isNull())
                   | ~(F.abs(F.col("moving_avg") - F.col("d")) <= 1e-6).eqNullSafe(F.lit(True)) & F.col("d").isNotNull()
                   | (F.col("moving_avg").isNull() != F.col("d").isNull())
-                  | (F.abs(F.col("range_sum") - F.col("e")) > 1e-6))
+                  | (F.abs(F.col("range_sum") - F.col("e")) > 1e-6) | (F.col("range_sum").isNull() != F.col("e").isNull()))
     assert bad.count() == 0 and got.count() == 1200
 
 
@@ -141,3 +143,40 @@ def test_analytic_null_keys_meet_their_own_group(spark):
         a, b = got[(None, h)], got[(1, h)]
         assert tuple(a)[1:] == tuple(b)[1:]
     assert [got[(None, h)].moving_avg for h in (3, 4, 5)] == [2.0, 3.0, 4.0]
+
+
+def test_analytic_keeps_small_values_and_nan_counts_in_its_frames_only(spark):
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    df = spark.createDataFrame([(1, t(h), 1e-11 * h) for h in range(1, 6)], "k long, ts timestamp_ntz, v double")
+    got = {r.ts.hour: r for r in rel.analytic(df, ["k"], "ts", "v", moving_rows=2).collect()}
+    for h in range(1, 6):
+        assert math.isclose(got[h].running_sum, 1e-11 * h * (h + 1) / 2, rel_tol=1e-12)
+        assert math.isclose(got[h].moving_avg, 1e-11 * (h if h == 1 else h - 0.5), rel_tol=1e-12)
+    vals = {1: 1.0, 2: float("nan"), 3: 2.0, 4: float("inf"), 5: 3.0, 6: 4.0, 7: None}
+    df = spark.createDataFrame([(1, t(h), v) for h, v in vals.items()], "k long, ts timestamp_ntz, v double")
+    got = {r.ts.hour: r for r in rel.analytic(df, ["k"], "ts", "v", moving_rows=2, range_seconds=0).collect()}
+    assert got[1].running_sum == 1.0 and all(math.isnan(got[h].running_sum) for h in range(2, 8))
+    assert math.isnan(got[3].moving_avg) and got[4].moving_avg == float("inf") and got[6].moving_avg == 3.5
+    assert got[7].moving_avg == 4.0 and got[7].range_sum is None and got[5].range_sum == 3.0
+
+
+def test_slices_order_nan_and_nulls_and_part_values_with_one_prefix(spark):
+    rows = [(i, None if i % 50 == 0 else float("nan") if i % 7 == 0 else (i * 37 % 1000) / 10) for i in range(1, 1000)]
+    df = spark.createDataFrame(rows, "id long, v double").withColumn("k", F.lit(1))
+    for way in ("ASC", "DESC"):
+        got = rel.rank_within(df, ["k"], [("v", way)], ["id"], slices=8)
+        v = F.col("v").asc_nulls_first() if way == "ASC" else F.col("v").desc_nulls_last()
+        want = df.select("id", F.row_number().over(Window.partitionBy("k").orderBy(v, "id")).alias("a"),
+                         F.dense_rank().over(Window.partitionBy("k").orderBy(v)).alias("b"))
+        assert got.join(want, "id").where("row_number = a AND dense_rank = b").count() == 999
+    urls = spark.range(10_000).select(F.concat(F.lit("https://www.example.com/a/"), F.md5(F.col("id").cast("string"))).alias("u"))
+    sizes = [r["count"] for r in with_slices(urls, ["u"], 8).groupBy("_b").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 3000
+
+
+def test_gauge_takes_nan_until_the_next_set_and_keeps_small_steps(spark):
+    t = lambda h: dt.datetime(2024, 1, 1, h)
+    ops = [("set", 1.0), ("add", 1e-12), ("sub", float("inf")), ("set", 5.0), ("inc", None), ("add", float("nan")), ("set", 2.0), ("dec", None)]
+    df = spark.createDataFrame([(1, t(i), o, a) for i, (o, a) in enumerate(ops)], "k long, ts timestamp_ntz, op string, v double")
+    got = [r.gauge_value for r in me.gauge(df, ["k"], "ts", "op", "v").orderBy("ts").collect()]
+    assert got[:5] == [1.0, 1.000000000001, float("-inf"), 5.0, 6.0] and math.isnan(got[5]) and got[6:] == [2.0, 1.0]

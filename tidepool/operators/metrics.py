@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.operators.running import running
+from tidepool.operators.running import exact_parts, running, whole
 from tidepool.session import cut_lineage
 
 # Default latency bucket bounds in seconds (the usual client-library default).
@@ -36,24 +36,30 @@ def gauge(df: DataFrame, keys: list[str], ts: str, op: str, amount: str, tiebrea
     """M2: value over time of a gauge driven by set / inc / dec / add / sub operations.
 
     value(row) = amount of the latest ``set`` + the sum of the deltas since it (0 before
-    any set).  Both parts are skew-safe running windows; the arithmetic is DECIMAL so the
-    difference of running sums stays exact on long series.
+    any set).  Both parts are skew-safe running windows over ``exact_parts``, so the difference
+    of running sums stays exact on long series and a NaN or infinity counts until the next ``set``.
     """
     o = F.lower(F.col(op))
-    a = F.col(amount).cast("decimal(38,9)")
-    one = F.lit(1).cast("decimal(38,9)")
-    delta = (F.when(o == "inc", one).when(o == "dec", -one).when(o == "add", a)
-             .when(o == "sub", -a).otherwise(one - one))
-    is_set = o == "set"
+    amounts = exact_parts(df, F.col(amount))
+    r, sums = df, {}
+    for name, a in amounts.items():
+        one = F.lit(1 if name == "s" else 0).cast(df.select(a.alias("_a")).schema["_a"].dataType)
+        # an infinity that is taken off is one of the other sign
+        off = {"s": -a, "x": a, "p": amounts.get("q"), "q": amounts.get("p")}[name]
+        r = r.withColumn(f"_d_{name}", F.when(o == "inc", one).when(o == "dec", -one).when(o == "add", a)
+                         .when(o == "sub", off).otherwise(one - one)).withColumn(f"_a_{name}", a)
+        sums[f"_run_{name}"] = F.col(f"_d_{name}")
     order = [F.col(ts), *[F.col(c) for c in (tiebreak or [])]]
-    r = running(df.withColumn("_d", delta), keys, order, sums={"_run": F.col("_d")})
+    r = running(r, keys, order, sums=sums)
     # at a set row the base is amount - run(at the set); carried forward as "last non-null"
     # the second pass reads the first one three times (slice bounds, summary, window):
     # materialise it once in the shared folder instead of recomputing it
-    r = cut_lineage(r.withColumn("_base", F.when(is_set, a - F.col("_run"))), "gauge")
+    base = F.struct(*[(F.col(f"_a_{n}") - F.col(f"_run_{n}")).alias(n) for n in amounts])
+    r = cut_lineage(r.withColumn("_base", F.when(o == "set", base)), "gauge")
     r = running(r, keys, order, lasts={"_last_base": F.col("_base")})
-    value = (F.coalesce(F.col("_last_base"), one - one) + F.col("_run")).cast("double")
-    return r.withColumn("gauge_value", value).drop("_d", "_run", "_base", "_last_base")
+    value = whole({n: F.coalesce(F.col(f"_last_base.{n}"), F.col(f"_run_{n}") - F.col(f"_run_{n}")) + F.col(f"_run_{n}")
+                   for n in amounts})
+    return r.withColumn("gauge_value", value).drop("_base", "_last_base", *[f"_{k}_{n}" for n in amounts for k in ("d", "a", "run")])
 
 
 def histogram(df: DataFrame, col: str, bounds=DEFAULT_BOUNDS, labels: list[str] | None = None) -> DataFrame:

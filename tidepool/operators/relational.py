@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.operators.running import ranks, running
+from tidepool.operators.running import exact_parts, ranks, running, whole
 from tidepool.session import cut_lineage
 
 # A side is broadcast only when its estimated size is below this bound.
@@ -172,57 +172,64 @@ def analytic(df: DataFrame, by: list[str], ts: str, value: str, tiebreak: list[s
     """Lag / lead / running sum / moving average over rows / sum over a time range,
     per key in (ts, tie-break) order, without a per-key task.
 
-    Running sums are exact (DECIMAL) so that frame sums taken as differences of running sums
-    stay exact.  The running pass is materialised once; every row then offers its value to
-    the rows one before / after it and its running sum to the row k after it, one shuffle
-    on (key, row number) - balanced by both columns - gives lag, lead and the moving frame;
-    the range frame [ts - range, ts] (peers included) is the running sum at the
+    Running sums are taken over ``exact_parts`` (DECIMAL and counters of NaN and infinities), so
+    frame sums taken as differences of running sums stay exact and a NaN counts in its frames
+    only; a frame without a value has no sum.  The running pass is materialised once; every row
+    then offers its value to the rows one before / after it and its running sums to the row k
+    after it, one shuffle on (key, row number) - balanced by both columns - gives lag, lead and
+    the moving frame; the range frame [ts - range, ts] (peers included) is the running sum at the
     last peer minus the running sum before ``ts - range`` (an as-of lookup, also skew-safe).
     """
     order = [ts, *(tiebreak or [])]
-    dec = "decimal(38,9)"
-    v = F.col(value).cast(dec)
-    r = running(df, by, order, sums={"_pos": F.lit(1).cast("bigint"), "_s": F.coalesce(v, F.lit(0).cast(dec)),
-                                     "_n": F.when(v.isNotNull(), 1).otherwise(0).cast("bigint")}, slices=slices)
+    v = F.col(value)
+    parts = {**exact_parts(df, v), "n": v.isNotNull().cast("bigint")}
+    r = running(df, by, order, sums={"_pos": F.lit(1).cast("bigint"), **{f"_{n}": c for n, c in parts.items()}}, slices=slices)
     # the running pass feeds several lookups: materialise it once in the shared folder
+    r = r.withColumn("_st", F.struct(*[F.col(f"_{n}").alias(n) for n in parts])).drop(*[f"_{n}" for n in parts])
     r = cut_lineage(r, "analytic")
+    stype = r.schema["_st"].dataType
+
+    def frame(upto: str, before: str | None = None) -> tuple[Column, Column]:
+        """(sum as a double, number of values) between two running states."""
+        d = {n: F.col(f"{upto}.{n}") if before is None
+             else F.col(f"{upto}.{n}") - F.coalesce(F.col(f"{before}.{n}"), F.col(f"{upto}.{n}") - F.col(f"{upto}.{n}")) for n in parts}
+        return F.when(d["n"] > 0, whole(d)), d["n"]
+
     k = int(moving_rows)
     # lag, lead and the row k back, in one shuffle: each row offers itself to its neighbours
     vtype = df.schema[value].dataType
     offers = r.select(*by, F.explode(F.array(
         F.struct((F.col("_pos") + 1).alias("_at"), F.lit(0).alias("_role"), F.col(value).alias("_v"),
-                 F.lit(None).cast(dec).alias("_sk"), F.lit(None).cast("bigint").alias("_nk")),
+                 F.lit(None).cast(stype).alias("_sk")),
         F.struct((F.col("_pos") - 1).alias("_at"), F.lit(1).alias("_role"), F.col(value).alias("_v"),
-                 F.lit(None).cast(dec).alias("_sk"), F.lit(None).cast("bigint").alias("_nk")),
+                 F.lit(None).cast(stype).alias("_sk")),
         F.struct((F.col("_pos") + k).alias("_at"), F.lit(2).alias("_role"), F.lit(None).cast(vtype).alias("_v"),
-                 F.col("_s").alias("_sk"), F.col("_n").alias("_nk")))).alias("_o"))
+                 F.col("_st").alias("_sk")))).alias("_o"))
     nb = offers.groupBy(*by, F.col("_o._at").alias("_pos")).agg(
         F.max(F.when(F.col("_o._role") == 0, F.col("_o._v"))).alias("_prev"),
         F.max(F.when(F.col("_o._role") == 1, F.col("_o._v"))).alias("_next"),
-        F.max(F.col("_o._sk")).alias("_s_k"), F.max(F.col("_o._nk")).alias("_n_k"))
+        F.max(F.col("_o._sk")).alias("_st_k"))
     j = _left_null_safe(r, nb, [*by, "_pos"])
     prev_v, next_v = F.col("_prev").alias("prev_value"), F.col("_next").alias("next_value")
-    mov_s = F.col("_s") - F.coalesce(F.col("_s_k"), F.lit(0).cast(dec))
-    mov_n = F.col("_n") - F.coalesce(F.col("_n_k"), F.lit(0))
+    mov_s, mov_n = frame("_st", "_st_k")
     # range frame: running sum at the last peer of ts ...
-    peer = r.groupBy(*by, ts).agg(F.max_by("_s", "_pos").alias("_s_peer"))
+    peer = r.groupBy(*by, ts).agg(F.max_by("_st", "_pos").alias("_st_peer"))
     # ... minus the running sum of the rows strictly before ts - range (as-of on the merged stream)
     probe = r.select(*by, ts).distinct().select(
         *by, F.col(ts).alias("_t"), (F.col(ts).cast("timestamp") - F.make_dt_interval(secs=F.lit(range_seconds))).cast(
             df.schema[ts].dataType).alias("_pt"))
-    marks = r.select(*by, F.col(ts).alias("_pt"), F.lit(1).alias("_side"), F.col("_pos"), F.col("_s").alias("_sv"),
+    marks = r.select(*by, F.col(ts).alias("_pt"), F.lit(1).alias("_side"), F.col("_pos"), F.col("_st").alias("_sv"),
                      F.lit(None).cast(df.schema[ts].dataType).alias("_t"))
     qs = probe.select(*by, "_pt", F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias("_pos"),
-                      F.lit(None).cast(dec).alias("_sv"), "_t")
+                      F.lit(None).cast(stype).alias("_sv"), "_t")
     asof = running(qs.unionByName(marks), by, [F.col("_pt"), F.col("_side"), F.col("_pos")],
-                   lasts={"_s_before": F.col("_sv")}, slices=slices).where(F.col("_side") == 0) \
-        .select(*by, F.col("_t").alias(ts), "_s_before")
+                   lasts={"_st_before": F.col("_sv")}, slices=slices).where(F.col("_side") == 0) \
+        .select(*by, F.col("_t").alias(ts), "_st_before")
     rng = _left_null_safe(peer, asof, [*by, ts]).select(
-        *by, ts, (F.col("_s_peer") - F.coalesce(F.col("_s_before"), F.lit(0).cast(dec))).alias("_range"))
+        *by, ts, frame("_st_peer", "_st_before")[0].alias("_range"))
     j = _left_null_safe(j, rng, [*by, ts])
-    return j.select(*df.columns, prev_v, next_v, F.col("_s").cast("double").alias("running_sum"),
-                    F.when(mov_n > 0, (mov_s / mov_n).cast("double")).alias("moving_avg"),
-                    F.col("_range").cast("double").alias("range_sum"))
+    return j.select(*df.columns, prev_v, next_v, frame("_st")[0].alias("running_sum"),
+                    (mov_s / mov_n).alias("moving_avg"), F.col("_range").alias("range_sum"))
 
 
 def time_buckets(df: DataFrame, ts: str, unit: str = "hour", by: list[str] | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task; a key holding a
 third of the rows would be a third of the job in one task.  Here every row gets a slice id:
 the bucket of its first order value among quantile bounds of that column over the whole
-input (``approxQuantile``; only the n-1 bounds reach the driver).  Quantiles follow the data,
+input (``approxQuantile`` sketches, for strings a sample of a fixed size per slice).  Quantiles follow the data,
 so a hot key - or a burst of one key in a short time - is cut into many slices.  The window
 runs per (key, slice); each slice adds a carry computed from one summary row per earlier
 slice of the same key, a table bounded by keys x slices, not by rows.  Slice ids are a
@@ -12,6 +12,8 @@ deterministic expression of the row (literal bounds), so every branch of the pla
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,16 +42,35 @@ def _numeric(c: Column, dtype: T.DataType) -> Column | None:
         return F.unix_date(c).cast("double")
     if isinstance(dtype, T.NumericType):
         return c.cast("double")
-    if isinstance(dtype, (T.StringType, T.BinaryType)):
-        # Spark orders strings by their UTF-8 bytes (unsigned); the first 7 bytes read as a
-        # big-endian number are monotone in that order (longer common prefixes tie, which
-        # only puts them in the same slice)
-        raw = F.encode(c, "UTF-8") if isinstance(dtype, T.StringType) else c
-        prefix = F.rpad(F.hex(F.substring(raw, 1, 7)), 14, "0")
-        return F.conv(prefix, 16, 10).cast("double")
     return None
 
 
+#: values a slice that the bounds of a string column are taken from, and their greatest length
+SAMPLE_PER_SLICE, BOUND_LENGTH = 100, 256
+
+
+def _sampled_bounds(probe: DataFrame, slices: int) -> list:
+    """Bounds of a string or binary column ``_o`` from a random sample of about
+    ``SAMPLE_PER_SLICE`` values a slice: whole values are compared with them, so a prefix that
+    all values share costs nothing.  Results do not depend on the bounds, only the balance does."""
+    vals = probe.where(F.col("_o").isNotNull()).select(F.substring("_o", 1, BOUND_LENGTH).alias("_o"))
+    n = vals.count()
+    if not n:
+        return []
+    got = [r["_o"] for r in vals.sample(min(1.0, 1.2 * SAMPLE_PER_SLICE * slices / n), seed=11).collect()]
+    got = sorted(bytes(v) if isinstance(v, bytearray) else v for v in got)
+    return [got[len(got) * i // slices] for i in range(1, slices)] if got else []
+
+
+def _bounds_passed(x: Column, bounds: list, base: int = 0) -> Column:
+    """How many of the sorted bounds are at most ``x``, as a balanced tree of comparisons."""
+    if not bounds:
+        return F.lit(base)
+    mid = len(bounds) // 2
+    return F.when(x < F.lit(bounds[mid]), _bounds_passed(x, bounds[:mid], base)).otherwise(
+        _bounds_passed(x, bounds[mid + 1:], base + mid + 1))
+
+
 def default_slices(df: DataFrame) -> int:
     """Slice count: ``tidepool.window.slices`` when set (size it so a (key, slice) group is
     about a task's worth of data), else the shuffle partition count."""
@@ -58,37 +79,62 @@ def default_slices(df: DataFrame) -> int:
 
 
 def with_slices(df: DataFrame, order, slices: int, name: str = "_b") -> DataFrame:
-    """Add the slice id of every row: the bucket of its first order value among quantile
-    bounds of that column (binary search of the split points by ``Bucketizer``, so many
-    slices stay cheap per row), in the order's direction; NULLs get their own end slice.
-    Non-numeric first columns give one slice (the plain per-key window)."""
-    from pyspark.ml.feature import Bucketizer
-
+    """Add the slice id of every row: the number of quantile bounds of the first order column
+    that its value has passed (a tree of native comparisons, in which NaN is the greatest value as
+    in Spark's order), in the order's direction; NULLs get their own end slice.  A first column
+    that is neither a number, a time nor a string gives one slice (the plain per-key window)."""
     (first, desc), = _norm_order(order)[:1]
     probe = df.select(first.alias("_o"))
     dtype = probe.schema["_o"].dataType
     num = _numeric(F.col("_o"), dtype)
-    if num is None or slices <= 1:
+    text = isinstance(dtype, (T.StringType, T.BinaryType))
+    if slices <= 1 or (num is None and not text):
         return df.withColumn(name, F.lit(0))
-    qs = probe.select(num.alias("_q")).where(F.col("_q").isNotNull()).approxQuantile(
-        "_q", [i / slices for i in range(1, slices)], 1.0 / (10 * slices))
-    x = _numeric(first, dtype)
-    bounds = sorted(set(qs))
-    if desc:
-        x, bounds = -x, sorted({-b for b in bounds})
+    if text:
+        x, bounds = first, _sampled_bounds(probe, slices)
+    else:
+        x = _numeric(first, dtype)
+        bounds = probe.select(num.alias("_q")).where(F.col("_q").isNotNull()).approxQuantile(
+            "_q", [i / slices for i in range(1, slices)], 1.0 / (10 * slices))
+    bounds = sorted(set(bounds))
     if not bounds:
         return df.withColumn(name, F.lit(0))
-    splits = [float("-inf"), *bounds, float("inf")]
-    tmp = df.withColumn("_slice_x", F.coalesce(x, F.lit(0.0)))
-    b = Bucketizer(splits=splits, inputCol="_slice_x", outputCol="_slice_b").transform(tmp)
-    null_slice = F.lit(len(splits)) if desc else F.lit(-1)
-    return b.withColumn(name, F.when(first.isNull(), null_slice).otherwise(F.col("_slice_b").cast("int"))) \
-        .drop("_slice_x", "_slice_b")
+    passed = _bounds_passed(x, bounds)
+    own = F.lit(len(bounds)) - passed if desc else passed
+    return df.withColumn(name, F.when(first.isNull(), F.lit(len(bounds) + 1 if desc else -1)).otherwise(own))
 
 
-def slice_ids(df: DataFrame, order, slices: int) -> DataFrame:
-    """Kept for callers that inspect slices: ``df`` with the slice id in ``_b``."""
-    return with_slices(df, order, slices)
+def exact_parts(df: DataFrame, value: Column) -> dict[str, Column]:
+    """``value`` as parts whose running sums, and differences of them, are exact: ``s`` a DECIMAL
+    (0 for NULL, NaN and infinities) and, for floating types, counters ``x`` of NaN, ``p`` and ``q``
+    of the infinities.  The scale follows the data type, for floating types the total of the
+    absolute values and rows (one aggregate): 30 digits or more below that total are kept.  Totals
+    beyond 1e30 or all below 1e-20 are summed as doubles.  ``whole`` gives the value of summed parts.
+    """
+    dtype = df.select(value.alias("_v")).schema["_v"].dataType
+    if isinstance(dtype, T.IntegralType):
+        return {"s": F.coalesce(value, F.lit(0)).cast("decimal(38,0)")}
+    if isinstance(dtype, T.DecimalType):
+        # spare digits: each sum of two DECIMALs of 38 digits gives one of its scale up
+        return {"s": F.coalesce(value, F.lit(0)).cast(f"decimal(38,{min(dtype.scale + 3, 37)})")}
+    v = value.cast("double")
+    finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+    total, rows = df.agg(F.sum(F.abs(finite)), F.count(F.lit(1))).first()
+    digits = int(math.floor(math.log10((total or 0.0) + rows + 1.0))) + 2 if math.isfinite(total or 0.0) else 99
+    s = F.coalesce(finite, F.lit(0.0))
+    if digits <= 31 and not 0.0 < (total or 0.0) < 1e-20:
+        s = s.cast(f"decimal(38,{35 - digits})").cast(f"decimal(38,{38 - digits})")
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
+    return {"s": s, "x": flag(F.isnan(v)), "p": flag(v == float("inf")), "q": flag(v == float("-inf"))}
+
+
+def whole(parts: dict[str, Column]) -> Column:
+    """The double that summed ``exact_parts`` stand for."""
+    s = parts["s"].cast("double")
+    if "x" not in parts:
+        return s
+    return (F.when((parts["x"] > 0) | ((parts["p"] > 0) & (parts["q"] > 0)), F.lit(float("nan")))
+            .when(parts["p"] > 0, F.lit(float("inf"))).when(parts["q"] > 0, F.lit(float("-inf"))).otherwise(s))
 
 
 def running(df: DataFrame, keys: list[str], order, sums: dict | None = None, lasts: dict | None = None,
@@ -166,8 +212,8 @@ def ranks(df: DataFrame, keys: list[str], order, tiebreak=(), slices: int | None
     w_peer = Window.partitionBy(*part).orderBy(*_sort_cols(norm))
     src = pre.withColumn("_rn", F.row_number().over(w_row)).withColumn("_rk", F.rank().over(w_peer)) \
         .withColumn("_drk", F.dense_rank().over(w_peer))
-    summ = pre.groupBy(*part).agg(F.count(F.lit(1)).alias("_cnt"),
-                                  F.count_distinct(F.struct(*[c for c, _ in norm])).alias("_dcnt"))
+    # the windowed rows already lie by (key, slice): the summary needs no further shuffle
+    summ = src.groupBy(*part).agg(F.count(F.lit(1)).alias("_cnt"), F.max("_drk").alias("_dcnt"))
     w_c = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carry = summ.select(*part, F.sum("_cnt").over(w_c).alias("_c_cnt"), F.sum("_dcnt").over(w_c).alias("_c_dcnt"),
                         F.sum("_cnt").over(Window.partitionBy(*keys)).alias("_total"))
