@@ -39,6 +39,14 @@ def _trunc_unit(step: str) -> str:
     return {"1 hour": "hour", "1 day": "day", "1 minute": "minute"}[step]
 
 
+def valid_rules(rules: list[dict]) -> list[dict]:
+    """The rules that pass A1's checks; none at all is refused."""
+    valid = [r for r in rules if all((r.get(c) or "").strip() for c in ("name", "expression", "severity"))]
+    if not valid:
+        raise ValueError("no valid rule")
+    return valid
+
+
 def evaluate_alerts(series: DataFrame, rules: list[dict], step_seconds: int, labels: list[str] | None = None) -> DataFrame:
     """A2: alert instances per (rule, labels) series.
 
@@ -47,9 +55,7 @@ def evaluate_alerts(series: DataFrame, rules: list[dict], step_seconds: int, lab
     The evaluation time is the last sample of each series: an island still true there is open.
     """
     labels = labels or []
-    valid = [r for r in rules if r.get("name") and r.get("expression") and r.get("severity")]
-    if not valid:
-        raise ValueError("no valid rule")
+    valid = valid_rules(rules)
     spark = series.sparkSession
     # the rule table is configuration (bounded by the number of rules): broadcast it and
     # evaluate every rule in one scan of the series; the condition is a CASE over rule ids
@@ -94,5 +100,6 @@ def active_alerts(alerts: DataFrame, page: int = 1, size: int = 10, order=None)
     """A3: FIRING or PENDING only, paged over a total order."""
     from tidepool.plans.sqlapi import paginate
     act = alerts.where(F.col("state").isin("FIRING", "PENDING"))
-    labels = [c for c in ("user", "labels") if c in alerts.columns and not alerts.schema[c].dataType.simpleString().startswith("map")]
+    fixed = ("rule_id", "rule_name", "severity", "active_at", "resolved_at", "value", "state")
+    labels = [f.name for f in alerts.schema.fields if f.name not in fixed and not f.dataType.simpleString().startswith("map")]
     return paginate(act, page, size, order or [("active_at", "DESC"), ("rule_id", "ASC"), *[(c, "ASC") for c in labels]])

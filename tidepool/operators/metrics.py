@@ -27,9 +27,9 @@ def lag_bounds() -> tuple[float, ...]:
 
 
 def counter(df: DataFrame, labels: list[str], value: str | None = None) -> DataFrame:
-    """M1: count (or sum of ``value``) per label set."""
-    agg = F.count(F.lit(1)).alias("count") if value is None else F.sum(value).alias("sum")
-    return df.groupBy(*labels).agg(agg)
+    """M1: count (and sum of ``value``, if given) per label set."""
+    sums = [] if value is None else [F.sum(value).alias("sum")]
+    return df.groupBy(*labels).agg(F.count(F.lit(1)).alias("count"), *sums)
 
 
 def gauge(df: DataFrame, keys: list[str], ts: str, op: str, amount: str, tiebreak: list[str] | None = None) -> DataFrame:

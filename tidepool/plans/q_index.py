@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as tx
@@ -136,7 +138,13 @@ def _round_view(df):
 
 
 def v1_full_refresh(spark, sf):
-    return _round_view(vw.view_query(load(spark, sf, "lineitem"), VIEW_KEYS, VIEW_MEASURES))
+    """V1: the view's first version over the older rows, then a full refresh over all, read back."""
+    from tidepool.session import scratch_path
+    from tidepool.sources import loading
+    li, root = load(spark, sf, "lineitem"), scratch_path(spark, f"v1-{uuid.uuid4().hex}")
+    for rows in (li.where(F.col("l_shipdate") < F.lit(VIEW_CUT).cast("timestamp_ntz")), li):
+        vw.refresh_full(spark, root, "v", vw.view_query(rows, VIEW_KEYS, VIEW_MEASURES))
+    return _round_view(loading.read_current(spark, f"{root}/v"))
 
 
 V_SQL = """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, COUNT(*) AS lines, min(l_extendedprice) AS min_price,
@@ -144,22 +152,29 @@ max(l_extendedprice) AS max_price, round(avg(l_discount), 6) AS avg_disc FROM li
 
 
 def v2_incremental(spark, sf):
-    """V2: stored states of the older rows + states of the appended rows = full refresh."""
-    li = load(spark, sf, "lineitem")
+    """V2: stored states of the older rows, then an incremental refresh by the appended ones."""
+    from tidepool.session import scratch_path
+    li, root = load(spark, sf, "lineitem"), scratch_path(spark, f"v2-{uuid.uuid4().hex}")
     cut = F.lit(VIEW_CUT).cast("timestamp_ntz")
-    old = vw.states(li.where(F.col("l_shipdate") < cut), VIEW_KEYS, VIEW_MEASURES)
-    new = vw.states(li.where(F.col("l_shipdate") >= cut), VIEW_KEYS, VIEW_MEASURES)
-    return _round_view(vw.finalize(vw.merge_states(old, new, VIEW_KEYS, VIEW_MEASURES), VIEW_KEYS, VIEW_MEASURES))
+    for rows in (li.where(F.col("l_shipdate") < cut), li.where(F.col("l_shipdate") >= cut)):
+        vw.refresh_incremental(spark, root, "v", rows, VIEW_KEYS, VIEW_MEASURES)
+    return _round_view(vw.read_view(spark, root, "v", VIEW_KEYS, VIEW_MEASURES))
 
 
 def v2_incremental_sketch(spark, sf):
-    """V2 with an HLL sketch measure (mergeable distinct estimate): rows-only check."""
+    """V2 with an HLL sketch measure (mergeable distinct estimate): the exact counts, and whether
+    the estimates lie within three standard errors (1.6% each) of them."""
     li = load(spark, sf, "lineitem")
     ms = [vw.Measure("parts", "approx_distinct", "l_partkey")]
     cut = F.lit(VIEW_CUT).cast("timestamp_ntz")
     old = vw.states(li.where(F.col("l_shipdate") < cut), VIEW_KEYS, ms)
     new = vw.states(li.where(F.col("l_shipdate") >= cut), VIEW_KEYS, ms)
-    return vw.finalize(vw.merge_states(old, new, VIEW_KEYS, ms), VIEW_KEYS, ms)
+    est = vw.finalize(vw.merge_states(old, new, VIEW_KEYS, ms), VIEW_KEYS, ms).withColumnRenamed("parts", "_est")
+    exact = li.groupBy(*VIEW_KEYS).agg(F.count_distinct("l_partkey").alias("parts"))
+    return exact.join(est, VIEW_KEYS).select(*VIEW_KEYS, "parts", (F.abs(F.col("_est") - F.col("parts")) <= 0.05 * F.col("parts")).alias("within_error"))
+
+
+V2_SKETCH_SQL = """SELECT l_returnflag, l_linestatus, COUNT(DISTINCT l_partkey) AS parts, TRUE AS within_error FROM lineitem GROUP BY 1, 2"""
 
 
 def v3_touched_partitions(spark, sf):
@@ -171,9 +186,12 @@ def v3_touched_partitions(spark, sf):
     def per_day(df):
         return df.groupBy("d").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_quantity"), 2).alias("qty"))
 
+    from tidepool.session import scratch_path
     stale = per_day(li.where(F.col("l_shipdate") < cut).withColumn("d", day))
-    delta = li.where(F.col("l_shipdate") >= cut)
-    return vw.touched_partitions_refresh(stale, li, delta, day, "d", per_day)
+    path = scratch_path(spark, f"v3-{uuid.uuid4().hex}")
+    vw.refresh_partitions(stale, path, "d")
+    vw.refresh_partitions(per_day(li.where(F.col("l_shipdate") >= cut).withColumn("d", day)), path, "d")
+    return spark.read.schema("lines long, qty double, d date").parquet(path)
 
 
 V3_SQL = "SELECT CAST(l_shipdate AS DATE) AS d, COUNT(*) AS lines, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY 1"
@@ -307,7 +325,7 @@ QUERIES = {
     "x3_layout": (x3_layout, X3_SQL),
     "v1_full_refresh": (v1_full_refresh, V_SQL),
     "v2_incremental": (v2_incremental, V_SQL),
-    "v2_incremental_sketch": (v2_incremental_sketch, None),
+    "v2_incremental_sketch": (v2_incremental_sketch, V2_SKETCH_SQL),
     "v3_touched_partitions": (v3_touched_partitions, V3_SQL),
     "v5_staleness": (v5_staleness, V5_SQL),
     "v5_staleness_by_day": (v5_staleness_by_day, V5_DAY_SQL),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepool.operators import keyed
+from tidepool.operators import keyed, quality
 from tidepool.plans import fixtures as fx
 from tidepool.sources import ingest, loading
 from tidepool.session import load
@@ -92,7 +92,11 @@ L4_TEXT_SQL = f"""SELECT event_id, coalesce(try_strptime(CASE WHEN event_id % 7
 
 
 def l5_route(spark, sf):
-    return ingest.route_counts(fx.raw_events(spark, sf))
+    """The valid rows written by type, read back."""
+    root, raw = _scratch(spark, "l5"), fx.raw_events(spark, sf)
+    valid, _ = ingest.split_rejects(raw)
+    ingest.route_by_type(valid.drop("tags"), root)
+    return spark.read.parquet(root).groupBy(F.col("data_type").alias("target_table")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 L5_SQL = f"""WITH {RAW_SQL} SELECT data_type AS target_table, COUNT(*) AS rows
@@ -197,13 +201,11 @@ FROM target t FULL OUTER JOIN batch b ON t.event_id = b.event_id"""
 
 
 def l19_time_range(spark, sf):
-    """The derived day column and the range predicate that prunes day partitions."""
-    e = load(spark, sf, "events").withColumn("d", loading.time_partition("ts", "day"))
-    start, end = "2024-01-10 06:00:00", "2024-01-17 12:00:00"
-    t = F.col("ts")
-    pred = (t >= F.lit(start).cast("timestamp_ntz")) & (t < F.lit(end).cast("timestamp_ntz")) & \
-        (F.col("d") >= F.to_date(F.lit(start))) & (F.col("d") <= F.to_date(F.lit(end)))
-    return e.where(pred).groupBy("d").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 2).alias("value"))
+    """Events written by day, and a time range read back from the days it touches."""
+    path = _scratch(spark, "l19")
+    loading.write_by_time(load(spark, sf, "events"), path, "ts")
+    got = loading.read_time_range(spark, path, "ts", "2024-01-10 06:00:00", "2024-01-17 12:00:00")
+    return got.groupBy("d").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 2).alias("value"))
 
 
 L19_SQL = """SELECT CAST(ts AS DATE) AS d, COUNT(*) AS rows, round(sum(value), 2) AS value FROM events
@@ -291,13 +293,21 @@ def l7_load_json(spark, sf):
     return df.select("event_id", "value", F.col(loading.REASON).alias("reject_reason"))
 
 
+def _audit_ids(staged):
+    """An audit of staged rows: ids are there and unique (D2's checks of the data)."""
+    found = quality.check_schema(staged.select("id"), [{"name": "id", "type": "string", "nullable": False, "pk": True}])
+    bad = [r["check"] for r in found.where("violations > 0").collect()]  # at most one row per check and column
+    if bad:
+        raise ValueError(f"staged rows fail {bad}")
+
+
 def l18_staged_publish(spark, sf):
     """L17 + L18: a labelled staged load of the valid raw events, audited, published, read back."""
     raw = fx.raw_events(spark, sf)
     df = raw.withColumn(loading.REASON, ingest.reject_reason(raw)).drop("tags")
     root = _scratch(spark, "l18")
     st = loading.stage(df, root, max_filter_ratio=0.1)
-    loading.publish(spark, st, audits=[lambda staged: None])
+    loading.publish(spark, st, audits=[_audit_ids])
     return loading.read_current(spark, root).groupBy("data_type").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidepool.operators import alerts as al
 from tidepool.operators import analysis as an
 from tidepool.operators import metrics as me
+from tidepool.operators.relational import broadcast_if_small
 from tidepool.plans import fixtures as fx
 from tidepool.plans.q_ingest import RAW_SQL
 from tidepool.session import load
@@ -16,9 +17,7 @@ HIST_BOUNDS = (1.0, 5.0, 10.0, 25.0, 50.0, 100.0)
 
 def m1_counter(spark, sf):
     p = fx.metric_points(spark, sf)
-    c = me.counter(p, ["name"])
-    s = me.counter(p, ["name"], "value").withColumn("sum", F.round("sum", 2))
-    return c.join(s, "name")
+    return me.counter(p, ["name"], "value").withColumn("sum", F.round("sum", 2))
 
 
 M1_SQL = "SELECT event_type AS name, COUNT(*) AS count, round(sum(value), 2) AS sum FROM events GROUP BY 1"
@@ -70,8 +69,20 @@ M4_SQL = """SELECT name, CAST(q AS DOUBLE) AS quantile, round(CASE q WHEN 0.5 TH
 
 
 def m4_summary_approx(spark, sf):
-    """M4 default (approximate, error-bounded): rows-only check."""
-    return me.summary(fx.metric_points(spark, sf), "value", labels=["name"])
+    """M4 default (approximate): whether each estimate's rank lies within the stated error."""
+    p = fx.metric_points(spark, sf)
+    # one row per label set and quantile
+    est = me.summary(p, "value", labels=["name"]).select(F.col("name").alias("_name"), "quantile", F.col("value").alias("est"))
+    v, n = F.col("value"), F.count("value")
+    err = F.create_map(*[F.lit(float(x)) for kv in me.DEFAULT_OBJECTIVES.items() for x in kv])[F.col("quantile")]
+    ranks = p.join(broadcast_if_small(est), F.col("name") == F.col("_name")).groupBy("name", "quantile").agg(
+        (F.count_if(v < F.col("est")) / n).alias("lo"), (F.count_if(v <= F.col("est")) / n).alias("hi"), n.alias("count"))
+    return ranks.select("name", "quantile", ((F.col("lo") <= F.col("quantile") + err) & (F.col("hi") >= F.col("quantile") - err)).alias(
+        "within_error"), "count")
+
+
+M4_APPROX_SQL = """SELECT event_type AS name, CAST(unnest([0.5, 0.9, 0.99]) AS DOUBLE) AS quantile, TRUE AS within_error,
+COUNT(value) AS count FROM events GROUP BY event_type"""
 
 
 def m5_sliding_summary(spark, sf):
@@ -208,20 +219,20 @@ def a2_alerts(spark, sf):
     return a.select("rule_id", "active_at", "resolved_at", F.round("value", 6).alias("value"), "state")
 
 
-def _alerts_sql() -> str:
+def _alerts_sql(label: str = "", source: str = "") -> str:
     rules = " UNION ALL ".join(
-        f"SELECT '{r['rule_id']}' AS rule_id, {r['for_duration_s']} AS for_s, ts, value, coalesce({r['expression']}, false) AS cond "
+        f"SELECT '{r['rule_id']}' AS rule_id, {r['for_duration_s']} AS for_s, ts{label}, value, coalesce({r['expression']}, false) AS cond "
         f"FROM s WHERE metric = '{r['metric']}'" for r in RULES if r["name"])
-    return f"""WITH s AS (SELECT event_type AS metric, date_trunc('hour', ts) AS ts, avg(value) AS value FROM events GROUP BY 1, 2),
+    return f"""WITH s AS (SELECT event_type AS metric, date_trunc('hour', ts) AS ts{source}, avg(value) AS value FROM events GROUP BY ALL),
 r AS ({rules}),
 f AS (SELECT *, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER w AS prev_us, lag(cond) OVER w AS prev_c,
-      lead(epoch_us(ts)) OVER w AS next_us FROM r WINDOW w AS (PARTITION BY rule_id ORDER BY ts)),
+      lead(epoch_us(ts)) OVER w AS next_us FROM r WINDOW w AS (PARTITION BY rule_id{label} ORDER BY ts)),
 g AS (SELECT *, sum(CASE WHEN cond AND (prev_c IS NULL OR NOT prev_c OR us - prev_us > 3600000000) THEN 1 ELSE 0 END)
-      OVER (PARTITION BY rule_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f),
-i AS (SELECT rule_id, island, min(ts) AS active_at, max(us) AS last_us, min(us) AS first_us, arg_max(value, ts) AS value,
-      arg_max_null(next_us, ts) AS next_us, any_value(for_s) AS for_s FROM g WHERE cond GROUP BY rule_id, island),
+      OVER (PARTITION BY rule_id{label} ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f),
+i AS (SELECT rule_id{label}, island, min(ts) AS active_at, max(us) AS last_us, min(us) AS first_us, arg_max(value, ts) AS value,
+      arg_max_null(next_us, ts) AS next_us, any_value(for_s) AS for_s FROM g WHERE cond GROUP BY rule_id{label}, island),
 st AS (SELECT *, next_us IS NOT NULL AS ended, last_us - first_us >= CAST(for_s AS BIGINT) * 1000000 AS lasted FROM i)
-SELECT rule_id, active_at,
+SELECT rule_id{label}, active_at,
   CASE WHEN ended AND lasted THEN make_timestamp(CASE WHEN next_us - last_us <= 3600000000 THEN next_us ELSE last_us + 3600000000 END) END AS resolved_at,
   round(value, 6) AS value, CASE WHEN ended THEN 'RESOLVED' WHEN lasted THEN 'FIRING' ELSE 'PENDING' END AS state
 FROM st WHERE lasted OR NOT ended"""
@@ -304,7 +315,7 @@ QUERIES = {
     "m2_gauge": (m2_gauge, M2_SQL),
     "m3_histogram": (m3_histogram, M3_SQL),
     "m4_summary_exact": (m4_summary_exact, M4_SQL),
-    "m4_summary_approx": (m4_summary_approx, None),
+    "m4_summary_approx": (m4_summary_approx, M4_APPROX_SQL),
     "m5_sliding_summary": (m5_sliding_summary, M5_SQL),
     "m6_ingestion_lag": (m6_ingestion_lag, M6_SQL),
     "m7_metrics_query": (m7_metrics_query, M7_SQL),

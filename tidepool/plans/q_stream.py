@@ -27,7 +27,7 @@ MSG_SQL = f"""msgs AS (SELECT event_id AS sequence_id, user_id AS key, ts AS eve
 
 
 def r2_dedup(spark, sf):
-    d = st.dedup_batch(_messages(spark, sf), ["sequence_id"])
+    d = st.dedup_batch(_messages(spark, sf), ["sequence_id"], ["event_time", "event_type"])
     return d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sequence_id").alias("ids"))
 
 
@@ -36,11 +36,9 @@ R2_SQL = f"""WITH {MSG_SQL} SELECT event_type, COUNT(*) AS n, COUNT(DISTINCT seq
 
 
 def r4_window_counts(spark, sf):
-    """R4 batch twin: hourly tumbling counts per type (the stream adds a watermark)."""
-    e = load(spark, sf, "events")
-    w = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"),
-                                                                       F.round(F.sum("value"), 2).alias("total"))
-    return w.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", "total")
+    """R4 over a batch (a watermark drops nothing there): hourly tumbling counts per type."""
+    w = st.windowed_counts(st.as_event_time(load(spark, sf, "events")), "ts", "1 hour", by=["event_type"], value="value")
+    return w.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 R4_SQL = """SELECT date_trunc('hour', ts) AS window_start, event_type, COUNT(*) AS n, round(sum(value), 2) AS total
@@ -59,13 +57,13 @@ WHERE event_time + to_hours(CAST(sequence_id % 7 AS BIGINT)) <= TIMESTAMP '2024-
 
 def r7_dead_letter(spark, sf):
     m = _messages(spark, sf).withColumn("attempts", (F.col("sequence_id") % 5).cast("int"))
-    retry, dead = st.retry_split(m, "attempts", 3)
-    return retry.withColumn("route", F.lit("retry")).unionByName(dead.withColumn("route", F.lit("dead_letter"))) \
-        .groupBy("route", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    retry, dead = st.retry_split(m, "attempts", 3, "event_time", 600)
+    return retry.withColumn("route", F.lit("retry")).unionByName(dead.withColumn("route", F.lit("dead_letter")), True) \
+        .groupBy("route", "event_type").agg(F.count(F.lit(1)).alias("n"), F.max("due_at").alias("last_due"))
 
 
 R7_SQL = f"""WITH {MSG_SQL} SELECT CASE WHEN sequence_id % 5 >= 3 THEN 'dead_letter' ELSE 'retry' END AS route, event_type,
-COUNT(*) AS n FROM msgs GROUP BY 1, 2"""
+COUNT(*) AS n, max(event_time + INTERVAL 10 MINUTE) FILTER (WHERE sequence_id % 5 < 3) AS last_due FROM msgs GROUP BY 1, 2"""
 
 
 def r8_messages(spark, sf):

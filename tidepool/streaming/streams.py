@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from tidepool.operators import alerts as al
 from tidepool.operators import views as vw
 from tidepool.sources import ingest, loading
 
@@ -74,9 +75,13 @@ def dedup_stream(df: DataFrame, keys: list[str], ts: str, delay: str = "1 hour")
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def dedup_batch(df: DataFrame, keys: list[str]) -> DataFrame:
-    """R2 batch twin."""
-    return df.dropDuplicates(keys)
+def dedup_batch(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """R2 batch twin: of the rows of a key the least by ``order`` stays (any one without it; a
+    mergeable minimum, so a hot key is combined before the shuffle)."""
+    if not order:
+        return df.dropDuplicates(keys)
+    first = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(*[F.col(c) for c in order]))
+    return df.groupBy(*keys).agg(first.alias("_first")).select("_first.*")
 
 
 # ---------------------------------------------------------------- R3 late data
@@ -136,10 +141,16 @@ def deliverable(df: DataFrame, as_of, event_time: str = "event_time", deliver_at
     return df.withColumn("due_at", due).where(F.col("due_at") <= F.lit(as_of).cast(df.schema[event_time].dataType))
 
 
-def retry_split(df: DataFrame, attempts: str = "attempts", max_attempts: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(redeliver, dead letter): rows that reached ``max_attempts`` go to the dead letter."""
-    dead = F.col(attempts) >= F.lit(max_attempts)
-    return df.where(~dead), df.where(dead)
+def retry_split(df: DataFrame, attempts: str = "attempts", max_attempts: int = 3, failed_at: str | None = None,
+                delay_s: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(redeliver, dead letter): rows that reached ``max_attempts`` go to the dead letter.  With
+    ``failed_at`` (the time of the failed delivery) the others are due ``delay_s`` seconds after
+    it: their ``due_at`` goes to :func:`deliverable`.  A row without attempts has made none."""
+    dead = F.coalesce(F.col(attempts), F.lit(0)) >= F.lit(max_attempts)
+    again = df.where(~dead)
+    if failed_at:
+        again = again.withColumn("due_at", F.col(failed_at) + F.make_dt_interval(secs=F.lit(delay_s).cast("decimal(18,6)")))
+    return again, df.where(dead)
 
 
 # ---------------------------------------------------------------- R8 publish
@@ -189,13 +200,11 @@ def view_refresh_stream(src: DataFrame, root: str, name: str, keys: list[str], m
 # ---------------------------------------------------------------- A4 stream alerts
 
 ALERT_STATE = "active_us long, last_true_us long, last_value double, last_us long, last_cond boolean"
-ALERT_OUT = "rule_id string, active_at timestamp, resolved_at timestamp, value double, state string"
+ALERT_OUT = "active_at timestamp, resolved_at timestamp, value double, state string"
 
 
-def _alert_fn(step_us: int, for_us: dict):
+def _alert_fn(step_us: int, names: list[str]):
     def fn(key, pdfs, state):
-        rule_id = key[0]
-        need = for_us[rule_id]
         if state.exists:
             active, last_true, last_val, last_us, last_cond = state.get
         else:
@@ -204,14 +213,15 @@ def _alert_fn(step_us: int, for_us: dict):
         out = []
 
         def emit(st, resolved=None):
-            out.append((rule_id, pd.Timestamp(active, unit="us"), None if resolved is None else pd.Timestamp(resolved, unit="us"),
+            out.append((*key, pd.Timestamp(active, unit="us"), None if resolved is None else pd.Timestamp(resolved, unit="us"),
                         last_val, st))
 
         rows = pd.concat(list(pdfs)).sort_values("us")
+        need = int(rows["for_us"].iloc[0])
         for us, cond, val in zip(rows["us"].tolist(), rows["cond"].tolist(), rows["value"].tolist()):
             if last_us is not None and us <= last_us:
                 # a sample at or before the series' last processed time: reported, not folded in
-                out.append((rule_id, pd.Timestamp(us, unit="us"), None, float(val), "LATE_SAMPLE"))
+                out.append((*key, pd.Timestamp(us, unit="us"), None, float(val), "LATE_SAMPLE"))
                 continue
             if active is not None:
                 # any next sample ends an island unless it continues it
@@ -231,28 +241,29 @@ def _alert_fn(step_us: int, for_us: dict):
             emit("FIRING" if last_true - active >= need else "PENDING")
         state.update((active, last_true, last_val, last_us, last_cond))
         if out:
-            yield pd.DataFrame(out, columns=["rule_id", "active_at", "resolved_at", "value", "state"])
+            yield pd.DataFrame(out, columns=[*names, "active_at", "resolved_at", "value", "state"])
     return fn
 
 
-def stream_alerts(samples: DataFrame, rules: list[dict], step_seconds: int) -> DataFrame:
+def stream_alerts(samples: DataFrame, rules: list[dict], step_seconds: int, labels: list[str] | None = None) -> DataFrame:
     """A4: the A2 state machine, live.  Input: a stream of sampled series points
-    (metric, ts, value) - windowed aggregates, not raw rows.  Output (update mode): the
+    (metric, labels, ts, value) - windowed aggregates, not raw rows.  Output (update mode): the
     current state of every island touched by a micro-batch (INACTIVE retracts a pending
-    island that ended before firing); the last row per (rule_id, active_at), INACTIVE
-    dropped, equals A2 on the same samples.  State is per rule series.  A sample at or
-    before the last processed time of its series comes out as LATE_SAMPLE (counted, not
-    lost) and leaves the state alone."""
-    parts = []
-    for r in rules:
-        if not r.get("name") or not r.get("expression") or not r.get("severity"):
-            continue
-        parts.append(samples.where(F.col("metric") == F.lit(r["metric"])).select(
-            F.lit(r["rule_id"]).alias("rule_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value",
-            F.coalesce(F.expr(r["expression"]), F.lit(False)).alias("cond")))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    for_us = {r["rule_id"]: int(r.get("for_duration_s", 0)) * 1_000_000 for r in rules}
-    return u.groupBy("rule_id").applyInPandasWithState(
-        _alert_fn(int(step_seconds) * 1_000_000, for_us), ALERT_OUT, ALERT_STATE, "update", GroupStateTimeout.NoTimeout)
+    island that ended before firing); the last row per (rule_id, labels, active_at), INACTIVE
+    dropped, equals A2 on the same samples.  State is per (rule, labels) series, and all rules
+    are judged in one read of the stream.  A sample at or before the last processed time of its
+    series comes out as LATE_SAMPLE (counted, not lost) and leaves the state alone.  As in A2
+    an island is open until a later sample of its series ends it."""
+    labels = labels or []
+    valid = al.valid_rules(rules)
+    judged = F.array(*[F.struct(
+        F.lit(r["metric"]).alias("metric"), F.lit(r["rule_id"]).alias("rule_id"),
+        F.lit(int(r.get("for_duration_s", 0)) * 1_000_000).cast("long").alias("for_us"),
+        F.coalesce(F.expr(r["expression"]), F.lit(False)).alias("cond")) for r in valid])
+    rows = samples.select("metric", *labels, F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value",
+                          F.explode(judged).alias("rule")).where("rule.metric = metric").select(
+        "rule.rule_id", *labels, "us", "value", "rule.for_us", "rule.cond")
+    key = ["rule_id", *labels]
+    out = "".join(f"`{n}` {t}, " for n, t in rows.select(*key).dtypes) + ALERT_OUT
+    return rows.groupBy(*key).applyInPandasWithState(
+        _alert_fn(int(step_seconds) * 1_000_000, key), out, ALERT_STATE, "update", GroupStateTimeout.NoTimeout)
