@@ -73,6 +73,16 @@ def test_vectors_edge_rows(spark):
     assert hnsw.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_equal_vectors_are_one_class_and_sizes_do_not_matter(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.98, 0.198997, 0.0], [0.0, 1.0, 0.0]
+    rows = [(i, a, 0) for i in range(100, 400)] + [(i, b, 0) for i in range(50, 60)] + [(7, c, 0), (8, a, 1), (9, [1e200, 0.0, 0.0], 0),
+                                                                                   (10, [1e-200, 0.0, 0.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_vectors(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).collect()}
+    assert len(got) == len(rows) and got[7] == (0, 7) and got[8] == (0, 8)
+    # 300 of a, 10 of b and the two of other sizes all link with each other
+    assert {v for k, v in got.items() if k not in (7, 8)} == {(311, 9)}
+
+
 def test_audit_widens_the_beam():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((800, 32))

@@ -94,6 +94,3 @@ def crc_fold(col, folds: int = 5):
     """crc32 of the id's decimal text, mod ``folds``: 0 marks a held-out document."""
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(folds))
 
-
-def rebatched(spark: SparkSession, df: DataFrame, work, schema: str) -> DataFrame:
-    return df.mapInArrow(work, schema)

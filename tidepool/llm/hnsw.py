@@ -6,6 +6,9 @@ its own vectors at just above the threshold, must find what brute force over the
 the beam is widened and the audit repeated.  Then every vector queries every shard of its label in
 blocks; what the beams find is verified by cosine in double precision, counted, and joined into
 components.  A block reports a spanning forest of its links, never the pairs.
+
+Equal vectors of a label are one class: its least vec_id is indexed and queries for all of them, and
+counts for as many, so a vector that very many rows hold costs one search a shard.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ WALK = 0.05
 
 def unit(rows) -> np.ndarray:
     x = np.array(rows, np.float64)
+    # a power of two takes each row near 1 first, so that no square overflows or vanishes
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -225,14 +230,15 @@ def _build(least: float):
     def work(batches):
         for (label, dim, shard), rows in _groups(batches, "label", "dim", "shard"):
             ids = [r[3] for r in rows]
+            copies = np.array([r[5] for r in rows], "<i8")
             x = unit([r[4] for r in rows])
             graph = Graph(x).build(ids)
             recall = graph.audit(least)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([label], pa.string()), pa.array([dim], pa.int32()), pa.array([shard], pa.int64()),
-                 pa.array([np.array(ids, "<i8").tobytes()]), pa.array([x.astype("<f8").tobytes()]), pa.array([graph.dump()]),
+                 pa.array([np.array(ids, "<i8").tobytes()]), pa.array([copies.tobytes()]), pa.array([x.astype("<f8").tobytes()]), pa.array([graph.dump()]),
                  pa.array([graph.ef], pa.int64()), pa.array([recall])],
-                ["label", "dim", "shard", "ids", "x", "graph", "ef", "recall"])
+                ["label", "dim", "shard", "ids", "copies", "x", "graph", "ef", "recall"])
     return work
 
 
@@ -240,12 +246,12 @@ def _query(least: float):
     """Link counts of a block's queries in one shard, and a spanning forest of their links."""
     def work(batches):
         for (_, dim, _, _), rows in _groups(batches, "label", "dim", "shard", "block"):
-            ids, x, graph, queries = None, None, None, []
+            ids, copies, x, graph, queries = None, None, None, None, []
             for row in rows:
                 if row[4] == 0:
-                    ids = np.frombuffer(row[7], "<i8")
-                    x = np.frombuffer(row[8], "<f8").reshape(-1, dim)
-                    graph = Graph.load(row[9], x)
+                    ids, copies = np.frombuffer(row[7], "<i8"), np.frombuffer(row[8], "<i8")
+                    x = np.frombuffer(row[9], "<f8").reshape(-1, dim)
+                    graph = Graph.load(row[10], x)
                 else:
                     queries.append((row[5], row[6]))
             if graph is None or not queries:
@@ -263,10 +269,10 @@ def _query(least: float):
             for (vec, _), q in zip(queries, unit([q for _, q in queries]), strict=True):
                 found = graph.search(q, least, place.get(vec))
                 found = found[x[found] @ q >= least]
-                linked = [int(v) for v in ids[found] if v != vec]
-                if linked:
-                    counts.append((vec, len(linked)))
-                for v in linked:
+                found = found[ids[found] != vec]
+                if len(found):
+                    counts.append((vec, int(copies[found].sum())))
+                for v in ids[found].tolist():
                     a, b = root(vec), root(v)
                     if a != b:
                         parent[max(a, b)] = min(a, b)
@@ -279,15 +285,16 @@ def _query(least: float):
 
 
 def shard_graphs(vectors: DataFrame, least: float, shard: int) -> tuple[DataFrame, DataFrame]:
-    """(vectors with their label's number of shards and own shard, one audited graph per shard)."""
+    """(vectors with their label's number of shards and own shard, one audited graph per shard), of
+    (label, dim, vec_id, embedding, copies)."""
     sizes = vectors.groupBy("label", "dim").agg(F.count("*").alias("n"))
     dealt = vectors.join(sizes, ["label", "dim"]).withColumn("shards", F.ceil(F.col("n") / shard).cast("long")).withColumn(
         "shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")))
-    dealt = stored(dealt.select("label", "dim", "shard", "vec_id", "embedding", "shards", "n"), "vectors")
+    dealt = stored(dealt.select("label", "dim", "shard", "vec_id", "embedding", "copies", "shards", "n"), "vectors")
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = dealt.select("label", "dim", "shard", "vec_id", "embedding").repartition(n, "label", "dim", "shard")
+    rows = dealt.select("label", "dim", "shard", "vec_id", "embedding", "copies").repartition(n, "label", "dim", "shard")
     graphs = rows.sortWithinPartitions("label", "dim", "shard", "vec_id").mapInArrow(
-        _build(least), "label string, dim int, shard long, ids binary, x binary, graph binary, ef long, recall double")
+        _build(least), "label string, dim int, shard long, ids binary, copies binary, x binary, graph binary, ef long, recall double")
     return dealt, stored(graphs, "graphs")
 
 
@@ -311,8 +318,12 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, shard: int = SHARD,
     good = rows.where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL").where(usable).select(
         "vec_id", F.col("label").cast("string").alias("label"), vector.alias("embedding")).groupBy("vec_id").agg(
         F.min(F.struct("label", "embedding")).alias("r")).select(
-        "vec_id", "r.label", F.size("r.embedding").alias("dim"), "r.embedding")
-    dealt, graphs = shard_graphs(good, least, shard)
+        "vec_id", "r.label", F.size("r.embedding").alias("dim"), "r.embedding",
+        F.sha2(F.col("r.embedding").cast("string").cast("binary"), 256).alias("print"))
+    good = stored(good, "good")
+    classes = stored(good.groupBy("label", "print").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")), "classes")
+    firsts = good.join(classes.select("vec_id", "copies"), "vec_id").select("label", "dim", "vec_id", "embedding", "copies")
+    dealt, graphs = shard_graphs(firsts, least, shard)
 
     blocks = F.ceil(F.col("n") / block).cast("long")
     none = lambda kind: F.lit(None).cast(kind)
@@ -320,18 +331,23 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, shard: int = SHARD,
     asked = dealt.select(
         "label", "dim", F.explode(F.sequence(zero, F.col("shards") - 1)).alias("shard"),
         F.pmod(F.xxhash64("vec_id", F.lit(1)), blocks).alias("block"), F.lit(1).alias("kind"), "vec_id", "embedding",
-        none("binary").alias("ids"), none("binary").alias("x"), none("binary").alias("graph"))
+        none("binary").alias("ids"), none("binary").alias("copies"), none("binary").alias("x"), none("binary").alias("graph"))
     wide = dealt.groupBy("label", "dim").agg(F.max(blocks).alias("blocks"))
     sent = graphs.join(wide, ["label", "dim"]).select(
         "label", "dim", "shard", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"),
-        none("bigint").alias("vec_id"), none("array<double>").alias("embedding"), "ids", "x", "graph")
+        none("bigint").alias("vec_id"), none("array<double>").alias("embedding"), "ids", "copies", "x", "graph")
     n = int(embeddings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["label", "dim", "shard", "block"]
     found = stored(asked.union(sent).repartition(n, *keys).sortWithinPartitions(*keys, "kind").mapInArrow(
         _query(least), "u long, v long, n long"), "found")
     links = found.where("n > 0").groupBy(F.col("u").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     groups = connected_components(found.where("v IS NOT NULL").select("u", "v")).withColumnRenamed("id", "vec_id")
+    # every member of a class has its first one's links and component, and links with the other members
+    found = classes.join(links, "vec_id", "left").join(groups, "vec_id", "left").select(
+        "label", "print", (F.coalesce("n_links", zero) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("component", "vec_id").alias("component"))
+    own = good.select("vec_id", "label", "print").join(found, ["label", "print"]).select("vec_id", "n_links", "component")
     component = F.coalesce("component", "vec_id")
-    return rows.select("vec_id").join(links, "vec_id", "left").join(groups, "vec_id", "left").select(
+    return rows.select("vec_id").join(own, "vec_id", "left").select(
         "vec_id", F.coalesce("n_links", zero).alias("n_links"), component.alias("component_id"),
         F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
