@@ -209,7 +209,7 @@ def search_long(tables: list[SearchTable], keywords: str, *, recall_priority: bo
 
 
 def log_search(df: DataFrame, *, ts_col: str, level_col: str, message_col: str, levels=None, time_range=None,
-               keywords: str | None = None, k: int = 100, tiebreak: str | None = None, parser: str = "standard") -> DataFrame:
+               k: int, keywords: str | None = None, tiebreak: str | None = None, parser: str = "standard") -> DataFrame:
     """Newest first, level and time filter, optional text; the limit is the feature (top-k)."""
     pred = F.lit(True)
     if levels:
