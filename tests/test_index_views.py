@@ -44,6 +44,28 @@ def test_bitmap_filter_equals_plain_filter(spark):
     assert got == e.where("event_type = 'click' AND user_id IN (1, 2, 3, 4, 5)").count()
 
 
+def test_bitmap_ids_equal_filtered_ids(spark):
+    e = spark.createDataFrame([(i, "a" if i % 3 else "b", i % 5) for i in [*range(0, 40), 32766, 32767, 32768, 65535, 70000]],
+                              "id long, kind string, user int")
+    idx = ix.build_bitmap_index(e, ["kind", "user"], "id")
+    for op, both in (("and", "kind = 'a' AND user IN (1, 2)"), ("or", "kind = 'a' OR user IN (1, 2)")):
+        got = sorted(r["id"] for r in ix.bitmap_ids(idx, {"kind": "a", "user": [1, 2]}, op).collect())
+        assert got == sorted(r["id"] for r in e.where(both).collect())
+    assert ix.bitmap_ids(idx, {"kind": "none"}).count() == 0
+
+
+def test_written_stats_equal_field_stats(spark, tmp):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (2, None, ""), (3, "", None), (4, "a a", "--")],
+                                 "doc_id long, text string, note string")
+    post, lengths = ix.build_inverted_index([se.SearchTable("d", docs, fields=["text", "note"], id_col="doc_id")])
+    ix.write_index(post, lengths, tmp, buckets=4)
+    key = lambda df: sorted(tuple(r) for r in df.select("source_table", "field", "n_docs", "avgdl").collect())
+    assert key(ix.read_stats(spark, tmp)) == key(ix.field_stats(lengths)) == [("d", "note", 4, 0.25), ("d", "text", 4, 1.25)]
+    score = lambda df: {r["id"]: round(r["score"], 9) for r in df.collect()}
+    written = score(ix.bm25(ix.read_postings(spark, tmp), ix.read_stats(spark, tmp), "a"))
+    assert written == score(ix.bm25(post, ix.field_stats(lengths), "a")) and set(written) == {"1", "4"}
+
+
 M = [vw.Measure("qty", "sum", "l_quantity"), vw.Measure("n", "count"), vw.Measure("hi", "max", "l_extendedprice"),
      vw.Measure("disc", "avg", "l_discount"), vw.Measure("parts", "approx_distinct", "l_partkey")]
 

@@ -180,3 +180,44 @@ def test_gauge_takes_nan_until_the_next_set_and_keeps_small_steps(spark):
     df = spark.createDataFrame([(1, t(i), o, a) for i, (o, a) in enumerate(ops)], "k long, ts timestamp_ntz, op string, v double")
     got = [r.gauge_value for r in me.gauge(df, ["k"], "ts", "op", "v").orderBy("ts").collect()]
     assert got[:5] == [1.0, 1.000000000001, float("-inf"), 5.0, 6.0] and math.isnan(got[5]) and got[6:] == [2.0, 1.0]
+
+
+def _percentile(vals, q):
+    """Linear interpolation between the two nearest ranks; NaN sorts last."""
+    vals = sorted(vals, key=lambda v: (math.isnan(v), v))
+    p = q * (len(vals) - 1)
+    lo, hi = vals[math.floor(p)], vals[math.ceil(p)]
+    return lo if lo == hi else (math.ceil(p) - p) * lo + (p - math.floor(p)) * hi
+
+
+def test_exact_quantiles_match_brute_force(spark):
+    rng = random.Random(5)
+    rows = [("hot", float(rng.randint(0, 200))) for _ in range(3000)] + [("one", 7.5), ("two", 1.0), ("two", 4.0)]
+    rows += [(None, float(i)) for i in range(9)] + [("nan", float("nan")), ("nan", 2.0), ("nan", 3.0), ("void", None), ("hot", None)]
+    df = spark.createDataFrame(rows, "label string, v double")
+    qs = {0.0: 0.1, 0.25: 0.1, 0.5: 0.05, 0.9: 0.01, 1.0: 0.1}
+    got = {(r["label"], r["quantile"]): (r["value"], r["count"]) for r in
+           me.summary(df, "v", objectives=qs, labels=["label"], exact=True).collect()}
+    groups = {}
+    for k, v in rows:
+        groups.setdefault(k, []).extend([] if v is None else [v])
+    assert len(got) == len(groups) * len(qs)
+    for k, vals in groups.items():
+        for q in qs:
+            value, n = got[(k, q)]
+            assert n == len(vals)
+            if not vals:
+                assert value is None
+                continue
+            want = _percentile(vals, q)
+            assert (math.isnan(value) and math.isnan(want)) or abs(value - want) < 1e-9, (k, q, value, want)
+    whole = me.summary(df, "v", objectives={0.5: 0.05}, exact=True).collect()
+    assert len(whole) == 1 and abs(whole[0]["value"] - _percentile([v for _, v in rows if v is not None], 0.5)) < 1e-9
+    assert me.summary(df.limit(0), "v", objectives={0.5: 0.05}, labels=["label"], exact=True).count() == 0
+
+
+def test_exact_quantiles_order_no_label_set_in_one_task(spark):
+    df = spark.range(0, 5000).select(F.lit("k").alias("label"), (F.col("id") * 1.5).alias("v"))
+    plan = me.exact_quantiles(df, F.col("v"), ["label"], [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    rows_windows = [x for x in plan.splitlines() if "Window" in x and "_v" in x]
+    assert rows_windows and all("_b" in x for x in rows_windows)

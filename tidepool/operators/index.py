@@ -34,9 +34,10 @@ def build_inverted_index(tables: list[SearchTable], parser: str = "standard",
                          slices: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(postings, doc_lengths).
 
-    postings: source_table, field, id, tie, token, tf, positions (0-based token positions)
+    postings: source_table, field, id, tie, length, token, tf, positions (0-based token positions)
     doc_lengths: source_table, field, id, tie, length (tokens in the field)
     Grouping is per (row, field, token), so a very common token never forms one big group.
+    The field's length rides on each of its postings, so ranking needs no join back to the rows.
     """
     rows_of = []
     for t in tables:
@@ -56,30 +57,54 @@ def build_inverted_index(tables: list[SearchTable], parser: str = "standard",
     rows = rows.repartition(n, "source_table", "id", "tie")
     long = rows.select("source_table", "id", "tie", F.explode("p").alias("p")) \
         .select("source_table", "id", "tie", F.col("p.field").alias("field"), tx.tokens(F.col("p.value"), parser).alias("toks"))
-    lengths = long.select("source_table", "field", "id", "tie", F.coalesce(F.size("toks"), F.lit(0)).alias("length"))
-    post = long.select("source_table", "field", "id", "tie", F.posexplode("toks").alias("pos", "token")) \
-        .groupBy("source_table", "field", "id", "tie", "token") \
+    length = F.coalesce(F.size("toks"), F.lit(0)).alias("length")
+    lengths = long.select("source_table", "field", "id", "tie", length)
+    post = long.select("source_table", "field", "id", "tie", length, F.posexplode("toks").alias("pos", "token")) \
+        .groupBy("source_table", "field", "id", "tie", "length", "token") \
         .agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
     return post, lengths
 
 
+def field_stats(lengths: DataFrame) -> DataFrame:
+    """(source_table, field, n_docs, avgdl): what ranking needs to know of each field."""
+    return lengths.groupBy("source_table", "field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
+
+
 def write_index(postings: DataFrame, lengths: DataFrame, path: str, buckets: int = TOKEN_BUCKETS,
                 spread: int = 4, parser: str = "standard") -> None:
-    """T18 layout: postings partitioned by token bucket and sorted by token; lengths beside.
+    """T18 layout: postings partitioned by token bucket and sorted by token; field stats beside.
 
     The bucket count and the parser are stored with the index and read back by every lookup.
-    Rows that share a key (table, id, tie) are refused: their postings would run together."""
-    twice = lengths.groupBy("source_table", "field", "id", "tie").count().where("count > 1").first()
-    if twice is not None:
-        raise ValueError(f"table {twice['source_table']}: id {twice['id']} with tie {twice['tie']} is not unique")
-    drop_layout(lengths.sparkSession, path)
+    Rows that share a key (table, id, tie) are refused: their postings would run together.
+    Texts are tokenised once: rows are counted from their keys alone, and the tokens of a field
+    are summed over the written postings."""
+    spark = lengths.sparkSession
+    keys = lengths.groupBy("source_table", "field", "id", "tie").count()
+    # one row per (table, field)
+    rows = keys.groupBy("source_table", "field").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.max(F.struct("count", "id", "tie")).alias("most")).collect()
+    for r in rows:
+        if r["most"]["count"] > 1:
+            raise ValueError(f"table {r['source_table']}: id {r['most']['id']} with tie {r['most']['tie']} is not unique")
+    drop_layout(spark, path)
     p = postings.withColumn("bucket", token_bucket(F.col("token"), buckets))
     # writers per bucket, salted by row so the bucket of a very common token ("the") is written
     # by several tasks; each file sorted by token so row-group statistics prune lookups
     spread_for_write(p, ["bucket"], spread, salt_cols=["id", "tie"]).sortWithinPartitions("bucket", "token") \
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-    write_layout(p.sparkSession, path, {"buckets": int(buckets), "parser": parser})
+    n_docs = spark.createDataFrame([(r["source_table"], r["field"], r["n_docs"]) for r in rows],
+                                   "source_table string, field string, n_docs long")
+    toks = spark.read.parquet(f"{path}/postings").groupBy("source_table", "field").agg(F.sum("tf").alias("toks"))
+    n_docs.join(toks, ["source_table", "field"], "left") \
+        .select("source_table", "field", "n_docs", (F.coalesce("toks", F.lit(0)) / F.col("n_docs")).alias("avgdl")) \
+        .coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    write_layout(spark, path, {"buckets": int(buckets), "parser": parser})
+
+
+def read_stats(spark, path: str) -> DataFrame:
+    """The field stats of a written index (a row per table and field)."""
+    read_layout(spark, path)
+    return spark.read.parquet(f"{path}/stats")
 
 
 def _with_layout(df: DataFrame, col: str, layout: dict) -> DataFrame:
@@ -122,18 +147,17 @@ def search_index(postings: DataFrame, keywords: str, recall_priority: bool = Tru
     return per_field.where(F.col("n") == len(toks)).select("source_table", "id", "tie").distinct()
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, keywords: str, parser: str = "standard",
+def bm25(postings: DataFrame, stats: DataFrame, keywords: str, parser: str = "standard",
          k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """T12 option ``bm25``: Okapi BM25 per (table, field, row) for the keyword tokens, summed
     over fields: idf = ln(1 + (N - df + 0.5) / (df + 0.5)),
     score = sum idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)).
-    N and avgdl are per (table, field); all inputs are aggregates, no collect."""
+    ``stats`` holds N and avgdl per (table, field): ``read_stats`` of a written index, or
+    ``field_stats``.  A search costs its tokens' postings, not the corpus."""
     toks = tx.keyword_tokens(keywords, parser)
     hits = lookup(postings, toks, parser)
-    stats = lengths.groupBy("source_table", "field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
     dfreq = hits.groupBy("source_table", "field", "token").agg(F.count(F.lit(1)).alias("df"))
-    j = hits.join(dfreq, ["source_table", "field", "token"]).join(stats, ["source_table", "field"]) \
-        .join(lengths, ["source_table", "field", "id", "tie"])
+    j = hits.join(dfreq, ["source_table", "field", "token"]).join(stats, ["source_table", "field"])
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf").cast("double")
     part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
@@ -175,12 +199,9 @@ def build_bitmap_index(df: DataFrame, cols: list[str], id_col: str) -> DataFrame
                                                          F.count(F.lit(1)).alias("rows"))
 
 
-def bitmap_filter(index: DataFrame, preds: dict, op: str = "and") -> DataFrame:
-    """Number of rows matching AND / OR of ``column IN values`` predicates.
-
-    Per bucket: OR over the values of one predicate, then AND (only buckets where every
-    predicate is present) or OR across predicates; ``bitmap_count`` summed over buckets.
-    """
+def _bitmap_result(index: DataFrame, preds: dict, op: str) -> DataFrame:
+    """(bucket, bitmap) of AND / OR over ``column IN values`` predicates: per bucket an OR over
+    the values of one predicate, then AND (only buckets where every predicate is present) or OR."""
     per = []
     for i, (c, vals) in enumerate(preds.items()):
         vals = [str(v) for v in (vals if isinstance(vals, (list, tuple, set)) else [vals])]
@@ -188,13 +209,29 @@ def bitmap_filter(index: DataFrame, preds: dict, op: str = "and") -> DataFrame:
                    .groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap")).withColumn("pred", F.lit(i)))
     u = reduce(lambda a, b: a.unionByName(b), per)
     if op == "and":
-        per_bucket = u.groupBy("bucket").agg(F.bitmap_and_agg("bitmap").alias("bitmap"),
-                                             F.count_distinct("pred").alias("n")).where(F.col("n") == len(preds))
-    elif op == "or":
-        per_bucket = u.groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-    else:
-        raise ValueError("op must be 'and' or 'or'")
-    return per_bucket.agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).cast("bigint").alias("rows"))
+        return u.groupBy("bucket").agg(F.bitmap_and_agg("bitmap").alias("bitmap"),
+                                       F.count_distinct("pred").alias("n")).where(F.col("n") == len(preds)).drop("n")
+    if op == "or":
+        return u.groupBy("bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+    raise ValueError("op must be 'and' or 'or'")
+
+
+def bitmap_filter(index: DataFrame, preds: dict, op: str = "and") -> DataFrame:
+    """Number of rows matching AND / OR of the predicates (``bitmap_count`` over buckets)."""
+    return _bitmap_result(index, preds, op).agg(
+        F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).cast("bigint").alias("rows"))
+
+
+def bitmap_ids(index: DataFrame, preds: dict, op: str = "and") -> DataFrame:
+    """The ids of the rows matching AND / OR of the predicates, read off the set bits of the
+    result bitmaps (a bucket's bitmap is 4096 bytes; bytes without a bit are dropped at once)."""
+    at = _bitmap_result(index, preds, op).select(
+        "bucket", "bitmap", F.explode(F.sequence(F.lit(0), F.length("bitmap") - 1)).alias("at"))
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.col("at") + 1, F.lit(1))), 16, 10).cast("int")
+    held = at.select("bucket", "at", byte.alias("byte")).where("byte > 0")
+    bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: F.call_function("getbit", F.col("byte"), i) == 1)
+    return held.withColumn("bit", F.explode(bits)).select(
+        ((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit")).cast("bigint").alias("id"))
 
 
 # ---------------------------------------------------------------- layout advice

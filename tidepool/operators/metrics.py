@@ -74,19 +74,56 @@ def histogram(df: DataFrame, col: str, bounds=DEFAULT_BOUNDS, labels: list[str]
         *(labels or []), F.col("_p.le").alias("le"), F.col("_p.n").alias("bucket_count"), "sum", "count")
 
 
+def _same_labels(labels: list[str], left: str, right: str):
+    """Null-safe equality of the label columns of two aliased frames (true when there are none)."""
+    cond = F.lit(True)
+    for x in labels:
+        cond = cond & F.col(f"{left}.{x}").eqNullSafe(F.col(f"{right}.{x}"))
+    return cond
+
+
+def exact_quantiles(df: DataFrame, value, labels: list[str], quantiles: list[float]) -> DataFrame:
+    """(labels, _q0, _q1, ...): exact interpolated quantiles of the non-null doubles ``value`` per
+    label set; NaN is the greatest value.
+
+    Values are counted per label set before anything is ordered, a sliced running count gives each
+    value its ranks, and the two neighbours of each quantile are picked by an aggregate, so no task
+    ever holds the values of a label set.  A label set without a value gives no row."""
+    counts = cut_lineage(df.select(*labels, value.alias("_v")).where("_v IS NOT NULL").groupBy(*labels, "_v").agg(
+        F.count(F.lit(1)).alias("_c")), "value-counts")
+    upto = running(counts, labels, ["_v"], sums={"_cum": F.col("_c")})
+    total = counts.groupBy(*labels).agg(F.sum("_c").alias("_n"))
+    total = total if labels else F.broadcast(total)  # without labels: one row
+    ranked = upto.alias("l").join(total.alias("r"), _same_labels(labels, "l", "r")).select("l.*", "r._n")
+    at = [F.lit(float(q)) * (F.col("_n") - 1) for q in quantiles]
+    first = [F.min(F.when(F.col("_cum") > side(p), F.col("_v"))) for p in at for side in (F.floor, F.ceil)]
+    near = ranked.groupBy(*labels, "_n").agg(*[c.alias(f"_e{i}") for i, c in enumerate(first)])
+    out = []
+    for i, p in enumerate(at):
+        lo, hi = F.col(f"_e{2 * i}"), F.col(f"_e{2 * i + 1}")
+        out.append(F.when(lo == hi, lo).otherwise((F.ceil(p) - p) * lo + (p - F.floor(p)) * hi).alias(f"_q{i}"))
+    return near.select(*labels, *out)
+
+
+def _with_quantiles(wide: DataFrame, df: DataFrame, value, labels: list[str], quantiles: list[float]) -> DataFrame:
+    found = exact_quantiles(df, value, labels, quantiles)
+    found = found if labels else F.broadcast(found)  # without labels: one row
+    return wide.alias("l").join(found.alias("r"), _same_labels(labels, "l", "r"), "left").select(
+        "l.*", *[f"r._q{i}" for i in range(len(quantiles))])
+
+
 def summary(df: DataFrame, col: str, objectives=None, labels: list[str] | None = None, exact: bool = False) -> DataFrame:
     """M4: quantiles per label set; approximate with accuracy ceil(1/err), or exact."""
     objectives = objectives or DEFAULT_OBJECTIVES
     v = F.col(col).cast("double")
-    aggs = []
-    for i, (q, err) in enumerate(sorted(objectives.items())):
-        if exact:
-            aggs.append(F.percentile(v, float(q)).alias(f"_q{i}"))
-        else:
-            aggs.append(F.percentile_approx(v, float(q), int(-(-1 // err))).alias(f"_q{i}"))
+    goals = sorted(objectives.items())
+    aggs = [] if exact else [F.percentile_approx(v, float(q), int(-(-1 // err))).alias(f"_q{i}")
+                             for i, (q, err) in enumerate(goals)]
     wide = df.groupBy(*(labels or [])).agg(*aggs, F.sum(v).alias("sum"), F.count(v).alias("count"))
+    if exact:
+        wide = _with_quantiles(wide, df, v, labels or [], [q for q, _e in goals])
     pairs = [F.struct(F.lit(float(q)).alias("quantile"), F.col(f"_q{i}").cast("double").alias("value"))
-             for i, (q, _e) in enumerate(sorted(objectives.items()))]
+             for i, (q, _e) in enumerate(goals)]
     return wide.select(*(labels or []), "sum", "count", F.explode(F.array(*pairs)).alias("_p")).select(
         *(labels or []), F.col("_p.quantile").alias("quantile"), F.col("_p.value").alias("value"), "sum", "count")
 
@@ -150,10 +187,12 @@ def slow_queries(log: DataFrame, threshold: float, k: int, duration="duration_s"
     The p95 is approximate (bounded sketch) unless ``exact``."""
     slow = log.where(F.col(duration) > F.lit(threshold))
     top = slow.orderBy(F.col(duration).desc(), F.col(qid)).limit(int(k))
-    p95 = F.percentile(F.col(duration), 0.95) if exact else F.percentile_approx(F.col(duration), 0.95, 1000)
-    per = slow.groupBy(group).agg(F.count(F.lit(1)).alias("slow_count"), p95.cast("double").alias("p95_duration"),
-                                  F.sum(scan).alias("scan_rows"))
-    return top, per
+    v = F.col(duration).cast("double")
+    aggs = [] if exact else [F.percentile_approx(v, 0.95, 1000).alias("_q0")]
+    per = slow.groupBy(group).agg(F.count(F.lit(1)).alias("slow_count"), F.sum(scan).alias("scan_rows"), *aggs)
+    if exact:
+        per = _with_quantiles(per, slow, v, [group], [0.95])
+    return top, per.select(group, "slow_count", F.col("_q0").alias("p95_duration"), "scan_rows")
 
 
 def group_concurrency(log: DataFrame, limits: DataFrame, group="group_name", start="start_ts", duration="duration_s",

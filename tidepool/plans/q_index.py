@@ -12,7 +12,7 @@ from tidepool.operators import quality as qa
 from tidepool.operators import views as vw
 from tidepool.plans import fixtures as fx
 from tidepool.plans.q_search import KEYWORD, T7_ALL_SQL, T7_SQL, T16_SQL, T20_SQL, TWO_WORDS, _tok
-from tidepool.session import cut_lineage, load
+from tidepool.session import cut_lineage, load, scratch_path
 
 
 def _postings(spark, sf):
@@ -49,9 +49,10 @@ T19_ALL_SQL = f"SELECT DISTINCT source_table, id, tie FROM ({T7_ALL_SQL})"
 
 def t12_bm25(spark, sf):
     post, lengths = _postings(spark, sf)
-    # postings are read by three branches (hits, document frequencies, per-row lengths join):
-    # materialised once, as a written index would be
-    return ix.bm25(cut_lineage(post, "postings"), lengths, TWO_WORDS).withColumn("score", F.round("score", 6))
+    root = scratch_path(spark, f"bm25-{uuid.uuid4().hex}")
+    ix.write_index(post, lengths, root, buckets=32)
+    return ix.bm25(ix.read_postings(spark, root), ix.read_stats(spark, root), TWO_WORDS) \
+        .withColumn("score", F.round("score", 6))
 
 
 T12_BM25_SQL = f"""WITH docs AS (
@@ -103,6 +104,14 @@ def x2_bitmap_or(spark, sf):
 X2_OR_SQL = "SELECT COUNT(*) AS rows FROM events WHERE event_type = 'error' OR user_id IN (3, 5, 7)"
 
 
+def x2_bitmap_ids(spark, sf):
+    idx = ix.build_bitmap_index(load(spark, sf, "events"), ["event_type", "user_id"], "event_id")
+    return ix.bitmap_ids(idx, {"event_type": ["click", "view"], "user_id": list(range(0, 40))}, "and")
+
+
+X2_IDS_SQL = "SELECT event_id AS id FROM events WHERE event_type IN ('click', 'view') AND user_id < 40"
+
+
 def x3_layout(spark, sf):
     r = ix.recommend_layout(load(spark, sf, "orders"), exact=True)
     return r.select("column", "type", "ndv", F.round("null_share", 6).alias("null_share"),
@@ -139,7 +148,6 @@ def _round_view(df):
 
 def v1_full_refresh(spark, sf):
     """V1: the view's first version over the older rows, then a full refresh over all, read back."""
-    from tidepool.session import scratch_path
     from tidepool.sources import loading
     li, root = load(spark, sf, "lineitem"), scratch_path(spark, f"v1-{uuid.uuid4().hex}")
     for rows in (li.where(F.col("l_shipdate") < F.lit(VIEW_CUT).cast("timestamp_ntz")), li):
@@ -153,7 +161,6 @@ max(l_extendedprice) AS max_price, round(avg(l_discount), 6) AS avg_disc FROM li
 
 def v2_incremental(spark, sf):
     """V2: stored states of the older rows, then an incremental refresh by the appended ones."""
-    from tidepool.session import scratch_path
     li, root = load(spark, sf, "lineitem"), scratch_path(spark, f"v2-{uuid.uuid4().hex}")
     cut = F.lit(VIEW_CUT).cast("timestamp_ntz")
     for rows in (li.where(F.col("l_shipdate") < cut), li.where(F.col("l_shipdate") >= cut)):
@@ -180,7 +187,6 @@ V2_SKETCH_SQL = """SELECT l_returnflag, l_linestatus, COUNT(DISTINCT l_partkey)
 def v3_touched_partitions(spark, sf):
     """V3: a per-day view stored by month; the months that later rows touch are computed again from
     the base and replace their partitions, the others stay."""
-    from tidepool.session import scratch_path
     cut = F.lit(VIEW_CUT).cast("timestamp_ntz")
     li = load(spark, sf, "lineitem").withColumn("m", F.trunc(F.to_date("l_shipdate"), "month"))
 
@@ -323,6 +329,7 @@ QUERIES = {
     "x1_bitmap_index": (x1_bitmap_index, X1_SQL),
     "x2_bitmap_and": (x2_bitmap_and, X2_AND_SQL),
     "x2_bitmap_or": (x2_bitmap_or, X2_OR_SQL),
+    "x2_bitmap_ids": (x2_bitmap_ids, X2_IDS_SQL),
     "x3_layout": (x3_layout, X3_SQL),
     "v1_full_refresh": (v1_full_refresh, V_SQL),
     "v2_incremental": (v2_incremental, V_SQL),
@@ -356,7 +363,6 @@ QUERIES["t19_index_hits"] = (t19_index_hits, T7_SQL)
 def t16_search_page_store(spark, sf):
     """T16 over a written index and doc store: the same page as the flagship scan search."""
     import uuid
-    from tidepool.session import scratch_path
     tabs = fx.search_tables(spark, sf)
     root = scratch_path(spark, f"t16store-{uuid.uuid4().hex}")
     post, lengths = ix.build_inverted_index(tabs)
@@ -374,7 +380,6 @@ def t19_written_index(spark, sf):
     """T19 on the written form: an index stored with another bucket count than the default, read back."""
     import uuid
 
-    from tidepool.session import scratch_path
     root = scratch_path(spark, f"t19written-{uuid.uuid4().hex}")
     post, lengths = ix.build_inverted_index(fx.search_tables(spark, sf))
     ix.write_index(post, lengths, root, buckets=16)
