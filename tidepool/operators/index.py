@@ -57,10 +57,12 @@ def build_inverted_index(tables: list[SearchTable], parser: str = "standard",
     rows = rows.repartition(n, "source_table", "id", "tie")
     long = rows.select("source_table", "id", "tie", F.explode("p").alias("p")) \
         .select("source_table", "id", "tie", F.col("p.field").alias("field"), tx.tokens(F.col("p.value"), parser).alias("toks"))
-    length = F.coalesce(F.size("toks"), F.lit(0)).alias("length")
-    lengths = long.select("source_table", "field", "id", "tie", length)
-    post = long.select("source_table", "field", "id", "tie", length, F.posexplode("toks").alias("pos", "token")) \
-        .groupBy("source_table", "field", "id", "tie", "length", "token") \
+    # the length before the explode, so that no token row drags the token array along; the outer
+    # form, because the inner one infers a filter that tokenises every text a second time
+    sized = long.withColumn("length", F.coalesce(F.size("toks"), F.lit(0)))
+    lengths = sized.select("source_table", "field", "id", "tie", "length")
+    post = sized.select("source_table", "field", "id", "tie", "length", F.posexplode_outer("toks").alias("pos", "token")) \
+        .where("token IS NOT NULL").groupBy("source_table", "field", "id", "tie", "length", "token") \
         .agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
     return post, lengths
 
