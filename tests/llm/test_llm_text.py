@@ -221,6 +221,22 @@ def test_decontamination_without_broadcast_is_the_same(spark, monkeypatch):
     assert sorted(map(tuple, decontam.decontaminate(frame(spark, rows), bench).collect())) == want
 
 
+def flagged(spark, rows, item):
+    bench = frame(spark, [(1, item)], "item_id long, text string")
+    return {r.doc_id for r in decontam.decontaminate(frame(spark, rows), bench).collect() if r.contaminated}
+
+
+def test_decontamination_does_not_depend_on_what_stands_before(spark):
+    item = "What is the capital of France?"
+    rows = [(1, "Question: " + item), (2, "we ask " + item + " Paris"), (3, item.upper()), (4, "Question:\n " + item.replace(" ", "  ")),
+            (5, "What is the height of France?"), (6, "the capital of France")]
+    assert flagged(spark, rows, item) == {1, 2, 3, 4}
+    item = "Anton sells seven apples to the man who came with 5 kg of plums"
+    rows = [(1, item.replace("Anton", "Berta")), (2, "Then " + item.replace("5", "6")), (3, item.replace("Anton", "New York")),
+            (4, "Anton sold seven pears to a man who left with 5 kg of plums")]
+    assert flagged(spark, rows, item) == {1, 2, 3}
+
+
 # --- language ID
 
 def test_language_mixtures():

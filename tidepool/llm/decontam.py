@@ -11,6 +11,11 @@ Forms (the same regular expressions serve both engines):
   number  digits, with . or , between them
   unit    one of UNITS after a number and one blank
 A slot's mark is a private-use character; such characters in the input are dropped.
+
+That form of a word depends on its left neighbour, so every text is brought to two further forms,
+each with windows of its own, in which it does not; blanks are one blank each there:
+  folded  numbers and units are slots, names are words: other case, another lead-in
+  typed   every capitalised word is a name too, a run of them one: names at a sentence's start
 """
 
 from __future__ import annotations
@@ -28,19 +33,30 @@ UNITS = ("kg|km|cm|mm|ml|mg|g|m|l|s|h|min|hours|hour|minutes|minute|seconds|seco
 #: window rows of the benchmark that may be broadcast (about 100 bytes each)
 MAX_BROADCAST_WINDOWS = 200_000
 SIZE, MIN_WORDS = 8, 4
+LEFT, FOLDED, TYPED = FORMS = range(3)
 NAMES = r" (?<=[\p{Ll},;:] )(\p{Lu}\p{Ll}+)"
 NUMBERS = r"([0-9]+(?:[.,][0-9]+)*)"
 NO_WORD = rf"[^\p{{L}}\p{{N}}{MARKS}]+"
+#: between the names of a run
+LINK = "\ue003"
+RUNS = r"(?<![\p{L}\p{N}])(\p{Lu}\p{Ll}+) (?=\p{Lu}\p{Ll})"
+ANY_NAME = rf"(?<![\p{{L}}\p{{N}}])(\p{{Lu}}\p{{Ll}}+(?:{LINK}\p{{Lu}}\p{{Ll}}+)*)"
 
 
-def template_words(text: Column, values: bool = False) -> Column:
-    """The template's words; with ``values`` each slot's mark is followed by its value.  Both forms
-    of a text have the same number of words.  Steps that need a digit or a mark in the text are
-    left out without one; no step is evaluated twice."""
+def template_words(text: Column, values: bool = False, form: int = LEFT) -> Column:
+    """The template's words; with ``values`` each slot's mark is followed by its value.  Both are of
+    the same number of words.  Steps that need a digit or a mark in the text are left out without
+    one; no step is evaluated twice."""
     text = F.coalesce(text, F.lit(""))
-    has_mark = text.contains(NUM) | text.contains(NAME) | text.contains(UNIT)
-    t = F.when(has_mark, F.regexp_replace(text, f"[{MARKS}]", "")).otherwise(text)
-    t = F.lower(F.regexp_replace(t, NAMES, f" {NAME}$1" if values else f" {NAME}"))
+    if form == LEFT:
+        has_mark = text.contains(NUM) | text.contains(NAME) | text.contains(UNIT)
+        t = F.when(has_mark, F.regexp_replace(text, f"[{MARKS}]", "")).otherwise(text)
+        t = F.lower(F.regexp_replace(t, NAMES, f" {NAME}$1" if values else f" {NAME}"))
+    else:
+        t = F.regexp_replace(F.regexp_replace(text, f"[{MARKS}{LINK}]", ""), r"[\s\u00a0]+", " ")
+        if form == TYPED:
+            t = F.regexp_replace(F.regexp_replace(t, RUNS, f"$1{LINK}"), ANY_NAME, f"{NAME}$1" if values else NAME)
+        t = F.lower(t)
     digits = "[0-9.,]*[0-9]" if values else ""
     n = F.regexp_replace(t, NUMBERS, f"{NUM}$1" if values else NUM)
     n = F.regexp_replace(n, rf"({NUM}{digits}) ({UNITS})($|[^\p{{L}}\p{{N}}])", f"$1 {UNIT}$2$3" if values else f"$1 {UNIT}$3")
@@ -48,7 +64,7 @@ def template_words(text: Column, values: bool = False) -> Column:
         for _ in range(2):
             n = F.regexp_replace(n, r"([0-9])[.,]([0-9])", "$1$2")
     t = F.when(text.rlike("[0-9]"), n).otherwise(t)
-    return F.array_remove(F.split(t, NO_WORD), "")
+    return F.array_remove(F.split(t, NO_WORD if form != TYPED else NO_WORD.replace("]+", LINK + "]+")), "")
 
 
 def _windows(rows: DataFrame, size: int) -> DataFrame:
@@ -60,69 +76,84 @@ def _windows(rows: DataFrame, size: int) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """(item_id, at, hash, window, raw) of the benchmark's windows; an item of fewer words, but
-    ``MIN_WORDS`` at least, is one window.  Windows with more slots than plain words are too
-    general to count."""
-    rows = own_columns(benchmark, "item_id", "text").where("item_id IS NOT NULL").select(
-        "item_id", template_words(F.col("text"), True).alias("raw"), template_words(F.col("text")).alias("words"))
-    n = F.size("words")
-    long = _windows(rows.where(n >= size), size).withColumn("raw", F.expr(f"slice(raw, at, {size})"))
-    short = rows.where((n >= MIN_WORDS) & (n < size)).select("item_id", "raw", "words", F.lit(1).alias("at"), F.col("words").alias("window"))
-    cols = ["item_id", "at", "window", "raw"]
-    plain = F.size(F.filter("window", lambda w: ~w.rlike(f"[{MARKS}]")))
-    return long.select(*cols).union(short.select(*cols)).where(2 * plain >= F.size("window")).withColumn(
-        "hash", F.xxhash64("window"))
-
-
-def contamination(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """(doc_id, item_id, n_windows): consistent template matches of documents with benchmark items;
-    n_windows counts the different benchmark windows met."""
-    held = benchmark_windows(benchmark, size).persist()
-    keys = held.select("hash", F.size("window").alias("len")).distinct()
-    lengths = [r["len"] for r in keys.select("len").distinct().collect()]  # at most `size` values
+    """(form, item_id, at, hash, window, raw) of the benchmark's windows.  An item of
+    fewer words than a window, but ``MIN_WORDS`` at least, is one window, and windows with more
+    slots than plain words are too general to count."""
+    items = own_columns(benchmark, "item_id", "text").where("item_id IS NOT NULL")
+    n, cols, out = F.size("words"), ["form", "item_id", "at", "window", "raw"], None
+    for form in FORMS:
+        rows = items.select(F.lit(form).alias("form"), "item_id", template_words(F.col("text"), True, form).alias("raw"),
+                            template_words(F.col("text"), False, form).alias("words"))
+        long = _windows(rows.where(n >= size), size).withColumn("raw", F.expr(f"slice(raw, at, {size})"))
+        short = rows.where((n >= MIN_WORDS) & (n < size)).select(
+            "form", "item_id", "raw", "words", F.lit(1).alias("at"), F.col("words").alias("window"))
+        own = long.select(*cols).union(short.select(*cols))
+        plain = F.size(F.filter("window", lambda w: ~w.rlike(f"[{MARKS}]")))
+        own = own.where(2 * plain >= F.size("window"))
+        out = own if out is None else out.union(own)
+    return out.withColumn("hash", F.xxhash64("window"))
+
+
+def _contamination(documents: DataFrame, held: DataFrame) -> DataFrame:
+    """(form, doc_id, item_id, n_windows) of documents with the stored benchmark windows ``held``."""
+    keys = held.select("form", "hash", F.size("window").alias("len")).distinct()
+    sizes = [(r["form"], r["len"]) for r in keys.select("form", "len").distinct().collect()]  # at most `size` values a form
     few = keys.count() <= MAX_BROADCAST_WINDOWS
     docs = own_columns(documents, "doc_id", "text").where("doc_id IS NOT NULL")
-    rows = docs.select("doc_id", template_words(F.col("text")).alias("words"))
     hits = None
-    for length in sorted(lengths):  # one pass for whole windows, one for each length of short items
-        own = keys.where(F.col("len") == length).select("hash")
+    for form, length in sorted(sizes):  # a form's one pass for whole windows, one for each length of short items
+        own = keys.where((F.col("form") == form) & (F.col("len") == length)).select("hash")
+        rows = docs.select("doc_id", template_words(F.col("text"), False, form).alias("words"))
         found = _windows(rows, length).select("doc_id", "at", F.xxhash64("window").alias("hash")).join(
-            F.broadcast(own) if few else own, "hash").select("doc_id", "at", "hash", F.lit(length).alias("len"))
+            F.broadcast(own) if few else own, "hash").select(F.lit(form).alias("form"), "doc_id", "at", "hash", F.lit(length).alias("len"))
         hits = found if hits is None else hits.union(found)
     if hits is None:
-        hits = rows.select("doc_id", F.lit(0).alias("at"), F.lit(0).cast("long").alias("hash"), F.lit(1).alias("len")).where("false")
-
-    # texts of the documents that were hit, with their slot values
-    places = hits.groupBy("doc_id").agg(F.collect_set(F.struct("at", "len", "hash")).alias("places"))
-    texts = docs.join(places, "doc_id").select("doc_id", template_words(F.col("text"), True).alias("raw"),
-                                               template_words(F.col("text")).alias("words"), "places")
-    met = texts.select("doc_id", "raw", "words", F.explode("places").alias("p")).select(
-        "doc_id", F.expr("slice(raw, p.at, p.len)").alias("own"), F.expr("slice(words, p.at, p.len)").alias("own_window"),
+        hits = docs.select(F.lit(LEFT).alias("form"), "doc_id", F.lit(0).alias("at"), F.lit(0).cast("long").alias("hash"),
+                           F.lit(1).alias("len")).where("false")
+
+    # texts of the documents that were hit, with their slot values; one row for each form that hit
+    places = hits.groupBy("doc_id", "form").agg(F.collect_set(F.struct("at", "len", "hash")).alias("places"))
+
+    def words(values: bool) -> Column:
+        by = None
+        for k in FORMS:
+            this = template_words(F.col("text"), values, k)
+            by = F.when(F.col("form") == k, this) if by is None else by.when(F.col("form") == k, this)
+        return by
+
+    texts = docs.join(places, "doc_id").select("doc_id", "form", words(True).alias("raw"), words(False).alias("words"), "places")
+    met = texts.select("doc_id", "form", "raw", "words", F.explode("places").alias("p")).select(
+        "doc_id", "form", F.expr("slice(raw, p.at, p.len)").alias("own"), F.expr("slice(words, p.at, p.len)").alias("own_window"),
         F.col("p.hash").alias("hash"))
-    both = met.join(F.broadcast(held) if few else held, "hash").where("own_window = window")
+    both = met.join(F.broadcast(held) if few else held, ["form", "hash"]).where("own_window = window")
     slots = F.filter(F.arrays_zip(F.col("window").alias("w"), F.col("raw").alias("a"), F.col("own").alias("b")),
                      lambda s: s["w"].rlike(f"[{MARKS}]"))
     # one window: a value of the item stands for one value of the document, and the other way round
     sized = lambda f: F.size(F.array_distinct(F.transform("slots", f)))
-    both = both.select("doc_id", "item_id", "at", slots.alias("slots")).where(
+    both = both.select("form", "doc_id", "item_id", "at", slots.alias("slots")).where(
         (sized(lambda s: F.struct(s["a"], s["b"])) == sized(lambda s: s["a"]))
         & (sized(lambda s: F.struct(s["a"], s["b"])) == sized(lambda s: s["b"])))
-    return both.groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("n_windows"))
+    return both.groupBy("form", "doc_id", "item_id").agg(F.count_distinct("at").alias("n_windows"))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = SIZE, min_windows: int = 3) -> DataFrame:
     """Per document: doc_id, n_items, n_windows, contaminated.
 
-    A document is contaminated if for some item at least ``min_windows`` of its windows, or all of
-    them if it has fewer, are met with consistent slots.  n_items counts such items and n_windows
-    their windows met.  Rows that repeat a doc_id are returned each, judged together.  A null, empty
-    or blank text and a null doc_id are clean; a benchmark without texts leaves every document
-    clean.  No document gives no row.  Other columns are ignored.
+    A document is contaminated if for some item and some form at least ``min_windows`` of the item's
+    windows in that form, or all of them if it has fewer, are met with consistent slots.  n_items
+    counts such items and n_windows their windows met, in the first of the forms that tells.
+    Rows that repeat a doc_id are returned each, judged together.  A null, empty or blank text and
+    a null doc_id are clean; a benchmark without texts leaves every document clean.  No document
+    gives no row.  Other columns are ignored.
+
+    ``ORACLE`` knows the first form only: it is a lower bound where another form meets an item.
     """
-    total = benchmark_windows(benchmark, size).groupBy("item_id").agg(F.count_distinct("at").alias("total"))
-    met = contamination(documents, benchmark, size).join(total, "item_id").where(
+    held = benchmark_windows(benchmark, size).persist()
+    total = held.groupBy("form", "item_id").agg(F.count_distinct("at").alias("total"))
+    met = _contamination(documents, held).join(total, ["form", "item_id"]).where(
         F.col("n_windows") >= F.least(F.lit(min_windows), "total"))
-    leaks = met.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum("n_windows").alias("n_windows"))
+    items = met.groupBy("doc_id", "item_id").agg(F.min(F.struct("form", "n_windows"))["n_windows"].alias("n_windows"))
+    leaks = items.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum("n_windows").alias("n_windows"))
     return own_columns(documents, "doc_id").join(leaks, "doc_id", "left").select(
         "doc_id", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.col("n_items").isNotNull().alias("contaminated"))
