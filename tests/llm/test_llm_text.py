@@ -237,6 +237,15 @@ def test_decontamination_does_not_depend_on_what_stands_before(spark):
     assert flagged(spark, rows, item) == {1, 2, 3}
 
 
+def test_decontamination_keeps_items_of_many_slots_and_few_words(spark):
+    rows = [(1, "so: What is 12 + 7 - 3? It is"), (2, "What is 12 + 8 - 3?"), (3, "what is this")]
+    assert flagged(spark, rows, "What is 12 + 7 - 3?") == {1}
+    rows = [(1, "He said: Define entropy briefly. Then"), (2, "define entropy"), (3, "define entropy, very briefly")]
+    assert flagged(spark, rows, "Define entropy briefly.") == {1}
+    item = "Scores: 3 4 5 6 7 8 9 10 11 12 13"
+    assert flagged(spark, [(1, "x " + item), (2, "x " + item.replace("6", "7"))], item) == {1}
+
+
 # --- language ID
 
 def test_language_mixtures():

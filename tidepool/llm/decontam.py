@@ -12,10 +12,11 @@ Forms (the same regular expressions serve both engines):
   unit    one of UNITS after a number and one blank
 A slot's mark is a private-use character; such characters in the input are dropped.
 
-That form of a word depends on its left neighbour, so every text is brought to two further forms,
+That form of a word depends on its left neighbour, so every text is brought to three further forms,
 each with windows of its own, in which it does not; blanks are one blank each there:
   folded  numbers and units are slots, names are words: other case, another lead-in
   typed   every capitalised word is a name too, a run of them one: names at a sentence's start
+  exact   no slots at all: passages of any length and with any share of numbers and names, verbatim
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ UNITS = ("kg|km|cm|mm|ml|mg|g|m|l|s|h|min|hours|hour|minutes|minute|seconds|seco
 #: window rows of the benchmark that may be broadcast (about 100 bytes each)
 MAX_BROADCAST_WINDOWS = 200_000
 SIZE, MIN_WORDS = 8, 4
-LEFT, FOLDED, TYPED = FORMS = range(3)
+LEFT, FOLDED, TYPED, EXACT = FORMS = range(4)
 NAMES = r" (?<=[\p{Ll},;:] )(\p{Lu}\p{Ll}+)"
 NUMBERS = r"([0-9]+(?:[.,][0-9]+)*)"
 NO_WORD = rf"[^\p{{L}}\p{{N}}{MARKS}]+"
@@ -48,6 +49,8 @@ def template_words(text: Column, values: bool = False, form: int = LEFT) -> Colu
     the same number of words.  Steps that need a digit or a mark in the text are left out without
     one; no step is evaluated twice."""
     text = F.coalesce(text, F.lit(""))
+    if form == EXACT:
+        return F.array_remove(F.split(F.lower(F.regexp_replace(text, f"[{MARKS}{LINK}]", "")), NO_WORD), "")
     if form == LEFT:
         has_mark = text.contains(NUM) | text.contains(NAME) | text.contains(UNIT)
         t = F.when(has_mark, F.regexp_replace(text, f"[{MARKS}]", "")).otherwise(text)
@@ -76,20 +79,22 @@ def _windows(rows: DataFrame, size: int) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """(form, item_id, at, hash, window, raw) of the benchmark's windows.  An item of
-    fewer words than a window, but ``MIN_WORDS`` at least, is one window, and windows with more
-    slots than plain words are too general to count."""
+    """(form, item_id, at, hash, window, raw) of the benchmark's windows.  In the forms with slots an
+    item of fewer words than a window, but ``MIN_WORDS`` at least, is one window, and windows with
+    more slots than plain words are too general to count.  The exact form has all windows of all
+    items, one of a shorter item however short."""
     items = own_columns(benchmark, "item_id", "text").where("item_id IS NOT NULL")
     n, cols, out = F.size("words"), ["form", "item_id", "at", "window", "raw"], None
     for form in FORMS:
         rows = items.select(F.lit(form).alias("form"), "item_id", template_words(F.col("text"), True, form).alias("raw"),
                             template_words(F.col("text"), False, form).alias("words"))
         long = _windows(rows.where(n >= size), size).withColumn("raw", F.expr(f"slice(raw, at, {size})"))
-        short = rows.where((n >= MIN_WORDS) & (n < size)).select(
+        short = rows.where((n >= (1 if form == EXACT else MIN_WORDS)) & (n < size)).select(
             "form", "item_id", "raw", "words", F.lit(1).alias("at"), F.col("words").alias("window"))
         own = long.select(*cols).union(short.select(*cols))
-        plain = F.size(F.filter("window", lambda w: ~w.rlike(f"[{MARKS}]")))
-        own = own.where(2 * plain >= F.size("window"))
+        if form != EXACT:
+            plain = F.size(F.filter("window", lambda w: ~w.rlike(f"[{MARKS}]")))
+            own = own.where(2 * plain >= F.size("window"))
         out = own if out is None else out.union(own)
     return out.withColumn("hash", F.xxhash64("window"))
 
@@ -141,7 +146,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = SIZE,
 
     A document is contaminated if for some item and some form at least ``min_windows`` of the item's
     windows in that form, or all of them if it has fewer, are met with consistent slots.  n_items
-    counts such items and n_windows their windows met, in the first of the forms that tells.
+    counts such items and n_windows their windows met, in the first of the forms that tells.  So
+    a verbatim copy is met whatever its length, numbers, names, case and lead-in; words alone
+    count, not the signs between them, and an item of one word is met wherever that word stands.
     Rows that repeat a doc_id are returned each, judged together.  A null, empty or blank text and
     a null doc_id are clean; a benchmark without texts leaves every document clean.  No document
     gives no row.  Other columns are ignored.
