@@ -96,6 +96,33 @@ def test_audit_widens_the_beam():
     assert sorted(again.search(q, 0.93)) == sorted(graph.search(q, 0.93))
 
 
+def hot_and_pairs():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((900, 32))
+    x[:300] = x[0] + rng.standard_normal((300, 32)) * 0.02
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_audit_sees_misses_beside_a_hot_group():
+    class HotOnly(hnsw.Graph):
+        def search(self, q, least, own=None):
+            return np.arange(900) if self.exact else np.arange(300)
+
+    graph = HotOnly(hot_and_pairs())
+    assert graph.audit(0.93) < hnsw.AUDIT_RECALL and graph.exact
+
+
+def test_a_graph_in_parts_is_searched_by_brute_force():
+    x = hot_and_pairs()
+    graph = hnsw.Graph(x).build(list(range(900)))
+    graph.count[:] = 0
+    graph.audit(0.93)
+    again = hnsw.Graph.load(graph.dump(), x)
+    for k in (5, 450, 899):
+        found = again.search(x[k], 0.93)
+        assert set(np.flatnonzero(x @ x[k] >= 0.93)) <= set(found)
+
+
 # --- chats
 
 CHAT = "conv_id long, turn long, role string, text string"

@@ -2,8 +2,9 @@
 
 Vectors are comparable within a label (and dimension).  A label's vectors are dealt into shards of
 bounded size by hash; each shard builds its graph in one task and audits it: planted queries, near
-its own vectors at just above the threshold, must find what brute force over the shard finds, or
-the beam is widened and the audit repeated.  Then every vector queries every shard of its label in
+its own vectors at just above the threshold, must find what brute force over the shard finds, query
+by query and in small groups as in large ones, or the beam is widened and the audit repeated; a shard
+that fails with its widest beam is searched by brute force.  Then every vector queries every shard of its label in
 blocks; what the beams find is verified by cosine in double precision, counted, and joined into
 components.  A block reports a spanning forest of its links, never the pairs.
 
@@ -51,6 +52,7 @@ class Graph:
         self.upper: list[dict[int, list[int]]] = []
         self.entry = 0
         self.ef = EF_START
+        self.exact = False
 
     def build(self, ids: list[int]) -> Graph:
         for k, i in enumerate(ids):
@@ -164,6 +166,8 @@ class Graph:
         """Nodes found at cosine ``least`` or nearer, and some a little farther: the walk goes on
         through nodes within ``WALK`` of the threshold, as links often lie behind such."""
         q = q.astype(np.float32)
+        if self.exact:
+            return np.flatnonzero(self.x @ q >= least - WALK)
         start = [self.entry]
         for lv in range(len(self.upper), 0, -1):
             start = [max(self._beam(q, start, 1, lv))[1]]
@@ -173,7 +177,9 @@ class Graph:
         return np.array([k for s, k in self._beam(q, start, self.ef, 0, floor) if s >= floor], np.int64)
 
     def audit(self, least: float) -> float:
-        """Widen the beam until planted queries recall what brute force finds; the last recall."""
+        """Widen the beam until planted queries recall what brute force finds, on average over those
+        of few true links and over those of many; the lower of the last recalls.  If the widest beam
+        fails, the graph is given up for brute force."""
         n, dim = self.x.shape
         rng = np.random.default_rng(n)
         base = self.x[rng.permutation(n)[:AUDIT]].astype(np.float64)
@@ -184,18 +190,22 @@ class Graph:
         cos = least + (1 - least) * rng.uniform(0.05, 0.5, (len(base), 1))
         queries = base * cos + noise * np.sqrt(1 - cos * cos)
         truth = [np.flatnonzero(self.x @ q.astype(np.float32) >= least + 1e-4) for q in queries]
-        total = sum(map(len, truth))
+        sizes = np.array([len(t) for t in truth])
+        # over queries, not links, so that a large group does not outweigh the others
+        strata = [own for own in (np.flatnonzero((sizes > 0) & (sizes <= M)), np.flatnonzero(sizes > M)) if len(own)]
         while True:
-            hit = sum(len(np.intersect1d(t, self.search(q, least), assume_unique=True)) for t, q in zip(truth, queries, strict=True))
-            if hit >= AUDIT_RECALL * total or self.ef >= n:
-                return hit / total if total else 1.0
+            hits = np.array([len(np.intersect1d(t, self.search(q, least), assume_unique=True)) for t, q in zip(truth, queries, strict=True)])
+            recall = min([float((hits[own] / sizes[own]).mean()) for own in strata], default=1.0)
+            if recall >= AUDIT_RECALL or self.ef >= n:
+                self.exact = recall < AUDIT_RECALL
+                return recall
             self.ef *= 2
 
     def dump(self) -> bytes:
         out = io.BytesIO()
         flat = [(lv, a, b) for lv, links in enumerate(self.upper) for a, own in links.items() for b in own]
         np.savez(out, near=self.near, count=self.count, flat=np.array(flat, np.int32).reshape(-1, 3),
-                 head=np.array([len(self.upper), self.entry, self.ef], np.int64))
+                 head=np.array([len(self.upper), self.entry, self.ef, self.exact], np.int64))
         return out.getvalue()
 
     @classmethod
@@ -203,7 +213,7 @@ class Graph:
         parts = np.load(io.BytesIO(raw))
         own = cls(x)
         own.near, own.count = parts["near"], parts["count"]
-        levels, own.entry, own.ef = (int(v) for v in parts["head"])
+        levels, own.entry, own.ef, own.exact = (int(v) for v in parts["head"])
         own.upper = [{} for _ in range(levels)]
         for lv, a, b in parts["flat"].tolist():
             own.upper[lv].setdefault(a, []).append(b)
