@@ -213,6 +213,25 @@ def test_ranks_and_tokenizer_give_the_same_ids(spark):
     assert [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)] == [own(t) for t in texts]
 
 
+def test_added_tokens_in_texts_are_those_of_the_unchanged_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "x<|endoftext|", "don't <|endoftext|> é日本 \x00 1234567",
+             "<|endoftext|>\n" * 2000, "", "none"]
+    ids = [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+    own = packing.encoder(added=True)
+    assert [own(t) for t in texts] == ids and ids[0] == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in packing.pack(docs).collect()}
+    want = {}
+    for i, row in enumerate(ids):
+        row = np.array([*row, 0], "<u4")
+        for k, (at, n) in enumerate(packing.cut(len(row), 2048)):
+            want[i, k] = (n, zlib.crc32(row[at:at + n].tobytes()))
+    assert got == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 9), max_size=25))
 def test_plan_packs_everything_once(counts):

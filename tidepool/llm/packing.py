@@ -10,6 +10,7 @@ pieces by their rank among pieces of the same length.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import Counter
 
@@ -25,16 +26,25 @@ END_ID = 0
 SALTS = 64
 
 
-def encoder(vocabulary: str = "byte_bpe_50k"):
+def encoder(vocabulary: str = "byte_bpe_50k", added: bool = False):
     """texts -> lists of ids.  The public tokenizer ``<vocabulary>.json`` and its rank file hold the
     same vocabulary and give the same ids (a test compares them); the ranks are several times
-    faster.  Names of special tokens in a text are ordinary text."""
+    faster.  With ``added``, names of the added tokens in a text are those tokens, as they are to the
+    public tokenizer by default; otherwise they are ordinary text."""
     import public_tokenizers
     import tiktoken
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return coder.encode_ordinary
+    named = {}
+    if added:
+        with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as lines:
+            tokens = json.load(lines)["added_tokens"]
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens):
+            raise ValueError(f"{vocabulary}: added tokens that depend on their neighbours")
+        named = {t["content"]: t["id"] for t in tokens}
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if v not in named.values()},
+                              special_tokens=named)
+    return (lambda text: coder.encode(text, allowed_special="all")) if added else coder.encode_ordinary
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -48,7 +58,7 @@ def _pieces(vocabulary: str, size: int):
 
     def work(batch):
         if not held:
-            held.append(encoder(vocabulary))
+            held.append(encoder(vocabulary, added=True))
         ids_out, piece, start, length, crc = [], [], [], [], []
         for doc_id, text in batch_rows(batch, "doc_id", "text"):
             ids = np.array([*held[0](text or ""), END_ID], "<u4")
@@ -65,7 +75,8 @@ def _pieces(vocabulary: str, size: int):
 
 
 def token_pieces(documents: DataFrame, size: int = SIZE, vocabulary: str = "byte_bpe_50k") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document's ids, end id included."""
+    """(doc_id, piece, start, length, ids_crc32) of every document's ids, end id included.  The ids are
+    those of the public tokenizer as it is, names of added tokens in a text included."""
     docs = own_columns(documents, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     return docs.mapInArrow(_pieces(vocabulary, size), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
