@@ -3,11 +3,15 @@
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and returns a frame that
 is written as Parquet and read again as the next one's ``docs``; all but the last return the
 columns of ``documents`` (doc_id, text, lang, source, n_chars).
+
+Every row is a document of its own, whatever its doc_id: decisions are made and carried by a number
+that each stage gives to its rows, so rows without a doc_id stay, and rows that share one are judged
+each by its own text.  Rows that repeat both doc_id and text are one document from line dedup on.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm import decontam, langid, lines, minhash, packing
@@ -18,36 +22,64 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 MIN_SHARE = 0.4
 
 
-def _with_decision(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """Each document with what was decided by doc_id (one decision per id)."""
-    return own_columns(docs, *COLUMNS).join(decided.dropDuplicates(["doc_id"]), "doc_id")
+def _numbered(docs: DataFrame, *order) -> DataFrame:
+    """The documents with ``row``, a number of each row's own, that rises with ``order``; stored, so
+    that it stays the same however often it is read."""
+    rows = own_columns(docs, *COLUMNS)
+    rows = rows.orderBy(*order) if order else rows
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """What an operator gets: the row's number is its doc_id."""
+    return rows.select(F.col("row").alias("doc_id"), "text")
+
+
+def _with_decision(rows: DataFrame, decided: DataFrame) -> DataFrame:
+    """Each document with what was decided by its row."""
+    return rows.join(decided.withColumnRenamed("doc_id", "row"), "row")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without a main language (one of ``MIN_SHARE`` of the text); ``lang``
-    becomes the language found."""
-    found = langid.identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE))
-    return _with_decision(docs, found.select("doc_id", "lang_pred")).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    becomes the language found.  Where no row tells a language to learn, only documents without a
+    letter go, and ``lang`` stays."""
+    model = langid.train(docs)
+    rows = own_columns(docs, *COLUMNS)
+    if not model.langs:
+        return rows.where(F.col("text").rlike(r"\p{L}"))
+    # the operator hands its doc_id through, so the other columns ride on it and nothing is joined
+    rides = rows.select(F.struct("doc_id", "source", "n_chars").alias("doc_id"), "text")
+    found = langid.predict(rides, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE))
+    return found.select("doc_id.doc_id", "text", F.col("lang_pred").alias("lang"), "doc_id.source", "doc_id.n_chars")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one of them; a document left without any text goes."""
-    kept = lines.dedup_lines(docs).select("doc_id", F.col("kept_text").alias("new"))
-    out = _with_decision(docs, kept).withColumn("text", F.col("new"))
+    """Lines that many documents share stay in one of them, that of the greatest doc_id (one without a
+    doc_id comes last); a document left without any text goes.  Of rows that repeat doc_id and text
+    one stays."""
+    same = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy("source", "n_chars", "lang")
+    once = own_columns(docs, *COLUMNS).withColumn("k", F.row_number().over(same)).where("k = 1")
+    rows = _numbered(once, "doc_id", F.xxhash64("text"))
+    kept = lines.dedup_lines(_by_row(rows)).select("doc_id", F.col("kept_text").alias("new"))
+    out = _with_decision(rows, kept).withColumn("text", F.col("new"))
     return out.where(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0).withColumn(
         "n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the least doc_id."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return _with_decision(docs, kept).select(*COLUMNS)
+    """One document of each group of near copies stays, the one of the least doc_id (one without a
+    doc_id comes last); so of repeated rows one stays."""
+    rows = _numbered(docs, F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    kept = minhash.near_duplicates(_by_row(rows)).where("kept").select("doc_id")
+    return _with_decision(rows, kept).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    clean = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select("doc_id")
-    return _with_decision(docs, clean).select(*COLUMNS)
+    """Documents that hold a benchmark passage go; each row is judged by its own text."""
+    rows = _numbered(docs)
+    clean = decontam.decontaminate(_by_row(rows), table(spark, sf_dir, "benchmark")).where("NOT contaminated").select("doc_id")
+    return _with_decision(rows, clean).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

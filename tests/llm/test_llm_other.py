@@ -318,3 +318,27 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             assert docs.columns == list(cp.COLUMNS)
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         assert {r.doc_id for r in cp.pack(spark, docs, str(tmp_path)).collect()} == ({3} if data else set())
+
+
+def test_pipeline_keeps_every_row(spark, tmp_path):
+    import corpus_pipeline as cp
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, "this passage is held by the benchmark alone")], "item_id long, text string").write.parquet(
+        str(tmp_path / "benchmark.parquet"))
+    rows = [(None, "a text of nobody in particular", None), (None, "and another one without a number", None),
+            (7, "one text of seven is about trees", None), (7, "the other text of seven is on rivers", None),
+            (7, "the third says: this passage is held by the benchmark alone", None),
+            (8, "some words that come two times over", None), (8, "some words that come two times over", None), (9, "12 ?!", None)]
+    texts = lambda df: sorted(r.text for r in df.collect())
+    for lang in (None, "en"):  # nothing to learn from; one language
+        docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, _ in rows], schema)
+        one = cp.language_id(spark, docs, str(tmp_path))
+        assert texts(one) == sorted(t for i, t, _ in rows if i != 9)
+        three = cp.near_dedup(spark, one, str(tmp_path))
+        assert texts(three) == sorted({t for i, t, _ in rows if i != 9})
+        two = cp.line_dedup(spark, one, str(tmp_path))
+        assert texts(two) == texts(three)
+        four = cp.decontaminate(spark, two, str(tmp_path))
+        assert texts(four) == sorted({t for i, t, _ in rows if i != 9 and "passage" not in t})
+        pieces = cp.pack(spark, four, str(tmp_path)).collect()
+        assert sorted(str(r.doc_id) for r in pieces) == ["7", "7", "8", "None", "None"]
