@@ -17,8 +17,9 @@ SQL = {k: sql for k, (_, sql) in QUERIES.items() if sql}
 
 def test_all_are_registered():
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11))
-    assert set(SQL) == {"op2_line_dedup", "op4_chat_formatting", "op5_url_filters", "op7_benchmark_decontamination"}
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14))
+    assert set(SQL) == {"op2_line_dedup", "op4_chat_formatting", "op5_url_filters", "op7_benchmark_decontamination",
+                        "op11_phrase_collocations", "op12_conversation_repair", "op13_hilbert_sharding"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -34,7 +35,7 @@ def test_query_matches_sql(spark, name):
     assert len(rows) == len(want) and digest(df.columns, rows)[0] == digest(res.columns, want)[0]
 
 
-@pytest.mark.parametrize("name", ["op4_chat_formatting", "op7_benchmark_decontamination"])
+@pytest.mark.parametrize("name", ["op4_chat_formatting", "op7_benchmark_decontamination", "op13_hilbert_sharding"])
 def test_native_operators_run_no_python(spark, name):
     plan = QUERIES[name][0](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))

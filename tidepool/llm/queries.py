@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import chat, decontam, hnsw, langid, lines, minhash, packing, substrings, toxicity, urls
+from tidepool.llm import chat, decontam, hilbert, hnsw, langid, lines, minhash, packing, phrases, repair, substrings, toxicity, urls
 from tidepool.llm.common import table
 
 
@@ -50,6 +50,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
+def op13_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shard(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": (op1_minhash_near_dedup, None),
     "op2_line_dedup": (op2_line_dedup, lines.ORACLE),
@@ -61,4 +73,7 @@ QUERIES = {
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_language_id": (op9_language_id, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_phrase_collocations": (op11_phrase_collocations, phrases.ORACLE),
+    "op12_conversation_repair": (op12_conversation_repair, repair.ORACLE),
+    "op13_hilbert_sharding": (op13_hilbert_sharding, hilbert.ORACLE),
 }
