@@ -30,8 +30,8 @@ MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 CHUNK_WORDS = 1 << 18
 #: greatest size of a survivors' map, 16 MB; more survivors only let more through
 FILTER_BITS = 1 << 27
-#: n-grams a task holds before it sums equal ones and sends them off
-RUN = 1 << 22
+#: counted n-grams a task holds before it sums equal ones and sends them off; names it holds in the last pass
+RUN, NAMES = 1 << 20, 1 << 18
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TO_PLAIN = bytes.maketrans(_UPPER + b".,;:!?\x0b\x0c\r\t", _UPPER.lower() + b"\n" * 9 + b" ")
 GOLD = 0x9E3779B97F4A7C15
@@ -195,9 +195,14 @@ def _deal(level: str, parts: int, longest: int, sieve):
         part = (keys % np.uint64(parts)).astype(np.int32)
         mass = np.bincount(part, counts, parts).astype(np.int64)
         has = np.flatnonzero(mass)
-        both = [np.concatenate([has.astype(np.int32), part]), np.repeat(np.int8([0, 1]), [len(has), len(keys)]),
-                np.concatenate([np.zeros(len(has), np.int64), keys.view(np.int64)]), np.concatenate([mass[has], counts])]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in both], ["part", "kind", "gram", "count"])
+        yield batch(has.astype(np.int32), 0, np.zeros(len(has), np.int64), mass[has])
+        for at in range(0, len(keys), 1 << 17):
+            own = slice(at, at + (1 << 17))
+            yield batch(part[own], 1, keys[own].view(np.int64), counts[own])
+
+    def batch(part, kind, gram, count):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (part, np.full(len(part), kind, np.int8), gram, count)],
+                                          ["part", "kind", "gram", "count"])
 
     def work(batches):
         keys, counts, n = [], [], 0
@@ -211,18 +216,19 @@ def _deal(level: str, parts: int, longest: int, sieve):
             else:
                 for m, _, h in grams.places(sieve.value, longest):
                     if m > 2 or longest == 2:
-                        keys.append(h)
-                        counts.append(np.ones(len(h), np.int64))
-                        n += len(h)
+                        k, c = np.unique(h, return_counts=True)
+                        keys.append(k)
+                        counts.append(c)
+                        n += len(k)
             if n >= RUN:
                 k, c = summed(np.concatenate(keys), np.concatenate(counts))
                 if len(k) > RUN // 2:
-                    yield rows(k, c)
+                    yield from rows(k, c)
                     keys, counts, n = [], [], 0
                 else:
                     keys, counts, n = [k], [c], len(k)
         if n:
-            yield rows(*summed(np.concatenate(keys), np.concatenate(counts)))
+            yield from rows(*summed(np.concatenate(keys), np.concatenate(counts)))
     return work
 
 
@@ -335,7 +341,7 @@ def _count(longest: int, sieve):
                 for name, f in zip(names, counts.tolist(), strict=True):
                     own[name] = own.get(name, 0) + f
             size = sum(map(len, held.values()))
-            if size > 1 << 20:
+            if size > NAMES:
                 yield from give()
                 held.clear()
         yield from give()
