@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.common import drop_stored, own_columns, stored
 
-SHARDS, BITS = 24, 4
+SHARDS, BITS, SALTS = 24, 4, 32
 
 
 def placed(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
@@ -119,8 +119,11 @@ def shard(documents: DataFrame, dims: Sequence[str] = ("lang", "source", "size_c
     rows = rows.withColumn("curve", curve_index([F.col(f"_c{k}") for k in range(len(dims))], bits)).drop(
         *[f"_c{k}" for k in range(len(dims))])
     rows = stored(rows, "curve")
-    groups = rows.groupBy("_group").agg(F.min("curve").alias("_first"), F.max("curve").alias("_last")).where("_first < _last")
-    rows = rows.join(groups.drop("_last"), "_group", "left").withColumn("_first", F.coalesce("_first", "curve"))
+    # the rows of one group are dealt to SALTS copies of its row
+    groups = rows.groupBy("_group").agg(F.min("curve").alias("_first"), F.max("curve").alias("_last")).where("_first < _last").select(
+        "_group", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    rows = rows.withColumn("_salt", F.pmod("_row", F.lit(SALTS)).cast("int")).join(groups, ["_group", "_salt"], "left").withColumn(
+        "_first", F.coalesce("_first", "curve")).drop("_salt")
     out = placed(rows, [F.col(c) for c in ("_first", "_group", "curve", "doc_id", "_row")])
     n = max(narrow.count(), 1)
     drop_stored(narrow)
