@@ -90,7 +90,7 @@ def test_audit_widens_the_beam():
     graph = hnsw.Graph(x)
     graph.build(list(range(800)))
     graph.ef = 1
-    assert graph.audit(0.93) >= hnsw.AUDIT_RECALL and graph.ef >= 1
+    assert graph.audit(0.93) >= hnsw.AUDIT_RECALL and (graph.ef > 1 or graph.exact)
     again = hnsw.Graph.load(graph.dump(), x)
     q = x[5]
     assert sorted(again.search(q, 0.93)) == sorted(graph.search(q, 0.93))
@@ -138,7 +138,7 @@ def brute_chat(rows, size=512):
         for who in {r for _, r, _ in turns} - {"system"}:
             parts = defaultdict(list)
             for t, r, x in sorted(turns, key=lambda a: (a[0] is not None, a[0] or 0, a[1], a[2])):
-                parts[0 if t is None else t // size].append((r, x))
+                parts[0 if t is None or not size else t // size].append((r, x))
             for k, part in parts.items():
                 text, mask = "", []
                 for r, x in part:
@@ -149,10 +149,10 @@ def brute_chat(rows, size=512):
     return out
 
 
-@pytest.mark.parametrize("size", [512, 2])
+@pytest.mark.parametrize("size", [None, 2])
 def test_chat_matches_brute_force(spark, size):
     rows = [(1, 0, "system", "Be kind"), (1, 1, "ann", "Hi é"), (1, 2, "bob", None), (1, 3, "ann", ""), (1, 3, "ann", ""),
-            (2, None, None, "who?"), (2, 0, "ann", "me"), (3, 0, "system", "alone"), (None, 0, "ann", "lost"), (4, 5, "x", "y" * 100_000)]
+            (2, None, None, "who?"), (2, 0, "ann", "me"), (2, 700, "bob", "late"), (3, 0, "system", "alone"), (None, 0, "ann", "lost"), (4, 5, "x", "y" * 100_000)]
     got = chat.rotate_perspectives(clashing(spark.createDataFrame(rows, CHAT)), chunk_turns=size).collect()
     assert {(r.conv_id, r.chunk, r.perspective): (r.rendered, [(m["head"], m["body"], m["train"]) for m in r["mask"]]) for r in got} == brute_chat(rows, size)
     for r in got:  # the runs and line ends add up to the text
@@ -191,6 +191,20 @@ def test_urls_match_brute_force(spark):
         urls.judge_urls(df, [("a", "/", "allow"), ("a", "/", "block")])
 
 
+def test_urls_with_long_hosts_and_long_rules(spark):
+    host = "a." * 60_000
+    rules = [("x.com", "/", "allow"), ("y.net", "/" + "p" * 3000, "block"), ("y.net", "/" + "p" * 64, "allow"), ("long" * 40 + ".org", "/", "block")]
+    rows = ["http://" + host + "x.com/", "http://" + host + "ax.com/", "http://y.net/" + "p" * 4000, "http://z.y.net/" + "p" * 100,
+            "http://" + "long" * 40 + ".org/", "http://xlong" + "long" * 39 + ".org/", "http://" + "." * 5000 + "x.com/", "http://com/"]
+    df = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    want = {i: brute_url(u, rules) for i, u in enumerate(rows)}
+    frame = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for got in (urls.judge_urls(df, rules), urls.judge_urls_joined(df, frame)):
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got.collect()} == want
+    assert {v for *_, v in want.values()} == {"allow", "block"}
+    assert urls.judge_urls_joined(df, frame.limit(0)).where("verdict = 'allow' AND rule IS NULL").count() == len(rows)
+
+
 def test_digest_collisions_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda b: len(b))  # equal lengths collide
     path = str(tmp_path / "d.bin")
@@ -287,8 +301,14 @@ def test_pipeline_stages(spark):
     text = lambda df: {r.doc_id: r.text for r in df.collect()}
     one = cp.language_id(spark, docs, SF)
     assert one.columns == list(cp.COLUMNS)
-    assert set(text(docs)) - set(text(one)) == {i for i, t in text(docs).items() if not any(c.isalpha() for c in t or "")} | (
-        set(text(docs)) - set(text(one))) and one.count() >= 0.98 * docs.count()
+    from tidepool.llm import langid
+    model, found = langid.train(docs), {}
+    for i, t in text(docs).items():
+        if any(c.isalpha() for c in t or ""):
+            langs, share = model.mixture(t)
+            if share[0] >= cp.MIN_SHARE:
+                found[i] = model.langs[langs[0]]
+    assert {r.doc_id: r.lang for r in one.collect()} == found and len(found) >= 0.98 * docs.count()
     two = cp.line_dedup(spark, one, SF)
     want = brute_lines(list(text(one).items()))
     import hashlib
@@ -317,7 +337,8 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             docs = stage(spark, docs, str(tmp_path))
             assert docs.columns == list(cp.COLUMNS)
             docs = spark.createDataFrame(docs.collect(), docs.schema)
-        assert {r.doc_id for r in cp.pack(spark, docs, str(tmp_path)).collect()} == ({3} if data else set())
+        left = sorted(str(r.doc_id) for r in cp.pack(spark, docs, str(tmp_path)).collect())
+        assert left == (["3", "None"] if data else [])
 
 
 def test_pipeline_keeps_every_row(spark, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -111,6 +112,35 @@ def test_near_duplicates_match_brute_force(spark, block):
     assert got == want
 
 
+@pytest.mark.parametrize("own", [10, 14, 40])
+def test_documents_of_one_template(spark, own):
+    """Most of each text is the same: one region, whose pairs are linked by what they have beyond the template."""
+    rng = np.random.default_rng(own)
+    shared = [f"s{k}" for k in range(80)]
+    rows = []
+    for i in range(90):
+        extra = [f"o{rng.integers(0, 400)}" for _ in range(own)]
+        if i > 20 and i % 3 == 0:
+            extra = rows[i - 20][1].split()[80:80 + own - 1] + [f"z{i}"]
+        rows.append((i, " ".join(shared + extra)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows), block=900).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_shared_rare_shingles_keep_every_link(spark):
+    """Regions cut by shingles: no linked pair is left without a common region."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in [*range(40), *rng.integers(40, 44, 8)])) for i in range(60)]
+    sets = {i: set(minhash.shingles(t.encode()).tolist()) for i, t in rows}
+    members = frame(spark, [(1, i, i, True, minhash.shingles(t.encode()).astype("<u8").tobytes(), len(sets[i]), 2, 2) for i, t in rows],
+                    "region long, doc_id long, component long, open boolean, shingles binary, n_shingles long, ni long, nj long")
+    met = {}
+    for r in minhash._sharing(members, 75, 1000).collect():
+        met.setdefault(r.group, set()).add(r.doc_id)
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert linked and all(any({a, b} <= g for g in met.values()) for a, b in linked)
+
+
 def test_near_duplicates_edge_rows(spark):
     rows = [(None, "one two three four five six"), (5, "one two three four five six"), (5, "one two three four five six"),
             (7, "One Two Three Four Five Six")]
@@ -176,6 +206,10 @@ def test_substrings_edge_rows(spark):
     rows = [(None, text), (3, text), (3, text), (4, text)]
     got = sorted((r.doc_id or 0, r.n_removed) for r in substrings.dedup_substrings(frame(spark, rows)).collect())
     assert got == [(0, 0), (3, 0), (3, 0), (4, 55)]
+    # rows of one id with other texts, shorter and longer than the runs found
+    rows = [(1, text), (5, text), (5, None), (5, "short"), (5, "x " + text + " y"), (5, " ".join(text.split()[5:]))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.dedup_substrings(frame(spark, rows)).collect())
+    assert got == [(1, 55, 0), (5, 0, 0), (5, 1, 0), (5, 50, 50), (5, 55, 55), (5, 57, 55)]
     assert substrings.dedup_substrings(frame(spark, [])).count() == 0
 
 
@@ -246,8 +280,37 @@ def test_decontamination_keeps_items_of_many_slots_and_few_words(spark):
     assert flagged(spark, [(1, "x " + item), (2, "x " + item.replace("6", "7"))], item) == {1}
 
 
+def test_decontamination_matches_sql_in_every_form(spark):
+    import duckdb
+    rng = np.random.default_rng(6)
+    words = ["the", "The", "Anna", "Berta", "New", "York", "5", "12.5", "1,000", "kg", "m", "of", "apples", "ÉCOLE", "école", "x2", "ß", "½"]
+    join = lambda n: "".join(rng.choice(words) + rng.choice([" ", " ", "  ", ", ", ". ", "\n", ": ", "-"]) for _ in range(n))
+    items = [(i, join(n)) for i, n in enumerate([1, 2, 3, 3, 4, 5, 6, 7, 8, 9, 12, 12, 30, 0])] + [(90, None), (None, join(9)), (91, "12"), (92, "Yes.")]
+    rows = [(i, join(40)) for i in range(40)]
+    for i, text in items:
+        if text:
+            rows += [(100 + 4 * (i or 0), join(3) + text + join(3)), (101 + 4 * (i or 0), text.upper()), (102 + 4 * (i or 0), text.replace("Anna", "Carl").replace("5", "7")),
+                     (103 + 4 * (i or 0), join(5) + ". " + text + ". " + join(2))]
+    rows += [(None, items[12][1]), (1, None), (2, ""), (3, "12 or yes"), (4, "so 12. Yes! no")]
+    bench, docs = frame(spark, items, "item_id long, text string"), frame(spark, rows)
+    got = Counter(map(tuple, decontam.decontaminate(docs, bench).collect()))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == Counter(con.execute(decontam.ORACLE).fetchall())
+    flags = {k[0]: k[3] for k in got}
+    assert flags[4] and sum(flags.values()) > 20
+    assert flagged(spark, [(3, "12 or yes"), (4, "so 12. Yes! no"), (5, "12 yes")], "Yes.") == {4}
+
+
 # --- language ID
 
+def test_letters_are_letters_alone():
+    assert [langid.has_letter(t) for t in ("½ ² Ⅷ 12 _ !?", "", None, "½a", "ß", "日", "١٢")] == [False, False, False, True, True, True, False]
+
+
 def test_language_mixtures():
     rng = np.random.default_rng(1)
     vocab = {"aa": ["the", "and", "with", "other", "than"], "bb": ["der", "und", "nicht", "schon", "keit"]}

@@ -20,20 +20,21 @@ END = "<|end|>"
 
 
 def rotate_perspectives(conversations: DataFrame, speaker: str = "role", system: str = "system",
-                        chunk_turns: int = 512) -> DataFrame:
+                        chunk_turns: int | None = None) -> DataFrame:
     """(conv_id, chunk, perspective, n_turns, n_own, rendered, mask) for every participant of every
     conversation: each speaker but ``system``, taken over the whole conversation.
 
-    A dialogue of turns numbered ``chunk_turns`` or higher goes on in further chunks (turn number
-    div ``chunk_turns``; a null turn comes first, in chunk 0), each rendered as an example of its
-    own, so no long conversation meets in one row and none of it is lost.  Turns are ordered by
+    Each perspective is one example, in chunk 0.  With ``chunk_turns``, a dialogue of turns numbered that or
+    higher goes on in further chunks (turn number div ``chunk_turns``; a null turn comes first, in chunk 0),
+    each rendered as an example of its own, without the turns before it.  Turns are ordered by
     (turn, speaker, text); repeated rows stay.  A null speaker is named ``unknown``, a null text is
     empty; rows without a conv_id belong to no dialogue.  A conversation of system turns alone has
     no participant and gives no row.  Other columns are ignored.
     """
+    chunk = F.coalesce(F.floor(F.col("turn") / chunk_turns), F.lit(0)) if chunk_turns else F.lit(0)
     rows = own_columns(conversations, "conv_id", "turn", speaker, "text").toDF("conv_id", "turn", "who", "text").where(
         "conv_id IS NOT NULL").select(
-        "conv_id", F.coalesce(F.floor(F.col("turn") / chunk_turns), F.lit(0)).alias("chunk"), "turn",
+        "conv_id", chunk.cast("long").alias("chunk"), "turn",
         F.coalesce("who", F.lit("unknown")).alias("who"), F.coalesce("text", F.lit("")).alias("text"))
     people = rows.where(F.col("who") != system).select("conv_id", F.col("who").alias("perspective")).distinct()
     chunks = rows.groupBy("conv_id", "chunk").agg(
@@ -65,7 +66,7 @@ def digest(rendered: DataFrame) -> DataFrame:
 
 ORACLE = r"""
 WITH rows AS (
-  SELECT conv_id, CAST(coalesce(floor(turn / 512.0), 0) AS BIGINT) AS chunk, turn,
+  SELECT conv_id, CAST(0 AS BIGINT) AS chunk, turn,
          coalesce(role, 'unknown') AS who, coalesce(text, '') AS text
   FROM conversations WHERE conv_id IS NOT NULL),
 people AS (SELECT DISTINCT conv_id, who AS perspective FROM rows WHERE who <> 'system'),

@@ -33,23 +33,48 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+#: paths written within the running calls of :func:`settled`, innermost last
+_open: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet under the shared ``spark.checkpoint.dir`` and read back: the
     lineage ends there, and any executor can read it again after another was lost."""
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The frame that ``make`` returns, stored; whatever else was stored while making it is deleted."""
+    _open.append([])
+    try:
+        made = make()
+        outer, mine = (_open[-2:-1] or [None])[0], _open[-1]
+        path = scratch_path(made.sparkSession, f"{name}-{uuid.uuid4().hex}")
+        made.write.parquet(path)
+        if outer is not None:
+            outer.append(path)
+        for p in mine:
+            _delete(made.sparkSession, p)
+        return made.sparkSession.read.schema(made.schema).parquet(path)
+    finally:
+        _open.pop()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files behind a frame made by :func:`stored`, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = spark.conf.get("spark.checkpoint.dir").split(":", 1)[-1].rstrip("/")
+    root = df.sparkSession.conf.get("spark.checkpoint.dir").split(":", 1)[-1].rstrip("/")
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
         if root.strip("/") in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(df.sparkSession, folder)
 
 
 def batch_rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:

@@ -8,7 +8,6 @@ another one lowers the penalised likelihood.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +18,8 @@ from pyspark.sql import functions as F
 from tidepool.llm.common import batch_rows, crc_fold, in_chunks, own_columns
 
 BITS = 15
-LETTER = re.compile(r"[^\W\d_]")
+#: languages a model may hold (a quarter of a megabyte each, in every task)
+MAX_LANGS = 500
 #: ASCII non-letters become blanks, every other byte stays
 KEEP = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -33,7 +33,8 @@ def trigram_counts(text: str) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and LETTER.search(text) is not None
+    """Whether some character is a letter (category L): fractions, powers and Roman numerals are not."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 @dataclass
@@ -84,11 +85,13 @@ def train(documents: DataFrame, max_docs: int = 3000, smoothing: float = 0.5) ->
     """Trigram distributions from texts with a lang, of documents whose fold is not 0.  Per language
     about ``max_docs`` documents count, those with the least hash of doc_id (a documented bound on
     the sample; whole texts of them); the counts that reach the driver are one row per language
-    and bucket."""
+    and bucket, and more than ``MAX_LANGS`` languages are refused."""
     docs = own_columns(documents, "doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id")) != 0))
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
     langs = sorted(sizes)
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} values of lang")
     if not langs:
         return Model([], np.zeros((0, 1 << BITS)))
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, max_docs / sizes[k]))])

@@ -9,13 +9,15 @@ every document holds from becoming one task's work.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidepool.llm.common import BLANKS, batch_rows, in_chunks, own_columns
+from tidepool.llm.common import BLANKS, batch_rows, in_chunks, own_columns, settled, stored
 
 
 def line_key(line: bytes) -> bytes:
@@ -49,17 +51,25 @@ def _key_rows(least: int):
 def repeated_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(key, keeper): hashes of keys of at least ``min_chars`` code points that at least
     ``min_docs`` different documents hold, and the largest doc_id that holds each."""
-    docs = documents.select("doc_id", F.col("text").cast("binary").alias("text")).where("doc_id IS NOT NULL")
-    keys = docs.mapInArrow(_key_rows(min_chars), "key binary, doc_id long").distinct()
+    docs = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
+    return _repeated(_keys(docs, min_chars), min_docs)
+
+
+def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(
+        _key_rows(min_chars), "key binary, doc_id long").distinct()
+
+
+def _repeated(keys: DataFrame, min_docs: int) -> DataFrame:
     # rows are distinct by now: a count is the number of documents, and needs no set per key
     return keys.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(
         F.col("n") >= min_docs).select("key", "keeper")
 
 
-def _rebuild(least: int, with_text: bool):
+def _rebuild(least: int, with_text: bool, carry: Sequence[str]):
     def work(batch):
         out = []
-        for doc_id, text, drop in batch_rows(batch, "doc_id", "text", "dropped"):
+        for text, drop in batch_rows(batch, "text", "dropped"):
             lines = (text or b"").split(b"\n")
             n = len(lines)
             if drop:
@@ -67,32 +77,38 @@ def _rebuild(least: int, with_text: bool):
                 at_gone = {at for at, h in _long_keys(text, least) if h in gone}
                 lines = [x for at, x in enumerate(lines) if at not in at_gone]
             kept = b"\n".join(lines)
-            out.append((doc_id, n, n - len(lines), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                          ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"])
+            out.append((n, n - len(lines), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        types = [pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        through = ["doc_id", *carry]
+        return pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in through],
+                                           *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]],
+                                          [*through, "n_lines", "n_dropped", "kept_sha256", "kept"])
     return lambda batches: in_chunks(batches, work)
 
 
-def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, with_text: bool = True) -> DataFrame:
-    """Per document: doc_id, n_lines, n_dropped, kept_sha256 and, with ``with_text``, kept_text.
+def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, with_text: bool = True,
+                carry: Sequence[str] = ()) -> DataFrame:
+    """Per document: doc_id, the columns ``carry``, n_lines, n_dropped, kept_sha256 and, with ``with_text``, kept_text.
 
     A null or empty text is one empty line, which is never dropped; a document whose lines all go
     keeps an empty text.  Repeated lines in the keeping document all stay.  A null doc_id holds no
     line for others and loses none.  Rows that repeat a doc_id count as one document, and each is
     returned.  No document gives no row.  Other columns are ignored.
     """
-    docs = own_columns(documents, "doc_id", "text").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    found = repeated_lines(docs, min_chars, min_docs)
-    keys = docs.where("doc_id IS NOT NULL").mapInArrow(_key_rows(min_chars), "key binary, doc_id long").distinct()
-    drops = (keys.join(found, "key").where("doc_id <> keeper")
-             .groupBy("doc_id").agg(F.collect_set("key").alias("dropped")))
-    out = docs.join(drops, "doc_id", "left").mapInArrow(
-        _rebuild(min_chars, with_text),
-        "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept binary")
-    cols = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
+    docs = own_columns(documents, "doc_id", "text", *carry).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), *carry)
+
+    def make():
+        keys = stored(_keys(docs, min_chars), "lines")
+        return keys.join(_repeated(keys, min_docs), "key").where("doc_id <> keeper").groupBy("doc_id").agg(
+            F.collect_set("key").alias("dropped"))
+
+    rows = docs.join(settled(make, "dropped"), "doc_id", "left")
+    schema = StructType([rows.schema[c] for c in ("doc_id", *carry)]).add("n_lines", "long").add("n_dropped", "long").add(
+        "kept_sha256", "string").add("kept", "binary")
+    out = rows.mapInArrow(_rebuild(min_chars, with_text, carry), schema)
+    cols = ["doc_id", *carry, "n_lines", "n_dropped", "kept_sha256"]
     return out.select(*cols, F.col("kept").cast("string").alias("kept_text")) if with_text else out.select(*cols)
 
 

@@ -5,7 +5,8 @@ put in one sorted order; neighbours whose longest common prefix has at least ``D
 candidates, and chains of them make regions.  The depth adapts: a region that fits one block is
 settled whole at the least depth; in a larger one each document first meets the neighbours it
 shares the longest prefixes with, and what those links leave unjoined is compared with the rest of
-the region block by block, so that no pair of a region is passed over.
+the region: block by block, or, where that would grow with the square of the region, only with those
+that share one of the shingles a linked pair must share (its rarest ones), so that no link is lost.
 
 Copies (equal sets) are one class from the start.  Pairs are never emitted: a block reports only
 the links that join something not joined before.
@@ -18,11 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import (MULT, batch_rows, drop_stored, in_chunks, mix, own_columns, stored, window_hashes,
-                                 word_hashes)
+from tidepool.llm.common import MULT, batch_rows, in_chunks, mix, own_columns, settled, stored, window_hashes, word_hashes
 from tidepool.llm.components import connected_components
 
 SHINGLE = 5
@@ -33,6 +33,8 @@ _SEEDS = mix(np.arange(1, PERMS + 1, dtype=np.uint64) * MULT) | np.uint64(1)
 _OWN = (np.arange(TREES)[:, None] * DEPTH + np.arange(KEY)[None, :]) % PERMS
 #: shingles a block may hold (8 bytes each)
 BLOCK = 250_000
+#: copies of a class table that rows with one print are dealt to
+SALTS = 32
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -246,6 +248,63 @@ def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
         _join_blocks(percent), "u long, v long")
 
 
+def _explode_shingles(batch):
+    """A row per shingle."""
+    sets = [np.frombuffer(x, "<i8") for x in batch.column(batch.schema.get_field_index("shingles")).to_pylist()]
+    times = [len(x) for x in sets]
+    again = lambda name: pa.array(np.repeat(batch.column(batch.schema.get_field_index(name)).to_numpy(), times))
+    return pa.RecordBatch.from_arrays([again("region"), again("doc_id"), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))],
+                                      ["region", "doc_id", "shingle"])
+
+
+def _sharing(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """Regions cut by shared rare shingles: rows like ``members``, a region being one shingle's documents.
+
+    In the order rare first, two linked sets share one of their first n - ceil(percent * n / 100) + 1
+    shingles, n being the set's own size; so documents without such a shingle in common need not
+    meet.  Shingles of the same documents count once, and those without an open document or with
+    documents of one component are left out.
+    """
+    light = members.select("region", "doc_id", "component", "open", "n_shingles")
+    every = members.select("region", "doc_id", "shingles").mapInArrow(
+        lambda b: in_chunks(b, _explode_shingles), "region long, doc_id long, shingle long")
+    every = stored(every, "shingles")
+    often = every.groupBy("region", "shingle").agg(F.count("*").alias("times")).where("times > 1")
+    shared = every.join(often, ["region", "shingle"])
+    # the shingles that one document alone has come first, so only the others need an order
+    n_shared = F.count("*").over(Window.partitionBy("doc_id"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("times", "shingle"))
+    first = shared.withColumn("k", place).withColumn("shared", n_shared).join(light, ["region", "doc_id"]).where(
+        F.expr(f"n_shingles - shared + k <= n_shingles - ({percent} * n_shingles + 99) div 100 + 1"))
+    first = stored(first.select("region", "shingle", "doc_id", "component", "open", "n_shingles"), "rare")
+    groups = first.groupBy("region", "shingle").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.max("open").alias("o"), F.count("*").alias("k"),
+        F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("same"),
+        F.sum("n_shingles").alias("n"), F.sum(F.when(F.col("open"), F.col("n_shingles")).otherwise(0)).alias("n_open")).where("a < b AND o")
+    groups = groups.groupBy("region", "k", "same").agg(F.min(F.struct("shingle", "n", "n_open")).alias("g")).select(
+        "region", "g.shingle", F.ceil(F.col("g.n") / block).cast("long").alias("nj"), F.ceil(F.col("g.n_open") / block).cast("long").alias("ni"))
+    return first.join(groups, ["region", "shingle"]).select(
+        "region", F.xxhash64("region", "shingle").alias("group"), "doc_id", "n_shingles", "ni", "nj")
+
+
+def _unjoined_pairs(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """Exact links between the open members of each region and all its members, as far as they join anything."""
+    many = members.where("ni > 1")
+    if many.isEmpty():
+        return _block_pairs(members, percent)
+    groups = stored(_sharing(many, percent, block), "groups")
+    # what is sent either way, in shingles
+    size = F.col("n_shingles")
+    whole = many.groupBy("region").agg(F.sum(size * F.col("ni") + F.when(F.col("open"), size * F.col("nj")).otherwise(0)).alias("whole"))
+    parts = groups.groupBy("region").agg(F.sum(size * F.col("ni")).alias("parts"))
+    cut = stored(whole.join(parts, "region", "left").where("coalesce(parts, 0) < whole").select("region"), "cut")
+    sent = groups.join(cut, "region", "left_semi").select("group", "doc_id", "ni", "nj").join(
+        many.select("doc_id", "component", "open", "shingles"), "doc_id").withColumnRenamed("group", "region")
+    rest = members.join(cut, "region", "left_anti")
+    cols = ["region", "doc_id", "component", "open", "shingles", "ni", "nj"]
+    return _block_pairs(rest.select(*cols).union(sent.select(*cols)), percent)
+
+
 def near_duplicates(documents: DataFrame, percent: int = 75, block: int = BLOCK) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
@@ -262,9 +321,13 @@ def near_duplicates(documents: DataFrame, percent: int = 75, block: int = BLOCK)
     """
     docs = own_columns(documents, "doc_id", "text").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return settled(lambda: _components(docs, percent, block), "near")
+
+
+def _components(docs: DataFrame, percent: int, block: int) -> DataFrame:
     sketch = stored(docs.mapInArrow(lambda b: in_chunks(b, _sketch), "doc_id long, n_shingles long, print binary, keys binary"), "sketch")
     known = sketch.where("doc_id IS NOT NULL AND print IS NOT NULL")
-    classes = known.groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r"))
+    classes = known.groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "keys")).alias("r"), F.count("*").alias("times"))
     reps = classes.select("print", "r.doc_id", "r.n_shingles", "r.keys")
     pairs = stored(forest_neighbours(reps.select("doc_id", "keys")), "candidates")
     regions = stored(connected_components(pairs).select(F.col("id").alias("doc_id"), F.col("component").alias("region")), "regions")
@@ -295,19 +358,19 @@ def near_duplicates(documents: DataFrame, percent: int = 75, block: int = BLOCK)
     plan = stored(most.where("k > 1").select("region", F.col("m.component").alias("main"), blocks(F.col("n")).alias("nj"),
                                              blocks(F.col("n") - F.col("m.n")).alias("ni")), "blocks")
     members = members.join(plan, "region").withColumn("open", F.col("component") != F.col("main"))
-    more = _block_pairs(members, percent)
+    more = _unjoined_pairs(members, percent, block)
     groups = stored(connected_components(links.union(more)), "groups")
-    drop_stored(pairs)
 
-    at = reps.select("print", F.col("doc_id").alias("rep")).join(
+    # rows of one print are dealt to SALTS copies of their class; a document alone in its class is found by its id
+    copies = classes.where("times > 1").select("print", F.col("r.doc_id").alias("rep")).join(
         groups.withColumnRenamed("id", "rep"), "rep", "left").select(
-        F.col("print"), F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("doc_id", "n_shingles", "print").join(at, "print", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        "print", F.coalesce("component", "rep").alias("joint"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = sketch.select("doc_id", "n_shingles", "print", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    out = out.join(copies, ["print", "salt"], "left").join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("joint", "component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
 def _by_depth():
-    from pyspark.sql import Window
     return Window.partitionBy("u").orderBy(F.desc("depth"), "v")

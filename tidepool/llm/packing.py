@@ -23,7 +23,8 @@ from tidepool.llm.common import batch_rows, in_chunks, own_columns, stored
 
 SIZE = 2048
 END_ID = 0
-SALTS = 64
+#: tasks a length's pieces are ranked by: one for each million pieces, within these bounds
+SALTS, MOST_SALTS = 64, 1024
 
 
 def encoder(vocabulary: str = "byte_bpe_50k", added: bool = False):
@@ -194,9 +195,10 @@ def pack(documents: DataFrame, size: int = SIZE, vocabulary: str = "byte_bpe_50k
     """
     pieces = stored(token_pieces(documents, size, vocabulary), "pieces")
     # repeated rows are alike in every column, and so in one salted group, where row_number parts them
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    salts = min(MOST_SALTS, max(SALTS, pieces.count() // 1_000_000))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    table = groups.toPandas()  # at most size x SALTS rows
+    table = groups.toPandas()  # at most size x MOST_SALTS rows
     table = table.sort_values(["length", "salt"])
     table["base"] = table.groupby("length")["n"].cumsum() - table["n"]
     counts = table.groupby("length")["n"].sum()
@@ -206,7 +208,7 @@ def pack(documents: DataFrame, size: int = SIZE, vocabulary: str = "byte_bpe_50k
     from pyspark.sql import Window
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(within).cast("long") - 1)
-    held = pieces.sparkSession.sparkContext.broadcast((slots, base))  # bounded by size and SALTS
+    held = pieces.sparkSession.sparkContext.broadcast((slots, base))  # bounded by size and MOST_SALTS
 
     def deal(batches):
         rows, bases = held.value

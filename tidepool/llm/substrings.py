@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import batch_rows, in_chunks, own_columns, stored, window_hashes, word_hashes
+from tidepool.llm.common import batch_rows, drop_stored, in_chunks, own_columns, settled, stored, window_hashes, word_hashes
 
 WINDOW, MINIMISER = 50, 8
 #: words a bucket may hold in one task
@@ -45,34 +45,36 @@ def super_kmers(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _light(batch):
-    ids, mins, firsts, counts = [], [], [], []
-    for doc_id, text in batch_rows(batch, "doc_id", "text"):
+    ids, marks, mins, firsts, counts = [], [], [], [], []
+    for doc_id, mark, text in batch_rows(batch, "doc_id", "mark", "text"):
         m, first, n = super_kmers((text or b"").split())
         ids.append(np.full(len(m), doc_id, np.int64))
+        marks.append(np.full(len(m), mark, np.int64))
         mins.append(m.astype(np.int64))
         firsts.append(first)
         counts.append(n)
     join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
-    return pa.RecordBatch.from_arrays([join(mins), join(ids), join(firsts), join(counts)], ["minimiser", "doc_id", "first", "n"])
+    return pa.RecordBatch.from_arrays([join(x) for x in (mins, ids, marks, firsts, counts)], ["minimiser", "doc_id", "mark", "first", "n"])
 
 
 def _packed(batch):
     """The strings of a document's super-k-mers that were asked for."""
-    mins, ids, firsts, counts, strings, prints = [], [], [], [], [], []
-    for doc_id, text, runs in batch_rows(batch, "doc_id", "text", "runs"):
+    mins, ids, marks, firsts, counts, strings, prints = [], [], [], [], [], [], []
+    for doc_id, mark, text, runs in batch_rows(batch, "doc_id", "mark", "text", "runs"):
         words = (text or b"").split()
         for run in runs:
             at, n = run["first"], run["n"]
             string = b" ".join(words[at:at + n + WINDOW - 1])
             mins.append(run["minimiser"])
             ids.append(doc_id)
+            marks.append(mark)
             firsts.append(at)
             counts.append(n)
             strings.append(string)
             prints.append(xxhash.xxh3_128_digest(string))
     return pa.RecordBatch.from_arrays(
-        [pa.array(mins, pa.int64()), pa.array(ids, pa.int64()), pa.array(firsts, pa.int64()), pa.array(counts, pa.int64()),
-         pa.array(strings, pa.binary()), pa.array(prints, pa.binary())], ["minimiser", "doc_id", "first", "n", "string", "print"])
+        [*[pa.array(x, pa.int64()) for x in (mins, ids, marks, firsts, counts)],
+         pa.array(strings, pa.binary()), pa.array(prints, pa.binary())], ["minimiser", "doc_id", "mark", "first", "n", "string", "print"])
 
 
 def _windows(string: bytes) -> list[bytes]:
@@ -141,12 +143,14 @@ def _explode_windows(batch):
 
 
 def repeated_runs(documents: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
-    """(doc_id, first, last): runs of windows of (doc_id, text) that a smaller doc_id has as well."""
-    light = stored(documents.mapInArrow(lambda b: in_chunks(b, _light), "minimiser long, doc_id long, first long, n long"), "kmers")
+    """(doc_id, mark, first, last): runs of windows of (doc_id, mark, text) that a smaller doc_id has as well; ``mark`` tells
+    texts of one doc_id apart."""
+    light = stored(documents.mapInArrow(lambda b: in_chunks(b, _light), "minimiser long, doc_id long, mark long, first long, n long"), "kmers")
     shared = light.groupBy("minimiser").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("minimiser")
-    asked = light.join(shared, "minimiser").groupBy("doc_id").agg(F.collect_list(F.struct("minimiser", "first", "n")).alias("runs"))
-    strings = stored(documents.join(asked, "doc_id").mapInArrow(
-        lambda b: in_chunks(b, _packed), "minimiser long, doc_id long, first long, n long, string binary, print binary"), "strings")
+    asked = light.join(shared, "minimiser").groupBy("doc_id", "mark").agg(F.collect_set(F.struct("minimiser", "first", "n")).alias("runs"))
+    strings = stored(documents.join(asked, ["doc_id", "mark"]).mapInArrow(
+        lambda b: in_chunks(b, _packed), "minimiser long, doc_id long, mark long, first long, n long, string binary, print binary"), "strings")
+    drop_stored(light)
 
     distinct = strings.groupBy("print").agg(
         F.min(F.struct("doc_id", "minimiser", "n", "string")).alias("s"), F.count("*").alias("times")).select(
@@ -168,13 +172,13 @@ def repeated_runs(documents: DataFrame, bucket_words: int = BUCKET_WORDS) -> Dat
     found = sorted_in.union(dealt)
 
     # the string's first document loses the windows found; later ones hold the string again, and lose it all
-    at = strings.select("print", "doc_id", "first", "n")
+    at = strings.select("print", "doc_id", "mark", "first", "n")
     firsts = distinct.select("print", F.col("doc_id").alias("own"), "times")
     copies = at.join(firsts.where("times > 1").drop("times"), "print").where("doc_id > own").select(
-        "doc_id", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+        "doc_id", "mark", "first", (F.col("first") + F.col("n") - 1).alias("last"))
     own = at.join(firsts.drop("times"), "print").where("doc_id = own").join(found, "print").select(
-        "doc_id", "first", F.explode("spans").alias("s")).select(
-        "doc_id", (F.col("first") + F.col("s.from")).alias("first"), (F.col("first") + F.col("s.last")).alias("last"))
+        "doc_id", "mark", "first", F.explode("spans").alias("s")).select(
+        "doc_id", "mark", (F.col("first") + F.col("s.from")).alias("first"), (F.col("first") + F.col("s.last")).alias("last"))
     return copies.union(own)
 
 
@@ -205,15 +209,14 @@ def dedup_substrings(documents: DataFrame, with_text: bool = True, bucket_words:
     A word goes if some window of ``WINDOW`` consecutive words that covers it also starts in a
     document with a smaller doc_id, judged on the input; repeats within one document stay.  A null
     or blank text has no words; texts shorter than a window lose none.  Rows that repeat a doc_id
-    count as one document as to which is first, and are returned each, their removals by the runs
-    found in all of them.  A null doc_id neither loses words nor makes others lose any.  No
+    count as one document as to which is first, and are returned each with its own removals.  A null doc_id neither loses words nor makes others lose any.  No
     document gives no row.  Other columns are ignored.
     """
     docs = own_columns(documents, "doc_id", "text").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    runs = repeated_runs(docs.where("doc_id IS NOT NULL"), bucket_words)
-    by_doc = runs.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    out = docs.join(by_doc, "doc_id", "left").mapInArrow(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("mark", F.xxhash64("text"))
+    runs = settled(lambda: repeated_runs(docs.where("doc_id IS NOT NULL"), bucket_words), "runs")
+    by_doc = runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    out = docs.join(by_doc, ["doc_id", "mark"], "left").mapInArrow(
         _strip(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     cols = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     return out.select(*cols, F.col("kept").cast("string").alias("kept_text")) if with_text else out.select(*cols)

@@ -23,6 +23,7 @@ from tidepool.session import scratch_path
 
 #: rules a digest file may hold (about 100 bytes each): beyond it they are joined instead
 MAX_FILE_RULES = 2_000_000
+LONG_PATH = 64
 
 
 def host_of(url: Column) -> Column:
@@ -77,12 +78,14 @@ class Digests:
         return self.text[int(self.ends[k - 1]) if k else 0:int(self.ends[k])]
 
 
-def _suffixes(host: str) -> list[str]:
-    parts = host.split(".")
-    return [".".join(parts[i:]) for i in range(len(parts))] if host else []
+def _suffixes(host: str, longest: int) -> list[str]:
+    """The host and what follows each of its dots, as far as of ``longest`` characters at most."""
+    tail = host[-longest - 1:] if longest else ""
+    out = [tail[i + 1:] for i, c in enumerate(tail) if c == "."]
+    return [host, *out] if host and len(host) <= longest else out
 
 
-def _probe(name: str, lengths: list[int], default: str):
+def _probe(name: str, lengths: list[int], longest: int, default: str):
     held: list[Digests] = []
 
     def work(batch):
@@ -92,7 +95,7 @@ def _probe(name: str, lengths: list[int], default: str):
         rows = list(batch_rows(batch, "host", "path"))
         for i, (host, path) in enumerate(rows):
             prefixes = [path[:n] for n in lengths if len(path) >= n]
-            for suffix in _suffixes(host):
+            for suffix in _suffixes(host, longest):
                 for prefix in prefixes:
                     keys.append((suffix + prefix).encode())
                     of.append((i, len(suffix) + len(prefix), len(suffix)))
@@ -133,17 +136,20 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: str
     name = _ship(spark, [(h, p, v) for (h, p), v in held.items()])
     rows = pages.select(F.col("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     kind = dict(rows.dtypes)["page_id"]
-    return rows.mapInArrow(_probe(name, sorted({len(p) for _, p in held}), default),
+    return rows.mapInArrow(_probe(name, sorted({len(p) for _, p in held}), max((len(h) for h, _ in held), default=0), default),
                            f"page_id {kind}, host string, path string, rule string, verdict string")
 
 
 def _ship(spark: SparkSession, rules) -> str:
-    """The digest file, handed to every executor by Spark; the driver's copy lies in a temporary
-    folder of its own that ``addFile`` has read by the time it returns."""
+    """The digest file, handed to every executor by Spark; the driver serves it from a temporary folder
+    that goes when the driver ends."""
+    import atexit
     import os
+    import shutil
     import tempfile
-    name = f"digests-{uuid.uuid4().hex}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="digests-"), name)
+    name, folder = f"digests-{uuid.uuid4().hex}.bin", tempfile.mkdtemp(prefix="digests-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, name)
     write_digests(rules, path)
     spark.sparkContext.addFile(path)
     return name
@@ -151,21 +157,30 @@ def _ship(spark: SparkSession, rules) -> str:
 
 def judge_urls_joined(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """The same for rules of any number, as a frame (host, path, verdict): distinct probe keys meet
-    the rules in a join on digest and string, so a domain that most pages share is one row there."""
+    the rules in a join on digest and string, so a domain that most pages share is one row there.
+    Rules whose path has more than ``LONG_PATH`` characters are met by that many and then compared whole."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    kept = rules.select((F.concat("host", "path")).alias("rule"), "verdict", F.length("path").alias("n")).distinct()
-    sizes = F.broadcast(kept.select("n").distinct().where("n < 2048"))
-    sites = rows.select("host", "path").distinct().join(sizes, F.length("path") >= F.col("n"))
-    labels = F.split("host", r"\.")
-    keys = sites.where("host <> ''").select(
-        "host", "path", "n", F.explode(F.sequence(F.lit(1), F.size(labels))).alias("at"), labels.alias("labels"))
-    keys = keys.select("host", "path", F.concat(
-        F.expr("array_join(slice(labels, at, size(labels)), '.')"), F.expr("substring(path, 1, n)")).alias("rule"),
-        (F.size("labels") - F.col("at")).alias("depth"))
-    hit = keys.join(kept.select("rule", "verdict", F.xxhash64("rule").alias("digest")),
-                    on=(F.xxhash64(keys["rule"]) == F.col("digest")) & (keys["rule"] == kept["rule"]))
+    kept = rules.select(F.concat("host", "path").alias("rule"), "verdict", F.col("path").alias("start"), F.length("host").alias("own"),
+                        F.substring("path", 1, LONG_PATH).alias("begin")).distinct()
+    kept = kept.withColumn("key", F.concat(F.expr("left(rule, own)"), F.col("begin")))
+    longest = kept.agg(F.coalesce(F.max("own"), F.lit(0))).first()[0]
+    lengths = [r[0] for r in kept.select(F.length("begin")).distinct().collect()]  # at most LONG_PATH values
+    if not lengths:
+        return rows.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    # only what a rule's host can equal: a host's last characters, from a label's beginning
+    end = F.right(F.col("host"), F.lit(longest + 1))
+    after_dot = F.when(end.contains("."), F.regexp_replace(end, r"^[^.]*\.", ""))
+    tail = F.when(F.length("host") > longest, after_dot).otherwise(F.col("host"))
+    sites = rows.select("host", "path").distinct().withColumn("tail", tail).where("tail IS NOT NULL AND tail <> ''")
+    labels = F.split("tail", r"\.")
+    keys = sites.select("host", "path", F.explode(F.sequence(F.lit(1), F.size(labels))).alias("at"), labels.alias("labels")).select(
+        "host", "path", F.expr("array_join(slice(labels, at, size(labels)), '.')").alias("suffix"), (F.size("labels") - F.col("at")).alias("depth"))
+    keys = keys.select("*", F.explode(F.filter(F.array(*map(F.lit, sorted(lengths))), lambda n: n <= F.length("path"))).alias("n"))
+    keys = keys.select("host", "path", "depth", F.concat("suffix", F.expr("substring(path, 1, n)")).alias("key"))
+    hit = keys.join(kept.withColumn("digest", F.xxhash64("key")),
+                    on=(F.xxhash64(keys["key"]) == F.col("digest")) & (keys["key"] == kept["key"])).where(F.expr("startswith(path, start)"))
     best = hit.groupBy("host", "path").agg(F.max(F.struct(
-        F.length(keys["rule"]).alias("n"), keys["depth"].alias("depth"), keys["rule"].alias("rule"),
+        F.length("rule").alias("n"), F.col("depth").alias("depth"), F.col("rule").alias("rule"),
         F.col("verdict").alias("verdict"))).alias("b"))
     return rows.join(best, ["host", "path"], "left").select(
         "page_id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
