@@ -4,40 +4,57 @@ Each stage takes (spark, docs, sf_dir), works on all its predecessor kept, and r
 is written as Parquet and read again as the next one's ``docs``; all but the last return the
 columns of ``documents`` (doc_id, text, lang, source, n_chars).
 
-Every row is a document of its own, whatever its doc_id: decisions are made and carried by a number
-that each stage gives to its rows, so rows without a doc_id stay, and rows that share one are judged
-each by its own text.  Rows that repeat both doc_id and text are one document from line dedup on.
+Every row is a document of its own, whatever its doc_id: rows without a doc_id stay, and rows that share
+one are judged each by its own text.  Rows that repeat both doc_id and text are one document from line
+dedup on.  A stage's decisions are small tables by row, stored before it returns; whatever else was
+stored on the way is gone by then, and the texts are joined with the decisions once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import decontam, langid, lines, minhash, packing
-from tidepool.llm.common import own_columns, stored, table
+from tidepool.llm.common import own_columns, settled, stored, table
+from tidepool.llm.hilbert import placed
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: least share of a text that its main language must have
 MIN_SHARE = 0.4
 
 
-def _numbered(docs: DataFrame, *order) -> DataFrame:
-    """The documents with ``row``, a number of each row's own, that rises with ``order``; stored, so
-    that it stays the same however often it is read."""
+def _identified(docs: DataFrame, others_after: bool) -> DataFrame:
+    """The documents with ``row``, a number of each one's own: its doc_id.  Of rows that share a doc_id, the first by
+    text digest has it; the others and rows without a doc_id get numbers after all doc_ids, or
+    before them.  Of rows that repeat doc_id and text one stays."""
     rows = own_columns(docs, *COLUMNS)
-    rows = rows.orderBy(*order) if order else rows
-    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-
-
-def _by_row(rows: DataFrame) -> DataFrame:
+    shared = settled(lambda: rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select("doc_id"), "shared")
+    if shared.isEmpty():
+        return rows.withColumn("row", F.col("doc_id"))
+
+    twins = shared.withColumnRenamed("doc_id", "_d")
+    mark = F.when(F.col("text").isNotNull(), F.md5(F.col("text").cast("binary"))).otherwise("")
+    odd = rows.join(twins, F.col("doc_id").eqNullSafe(F.col("_d"))).drop("_d").withColumn("mark", mark)
+    edge = rows.agg(F.coalesce(F.max("doc_id"), F.lit(0)) + 1 if others_after else F.coalesce(F.min("doc_id"), F.lit(0)) - 1).first()[0]
+
+    def numbered():
+        keys = odd.select("doc_id", "mark").distinct()
+        first = keys.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("mark").alias("mark"))
+        rest = keys.exceptAll(first)
+        order = [F.col("doc_id").asc_nulls_last(), F.col("mark")]
+        step = F.col("place") if others_after else -F.col("place")
+        return first.withColumn("row", F.col("doc_id")).union(placed(rest, order).select("doc_id", "mark", F.lit(edge) + step))
+
+    numbers = settled(numbered, "numbers").toDF("_d", "_m", "row")
+    own = odd.join(numbers, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m"))).dropDuplicates(["row"])
+    plain = rows.where("doc_id IS NOT NULL").join(shared.where("doc_id IS NOT NULL"), "doc_id", "left_anti")
+    return plain.withColumn("row", F.col("doc_id")).unionByName(own.select(*COLUMNS, "row"))
+
+
+def _by_row(rows: DataFrame, *carry: str) -> DataFrame:
     """What an operator gets: the row's number is its doc_id."""
-    return rows.select(F.col("row").alias("doc_id"), "text")
-
-
-def _with_decision(rows: DataFrame, decided: DataFrame) -> DataFrame:
-    """Each document with what was decided by its row."""
-    return rows.join(decided.withColumnRenamed("doc_id", "row"), "row")
+    return rows.select(F.col("row").alias("doc_id"), "text", *carry)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,34 +73,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them, that of the greatest doc_id (one without a
-    doc_id comes last); a document left without any text goes.  Of rows that repeat doc_id and text
+    doc_id of its own comes last); a document left without any text goes.  Of rows that repeat doc_id and text
     one stays."""
-    same = Window.partitionBy("doc_id", F.sha2("text", 256)).orderBy("source", "n_chars", "lang")
-    once = own_columns(docs, *COLUMNS).withColumn("k", F.row_number().over(same)).where("k = 1")
-    rows = _numbered(once, "doc_id", F.xxhash64("text"))
-    kept = lines.dedup_lines(_by_row(rows)).select("doc_id", F.col("kept_text").alias("new"))
-    out = _with_decision(rows, kept).withColumn("text", F.col("new"))
-    return out.where(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0).withColumn(
-        "n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    rows = _identified(docs, others_after=False).withColumn("ride", F.struct("doc_id", "lang", "source"))
+    out = lines.dedup_lines(_by_row(rows, "ride"), carry=("ride",)).withColumn("text", F.col("kept_text"))
+    return out.where(F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0).select(
+        "ride.doc_id", "text", "ride.lang", "ride.source", F.length("text").cast("long").alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one of the least doc_id (one without a
-    doc_id comes last); so of repeated rows one stays."""
-    rows = _numbered(docs, F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    kept = minhash.near_duplicates(_by_row(rows)).where("kept").select("doc_id")
-    return _with_decision(rows, kept).select(*COLUMNS)
+    doc_id of its own comes last); so of repeated rows one stays."""
+    rows = _identified(docs, others_after=True)
+    gone = settled(lambda: minhash.near_duplicates(_by_row(rows)).where("NOT kept").select(F.col("doc_id").alias("row")), "copies")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go; each row is judged by its own text."""
-    rows = _numbered(docs)
-    clean = decontam.decontaminate(_by_row(rows), table(spark, sf_dir, "benchmark")).where("NOT contaminated").select("doc_id")
-    return _with_decision(rows, clean).select(*COLUMNS)
+    """Documents that hold a benchmark passage go; each row is judged by its own text.  A null or empty text is
+    clean; an empty benchmark leaves every document; of rows that repeat doc_id and text one stays."""
+    rows = _identified(docs, others_after=True)
+    leaks = decontam.leaks(_by_row(rows), table(spark, sf_dir, "benchmark"))
+    return rows.join(leaks.select(F.col("doc_id").alias("row")), "row", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of what is left, with their sequences."""
+    """Token pieces of what is left, with their sequences; a null or empty text is its end token alone, rows that
+    share a doc_id are packed each, no document gives no row."""
     return packing.pack(docs)
 
 
