@@ -15,6 +15,9 @@ Two forms of a text have windows of their own:
   folded  numbers and units are slots, names are words: other case, other numbers
 In the folded form a window with more slots than words is kept as well, but counts only verbatim.
 
+Most texts hold no run of words that every meeting would need: they are told by a pass over the words' hashes,
+and only the others are brought to the forms.
+
 Items of ``MIN_WORDS`` to ``size`` - 1 words are one window: they join on their first ``MIN_WORDS`` words and
 are compared whole.  Shorter ones count only where they are a whole line or sentence.
 A slot's mark is a private-use character; such characters in the input are dropped.
@@ -36,6 +39,8 @@ UNITS = ("kg|km|cm|mm|ml|mg|g|m|l|s|h|min|hours|hour|minutes|minute|seconds|seco
 MAX_BROADCAST_WINDOWS = 200_000
 SIZE, MIN_WORDS = 8, 4
 FOLDED, TYPED, TINY = range(3)
+#: words in a row that an anchor may have, best first
+RUNS = (4, 2, 1)
 NO_WORD = r"[^\p{L}\p{N}]+"
 SENTENCE_END = r"[\n\r.!?:;]+"
 
@@ -87,21 +92,52 @@ def typed_values(rows: DataFrame) -> DataFrame:
     return rows.withColumn("typed_raw", F.transform("starts", lambda s, k: F.array_join(F.slice("words", s + 1, end(k) - s), " "))).drop("starts")
 
 
-def _hashes(words: Column, size: int) -> Column:
-    """Hash of each window of ``size`` words: of the words' own hashes."""
-    return F.when(F.size(words) >= size, F.transform(F.sequence(F.lit(1), F.size(words) - size + 1),
-                                                     lambda at: F.xxhash64(F.slice(words, at, size))))
+def _with_hashes(rows: DataFrame, name: str, size: int) -> DataFrame:
+    """``rows`` whose array ``name`` of word hashes becomes that of its windows of ``size`` words.  A window's hash is that
+    of its halves' hashes, so ``size`` is a power of two and each doubling is one pass over the array."""
+    if size & (size - 1):
+        raise ValueError("a window's size must be a power of two")
+    half = 1
+    while half < size:
+        rows = rows.withColumn(name, F.zip_with(name, F.expr(f"slice({name}, {half + 1}, size({name}))"), lambda x, y: F.xxhash64(x, y)))
+        half *= 2
+    return rows.withColumn(name, F.expr(f"slice({name}, 1, greatest(size({name}) - {size - 1}, 0))")) if size > 1 else rows
+
+
+def _window_hash(words: Column, size: int) -> Column:
+    """The hash of an array of ``size`` words, as :func:`_hashes` gives it."""
+    own = [F.xxhash64(F.get(words, F.lit(i))) for i in range(size)]
+    half = 1
+    while half < size:
+        own = [F.xxhash64(own[i], own[i + half]) for i in range(len(own) - half)]
+        half *= 2
+    return own[0]
 
 
 def _windows(rows: DataFrame, size: int, *keep: str) -> DataFrame:
-    """(keep, form, at, hash): the windows of ``size`` words of both forms of rows made by :func:`with_forms`."""
-    out = None
-    for form, words in ((FOLDED, F.col("folded")), (TYPED, typed_words())):
-        own = rows.select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("own"))
-        own = own.select(*keep, F.posexplode(_hashes(F.col("own"), size)).alias("at", "hash")).select(
-            *keep, F.lit(form).alias("form"), (F.col("at") + 1).alias("at"), "hash")
-        out = own if out is None else out.union(own)
-    return out
+    """(keep, form, at, hash): the windows of ``size`` words of both forms of rows made by :func:`with_forms`, in one
+    pass.  The outer explode infers no filter, which would compute the arrays again."""
+    each = lambda w: F.xxhash64(w)
+    own = rows.select(*keep, F.transform("folded", each).alias("a"), F.transform(typed_words(), each).alias("b"))
+    own = _with_hashes(_with_hashes(own, "a", size), "b", size)
+    out = own.select(*keep, F.size("a").alias("n"), F.posexplode_outer(F.concat("a", "b")).alias("at", "hash")).where("hash IS NOT NULL")
+    first = F.col("at") < F.col("n")
+    return out.select(*keep, F.when(first, FOLDED).otherwise(TYPED).alias("form"), F.when(first, F.col("at")).otherwise(F.col("at") - F.col("n")).cast(
+        "int").alias("place"), "hash").withColumn("at", F.col("place") + 1).drop("place")
+
+
+def _anchored(docs: DataFrame, held: DataFrame, few: bool) -> DataFrame:
+    """(doc_id) of the documents that hold the anchor of some window: four plain words in a row; where a window has
+    none, two or one.  A document without one meets no window in any form, and is not brought to its forms."""
+    anchors = held.where(F.col("form") != TINY).select("run", F.col("anchor").alias("hash")).distinct()
+    runs = [r["run"] for r in anchors.select("run").distinct().collect()]  # at most len(RUNS)
+    low = F.array_remove(F.split(F.lower(plain(F.col("text"))), NO_WORD), "")
+    rows = docs.select("doc_id", low.alias("low")).select("doc_id", F.transform("low", lambda w: F.xxhash64(w)).alias("h1"))
+    for n in runs:
+        rows = _with_hashes(rows.withColumn(f"h{n}", F.col("h1")), f"h{n}", n) if n > 1 else rows
+    hits = rows.select("doc_id", F.explode_outer(F.concat(*[f"h{n}" for n in runs]) if runs else F.col("h1")).alias("hash"))
+    anchors = anchors.select("hash").distinct()
+    return hits.join(F.broadcast(anchors) if few else anchors, "hash", "left_semi").select("doc_id").distinct()
 
 
 def _sentences(rows: DataFrame, *keep: str) -> DataFrame:
@@ -112,9 +148,17 @@ def _sentences(rows: DataFrame, *keep: str) -> DataFrame:
         *keep, F.lit(TINY).alias("form"), F.xxhash64(F.transform("window", lambda w: F.xxhash64(w))).alias("hash"), "window")
 
 
+def _longest_run(n: int) -> Column:
+    """The hash of the run of ``n`` words without a null in ``said`` that has the most letters; null if there is none."""
+    def run(i: Column) -> Column:
+        own = F.slice("said", i, n)
+        return F.when((F.size(own) == n) & ~F.exists(own, F.isnull), F.struct(F.length(F.array_join(own, "")).alias("n"), _window_hash(own, n).alias("h")))
+    return F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("said") - n + 1, F.lit(1))), run))["h"]
+
+
 def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """(form, item_id, at, len, hash, window, raw, verbatim): the benchmark's windows; hash is that of the window's
-    first words, ``size`` of them or ``MIN_WORDS`` for items of fewer than ``size``."""
+    """(form, item_id, at, len, hash, anchor, run, window, raw, verbatim): the benchmark's windows; hash is that of the
+    window's first words, ``size`` of them or ``MIN_WORDS`` for items of fewer than ``size``; for anchor see :func:`_anchored`."""
     items = own_columns(benchmark, "item_id", "text").where("item_id IS NOT NULL")
     rows = typed_values(with_forms(items))
     out = None
@@ -130,11 +174,20 @@ def benchmark_windows(benchmark: DataFrame, size: int = SIZE) -> DataFrame:
         if form == TYPED:
             own = own.where("NOT verbatim")
         out = own if out is None else out.union(own)
-    first = F.when(F.col("len") < size, F.slice("window", 1, MIN_WORDS)).otherwise(F.col("window"))
-    out = out.withColumn("hash", F.xxhash64(F.transform(first, lambda w: F.xxhash64(w))))
+    out = out.withColumn("hash", F.when(F.col("len") < size, _window_hash(F.col("window"), MIN_WORDS)).otherwise(_window_hash(F.col("window"), size)))
+    # the longest plain words are as a rule the rarest; which are chosen changes no result
+    is_plain = lambda w: F.col("verbatim") | ~w.isin(NUM, NAME, UNIT)
+    said = F.transform("window", lambda w, i: F.when(is_plain(w), F.when(F.col("verbatim"), F.get("raw", i)).otherwise(w)))
+    out = out.withColumn("said", said)
+    longest = [_longest_run(n) for n in RUNS]
+    run = F.lit(RUNS[-1])
+    for n, found in zip(RUNS[-2::-1], longest[-2::-1], strict=True):
+        run = F.when(found.isNotNull(), F.lit(n)).otherwise(run)
+    out = out.withColumn("anchor", F.coalesce(*longest)).withColumn("run", run).drop("said")
     tiny = rows.where(F.size("low").between(1, MIN_WORDS - 1)).select(
         F.lit(TINY).alias("form"), "item_id", F.lit(1).alias("at"), F.size("low").alias("len"), F.col("low").alias("window"),
-        F.col("low").alias("raw"), F.lit(True).alias("verbatim"), F.xxhash64(F.transform("low", lambda w: F.xxhash64(w))).alias("hash"))
+        F.col("low").alias("raw"), F.lit(True).alias("verbatim"), F.xxhash64(F.transform("low", lambda w: F.xxhash64(w))).alias("hash"),
+        F.lit(0).cast("long").alias("anchor"), F.lit(0).alias("run"))
     return out.unionByName(tiny)
 
 
@@ -148,9 +201,10 @@ def contamination(documents: DataFrame, held: DataFrame, size: int = SIZE) -> Da
         F.count("*").alias("n")).collect()}  # at most one row per form and kind
     few = sum(rows_of.values()) <= MAX_BROADCAST_WINDOWS  # bounds every frame made of ``held``, whose rows are of ``size`` words
     docs = own_columns(documents, "doc_id", "text").where("doc_id IS NOT NULL")
-    rows = with_forms(docs)
-
-    hits = None
+    hits, rows = None, None
+    if any(rows_of.get((form, short)) for form in (FOLDED, TYPED) for short in (False, True)):
+        some = stored(_anchored(docs, held, few), "anchored")
+        rows = with_forms(docs.join(some, "doc_id", "left_semi"))
     for short, length in ((False, size), (True, MIN_WORDS)):
         if any(rows_of.get((form, short)) for form in (FOLDED, TYPED)):
             keys = held.where((F.col("form") != TINY) & ((F.col("len") < size) == short)).select("form", "hash").distinct()
