@@ -1,10 +1,13 @@
+import datetime as dt
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidepool.operators import index as ix
 from tidepool.operators import search as se
+from tidepool.operators import sliced as sl
 from tidepool.operators import views as vw
 from tidepool.plans import fixtures as fx
 
@@ -176,3 +179,68 @@ def test_index_refuses_tables_without_a_unique_key(spark, tmp):
     post, lengths = ix.build_inverted_index([SearchTable("t", twice, fields=["text"], id_col="doc_id")])
     with pytest.raises(ValueError):
         ix.write_index(post, lengths, tmp)
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_sliced_bitmaps_equal_plain_filters(spark, kind):
+    rng = random.Random(7)
+    rows = [(k - 40_000, rng.choice([None, *range(-5, 6)]), rng.choice([None, "a", "b", "ç", ""]), rng.choice([None, rng.gauss(0, 1e6), 0.5]))
+            for k in range(0, 80_000, 7)]
+    df = spark.createDataFrame(rows, "id long, n int, s string, v double")
+    if kind == "string":
+        df = df.withColumn("id", F.concat(F.lit("r"), F.col("id")))
+    ix_ = sl.build_sliced_index(df, ["n", "s", "v"], "id")
+    cases = [(sl.Range("n", -2, 3), "n >= -2 AND n < 3"), (sl.Range("n", None, 0, True), "n <= 0"), (~sl.Range("v", 0.5), "NOT v >= 0.5"),
+             (sl.In("s", ("a", "zz")) | sl.IsNull("v"), "s IN ('a', 'zz') OR v IS NULL"), (~sl.In("s", ("a", "")), "NOT s IN ('a', '')"),
+             (~(sl.Range("n", 1) & ~sl.IsNull("s")), "NOT (n >= 1 AND s IS NOT NULL)"), (sl.Range("v", 1e9), "v >= 1e9"), (sl.In("n", ()), "false"),
+             (~sl.In("s", ("a", None)), "s NOT IN ('a', NULL)"), (sl.Range("n"), "n IS NOT NULL"), (~sl.IsNull("n") & sl.Range("v", -1e5, 1e5), "n IS NOT NULL AND v >= -1e5 AND v < 1e5")]
+    for p, sql in cases:
+        want = sorted(r.id for r in df.where(sql).collect())
+        assert sl.count_where(ix_, p).first()["rows"] == len(want), sql
+        assert sorted(r.id for r in sl.ids_where(ix_, p).collect()) == want, sql
+    with pytest.raises(ValueError, match="told apart"):
+        sl.build_sliced_index(df.union(df.limit(1)), ["n"], "id")
+
+
+def test_code_runs_cover_their_range():
+    for first, last in ((0, 0), (0, 7), (3, 12), (5, 5), (1, 14)):
+        got = [x for lead, free in sl._runs(first, last, 4) for x in range(lead << free, (lead + 1) << free)]
+        assert got == list(range(first, last + 1))
+
+
+def test_a_null_partition_is_one_row(spark):
+    base = spark.createDataFrame([(None,), (1,), (1,)], "p int")
+    got = {r.part: (r.base_rows, r.view_rows) for r in vw.staleness_by_partition(base, base.limit(2), F.col("p"), F.col("p")).collect()}
+    assert set(got) == {None, 1} and got[None][0] == 1 and got[1][0] == 2
+
+
+def test_a_stale_refresh_is_refused(spark, tmp, monkeypatch):
+    from tidepool.sources import loading
+    ms = [vw.Measure("n", "count")]
+    a = spark.createDataFrame([(1,)], "k int")
+    vw.refresh_incremental(spark, tmp, "v", a, ["k"], ms)
+    real = loading.stage
+
+    def overtaken(*args, **kw):
+        monkeypatch.setattr(loading, "stage", real)
+        vw.refresh_incremental(spark, tmp, "v", a, ["k"], ms)
+        return real(*args, **kw)
+
+    for refresh in (lambda: vw.refresh_incremental(spark, tmp, "v", a, ["k"], ms),
+                    lambda: vw.refresh_full(spark, tmp, "v", vw.states(a, ["k"], ms))):
+        monkeypatch.setattr(loading, "stage", overtaken)
+        with pytest.raises(loading.StaleVersion):
+            refresh()
+    # no delta that was published is lost
+    assert vw.read_view(spark, tmp, "v", ["k"], ms).first().n == 3
+
+
+def test_pairs_with_support_equal_the_plain_form(spark):
+    from tidepool.operators import analysis as an
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 5), dt.datetime(2024, 1, 1 + rng.randint(0, 9)), rng.choice("abcdefghij" + "abc" * 5)) for _ in range(400)]
+    df = spark.createDataFrame([*rows, (1, rows[0][1], None), (None, rows[0][1], "a")], "e int, ts timestamp, k string")
+    plain = {(r.kind_a, r.kind_b): r.windows for r in an.cooccurrence(df, "e", "ts", "k").collect()}
+    for least in (2, 10, 30):
+        got = {(r.kind_a, r.kind_b): r.windows for r in an.cooccurrence(df, "e", "ts", "k", min_windows=least).collect()}
+        assert got == {p: n for p, n in plain.items() if n >= least}

@@ -107,7 +107,7 @@ def test_load_once_and_stage(spark, tmp):
     df = spark.createDataFrame([(1, "a")], "id long, name string")
     r1 = loading.load_once(df, tmp, "lbl")
     r2 = loading.load_once(df, tmp, "lbl")
-    assert loading._claim(spark, os.path.join(tmp, "_labels", "other.json.claim"), "x")
+    assert loading._create_once(spark, os.path.join(tmp, "_labels", "other.json.claim"), "x")
     with pytest.raises(RuntimeError):
         loading.load_once(df, tmp, "other")
     assert r2.extra.get("repeated") and r1.loaded_rows == r2.loaded_rows == 1
@@ -123,6 +123,80 @@ def test_load_once_and_stage(spark, tmp):
         loading.publish(spark, s2)
 
 
+def test_labels_of_dead_loads(spark, tmp):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    claim = loading._claim_path(tmp, "l/b=1")
+    # a load that died after its data: its lease has run out, and what it left is replaced
+    loading._create_once(spark, claim, '{"owner": "x", "until": 0}')
+    df.union(df).withColumn("_load_label", F.lit("l/b=1")).write.partitionBy("_load_label").parquet(os.path.join(tmp, "data"))
+    assert loading.load_once(df, tmp, "l/b=1").loaded_rows == 2
+    rows = spark.read.parquet(os.path.join(tmp, "data"))
+    assert sorted(r.id for r in rows.where(F.col("_load_label") == "l/b=1").collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        loading.release_label(spark, tmp, "l/b=1")
+    # one whose lease still runs is refused until it is released
+    loading._create_once(spark, loading._claim_path(tmp, "two"), '{"owner": "x", "until": 9e18}')
+    with pytest.raises(RuntimeError, match="release"):
+        loading.load_once(df, tmp, "two")
+    loading.release_label(spark, tmp, "two")
+    loading.load_once(df, tmp, "two")
+    # a load that is refused for its rows gives its claim back
+    bad = df.withColumn(loading.REASON, F.lit("bad"))
+    with pytest.raises(loading.LoadRejected):
+        loading.load_once(bad, tmp, "three")
+    loading.load_once(df, tmp, "three")
+    assert spark.read.parquet(os.path.join(tmp, "data")).count() == 6
+
+
+def test_a_load_that_lost_its_claim_writes_nothing(spark, tmp, monkeypatch):
+    df = spark.createDataFrame([(1, "a")], "id long, name string")
+    real = loading.write_load
+
+    def overtaken(*a, **kw):
+        out = real(*a, **kw)
+        if "_aside" in a[1]:
+            monkeypatch.setattr(loading, "write_load", real)
+            loading._delete(spark, loading._claim_path(tmp, "x"))
+            loading.load_once(df.union(df), tmp, "x")
+        return out
+
+    monkeypatch.setattr(loading, "write_load", overtaken)
+    with pytest.raises(RuntimeError, match="lost"):
+        loading.load_once(df, tmp, "x")
+    assert spark.read.parquet(os.path.join(tmp, "data")).count() == 2
+
+
+def test_of_two_writers_one_wins(spark, tmp):
+    a, b = (spark.createDataFrame([(k, 1.0)], "k long, v double") for k in (1, 2))
+    one, two = loading.stage(a, tmp, "one"), loading.stage(b, tmp, "two")
+    loading.publish(spark, one)
+    with pytest.raises(loading.StaleVersion):
+        loading.publish(spark, two)
+    assert two.state == "ABANDONED" and [r.k for r in loading.read_current(spark, tmp).collect()] == [1]
+    loading.publish(spark, loading.stage(b, tmp, "three"))
+    assert loading.current_version(spark, tmp) == (2, "three")
+    # a pointer entry of the older form is read, and goes on
+    old = os.path.join(tmp, "old")
+    a.write.parquet(os.path.join(old, "_versions", "t9"))
+    loading._write_text(spark, os.path.join(old, "_CURRENT", f"{17:020d}-t9"), "t9")
+    assert loading.current_version(spark, old) == (17, "t9")
+    loading.publish(spark, loading.stage(b, old, "next"))
+    assert loading.current_version(spark, old) == (18, "next") and loading.read_current(spark, old).first().k == 2
+
+
+def test_load_moves_only_what_passes(spark, tmp):
+    df = spark.createDataFrame([(1, "a", None), (2, "b", "bad"), (3, "a", None)], f"id long, p string, {loading.REASON} string")
+    path = os.path.join(tmp, "t")
+    for _ in range(2):
+        rep = loading.write_load(df, path, "l", max_filter_ratio=0.5, partition_by=["p"])
+        assert (rep.total_rows, rep.loaded_rows, rep.filtered_rows) == (3, 2, 1) and rep.loaded_bytes > 0
+    with pytest.raises(loading.LoadRejected):
+        loading.write_load(df, path, "l", partition_by=["p"])
+    assert spark.read.parquet(path).count() == 4 and not [n for n in os.listdir(path) if "aside" in n]
+    loading.write_load(df, path, "l", max_filter_ratio=0.5, mode="overwrite", partition_by=["p"])
+    assert spark.read.parquet(path).count() == 2
+
+
 def test_time_partitions_are_pruned(spark, tmp):
     e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     p = os.path.join(tmp, "bytime")

@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -221,3 +222,29 @@ def test_exact_quantiles_order_no_label_set_in_one_task(spark):
     plan = me.exact_quantiles(df, F.col("v"), ["label"], [0.5])._jdf.queryExecution().optimizedPlan().toString()
     rows_windows = [x for x in plan.splitlines() if "Window" in x and "_v" in x]
     assert rows_windows and all("_b" in x for x in rows_windows)
+
+
+def test_analytic_keys_of_very_different_sizes(spark):
+    """No key's values take digits from another's, nor large values from small ones of their own key."""
+    t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=2 * h)
+    vals = {"a": [1e25, -1e25, 1e25], "b": [1e-9, 2e-9], "c": [1e300, 3.0, 4.0, 5e-300, 5e-324], "d": [0.0, -0.0, None], "e": [0.1] * 10}
+    rows = [(k, t(i), v) for k, own in vals.items() for i, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, v double")
+    got = {(r.k, r.ts): r for r in rel.analytic(df, ["k"], "ts", "v", moving_rows=2).collect()}
+    for k, own in vals.items():
+        for i, v in enumerate(own):
+            r, upto = got[k, t(i)], [x for x in own[:i + 1] if x is not None]
+            assert r.running_sum == pytest.approx(math.fsum(upto), rel=1e-12) if upto else r.running_sum is None
+            two = [x for x in own[max(0, i - 1):i + 1] if x is not None]
+            assert r.moving_avg == pytest.approx(math.fsum(two) / len(two), rel=1e-12, abs=0) if two else r.moving_avg is None
+            assert r.range_sum == (v if v is not None else None)
+
+
+def test_gauge_keys_of_very_different_sizes(spark):
+    t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [("a", t(0), "set", 1e25), ("a", t(1), "inc", 0.0), ("b", t(0), "set", 1e-9), ("b", t(1), "add", 2e-9), ("b", t(2), "inc", 7.0),
+            ("b", t(3), "set", 4e-9), ("b", t(4), "sub", 1e-9)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, op string, v double")
+    got = {(r.k, r.ts.hour): r.gauge_value for r in me.gauge(df, ["k"], "ts", "op", "v").collect()}
+    assert got["a", 0] == 1e25 and got["a", 1] == 1e25
+    assert [got["b", h] for h in range(5)] == pytest.approx([1e-9, 3e-9, 1 + 3e-9, 4e-9, 3e-9], rel=1e-12)

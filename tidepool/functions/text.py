@@ -163,14 +163,15 @@ def match_fields(fields, keywords, mode: str = "any", parser: str = "standard")
 
 
 def match_phrase(col, phrase: str, parser: str = "standard") -> Column:
-    """The phrase tokens appear consecutively as tokens of the field."""
+    """The phrase tokens appear consecutively in the field's token stream, as the parser gives it: without
+    stop words for english, in overlapping pairs for chinese."""
     parser = _check_parser(parser)
     toks = keyword_tokens(phrase, parser, dedup=False) if isinstance(phrase, str) else phrase
-    if parser == "chinese":
-        raise ValueError("phrase search supports the standard and english parsers")
-    if parser == "english":
-        # stop words are dropped from the token stream, so the gap may hold them
-        raise ValueError("phrase search over the english parser is not defined; use standard")
+    if parser != "standard":
+        own = tokens(col, parser)
+        wanted = F.array(*[F.lit(t) for t in toks])
+        starts = F.filter(F.transform(own, lambda t, i: F.when(t == toks[0], i + 1)), lambda i: i.isNotNull())
+        return F.coalesce(F.exists(starts, lambda i: F.slice(own, i, len(toks)) == wanted), F.lit(False))
     w = _word_class(parser)
     sep = f"[^{w[1:-1]}]+"
     body = sep.join(regex.escape(t) for t in toks)

@@ -47,12 +47,15 @@ def valid_rules(rules: list[dict]) -> list[dict]:
     return valid
 
 
-def evaluate_alerts(series: DataFrame, rules: list[dict], step_seconds: int, labels: list[str] | None = None) -> DataFrame:
+def evaluate_alerts(series: DataFrame, rules: list[dict], step_seconds: int, labels: list[str] | None = None,
+                    as_of=None) -> DataFrame:
     """A2: alert instances per (rule, labels) series.
 
     ``rules`` is the (small) rule configuration; each valid rule becomes one predicate and the
     rules are evaluated over one scan of the series (union of per-rule projections).
     The evaluation time is the last sample of each series: an island still true there is open.
+    With ``as_of`` (a time, or a one-row frame of one) it is that time: an island whose last true sample lies more than
+    a step before it has ended.
     """
     labels = labels or []
     valid = valid_rules(rules)
@@ -86,6 +89,9 @@ def evaluate_alerts(series: DataFrame, rules: list[dict], step_seconds: int, lab
     last_true = F.unix_micros(F.col("last_true_at").cast("timestamp"))
     step_us = F.lit(int(step_seconds) * 1_000_000)
     ended = F.col("_next_t").isNotNull()
+    if as_of is not None:
+        isl = isl.crossJoin(F.broadcast(as_of.toDF("_as_of"))) if isinstance(as_of, DataFrame) else isl.withColumn("_as_of", F.lit(as_of))
+        ended = ended | (last_true + step_us < F.unix_micros(F.col("_as_of").cast("timestamp")))
     ended_at_us = F.when(F.col("_next_t").isNotNull() & (F.col("_next_t") - last_true <= step_us), F.col("_next_t")) \
         .otherwise(last_true + step_us)
     lasted = (last_true - F.unix_micros(F.col("active_at").cast("timestamp"))) >= F.col("for_s").cast("bigint") * 1_000_000

@@ -72,8 +72,7 @@ def field_stats(lengths: DataFrame) -> DataFrame:
     return lengths.groupBy("source_table", "field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("avgdl"))
 
 
-def write_index(postings: DataFrame, lengths: DataFrame, path: str, buckets: int = TOKEN_BUCKETS,
-                spread: int = 4, parser: str = "standard") -> None:
+def write_index(postings: DataFrame, lengths: DataFrame, path: str, buckets: int = TOKEN_BUCKETS, parser: str = "standard") -> None:
     """T18 layout: postings partitioned by token bucket and sorted by token; field stats beside.
 
     The bucket count and the parser are stored with the index and read back by every lookup.
@@ -90,9 +89,9 @@ def write_index(postings: DataFrame, lengths: DataFrame, path: str, buckets: int
             raise ValueError(f"table {r['source_table']}: id {r['most']['id']} with tie {r['most']['tie']} is not unique")
     drop_layout(spark, path)
     p = postings.withColumn("bucket", token_bucket(F.col("token"), buckets))
-    # writers per bucket, salted by row so the bucket of a very common token ("the") is written
-    # by several tasks; each file sorted by token so row-group statistics prune lookups
-    spread_for_write(p, ["bucket"], spread, salt_cols=["id", "tie"]).sortWithinPartitions("bucket", "token") \
+    # the bucket of a very common token ("the") is split over several writers by its size; each file
+    # is sorted by token so row-group statistics prune lookups
+    spread_for_write(p, ["bucket"]).sortWithinPartitions("bucket", "token") \
         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     n_docs = spark.createDataFrame([(r["source_table"], r["field"], r["n_docs"]) for r in rows],
                                    "source_table string, field string, n_docs long")
@@ -325,7 +324,7 @@ def write_doc_store(tables: list[SearchTable], path: str, buckets: int = DOC_BUC
             (F.col(t.ts_col).cast("timestamp_ntz") if t.ts_col else F.lit(None).cast("timestamp_ntz")).alias("ts")))
     rows = reduce(lambda a, b: a.unionByName(b), parts).withColumn("id_bucket", id_bucket(F.col("id"), buckets))
     drop_layout(rows.sparkSession, path)
-    spread_for_write(rows, ["source_table", "id_bucket"], 1, salt_cols=["id"]) \
+    spread_for_write(rows, ["source_table", "id_bucket"]).sortWithinPartitions("source_table", "id_bucket", "id") \
         .write.mode("overwrite").partitionBy("source_table", "id_bucket").parquet(path)
     write_layout(rows.sparkSession, path, {"buckets": int(buckets)})
 

@@ -6,10 +6,13 @@ gauges, concurrency and timelines use the skew-safe running windows of ``running
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.operators.running import exact_parts, running, whole
+from tidepool.operators.running import exact_split, running, whole
+from tidepool.operators.relational import broadcast_if_small
 from tidepool.session import cut_lineage
 
 # Default latency bucket bounds in seconds (the usual client-library default).
@@ -36,19 +39,19 @@ def gauge(df: DataFrame, keys: list[str], ts: str, op: str, amount: str, tiebrea
     """M2: value over time of a gauge driven by set / inc / dec / add / sub operations.
 
     value(row) = amount of the latest ``set`` + the sum of the deltas since it (0 before
-    any set).  Both parts are skew-safe running windows over ``exact_parts``, so the difference
+    any set).  Both parts are skew-safe running windows over ``exact_split``, so the difference
     of running sums stays exact on long series and a NaN or infinity counts until the next ``set``.
     """
     o = F.lower(F.col(op))
-    amounts = exact_parts(df, F.col(amount))
-    r, sums = df, {}
-    for name, a in amounts.items():
-        one = F.lit(1 if name == "s" else 0).cast(df.select(a.alias("_a")).schema["_a"].dataType)
-        # an infinity that is taken off is one of the other sign
-        off = {"s": -a, "x": a, "p": amounts.get("q"), "q": amounts.get("p")}[name]
-        r = r.withColumn(f"_d_{name}", F.when(o == "inc", one).when(o == "dec", -one).when(o == "add", a)
-                         .when(o == "sub", off).otherwise(one - one)).withColumn(f"_a_{name}", a)
-        sums[f"_run_{name}"] = F.col(f"_d_{name}")
+    v = F.col(amount)
+    split = exact_split(df, v, also=(1.0,))
+    one = F.lit(1).cast(df.schema[amount].dataType)
+    delta = F.when(o == "inc", one).when(o == "dec", -one).when(o == "add", v).when(o == "sub", -v).otherwise(one - one)
+    amounts, deltas = split(v), split(delta)
+    r = df
+    for name in amounts:
+        r = r.withColumn(f"_d_{name}", deltas[name]).withColumn(f"_a_{name}", amounts[name])
+    sums = {f"_run_{name}": F.col(f"_d_{name}") for name in amounts}
     order = [F.col(ts), *[F.col(c) for c in (tiebreak or [])]]
     r = running(r, keys, order, sums=sums)
     # at a set row the base is amount - run(at the set); carried forward as "last non-null"
@@ -128,6 +131,37 @@ def summary(df: DataFrame, col: str, objectives=None, labels: list[str] | None =
         *(labels or []), F.col("_p.quantile").alias("quantile"), F.col("_p.value").alias("value"), "sum", "count")
 
 
+def sketch_size(objectives: dict | None = None) -> int:
+    """The k of a KLL sketch whose rank error is below the least of the objectives' (its published
+    bound for one quantile at 99%: 2.296 / k ** 0.9021)."""
+    least = min((objectives or DEFAULT_OBJECTIVES).values())
+    return int(min(65_535, max(8, math.ceil((2.296 / least) ** (1 / 0.9021)))))
+
+
+def sketch_states(df: DataFrame, col: str, labels: list[str] | None = None, objectives: dict | None = None) -> DataFrame:
+    """M4 as mergeable states: (labels, sketch, sum, count) with a quantile sketch of the non-null doubles per label set.
+    Its size is bounded by the objectives, not by the rows; NaN and NULL have no rank and are left out."""
+    v = F.col(col).cast("double")
+    v = F.when(~F.isnan(v), v)
+    return df.groupBy(*(labels or [])).agg(
+        F.call_function("kll_sketch_agg_double", v, F.lit(sketch_size(objectives))).alias("sketch"), F.sum(v).alias("sum"), F.count(v).alias("count"))
+
+
+def merge_sketches(states: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """The states of parts of the rows (of tasks, days, batches) as one state per label set."""
+    return states.groupBy(*(labels or [])).agg(
+        F.call_function("kll_merge_agg_double", F.col("sketch")).alias("sketch"), F.sum("sum").alias("sum"), F.sum("count").alias("count"))
+
+
+def sketch_quantiles(states: DataFrame, labels: list[str] | None = None, objectives: dict | None = None) -> DataFrame:
+    """(labels, quantile, value, sum, count) of states; a label set without a value has null values."""
+    goals = sorted((objectives or DEFAULT_OBJECTIVES))
+    at = lambda q: F.when(F.col("count") > 0, F.call_function("kll_sketch_get_quantile_double", F.col("sketch"), F.lit(float(q))))
+    pairs = F.array(*[F.struct(F.lit(float(q)).alias("quantile"), at(q).alias("value")) for q in goals])
+    return states.select(*(labels or []), "sum", "count", F.explode(pairs).alias("_p")).select(
+        *(labels or []), F.col("_p.quantile").alias("quantile"), F.col("_p.value").alias("value"), "sum", "count")
+
+
 def sliding_summary(df: DataFrame, col: str, ts: str, length: str, step: str, objectives=None,
                     labels: list[str] | None = None, exact: bool = False) -> DataFrame:
     """M5: M4 over a sliding time window ``window(ts, length, step)``."""
@@ -203,8 +237,7 @@ def group_concurrency(log: DataFrame, limits: DataFrame, group="group_name", sta
     ev = log.select(F.col(group), F.col(start).alias("at_ts"), F.lit(1).alias("delta"), F.col(qid)) \
         .unionByName(log.select(F.col(group), end.alias("at_ts"), F.lit(-1).alias("delta"), F.col(qid)))
     r = running(ev, [group], ["at_ts", "delta", qid], sums={"running": F.col("delta")})
-    lim = F.broadcast(limits)  # one row per configured group: bounded by the configuration
-    j = r.join(lim, on=group, how="left")
+    j = r.join(broadcast_if_small(limits), on=group, how="left")
     return j.select(group, "at_ts", "delta", qid, F.col("running").cast("bigint").alias("running"), "concurrency_limit",
                     F.greatest(F.col("running") - F.col("concurrency_limit"), F.lit(0)).cast("bigint").alias("queued"))
 

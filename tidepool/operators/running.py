@@ -13,6 +13,7 @@ deterministic expression of the row (literal bounds), so every branch of the pla
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,15 +46,15 @@ def _numeric(c: Column, dtype: T.DataType) -> Column | None:
     return None
 
 
-#: values a slice that the bounds of a string column are taken from, and their greatest length
-SAMPLE_PER_SLICE, BOUND_LENGTH = 100, 256
+#: values a slice that the bounds of a string column are taken from
+SAMPLE_PER_SLICE = 100
 
 
 def _sampled_bounds(probe: DataFrame, slices: int) -> list:
     """Bounds of a string or binary column ``_o`` from a random sample of about
     ``SAMPLE_PER_SLICE`` values a slice: whole values are compared with them, so a prefix that
     all values share costs nothing.  Results do not depend on the bounds, only the balance does."""
-    vals = probe.where(F.col("_o").isNotNull()).select(F.substring("_o", 1, BOUND_LENGTH).alias("_o"))
+    vals = probe.where(F.col("_o").isNotNull())
     n = vals.count()
     if not n:
         return []
@@ -104,35 +105,70 @@ def with_slices(df: DataFrame, order, slices: int, name: str = "_b") -> DataFram
     return df.withColumn(name, F.when(first.isNull(), F.lit(len(bounds) + 1 if desc else -1)).otherwise(own))
 
 
-def exact_parts(df: DataFrame, value: Column) -> dict[str, Column]:
-    """``value`` as parts whose running sums, and differences of them, are exact: ``s`` a DECIMAL
-    (0 for NULL, NaN and infinities) and, for floating types, counters ``x`` of NaN, ``p`` and ``q``
-    of the infinities.  The scale follows the data type, for floating types the total of the
-    absolute values and rows (one aggregate): 30 digits or more below that total are kept.  Totals
-    beyond 1e30 or all below 1e-20 are summed as doubles.  ``whole`` gives the value of summed parts.
+#: binary orders of magnitude that one limb of an exact sum covers
+LIMB_BITS = 32
+
+
+def _limb_unit(limb: int) -> tuple[float, float]:
+    """2 to the limb's lowest bit as two factors (a power of two of a double's whole range needs both)."""
+    low = LIMB_BITS * limb - 54
+    return math.ldexp(1.0, low // 2), math.ldexp(1.0, low - low // 2)
+
+
+def exact_split(df: DataFrame, value: Column, also: tuple[float, ...] = ()) -> Callable[[Column], dict[str, Column]]:
+    """A function that takes a column of the values of ``value``, their negatives, 0 and ``also`` to parts whose
+    running sums, and differences of them, are exact; ``whole`` gives the value of summed parts.
+
+    Integers and DECIMALs are one DECIMAL part ``s``.  Doubles are split by magnitude: a part for
+    each range of ``LIMB_BITS`` binary orders that occurs (one aggregate finds them; two or three as a
+    rule), in which a value is a whole number of the range's unit of at most 87 bits, so that
+    5e11 rows add up exactly in a DECIMAL and no value, however large, takes digits from another;
+    and counters ``x`` of NaN, ``p`` and ``q`` of the infinities.
     """
     dtype = df.select(value.alias("_v")).schema["_v"].dataType
     if isinstance(dtype, T.IntegralType):
-        return {"s": F.coalesce(value, F.lit(0)).cast("decimal(38,0)")}
+        return lambda c: {"s": F.coalesce(c, F.lit(0)).cast("decimal(38,0)")}
     if isinstance(dtype, T.DecimalType):
         # spare digits: each sum of two DECIMALs of 38 digits gives one of its scale up
-        return {"s": F.coalesce(value, F.lit(0)).cast(f"decimal(38,{min(dtype.scale + 3, 37)})")}
+        return lambda c: {"s": F.coalesce(c, F.lit(0)).cast(f"decimal(38,{min(dtype.scale + 3, 37)})")}
+    finite = lambda v: ~F.isnan(v) & (F.abs(v) != float("inf")) & (v != 0)
+    limb = lambda v: F.floor(F.log2(F.abs(v)) / LIMB_BITS).cast("int")
     v = value.cast("double")
-    finite = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
-    total, rows = df.agg(F.sum(F.abs(finite)), F.count(F.lit(1))).first()
-    digits = int(math.floor(math.log10((total or 0.0) + rows + 1.0))) + 2 if math.isfinite(total or 0.0) else 99
-    s = F.coalesce(finite, F.lit(0.0))
-    if digits <= 31 and not 0.0 < (total or 0.0) < 1e-20:
-        s = s.cast(f"decimal(38,{35 - digits})").cast(f"decimal(38,{38 - digits})")
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("bigint")
-    return {"s": s, "x": flag(F.isnan(v)), "p": flag(v == float("inf")), "q": flag(v == float("-inf"))}
+    found = set(df.select(F.when(finite(v), limb(v)).alias("_l")).agg(F.collect_set("_l")).first()[0])  # at most 66 values
+    limbs = sorted(found | {math.floor(math.log2(abs(x)) / LIMB_BITS) for x in also} or {0})
+    wide = "decimal(38,0)"
+    half = float(1 << 43)
+
+    def parts(c: Column) -> dict[str, Column]:
+        d = c.cast("double")
+        out = {}
+        for n in limbs:
+            one, two = _limb_unit(n)
+            units = d / F.lit(one) / F.lit(two)
+            high = F.floor(units / half).cast("bigint")
+            low = (units - high.cast("double") * half).cast("bigint")
+            out[f"s{n + 40}"] = F.when(finite(d) & (limb(d) == n), (high.cast(wide) * F.lit(1 << 43).cast("decimal(14,0)")).cast(wide) + low.cast(wide)).otherwise(
+                F.lit(0)).cast(wide)
+        flag = lambda x: F.coalesce(x, F.lit(False)).cast("bigint")
+        return {**out, "x": flag(F.isnan(d)), "p": flag(d == float("inf")), "q": flag(d == float("-inf"))}
+    return parts
+
+
+def exact_parts(df: DataFrame, value: Column) -> dict[str, Column]:
+    """The parts of ``value`` itself, see :func:`exact_split`."""
+    return exact_split(df, value)(value)
 
 
 def whole(parts: dict[str, Column]) -> Column:
-    """The double that summed ``exact_parts`` stand for."""
-    s = parts["s"].cast("double")
+    """The double that summed parts of :func:`exact_split` stand for."""
     if "x" not in parts:
-        return s
+        return parts["s"].cast("double")
+    limbs = sorted((int(n[1:]) - 40 for n in parts if n[0] == "s"), reverse=True)
+    s = None
+    for n in limbs:
+        one, two = _limb_unit(n)
+        own = parts[f"s{n + 40}"].cast("double") * F.lit(one) * F.lit(two)
+        s = own if s is None else s + own
     return (F.when((parts["x"] > 0) | ((parts["p"] > 0) & (parts["q"] > 0)), F.lit(float("nan")))
             .when(parts["p"] > 0, F.lit(float("inf"))).when(parts["q"] > 0, F.lit(float("-inf"))).otherwise(s))
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,7 +102,7 @@ def _score(fields, toks, parser, score: str) -> Column:
 
 
 def table_hits(t: SearchTable, keywords: str, toks, mode="any", parser="standard", time_range=None,
-               filters=None, score="const", document=True, cap=None, cap_order=None) -> DataFrame:
+               filters=None, score="const", document=True) -> DataFrame:
     fields = t.fields or searchable_fields(t.df)
     if not fields:
         raise ValueError(f"table {t.name} has no searchable field")
@@ -111,7 +111,7 @@ def table_hits(t: SearchTable, keywords: str, toks, mode="any", parser="standard
         raise ValueError(f"table {t.name} has no column(s) {missing}")
     rows = t.df.where(table_filter(t, fields, toks, mode, parser, time_range, filters))
     doc = F.to_json(F.struct(*[F.col(c) for c in t.df.columns])) if document else F.lit(None).cast("string")
-    hits = rows.select(
+    return rows.select(
         F.lit(t.name).alias("source_table"),
         _hit_id(t).alias("id"),
         _score(fields, toks, parser, score).alias("score"),
@@ -120,15 +120,10 @@ def table_hits(t: SearchTable, keywords: str, toks, mode="any", parser="standard
         (F.col(t.ts_col).cast("timestamp_ntz") if t.ts_col else F.lit(None).cast("timestamp_ntz")).alias("ts"),
         _tie(t).alias("tie"),
     )
-    if cap is not None:
-        # T17, optional: a per-table cap over a total order of the hit columns (per-table top-k)
-        hits = hits.orderBy(*sqlapi.order_columns(order_hits(cap_order))).limit(int(cap))
-    return hits
 
 
 def search(tables: list[SearchTable], keywords: str, *, recall_priority: bool = True, parser: str = "standard",
-           time_range=None, filters=None, score: str = "const", document: bool = True, cap: int | None = None,
-           cap_order=None, on_error: str = "raise", report: SearchReport | None = None) -> DataFrame:
+           time_range=None, filters=None, score: str = "const", document: bool = True, on_error: str = "raise", report: SearchReport | None = None) -> DataFrame:
     """Hits of every table, tagged with the table, in one plan.
 
     ``recall_priority`` True -> any keyword token (T4), False -> all tokens in one field (T5).
@@ -143,7 +138,7 @@ def search(tables: list[SearchTable], keywords: str, *, recall_priority: bool =
     parts = []
     for t in tables:
         try:
-            parts.append(table_hits(t, keywords, toks, mode, parser, time_range, filters, score, document, cap, cap_order))
+            parts.append(table_hits(t, keywords, toks, mode, parser, time_range, filters, score, document))
         except (AnalysisException, ValueError) as e:
             if on_error != "skip":
                 raise
@@ -154,6 +149,12 @@ def search(tables: list[SearchTable], keywords: str, *, recall_priority: bool =
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def top_hits_per_table(hits: DataFrame, k: int, sort=None) -> DataFrame:
+    """T17 as a report: each table's first ``k`` hits in the hit order (a search itself leaves none out)."""
+    w = Window.partitionBy("source_table").orderBy(*sqlapi.order_columns(order_hits(sort)))
+    return hits.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= int(k)).drop("_k")
+
+
 def order_hits(sort=None) -> list:
     """caller's sort fields, then the fixed tie-break (table, id, tie) for a total order."""
     sort = list(sort or DEFAULT_ORDER[:1])
@@ -168,8 +169,8 @@ def _hits(tables, keywords, index=None, **kw) -> DataFrame:
     if index is None:
         return search(tables, keywords, **kw)
     from tidepool.operators.index import search_with_index
-    if kw.get("score", "const") != "const" or kw.get("cap") is not None:
-        raise ValueError("the index path supports the const score without caps; use index.bm25 for ranking")
+    if kw.get("score", "const") != "const":
+        raise ValueError("the index path supports the const score; use index.bm25 for ranking")
     return search_with_index(tables, index, keywords, kw.get("recall_priority", True), kw.get("parser", "standard"),
                              kw.get("document", False), time_range=kw.get("time_range"), filters=kw.get("filters"))
 

@@ -19,14 +19,17 @@ from pyspark.sql import functions as F
 from tidepool.session import spread_for_write
 from tidepool.sources import loading
 
-MERGEABLE = ("sum", "count", "min", "max", "avg", "approx_distinct")
+MERGEABLE = ("sum", "count", "min", "max", "avg", "approx_distinct", "quantile")
+#: k of the quantile sketches: ranks within 0.5% (99%)
+SKETCH_K = 900
 
 
 @dataclass(frozen=True)
 class Measure:
     name: str
-    kind: str          # sum | count | min | max | avg | approx_distinct | count_distinct (refused)
+    kind: str          # sum | count | min | max | avg | approx_distinct | quantile | count_distinct (refused)
     col: str | None = None
+    q: float = 0.5     # which quantile
 
 
 def _check(measures: list[Measure]) -> None:
@@ -53,6 +56,9 @@ def states(df: DataFrame, keys: list[str], measures: list[Measure]) -> DataFrame
             aggs += [F.sum(c).alias(f"{m.name}__sum"), F.count(c).alias(f"{m.name}__count")]
         elif m.kind == "approx_distinct":
             aggs.append(F.hll_sketch_agg(c).alias(f"{m.name}__hll"))
+        elif m.kind == "quantile":
+            d = c.cast("double")
+            aggs.append(F.call_function("kll_sketch_agg_double", F.when(~F.isnan(d), d), F.lit(SKETCH_K)).alias(f"{m.name}__kll"))
     return df.groupBy(*keys).agg(*aggs)
 
 
@@ -71,6 +77,8 @@ def merge_states(a: DataFrame, b: DataFrame, keys: list[str], measures: list[Mea
             aggs.append(F.max(f"{m.name}__max").alias(f"{m.name}__max"))
         if m.kind == "approx_distinct":
             aggs.append(F.hll_union_agg(f"{m.name}__hll").alias(f"{m.name}__hll"))
+        if m.kind == "quantile":
+            aggs.append(F.call_function("kll_merge_agg_double", F.col(f"{m.name}__kll")).alias(f"{m.name}__kll"))
     return a.unionByName(b).groupBy(*keys).agg(*aggs)
 
 
@@ -89,6 +97,10 @@ def finalize(st: DataFrame, keys: list[str], measures: list[Measure]) -> DataFra
             cols.append((F.col(f"{m.name}__sum") / F.col(f"{m.name}__count")).alias(m.name))
         elif m.kind == "approx_distinct":
             cols.append(F.hll_sketch_estimate(f"{m.name}__hll").alias(m.name))
+        elif m.kind == "quantile":
+            own = F.col(f"{m.name}__kll")
+            cols.append(F.when(F.call_function("kll_sketch_get_n_double", own) > 0,
+                               F.call_function("kll_sketch_get_quantile_double", own, F.lit(float(m.q)))).alias(m.name))
     return st.select(*keys, *cols)
 
 
@@ -100,11 +112,13 @@ def view_query(df: DataFrame, keys: list[str], measures: list[Measure]) -> DataF
 # ---------------------------------------------------------------- refresh jobs
 
 def refresh_full(spark: SparkSession, root: str, name: str, query: DataFrame) -> str:
-    """V1: write the defining query as a new version, then switch the pointer."""
+    """V1: write the defining query as a new version, then switch the pointer; refused if another refresh was
+    published since it was begun (its rows may not be in this query's)."""
     if not name or query is None:
         raise ValueError("a view needs a name and a query")
+    base = loading.current_version(spark, os.path.join(root, name))[0]
     done = progress(spark, root, name)
-    st = loading.stage(query, os.path.join(root, name), txn=uuid.uuid4().hex)
+    st = loading.stage(query, os.path.join(root, name), txn=uuid.uuid4().hex, base=base)
     loading._write_text(spark, os.path.join(st.path, "_progress"), json.dumps(done))
     loading.publish(spark, st)
     return st.txn
@@ -125,19 +139,13 @@ def refresh_incremental(spark: SparkSession, root: str, name: str, new_rows: Dat
     a path.  It is published only if no other refresh was published since it was begun.  ``done``
     is the stream progress the new version records (the current one's unless given)."""
     path = os.path.join(root, name)
-    parent = loading.current_txn(spark, path)
+    base, parent = loading.current_version(spark, path)
     done = progress(spark, root, name) if done is None else done
-    try:
-        cur = loading.read_current(spark, path)
-    except FileNotFoundError:
-        cur = None
+    cur = None if parent is None else spark.read.parquet(os.path.join(path, "_versions", parent))
     delta = states(new_rows, keys, measures)
     merged = delta if cur is None else merge_states(cur, delta, keys, measures)
-    st = loading.stage(merged, path, txn=txn or uuid.uuid4().hex)
+    st = loading.stage(merged, path, txn=txn or uuid.uuid4().hex, base=base)
     loading._write_text(spark, os.path.join(st.path, "_progress"), json.dumps(done))
-    if loading.current_txn(spark, path) != parent:
-        loading.abandon(spark, st)
-        raise RuntimeError(f"view {name} was refreshed meanwhile; run the refresh again")
     loading.publish(spark, st)
     return st.txn
 
@@ -148,13 +156,8 @@ def read_view(spark: SparkSession, root: str, name: str, keys: list[str], measur
 
 def refresh_partitions(query: DataFrame, path: str, partition_col: str) -> None:
     """V3: recompute only the touched time partitions (dynamic partition overwrite)."""
-    spark = query.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        spread_for_write(query, [partition_col]).write.mode("overwrite").partitionBy(partition_col).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    spread_for_write(query, [partition_col]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy(partition_col).parquet(path)
 
 
 def touched_partitions_refresh(view: DataFrame, base: DataFrame, delta: DataFrame, part: Column, part_name: str,
@@ -184,5 +187,7 @@ def staleness_by_partition(base: DataFrame, view: DataFrame, base_part: Column,
     """V5 per partition: rows in the base vs rows covered by the view."""
     b = base.groupBy(base_part.alias("part")).agg(F.count(F.lit(1)).alias("base_rows"))
     v = view.groupBy(view_part.alias("part")).agg(F.count(F.lit(1)).alias("view_rows"))
-    return b.join(v, "part", "full_outer").select(
-        "part", F.coalesce("base_rows", F.lit(0)).alias("base_rows"), F.coalesce("view_rows", F.lit(0)).alias("view_rows"))
+    # a union, so that rows without a partition value meet too
+    none = F.lit(0).cast("bigint")
+    both = b.select("part", "base_rows", none.alias("view_rows")).unionByName(v.select("part", none.alias("base_rows"), "view_rows"))
+    return both.groupBy("part").agg(F.sum("base_rows").alias("base_rows"), F.sum("view_rows").alias("view_rows"))

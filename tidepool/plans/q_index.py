@@ -20,15 +20,19 @@ def _postings(spark, sf):
 
 
 def t18_postings(spark, sf):
-    post, _ = ix.build_inverted_index([t for t in fx.search_tables(spark, sf) if t.name == "documents"])
-    return post.select("id", "token", "tf", F.element_at("positions", 1).alias("first_pos"),
+    post, _ = ix.build_inverted_index(fx.search_tables(spark, sf))
+    return post.select("source_table", "id", "tie", "token", "tf", F.element_at("positions", 1).alias("first_pos"),
                        F.size("positions").alias("n_pos"))
 
 
-T18_SQL = f"""SELECT CAST(doc_id AS VARCHAR) AS id, token, COUNT(*) AS tf, CAST(min(pos) AS INTEGER) AS first_pos,
+INDEXED_SQL = f"""rows AS (
+  SELECT 'documents' AS source_table, CAST(doc_id AS VARCHAR) AS id, '' AS tie, {_tok('text')} AS t FROM documents
+  UNION ALL SELECT 'conversations', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR), {_tok('text')} FROM conversations
+  UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR), '', {_tok('text')} FROM benchmark)"""
+T18_SQL = f"""WITH {INDEXED_SQL} SELECT source_table, id, tie, token, COUNT(*) AS tf, CAST(min(pos) AS INTEGER) AS first_pos,
 CAST(COUNT(*) AS INTEGER) AS n_pos FROM (
-  SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS pos FROM (SELECT doc_id, {_tok('text')} AS t FROM documents))
-GROUP BY doc_id, token"""
+  SELECT source_table, id, tie, unnest(t) AS token, unnest(range(len(t))) AS pos FROM rows)
+GROUP BY source_table, id, tie, token"""
 
 
 def t19_index_any(spark, sf):
@@ -184,6 +188,22 @@ def v2_incremental_sketch(spark, sf):
 V2_SKETCH_SQL = """SELECT l_returnflag, l_linestatus, COUNT(DISTINCT l_partkey) AS parts, TRUE AS within_error FROM lineitem GROUP BY 1, 2"""
 
 
+def v2_incremental_quantile(spark, sf):
+    """V2 with a quantile sketch measure: the exact counts, and whether the merged median's rank lies within 1.5%."""
+    li = load(spark, sf, "lineitem")
+    ms = [vw.Measure("p50", "quantile", "l_extendedprice", 0.5), vw.Measure("n", "count", "l_extendedprice")]
+    cut = F.lit(VIEW_CUT).cast("timestamp_ntz")
+    old = vw.states(li.where(F.col("l_shipdate") < cut), VIEW_KEYS, ms)
+    new = vw.states(li.where(F.col("l_shipdate") >= cut), VIEW_KEYS, ms)
+    est = vw.finalize(vw.merge_states(old, new, VIEW_KEYS, ms), VIEW_KEYS, ms)
+    below = li.join(est, VIEW_KEYS).groupBy(*VIEW_KEYS).agg(
+        F.max("n").alias("n"), F.count_if(F.col("l_extendedprice") < F.col("p50")).alias("lo"), F.count_if(F.col("l_extendedprice") <= F.col("p50")).alias("hi"))
+    return below.select(*VIEW_KEYS, "n", ((F.col("lo") <= 0.515 * F.col("n")) & (F.col("hi") >= 0.485 * F.col("n"))).alias("within_error"))
+
+
+V2_QUANTILE_SQL = """SELECT l_returnflag, l_linestatus, COUNT(l_extendedprice) AS n, TRUE AS within_error FROM lineitem GROUP BY 1, 2"""
+
+
 def v3_touched_partitions(spark, sf):
     """V3: a per-day view stored by month; the months that later rows touch are computed again from
     the base and replace their partitions, the others stay."""
@@ -334,6 +354,7 @@ QUERIES = {
     "v1_full_refresh": (v1_full_refresh, V_SQL),
     "v2_incremental": (v2_incremental, V_SQL),
     "v2_incremental_sketch": (v2_incremental_sketch, V2_SKETCH_SQL),
+    "v2_incremental_quantile": (v2_incremental_quantile, V2_QUANTILE_SQL),
     "v3_touched_partitions": (v3_touched_partitions, V3_SQL),
     "v5_staleness": (v5_staleness, V5_SQL),
     "v5_staleness_by_day": (v5_staleness_by_day, V5_DAY_SQL),

@@ -7,6 +7,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepool.functions import text as tx
 from tidepool.operators import alerts as al
@@ -20,6 +21,7 @@ from tidepool.plans.q_search import KEYWORD, _tok
 from tidepool.session import load, scratch_path
 from tidepool.sources import ingest, loading
 from tidepool.streaming import streams as st
+from tidepool.streaming import timers as tm
 
 
 def _fresh(spark, name):
@@ -132,8 +134,96 @@ def a4_stream_alerts(spark, sf):
 A4_SQL = _alerts_sql(', "user"', ', CAST(user_id AS VARCHAR) AS "user"')
 
 
+def _sunk(spark, out, name, mode):
+    """The stream ``out`` run to the end of its input, each batch's rows under its id."""
+    sink, ck = _fresh(spark, f"{name}-sink"), _fresh(spark, f"{name}-ck")
+    w = out.writeStream.outputMode(mode).option("checkpointLocation", ck).foreachBatch(
+        lambda df, bid: df.write.mode("overwrite").parquet(f"{sink}/batch_id={bid}")).trigger(availableNow=True)
+    tm.start_stateful(w).awaitTermination()
+    return spark.read.schema(T.StructType([*out.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(sink)
+
+
+def a4_alert_timers(spark, sf):
+    """A4 with timers over the hourly series of every user: the last state of each island equals A2 as of the last sample of all."""
+    series = al.sample_series(fx.metric_points(spark, sf), "1 hour", labels=["user"])
+    src = _fresh(spark, "a4t-src")
+    series.write.parquet(src)
+    got = _sunk(spark, tm.timed_alerts(st.read_stream(spark, src, series.schema), RULES, 3600, ["user"]), "a4t", "update")
+    last = got.groupBy("rule_id", "user", "active_at").agg(
+        F.max_by(F.struct("resolved_at", "value", "state"), "batch_id").alias("r")).where("r.state <> 'INACTIVE'")
+    return last.select("rule_id", "user", F.col("active_at").cast("timestamp_ntz").alias("active_at"),
+                       F.col("r.resolved_at").cast("timestamp_ntz").alias("resolved_at"), F.round("r.value", 6).alias("value"),
+                       F.col("r.state").alias("state"))
+
+
+A4_TIMERS_SQL = _alerts_sql(', "user"', ', CAST(user_id AS VARCHAR) AS "user"', as_of=True)
+
+
 # ---------------------------------------------------------------- streams
 
+def r6_stream_delivery(spark, sf):
+    """Every message with a delay of up to six hours through the stream; what has come out is what is due at the
+    last event time, and all of it once."""
+    src = _fresh(spark, "r6-src")
+    m = load(spark, sf, "events").select(F.col("event_id").alias("sequence_id"), F.col("user_id").alias("key"),
+                                         F.col("ts").cast("timestamp").alias("event_time"), "props",
+                                         ((F.col("event_id") % 7) * 3600).alias("delay_s"))
+    m.write.parquet(src)
+    out = tm.delayed_delivery(st.read_stream(spark, src, m.schema), deliver_after_s="delay_s")
+    return _sunk(spark, out, "r6", "append").select(
+        "sequence_id", "key", F.col("event_time").cast("timestamp_ntz").alias("event_time"), "props",
+        F.col("due_at").cast("timestamp_ntz").alias("due_at"))
+
+
+R6_STREAM_SQL = """SELECT event_id AS sequence_id, user_id AS key, ts AS event_time, props, ts + to_hours(CAST(event_id % 7 AS BIGINT)) AS due_at
+FROM events WHERE (epoch_us(ts + to_hours(CAST(event_id % 7 AS BIGINT))) + 999) // 1000 <= (SELECT max(epoch_us(ts)) // 1000 FROM events)"""
+
+# Bounds and lateness of the live histogram and summary, and the summary's objectives.
+LIVE_BOUNDS, LIVE_DELAY_S, LIVE_OBJECTIVES = (1.0, 5.0, 10.0, 50.0, 100.0), 3600, {0.5: 0.05, 0.9: 0.02}
+_CLOSED = f"(SELECT max(epoch_us(ts)) // 1000 * 1000 - {LIVE_DELAY_S} * 1000000 FROM events)"
+
+
+def _live_points(spark, sf, name):
+    src = _fresh(spark, name)
+    e = st.as_event_time(load(spark, sf, "events").select("event_type", "ts", "value"))
+    e.write.parquet(src)
+    return st.read_stream(spark, src, e.schema)
+
+
+def r4_live_histogram(spark, sf):
+    """Daily histograms per event type of the windows that the stream has closed."""
+    h = st.live_histogram(_live_points(spark, sf, "r4h-src"), "value", "ts", "1 day", None, LIVE_BOUNDS, ["event_type"], f"{LIVE_DELAY_S} seconds")
+    return _sunk(spark, h, "r4h", "append").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "le", "bucket_count", F.round("sum", 2).alias("sum"), "count")
+
+
+R4_HIST_SQL = f"""WITH w AS (SELECT date_trunc('day', ts) AS window_start, event_type, value FROM events),
+closed AS (SELECT * FROM w WHERE epoch_us(window_start) + 86400000000 <= {_CLOSED})
+SELECT window_start, event_type, le, CAST(count_if(value <= CAST(replace(le, '+Inf', 'Infinity') AS DOUBLE)) AS BIGINT) AS bucket_count,
+round(sum(value), 2) AS sum, COUNT(value) AS count
+FROM closed, (SELECT unnest([{", ".join(repr(str(b)) for b in LIVE_BOUNDS)}, '+Inf']) AS le) GROUP BY 1, 2, 3"""
+
+
+def r4_live_summary(spark, sf):
+    """Sliding summaries of the closed windows: whether each quantile's rank lies within its objective."""
+    s = st.live_summary(_live_points(spark, sf, "r4s-src"), "value", "ts", "1 day", "12 hours", LIVE_OBJECTIVES, ["event_type"], f"{LIVE_DELAY_S} seconds")
+    est = _sunk(spark, s, "r4s", "append").select(F.col("window_start").alias("_w"), F.col("event_type").alias("_t"), "quantile",
+                                                  F.col("value").alias("est"), F.col("count").alias("_n"))
+    e = st.as_event_time(load(spark, sf, "events")).withColumn("window_start", F.window("ts", "1 day", "12 hours")["start"])
+    v, n = F.col("value"), F.count("value")
+    err = F.create_map(*[F.lit(float(x)) for kv in LIVE_OBJECTIVES.items() for x in kv])[F.col("quantile")]
+    ranks = e.join(est, (F.col("window_start") == F.col("_w")) & (F.col("event_type") == F.col("_t"))).groupBy("window_start", "event_type", "quantile").agg(
+        (F.count_if(v < F.col("est")) / n).alias("lo"), (F.count_if(v <= F.col("est")) / n).alias("hi"), n.alias("count"), F.max("_n").alias("_n"))
+    good = (F.col("lo") <= F.col("quantile") + err) & (F.col("hi") >= F.col("quantile") - err) & (F.col("_n") == F.col("count"))
+    return ranks.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "quantile", good.alias("within_error"), "count")
+
+
+R4_SUMMARY_SQL = f"""WITH w AS (SELECT make_timestamp(epoch_us(ts) // 43200000000 * 43200000000 - k * 43200000000) AS window_start, event_type, value
+  FROM events, (SELECT unnest([0, 1]) AS k))
+SELECT window_start, event_type, CAST(unnest([{", ".join(map(str, LIVE_OBJECTIVES))}]) AS DOUBLE) AS quantile, TRUE AS within_error, COUNT(value) AS count
+FROM w WHERE epoch_us(window_start) + 86400000000 <= {_CLOSED} GROUP BY window_start, event_type"""
+
+
 def r1_two_queries(spark, sf):
     """Two stream queries on one sink; each adds its rows."""
     raw = fx.raw_events(spark, sf).drop("event_id", "value", "tags")
@@ -156,14 +246,17 @@ def r3_late_rows(spark, sf):
     e = st.as_event_time(load(spark, sf, "events")).select("event_id", "ts")
     state, ok, late = (_fresh(spark, f"r3-{x}") for x in ("state", "ok", "late"))
     for batch in (0, 1):
-        st.split_late(e.where(F.col("event_id") % 2 == batch), batch, "ts", LATE_S, state, ok, late)
+        st.split_late(e.where(F.col("event_id") % 2 == batch), batch, "ts", LATE_S, state, ok, late, "first")
+    # another query on the same tables, whose batches count from 0 too
+    st.split_late(e, 0, "ts", LATE_S, state, ok, late, "second")
     on_time = spark.read.parquet(ok).withColumn("late", F.lit(False))
     return on_time.unionByName(spark.read.parquet(late).withColumn("late", F.lit(True))).select(
-        "event_id", F.col("batch_id").cast("bigint").alias("batch_id"), "late")
+        F.col("query_id").alias("query"), "event_id", F.col("batch_id").cast("bigint").alias("batch_id"), "late")
 
 
-R3_SQL = f"""SELECT event_id, event_id % 2 AS batch_id, event_id % 2 = 1 AND ts < (SELECT max(ts) FROM events
-WHERE event_id % 2 = 0) - to_seconds({LATE_S}) AS late FROM events"""
+R3_SQL = f"""SELECT 'first' AS query, event_id, event_id % 2 AS batch_id, event_id % 2 = 1 AND ts < (SELECT max(ts) FROM events
+WHERE event_id % 2 = 0) - to_seconds({LATE_S}) AS late FROM events
+UNION ALL SELECT 'second', event_id, CAST(0 AS BIGINT), FALSE FROM events"""
 
 
 def r5_ordered_per_key(spark, sf):
@@ -194,6 +287,10 @@ QUERIES = {
     "t11_documents": (t11_documents, T11_SQL),
     "a1_check_rules": (a1_check_rules, A1_SQL),
     "a4_stream_alerts": (a4_stream_alerts, A4_SQL),
+    "a4_alert_timers": (a4_alert_timers, A4_TIMERS_SQL),
+    "r4_live_histogram": (r4_live_histogram, R4_HIST_SQL),
+    "r4_live_summary": (r4_live_summary, R4_SUMMARY_SQL),
+    "r6_stream_delivery": (r6_stream_delivery, R6_STREAM_SQL),
     "r1_two_queries": (r1_two_queries, R1_TWO_SQL),
     "r3_late_rows": (r3_late_rows, R3_SQL),
     "r5_ordered_per_key": (r5_ordered_per_key, R5_SQL),

@@ -219,10 +219,11 @@ def a2_alerts(spark, sf):
     return a.select("rule_id", "active_at", "resolved_at", F.round("value", 6).alias("value"), "state")
 
 
-def _alerts_sql(label: str = "", source: str = "") -> str:
+def _alerts_sql(label: str = "", source: str = "", as_of: bool = False) -> str:
     rules = " UNION ALL ".join(
         f"SELECT '{r['rule_id']}' AS rule_id, {r['for_duration_s']} AS for_s, ts{label}, value, coalesce({r['expression']}, false) AS cond "
         f"FROM s WHERE metric = '{r['metric']}'" for r in RULES if r["name"])
+    over = " OR last_us + 3600000000 < (SELECT max(epoch_us(ts)) FROM s)" if as_of else ""
     return f"""WITH s AS (SELECT event_type AS metric, date_trunc('hour', ts) AS ts{source}, avg(value) AS value FROM events GROUP BY ALL),
 r AS ({rules}),
 f AS (SELECT *, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER w AS prev_us, lag(cond) OVER w AS prev_c,
@@ -231,7 +232,7 @@ g AS (SELECT *, sum(CASE WHEN cond AND (prev_c IS NULL OR NOT prev_c OR us - pre
       OVER (PARTITION BY rule_id{label} ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM f),
 i AS (SELECT rule_id{label}, island, min(ts) AS active_at, max(us) AS last_us, min(us) AS first_us, arg_max(value, ts) AS value,
       arg_max_null(next_us, ts) AS next_us, any_value(for_s) AS for_s FROM g WHERE cond GROUP BY rule_id{label}, island),
-st AS (SELECT *, next_us IS NOT NULL AS ended, last_us - first_us >= CAST(for_s AS BIGINT) * 1000000 AS lasted FROM i)
+st AS (SELECT *, next_us IS NOT NULL{over} AS ended, last_us - first_us >= CAST(for_s AS BIGINT) * 1000000 AS lasted FROM i)
 SELECT rule_id{label}, active_at,
   CASE WHEN ended AND lasted THEN make_timestamp(CASE WHEN next_us - last_us <= 3600000000 THEN next_us ELSE last_us + 3600000000 END) END AS resolved_at,
   round(value, 6) AS value, CASE WHEN ended THEN 'RESOLVED' WHEN lasted THEN 'FIRING' ELSE 'PENDING' END AS state
@@ -281,6 +282,20 @@ SELECT a.event_type AS kind_a, b.event_type AS kind_b, COUNT(*) AS windows FROM
 ON a.user_id = b.user_id AND a.w = b.w AND a.event_type < b.event_type GROUP BY 1, 2"""
 
 
+# Fixed value: the support of the pairs.
+MIN_WINDOWS = 12
+
+
+def j2_cooccurrence_support(spark, sf):
+    """J2 with a support: users that act on the same kind of event on the same days, often enough."""
+    return an.cooccurrence(load(spark, sf, "events"), "event_type", "ts", "user_id", "1 day", MIN_WINDOWS)
+
+
+J2_SUPPORT_SQL = f"""WITH d AS (SELECT DISTINCT event_type, date_trunc('day', ts) AS w, user_id FROM events)
+SELECT a.user_id AS kind_a, b.user_id AS kind_b, COUNT(*) AS windows FROM d a JOIN d b
+ON a.event_type = b.event_type AND a.w = b.w AND a.user_id < b.user_id GROUP BY 1, 2 HAVING COUNT(*) >= {MIN_WINDOWS}"""
+
+
 def j3_trend(spark, sf):
     o = load(spark, sf, "orders")
     x = (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / F.lit(86400e6))
@@ -330,6 +345,7 @@ QUERIES = {
     "j1_historical_scan": (j1_historical_scan, J1_SQL),
     "j2_correlation": (j2_correlation, J2_SQL),
     "j2_cooccurrence": (j2_cooccurrence, J2_CO_SQL),
+    "j2_cooccurrence_support": (j2_cooccurrence_support, J2_SUPPORT_SQL),
     "j3_trend": (j3_trend, J3_SQL),
     "j4_task_history": (j4_task_history, J4_SQL),
 }

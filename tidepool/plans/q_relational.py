@@ -267,6 +267,25 @@ S14_SQL = """SELECT user_id, event_id,
 FROM events"""
 
 
+# What the two halves of the keys are multiplied by.
+HUGE, TINY = 1e25, 1e-9
+
+
+def s14_mixed_sizes(spark, sf):
+    """S14 where some keys hold values 34 orders of magnitude above the others'."""
+    size = F.when(F.col("user_id") % 2 == 0, F.lit(HUGE)).otherwise(F.lit(TINY))
+    e = load(spark, sf, "events").select("user_id", "event_id", "ts", (F.col("value") * size).alias("value"))
+    out = rel.analytic(e, ["user_id"], "ts", "value", tiebreak=["event_id"])
+    return out.select("user_id", "event_id", *[F.round(F.col(c) / size, 4).alias(c) for c in ("running_sum", "moving_avg", "range_sum")])
+
+
+S14_MIXED_SQL = """SELECT user_id, event_id,
+ round(sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS running_sum,
+ round(avg(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving_avg,
+ round(sum(value) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW), 4) AS range_sum
+FROM events"""
+
+
 def s15_topk(spark, sf):
     o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return rel.top_k(o, 10, [F.col("o_totalprice").desc(), F.col("o_orderkey")])
@@ -460,6 +479,7 @@ QUERIES = {
     "s12_asof": (s12_asof, S12_SQL),
     "s13_ranking": (s13_ranking, S13_SQL),
     "s14_analytic": (s14_analytic, S14_SQL),
+    "s14_mixed_sizes": (s14_mixed_sizes, S14_MIXED_SQL),
     "s15_topk": (s15_topk, S15_SQL),
     "s15_topk_per_group": (s15_topk_per_group, S15_GROUP_SQL),
     "s16_setops": (s16_setops, S16_SQL),

@@ -187,9 +187,9 @@ WHERE coalesce(list_has_any({_tok('props')}, ['69']), false)
 
 
 def t17_capped(spark, sf):
-    """Per-table cap of 5 over the hit order (score, then id and tie)."""
-    hits = se.search(fx.search_tables(spark, sf), KEYWORD, cap=5, document=False)
-    return _flat(hits).drop("snippet")
+    """Each table's first 5 hits in the hit order (score, then id and tie)."""
+    hits = se.search(fx.search_tables(spark, sf), KEYWORD, document=False)
+    return _flat(se.top_hits_per_table(hits, 5)).drop("snippet")
 
 
 T17_SQL = """

@@ -11,6 +11,7 @@ MODULES = (
     "tidepool.plans.q_metrics",
     "tidepool.plans.q_index",
     "tidepool.plans.q_stream",
+    "tidepool.plans.q_growing",
     "tidepool.plans.q_live",
 )
 

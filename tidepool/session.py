@@ -92,13 +92,8 @@ def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         load(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def spread_for_write(df: DataFrame, cols: list[str], spread: int = 16, salt_cols: list[str] | None = None) -> DataFrame:
-    """Cluster rows by the output partition columns before a partitioned write, but split each
-    output partition over up to ``spread`` tasks with a deterministic salt (a hash of the
-    row), so a hot value (one type or day holding a third of the rows) is written by many
-    tasks; a retried task recomputes the same salt."""
-    from pyspark.sql import functions as F
-    hashable = salt_cols or [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in hashable]), F.lit(int(spread)))
-    # no explicit partition count: AQE may coalesce small outputs into fewer writers
-    return df.repartition(*[F.col(c) for c in cols], salt)
+def spread_for_write(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Cluster rows by the output partition columns before a partitioned write; AQE sizes the
+    writers by bytes: small values share one, and a hot value (one type or day holding a third of the
+    rows) is split over as many as its size needs."""
+    return df.hint("rebalance", *cols)

@@ -167,25 +167,74 @@ def _bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength()) if fs.exists(p) else 0
 
 
+def _split_observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """The good, selected rows of a load, and the counts of all of them, gathered while they are written."""
+    bad = F.col(REASON).isNotNull() if REASON in df.columns else F.lit(False)
+    uns = F.col("_unselected") if "_unselected" in df.columns else F.lit(False)
+    obs = Observation(f"load-{uuid.uuid4().hex}")
+    observed = df.observe(obs, F.count(F.lit(1)).alias("total_rows"), F.count_if(bad).alias("filtered_rows"),
+                          F.count_if(uns).alias("unselected_rows"))
+    return observed.where(~bad & ~uns).drop(*[c for c in (REASON, "_unselected") if c in df.columns]), obs
+
+
+def _counted(obs: Observation) -> dict[str, int]:
+    counts = {k: int(v) for k, v in obs.get.items()}
+    return {**counts, "loaded_rows": counts["total_rows"] - counts["filtered_rows"] - counts["unselected_rows"]}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p, _ = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith((".", "_")) and "=" not in name
+
+
+def _move_into(spark: SparkSession, src: str, dst: str) -> None:
+    """Rename what a writer left under ``src`` to the same places under ``dst``: whole folders where ``dst`` has none."""
+    fs, s, jvm = _fs(spark, src)
+    path = jvm.org.apache.hadoop.fs.Path
+    fs.mkdirs(path(dst))
+    for st in fs.listStatus(s):
+        name = st.getPath().getName()
+        if _hidden(name):
+            continue
+        to = os.path.join(dst, name)
+        if st.isDirectory() and fs.exists(path(to)):
+            _move_into(spark, os.path.join(src, name), to)
+        elif not fs.rename(st.getPath(), path(to)):
+            raise RuntimeError(f"could not move {st.getPath()} to {to}")
+
+
 def write_load(df: DataFrame, path: str, label: str, max_filter_ratio: float = 0.0, mode: str = "append",
                partition_by: list[str] | None = None) -> LoadReport:
-    """One load: counts ride on the write as an ``Observation``; the ratio is checked from a
-    first aggregate pass only when bad rows are possible, then the good rows are written."""
+    """One load in one pass: the good rows are written aside while an ``Observation`` counts them all; then
+    the ratio is checked, and only a load that passes is moved to ``path`` (renames, no copies)."""
+    if mode not in ("append", "overwrite"):
+        raise ValueError("mode must be append or overwrite")
     spark = df.sparkSession
     started = time.time()
-    counts = load_counts(df).first().asDict()
-    check_filter_ratio(counts, max_filter_ratio)
-    good = df
-    if REASON in df.columns:
-        good = good.where(F.col(REASON).isNull()).drop(REASON)
-    if "_unselected" in df.columns:
-        good = good.where(~F.col("_unselected")).drop("_unselected")
-    w = good.write.mode(mode)
+    good, obs = _split_observed(df)
+    aside = os.path.join(path, f"_aside-{uuid.uuid4().hex}")
+    w = good.write
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    try:
+        w.parquet(aside)
+        counts = _counted(obs)
+        check_filter_ratio(counts, max_filter_ratio)
+        size = _bytes(spark, aside)
+        if mode == "overwrite":
+            fs, p, _ = _fs(spark, path)
+            for st in fs.listStatus(p):
+                if not _hidden(st.getPath().getName()):
+                    fs.delete(st.getPath(), True)
+        _move_into(spark, aside, path)
+    finally:
+        _delete(spark, aside)
     return LoadReport(label=label, status="PUBLISHED", started_at=started, finished_at=time.time(), path=path,
-                      loaded_bytes=_bytes(spark, path), **counts)
+                      loaded_bytes=size, **counts)
 
 
 # ---------------------------------------------------------------- labelled, staged loads
@@ -212,39 +261,91 @@ def read_layout(spark: SparkSession, path: str) -> dict:
     return json.loads(raw)
 
 
-def _claim(spark: SparkSession, path: str, text: str) -> bool:
-    """Create ``path`` only if it does not exist (atomic on the cluster file system)."""
-    fs, p, _ = _fs(spark, path)
+def _create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create ``path`` with ``text`` only if it does not exist, whole or not at all: written aside and renamed
+    without overwriting (one step on a cluster file system; on a local disk a check and a rename)."""
+    fs, p, jvm = _fs(spark, path)
+    if fs.exists(p):
+        return False
+    tmp = jvm.org.apache.hadoop.fs.Path(path + f".tmp-{uuid.uuid4().hex}")
+    out = fs.create(tmp, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    q = fs.makeQualified(p)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(q.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
     try:
-        out = fs.create(p, False)
-    except Exception:  # noqa: BLE001 - only a file that exists means someone else claimed it
+        context.rename(fs.makeQualified(tmp), q, none)
+    except Exception:  # noqa: BLE001 - only a file that exists means someone else was first
+        fs.delete(tmp, False)
         if not fs.exists(p):
             raise
         return False
-    out.write(bytearray(text.encode("utf-8")))
-    out.close()
-    return True
+    return _read_text(spark, path) == text
+
+
+def _claim_path(root: str, label: str) -> str:
+    return _label_path(root, label) + ".claim"
+
 
+def release_label(spark: SparkSession, root: str, label: str) -> None:
+    """Give up the claim of a load that died, so that its label can be loaded again; what it may have written is
+    replaced by the next load.  A label that is loaded is refused."""
+    if _exists(spark, _label_path(root, label)):
+        raise ValueError(f"label {label!r} is loaded")
+    _delete(spark, _claim_path(root, label))
 
-def load_once(df: DataFrame, root: str, label: str, **kw) -> LoadReport:
+
+def load_once(df: DataFrame, root: str, label: str, lease_s: float = 86_400.0, **kw) -> LoadReport:
     """A repeated label is a no-op that answers the earlier load's report.
 
     The label is claimed first with an atomic create, so two concurrent loads of one label
-    cannot both write; the report is recorded after the data.  A claim without a report is a
-    load that is running or died: it is refused until the label is released."""
+    cannot both write; the report is recorded after the data.  A claim without a report is a load that
+    is running or died: it is refused until its lease of ``lease_s`` seconds has run out or the label is
+    released (:func:`release_label`).  A load that lost its claim meanwhile writes nothing."""
     spark = df.sparkSession
-    done = _label_path(root, label)
-    prev = _read_text(spark, done)
-    if prev is not None:
+    done, claim = _label_path(root, label), _claim_path(root, label)
+
+    def earlier() -> LoadReport | None:
+        prev = _read_text(spark, done)
+        if prev is None:
+            return None
         rep = LoadReport(**json.loads(prev))
         rep.extra = {**rep.extra, "repeated": True}
         return rep
-    if not _claim(spark, done + ".claim", label):
+
+    if (rep := earlier()) is not None:
+        return rep
+    held = _read_text(spark, claim)
+    if held and held.startswith("{") and json.loads(held)["until"] < time.time():
+        release_label(spark, root, label)
+    own = json.dumps({"owner": uuid.uuid4().hex, "until": time.time() + lease_s})
+    if not _create_once(spark, claim, own):
         raise RuntimeError(f"label {label!r} is being loaded (or a load died); release it first")
-    rep = write_load(df.withColumn("_load_label", F.lit(label)), os.path.join(root, "data"), label,
-                     partition_by=["_load_label"], **kw)
-    _write_text(spark, done, json.dumps(rep.__dict__))
-    return rep
+    if (rep := earlier()) is not None:  # loaded between the first look and the claim
+        return rep
+    aside = os.path.join(root, f"_aside-{uuid.uuid4().hex}")
+    try:
+        rep = write_load(df.withColumn("_load_label", F.lit(label)), aside, label, partition_by=["_load_label"], **kw)
+        if _read_text(spark, claim) != own:
+            raise RuntimeError(f"the claim of label {label!r} was lost; nothing was loaded")
+        fs, p, jvm = _fs(spark, aside)
+        for st in fs.listStatus(p):  # the label's one partition, if it has rows
+            _delete(spark, os.path.join(root, "data", st.getPath().getName()))
+        _move_into(spark, aside, os.path.join(root, "data"))
+        rep.path = os.path.join(root, "data")
+        _write_text(spark, done, json.dumps(rep.__dict__))
+        return rep
+    except Exception:
+        if _read_text(spark, claim) == own:
+            _delete(spark, claim)
+        raise
+    finally:
+        _delete(spark, aside)
+
+
+class StaleVersion(RuntimeError):
+    """Another version was published since this one was begun."""
 
 
 @dataclass
@@ -254,46 +355,44 @@ class Stage:
     path: str
     state: str = "STAGED"
     report: LoadReport | None = None
+    #: the version that was current when this one was begun
+    base: int = 0
 
 
-def stage(df: DataFrame, root: str, txn: str | None = None, max_filter_ratio: float = 0.0) -> Stage:
+def stage(df: DataFrame, root: str, txn: str | None = None, max_filter_ratio: float = 0.0, base: int | None = None) -> Stage:
     """L18 begin, one pass: the good rows are written to a staging version while an
     ``Observation`` counts total / bad / unselected rows on the same scan; the ratio (L10)
-    is checked afterwards and a failing load is abandoned before anyone can publish it."""
+    is checked afterwards and a failing load is abandoned before anyone can publish it.
+    ``base`` is the version that ``df`` was made from, by default the current one."""
     spark = df.sparkSession
     txn = txn or uuid.uuid4().hex
+    base = current_version(spark, root)[0] if base is None else base
     path = os.path.join(root, "_versions", txn)
-    bad = F.col(REASON).isNotNull() if REASON in df.columns else F.lit(False)
-    uns = F.col("_unselected") if "_unselected" in df.columns else F.lit(False)
-    obs = Observation(f"stage-{txn}")
-    observed = df.observe(obs, F.count(F.lit(1)).alias("total_rows"), F.count_if(bad).alias("filtered_rows"),
-                          F.count_if(uns).alias("unselected_rows"))
-    good = observed.where(~bad & ~uns).drop(*[c for c in (REASON, "_unselected") if c in df.columns])
+    good, obs = _split_observed(df)
     good.write.mode("errorifexists").parquet(path)
-    counts = {k: int(v) for k, v in obs.get.items()}
-    st = Stage(root, txn, path)
+    counts = _counted(obs)
+    st = Stage(root, txn, path, base=base)
     try:
         check_filter_ratio(counts, max_filter_ratio)
     except LoadRejected:
         abandon(spark, st)
         raise
-    st.report = LoadReport(label=txn, status="STAGED", path=path, loaded_bytes=_bytes(spark, path),
-                           loaded_rows=counts["total_rows"] - counts["filtered_rows"] - counts["unselected_rows"],
-                           **counts)
+    st.report = LoadReport(label=txn, status="STAGED", path=path, loaded_bytes=_bytes(spark, path), **counts)
     return st
 
 
 def publish(spark: SparkSession, st: Stage, audits=()) -> Stage:
-    """L18 commit: run audits on the staged rows, then switch the version pointer."""
+    """L18 commit: run audits on the staged rows, then create the pointer entry of the version after the
+    one the stage began from.  That create is the commit: of two writers with one base the first wins, the
+    other is abandoned and refused (:class:`StaleVersion`)."""
     if st.state == "ABANDONED":
         raise ValueError(f"transaction {st.txn} was abandoned")
     staged = spark.read.parquet(st.path)
     for audit in audits:
         audit(staged)
-    # pointer entries are never overwritten: each publish adds a newer, uniquely named entry
-    # (atomic create + rename), and readers take the newest one
-    entry = f"{time.time_ns():020d}-{st.txn}"
-    _write_text(spark, os.path.join(st.root, "_CURRENT", entry), st.txn)
+    if current_version(spark, st.root)[0] != st.base or not _create_once(spark, os.path.join(st.root, "_CURRENT", f"{st.base + 1:020d}"), st.txn):
+        abandon(spark, st)
+        raise StaleVersion(f"{st.root}: another version was published since version {st.base}; begin again from it")
     st.state = "PUBLISHED"
     return st
 
@@ -310,12 +409,21 @@ def abandon(spark: SparkSession, st: Stage) -> Stage:
     return st
 
 
-def current_txn(spark: SparkSession, root: str) -> str | None:
-    """The transaction of the newest published version, or None."""
+def current_version(spark: SparkSession, root: str) -> tuple[int, str | None]:
+    """(number, transaction) of the newest published version; (0, None) before the first."""
     fs, p, _ = _fs(spark, os.path.join(root, "_CURRENT"))
     names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
-    names = sorted(n for n in names if ".tmp-" not in n)
-    return names[-1].split("-", 1)[1] if names else None
+    names = [n for n in names if ".tmp-" not in n]
+    if not names:
+        return 0, None
+    last = max(names)
+    # entries of the older form hold the transaction in their name
+    return int(last.split("-", 1)[0]), last.split("-", 1)[1] if "-" in last else _read_text(spark, os.path.join(root, "_CURRENT", last))
+
+
+def current_txn(spark: SparkSession, root: str) -> str | None:
+    """The transaction of the newest published version, or None."""
+    return current_version(spark, root)[1]
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidepool.operators import alerts as al
+from tidepool.operators import metrics as mt
 from tidepool.operators import views as vw
 from tidepool.sources import ingest, loading
 
@@ -87,31 +88,63 @@ def dedup_batch(df: DataFrame, keys: list[str], order: list[str] | None = None)
 # ---------------------------------------------------------------- R3 late data
 
 def split_late(batch: DataFrame, batch_id: int, ts: str, delay_seconds: int, state_path: str, on_time_path: str,
-               late_path: str) -> None:
+               late_path: str, query: str = "direct") -> None:
     """R3 in ``foreachBatch`` before any stateful step: rows older than (high-water mark -
     delay) go to the late side table, counted and kept, never dropped.  The high-water mark
-    is a one-row table per batch id (the latest committed one is used)."""
+    is a one-row table per query and batch id (the query's latest committed one is used).  Outputs
+    are keyed by query and batch, so a replayed batch replaces its own rows and a second query on
+    the same tables adds to them."""
     spark = batch.sparkSession
-    hw = None
-    if loading._exists(spark, state_path):
-        marks = spark.read.parquet(state_path).where(F.col("batch_id") < batch_id)
-        hw = marks.agg(F.max("high_water")).first()[0]
+    hw, own = None, os.path.join(f"query_id={query}", f"batch_id={batch_id}")
+    if loading._exists(spark, os.path.join(state_path, f"query_id={query}")):
+        marks = spark.read.schema("high_water timestamp, query_id string, batch_id long").parquet(state_path)
+        hw = marks.where((F.col("query_id") == query) & (F.col("batch_id") < batch_id)).agg(F.max("high_water")).first()[0]
     b = batch.persist()
     try:
         limit = None if hw is None else hw - pd.Timedelta(seconds=delay_seconds)
         late = F.lit(False) if limit is None else F.col(ts) < F.lit(limit)
-        b.where(~late).write.mode("overwrite").parquet(os.path.join(on_time_path, f"batch_id={batch_id}"))
-        b.where(late).write.mode("overwrite").parquet(os.path.join(late_path, f"batch_id={batch_id}"))
+        b.where(~late).write.mode("overwrite").parquet(os.path.join(on_time_path, own))
+        b.where(late).write.mode("overwrite").parquet(os.path.join(late_path, own))
         new_hw = b.agg(F.max(ts).alias("m")).first()["m"]
         top = max([x for x in (hw, new_hw) if x is not None], default=None)
-        spark.createDataFrame([(batch_id, top)], "batch_id long, high_water timestamp") \
-            .write.mode("overwrite").parquet(os.path.join(state_path, f"b={batch_id}"))
+        spark.createDataFrame([(top,)], "high_water timestamp").write.mode("overwrite").parquet(os.path.join(state_path, own))
     finally:
         b.unpersist()
 
 
+def split_late_stream(src: DataFrame, ts: str, delay_seconds: int, state_path: str, on_time_path: str, late_path: str, checkpoint: str):
+    """R3 as a running query (checkpointed, replay-safe)."""
+    return src.writeStream.foreachBatch(lambda df, bid: split_late(
+        df, bid, ts, delay_seconds, state_path, on_time_path, late_path, query_id(df.sparkSession, checkpoint))) \
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 # ---------------------------------------------------------------- R4 windows
 
+def live_histogram(df: DataFrame, col: str, ts: str, length: str, slide: str | None = None, bounds=mt.DEFAULT_BOUNDS,
+                   labels: list[str] | None = None, delay: str = "1 hour") -> DataFrame:
+    """The histogram (M3) of each closed window, live: (window_start, window_end, labels, le, bucket_count, sum, count).
+    The state of a window and label set is one count per bound, whatever its rows."""
+    w = F.window(F.col(ts), length, slide) if slide else F.window(F.col(ts), length)
+    rows = df.withWatermark(ts, delay).withColumn("_w", w)
+    h = mt.histogram(rows, col, bounds, ["_w", *(labels or [])])
+    return h.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *(labels or []),
+                    "le", "bucket_count", "sum", "count")
+
+
+def live_summary(df: DataFrame, col: str, ts: str, length: str, slide: str | None = None, objectives=None,
+                 labels: list[str] | None = None, delay: str = "1 hour") -> DataFrame:
+    """The summary (M4; with ``slide`` M5) of each closed window, live: (window_start, window_end, labels, quantile,
+    value, sum, count).  The state of a window and label set is one quantile sketch of bounded size; ranks
+    lie within the objectives' errors as in :func:`metrics.sketch_states`."""
+    w = F.window(F.col(ts), length, slide) if slide else F.window(F.col(ts), length)
+    rows = df.withWatermark(ts, delay).withColumn("_w", w)
+    own = ["_w", *(labels or [])]
+    q = mt.sketch_quantiles(mt.sketch_states(rows, col, own, objectives), own, objectives)
+    return q.select(F.col("_w.start").alias("window_start"), F.col("_w.end").alias("window_end"), *(labels or []),
+                    "quantile", "value", "sum", "count")
+
+
 def windowed_counts(df: DataFrame, ts: str, length: str, slide: str | None = None, by: list[str] | None = None,
                     delay: str = "1 hour", value: str | None = None) -> DataFrame:
     """Tumbling (or sliding) window counts with a watermark, for append mode."""
