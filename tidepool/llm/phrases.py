@@ -280,17 +280,15 @@ def _surviving(chunks: DataFrame, level: str, least: int, longest: int, sieve) -
     return dealt.repartition(n, "part").sortWithinPartitions("part", "kind").mapInArrow(_summarise(least), "gram long")
 
 
-def _as_map(survivors: DataFrame) -> np.ndarray:
-    """The survivors' bits; 64 bits for each, in all a power of two and at most ``FILTER_BITS``."""
-    grams = stored(survivors, "survivors")
-    size = min(FILTER_BITS, max(1 << 16, 1 << (64 * grams.count()).bit_length()))
+def _as_map(survivors: DataFrame, most: int) -> np.ndarray:
+    """The survivors' bits; 16 bits for each of the ``most`` that there can be, in all a power of two and at most ``FILTER_BITS``."""
+    size = min(FILTER_BITS, max(1 << 16, 1 << (16 * most).bit_length()))
     at = F.col("gram").bitwiseAND(F.lit(size - 1))
-    blocks = grams.groupBy(F.shiftright(at, 15).alias("block")).agg(
+    blocks = survivors.groupBy(F.shiftright(at, 15).alias("block")).agg(
         F.expr(f"bitmap_construct_agg((gram & {size - 1}) & 32767)").alias("bits")).collect()
     bits = np.zeros(size // 8, np.uint8)
     for block, own in blocks:
         bits[block * 4096:(block + 1) * 4096] = np.frombuffer(own, np.uint8)
-    drop_stored(grams)
     return bits
 
 
@@ -353,10 +351,11 @@ def frequent_phrases(chunks: DataFrame, longest: int = MAX_WORDS, least: int = M
     language's pieces, with their exact counts; ``chunks`` as made by :func:`tokens`."""
     sc = chunks.sparkSession.sparkContext
     sieve = Survivors()
+    words = chunks.agg(F.sum("n")).first()[0] or 0
     for level, m in (("words", 1), ("pairs", 2), ("phrases", longest)):
         if level == "phrases" and longest < 3 or level == "pairs" and longest < 2:
             continue
-        sieve.maps[level] = _as_map(_surviving(chunks, level, least, m, sc.broadcast(sieve)))
+        sieve.maps[level] = _as_map(_surviving(chunks, level, least, m, sc.broadcast(sieve)), words * max(1, m - 2) // least)
     sent = sc.broadcast(sieve)
     counted = chunks.select("lang", "vocabulary", "numbers").mapInArrow(
         _count(longest, sent), "lang string, words int, phrase binary, f long")
