@@ -201,5 +201,6 @@ def set_bits(bitmap: Column) -> Column:
 
 def ids_where(ix: SlicedIndex, p: Predicate) -> DataFrame:
     """(id): the ids of the rows that satisfy the predicate."""
-    pos = rows_where(ix, p).select((F.col("bucket") * BUCKET + F.explode(set_bits(F.col("bitmap")))).alias("pos"))
+    at = rows_where(ix, p).select("bucket", F.explode(set_bits(F.col("bitmap"))).alias("place"))
+    pos = at.select((F.col("bucket") * BUCKET + F.col("place")).alias("pos"))
     return ix.ids.join(pos, "pos").select("id")

@@ -180,7 +180,7 @@ FROM events WHERE (epoch_us(ts + to_hours(CAST(event_id % 7 AS BIGINT))) + 999)
 
 # Bounds and lateness of the live histogram and summary, and the summary's objectives.
 LIVE_BOUNDS, LIVE_DELAY_S, LIVE_OBJECTIVES = (1.0, 5.0, 10.0, 50.0, 100.0), 3600, {0.5: 0.05, 0.9: 0.02}
-_CLOSED = f"(SELECT max(epoch_us(ts)) // 1000 * 1000 - {LIVE_DELAY_S} * 1000000 FROM events)"
+_CLOSED = f"(SELECT max(epoch_us(ts)) // 1000 * 1000 - {LIVE_DELAY_S * 1_000_000} FROM events)"
 
 
 def _live_points(spark, sf, name):
