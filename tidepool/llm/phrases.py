@@ -27,11 +27,11 @@ from tidepool.llm.common import MULT, drop_stored, mix, own_columns, stored
 
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: words of a chunk, about
-CHUNK_WORDS = 1 << 18
+CHUNK_WORDS = 1 << 16
 #: greatest size of a survivors' map, 16 MB; more survivors only let more through
 FILTER_BITS = 1 << 27
 #: counted n-grams a task holds before it sums equal ones and sends them off; names it holds in the last pass
-RUN, NAMES = 1 << 20, 1 << 18
+RUN, NAMES = 1 << 19, 1 << 17
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TO_PLAIN = bytes.maketrans(_UPPER + b".,;:!?\x0b\x0c\r\t", _UPPER.lower() + b"\n" * 9 + b" ")
 GOLD = 0x9E3779B97F4A7C15
@@ -75,21 +75,24 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # --- tokens -------------------------------------------------------------------------------------
 
 def _chunk(lang: str, texts: list[bytes]) -> tuple:
-    """(lang, n, vocabulary, numbers): the texts' words as numbers in the vocabulary, -1 between pieces."""
+    """(lang, n, vocabulary, numbers): the texts' words as places in the vocabulary, its size between pieces; of two bytes
+    each where they suffice, else four."""
     plain = b"\n".join(texts).translate(_TO_PLAIN).replace(b"\n", b" \n ")
     coded = pa.array(plain.split(b" "), pa.large_binary()).dictionary_encode()
     ids, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
     kind = np.ones(len(words), bool)
-    number = np.full(len(words), -1, np.int32)
+    number = np.zeros(len(words), np.int64)
+    own = [w not in (b"", b"\n") for w in words]
+    size = sum(own)
+    number[own] = np.arange(size)
     for k, w in enumerate(words):
         if w == b"":
             kind[k] = False
-        elif w != b"\n":
-            number[k] = 0
-    number[number == 0] = np.arange(int((number == 0).sum()))
-    out = number[ids[kind[ids]]]
-    vocabulary = b"\n".join(w for w in words if w not in (b"", b"\n"))
-    return lang, int((out >= 0).sum()), vocabulary, out.tobytes()
+        elif w == b"\n":
+            number[k] = size
+    out = number[ids[kind[ids]]].astype("<u2" if size < 1 << 16 else "<u4")
+    vocabulary = b"\n".join(w for w, good in zip(words, own, strict=True) if good)
+    return lang, int((out < size).sum()), vocabulary, out.tobytes()
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +143,12 @@ class Grams:
 
     def __init__(self, lang: str, vocabulary: bytes, numbers: bytes):
         self.words = vocabulary.split(b"\n") if vocabulary else []
-        self.ids = np.frombuffer(numbers, np.int32)
+        n = len(self.words)
+        self.ids = np.frombuffer(numbers, "<u2" if n < 1 << 16 else "<u4").astype(np.int32)  # the last stands for a break
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
         self.salt = xxhash.xxh3_64_intdigest(lang.encode())
         self.own = hashes
-        self.raw = [np.append(hashes, np.uint64(0))[self.ids]]  # -1 is the last
+        self.raw = [np.append(hashes, np.uint64(0))[self.ids]]
 
     def finish(self, raw: np.ndarray, m: int) -> np.ndarray:
         return mix(raw ^ np.uint64((self.salt + m * GOLD) % (1 << 64)))
@@ -209,7 +213,7 @@ def _deal(level: str, parts: int, longest: int, sieve):
         for _, grams in _chunks(batches):
             if level == "words":
                 k = grams.finish(grams.own, 1)
-                c = np.bincount(grams.ids[grams.ids >= 0], minlength=len(k)).astype(np.int64)
+                c = np.bincount(grams.ids, minlength=len(k))[:len(k)].astype(np.int64)
                 keys.append(k)
                 counts.append(c)
                 n += len(k)
@@ -312,7 +316,7 @@ def _count(longest: int, sieve):
 
         for lang, grams in _chunks(batches):
             known = sieve.value.has("words", grams.finish(grams.own, 1))
-            c = np.bincount(grams.ids[grams.ids >= 0], minlength=len(known))
+            c = np.bincount(grams.ids, minlength=len(known))
             own = held.setdefault((lang, 1), {})
             for k in np.flatnonzero(known):
                 own[grams.words[k]] = own.get(grams.words[k], 0) + int(c[k])
