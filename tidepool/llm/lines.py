@@ -104,7 +104,8 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, wi
         return keys.join(_repeated(keys, min_docs), "key").where("doc_id <> keeper").groupBy("doc_id").agg(
             F.collect_set("key").alias("dropped"))
 
-    rows = docs.join(settled(make, "dropped"), "doc_id", "left")
+    # what is dropped grows with the corpus: never broadcast, however small it is here
+    rows = docs.join(settled(make, "dropped").hint("merge"), "doc_id", "left")
     schema = StructType([rows.schema[c] for c in ("doc_id", *carry)]).add("n_lines", "long").add("n_dropped", "long").add(
         "kept_sha256", "string").add("kept", "binary")
     out = rows.mapInArrow(_rebuild(min_chars, with_text, carry), schema)
