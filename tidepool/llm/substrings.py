@@ -216,7 +216,8 @@ def dedup_substrings(documents: DataFrame, with_text: bool = True, bucket_words:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("mark", F.xxhash64("text"))
     runs = settled(lambda: repeated_runs(docs.where("doc_id IS NOT NULL"), bucket_words), "runs")
     by_doc = runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    out = docs.join(by_doc, ["doc_id", "mark"], "left").mapInArrow(
+    # runs grow with the corpus: never broadcast, however few they are here
+    out = docs.join(by_doc.hint("merge"), ["doc_id", "mark"], "left").mapInArrow(
         _strip(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
     cols = ["doc_id", "n_words", "n_removed", "kept_sha256"]
     return out.select(*cols, F.col("kept").cast("string").alias("kept_text")) if with_text else out.select(*cols)
