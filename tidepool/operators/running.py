@@ -132,7 +132,7 @@ def exact_split(df: DataFrame, value: Column, also: tuple[float, ...] = ()) -> C
         # spare digits: each sum of two DECIMALs of 38 digits gives one of its scale up
         return lambda c: {"s": F.coalesce(c, F.lit(0)).cast(f"decimal(38,{min(dtype.scale + 3, 37)})")}
     finite = lambda v: ~F.isnan(v) & (F.abs(v) != float("inf")) & (v != 0)
-    limb = lambda v: F.floor(F.log2(F.abs(v)) / LIMB_BITS).cast("int")
+    limb = lambda v: F.floor(F.log2(F.abs(v)) / LIMB_BITS)
     v = value.cast("double")
     found = set(df.select(F.when(finite(v), limb(v)).alias("_l")).agg(F.collect_set("_l")).first()[0])  # at most 66 values
     limbs = sorted(found | {math.floor(math.log2(abs(x)) / LIMB_BITS) for x in also} or {0})
@@ -145,8 +145,8 @@ def exact_split(df: DataFrame, value: Column, also: tuple[float, ...] = ()) -> C
         for n in limbs:
             one, two = _limb_unit(n)
             units = d / F.lit(one) / F.lit(two)
-            high = F.floor(units / half).cast("bigint")
-            low = (units - high.cast("double") * half).cast("bigint")
+            high = F.floor(units / half)
+            low = F.floor(units - high.cast("double") * half)  # a whole number; a cast would refuse other limbs' values
             out[f"s{n + 40}"] = F.when(finite(d) & (limb(d) == n), (high.cast(wide) * F.lit(1 << 43).cast("decimal(14,0)")).cast(wide) + low.cast(wide)).otherwise(
                 F.lit(0)).cast(wide)
         flag = lambda x: F.coalesce(x, F.lit(False)).cast("bigint")

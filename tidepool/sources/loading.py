@@ -177,8 +177,11 @@ def _split_observed(df: DataFrame) -> tuple[DataFrame, Observation]:
     return observed.where(~bad & ~uns).drop(*[c for c in (REASON, "_unselected") if c in df.columns]), obs
 
 
-def _counted(obs: Observation) -> dict[str, int]:
-    counts = {k: int(v) for k, v in obs.get.items()}
+def _counted(obs: Observation, df: DataFrame) -> dict[str, int]:
+    try:
+        counts = {k: int(v) for k, v in obs.get.items()}
+    except Exception:  # noqa: BLE001 - where the plan is folded away (no row can be good) nothing is observed
+        counts = load_counts(df).first().asDict()
     return {**counts, "loaded_rows": counts["total_rows"] - counts["filtered_rows"] - counts["unselected_rows"]}
 
 
@@ -222,7 +225,7 @@ def write_load(df: DataFrame, path: str, label: str, max_filter_ratio: float = 0
         w = w.partitionBy(*partition_by)
     try:
         w.parquet(aside)
-        counts = _counted(obs)
+        counts = _counted(obs, df)
         check_filter_ratio(counts, max_filter_ratio)
         size = _bytes(spark, aside)
         if mode == "overwrite":
@@ -370,7 +373,7 @@ def stage(df: DataFrame, root: str, txn: str | None = None, max_filter_ratio: fl
     path = os.path.join(root, "_versions", txn)
     good, obs = _split_observed(df)
     good.write.mode("errorifexists").parquet(path)
-    counts = _counted(obs)
+    counts = _counted(obs, df)
     st = Stage(root, txn, path, base=base)
     try:
         check_filter_ratio(counts, max_filter_ratio)
