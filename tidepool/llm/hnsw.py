@@ -23,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import batch_rows, own_columns, stored
+from tidepool.llm.common import batch_rows, own_columns, settled, stored
 from tidepool.llm.components import connected_components
 
-SHARD, BLOCK = 8192, 512
+#: vectors of a graph, and queries that one copy of it serves: no fewer, so that copies are no more than what is asked
+SHARD, BLOCK = 8192, 8192
 M, EF_BUILD, EF_START = 12, 40, 32
 AUDIT, AUDIT_RECALL = 96, 0.99
 SLACK = 8
@@ -244,6 +245,7 @@ def _build(least: float):
             x = unit([r[4] for r in rows])
             graph = Graph(x).build(ids)
             recall = graph.audit(least)
+            recall = 1.0 if graph.exact else recall  # a graph that failed is not used
             yield pa.RecordBatch.from_arrays(
                 [pa.array([label], pa.string()), pa.array([dim], pa.int32()), pa.array([shard], pa.int64()),
                  pa.array([np.array(ids, "<i8").tobytes()]), pa.array([copies.tobytes()]), pa.array([x.astype("<f8").tobytes()]), pa.array([graph.dump()]),
@@ -253,47 +255,56 @@ def _build(least: float):
 
 
 def _query(least: float):
-    """Link counts of a block's queries in one shard, and a spanning forest of their links."""
+    """Link counts of a block's queries in one shard, and a spanning forest of their links.  A block's first row holds
+    the shard's graph, which its queries stream past."""
     def work(batches):
-        for (_, dim, _, _), rows in _groups(batches, "label", "dim", "shard", "block"):
-            ids, copies, x, graph, queries = None, None, None, None, []
-            for row in rows:
-                if row[4] == 0:
-                    ids, copies = np.frombuffer(row[7], "<i8"), np.frombuffer(row[8], "<i8")
-                    x = np.frombuffer(row[9], "<f8").reshape(-1, dim)
-                    graph = Graph.load(row[10], x)
-                else:
-                    queries.append((row[5], row[6]))
-            if graph is None or not queries:
-                continue
-            place = {int(v): k for k, v in enumerate(ids)}
-            parent: dict[int, int] = {}
-
-            def root(v: int, parent=parent) -> int:
-                while parent.setdefault(v, v) != v:
-                    parent[v] = parent[parent[v]]
-                    v = parent[v]
-                return v
-
-            counts = []
-            for (vec, _), q in zip(queries, unit([q for _, q in queries]), strict=True):
+        now, ids, copies, x, graph, place = None, None, None, None, None, {}
+        parent: dict[int, int] = {}
+
+        def root(v: int) -> int:
+            while parent.setdefault(v, v) != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        def forest():
+            out = [(v, r, 0) for v in parent if (r := root(v)) != v]
+            parent.clear()
+            return out
+
+        for batch in batches:
+            out = []
+            for label, dim, shard, block, kind, vec, q, own_ids, own_copies, own_x, own_graph in batch_rows(
+                    batch, "label", "dim", "shard", "block", "kind", "vec_id", "embedding", "ids", "copies", "x", "graph"):
+                if (label, dim, shard, block) != now:
+                    out += forest()
+                    now, graph = (label, dim, shard, block), None
+                if kind == 0:
+                    ids, copies = np.frombuffer(own_ids, "<i8"), np.frombuffer(own_copies, "<i8")
+                    x = np.frombuffer(own_x, "<f8").reshape(-1, dim)
+                    graph = Graph.load(own_graph, x)
+                    place = {int(v): k for k, v in enumerate(ids)}
+                    continue
+                q = unit([q])[0]
                 found = graph.search(q, least, place.get(vec))
                 found = found[x[found] @ q >= least]
                 found = found[ids[found] != vec]
                 if len(found):
-                    counts.append((vec, int(copies[found].sum())))
+                    out.append((vec, None, int(copies[found].sum())))
                 for v in ids[found].tolist():
                     a, b = root(vec), root(v)
                     if a != b:
                         parent[max(a, b)] = min(a, b)
-            out = [(v, None, n) for v, n in counts] + [(v, r, 0) for v in parent if (r := root(v)) != v]
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
-                                                 ["u", "v", "n"])
+            yield _found_rows(out)
+        yield _found_rows(forest())
     return work
 
 
+def _found_rows(out):
+    cols = list(zip(*out, strict=True)) or [[], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "v", "n"])
+
+
 def shard_graphs(vectors: DataFrame, least: float, shard: int) -> tuple[DataFrame, DataFrame]:
     """(vectors with their label's number of shards and own shard, one audited graph per shard), of
     (label, dim, vec_id, embedding, copies)."""
@@ -309,7 +320,7 @@ def shard_graphs(vectors: DataFrame, least: float, shard: int) -> tuple[DataFram
 
 
 def near_vectors(embeddings: DataFrame, least: float = 0.93, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """Per row: vec_id, n_links, component_id, kept.
+    """Per row: vec_id, n_links, component_id, kept, recall.
 
     Vectors of the same non-null label and dimension are linked when their cosine, in double
     precision, is at least ``least``.  A vector that is null, empty, zero, or holds a null or
@@ -319,9 +330,14 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, shard: int = SHARD,
     links, a null component, and is not kept.  No vector gives no row.  Other columns are ignored.
 
     Every vector is indexed and queries every shard of its label, which is ``n / shard`` searches
-    each: the method's own growth.  Links may be missed by the graphs within the audited recall,
-    none is made up.
+    each: the method's own growth; of each graph goes one copy to ``block`` queries.  Links may be missed by the
+    graphs within the audited recall, none is made up; recall is the least audited one among the shards that the
+    vector was searched in, 1 where all were searched by brute force, null where none was.
     """
+    return settled(lambda: _near_vectors(embeddings, least, shard, block), "near-vectors")
+
+
+def _near_vectors(embeddings: DataFrame, least: float, shard: int, block: int) -> DataFrame:
     rows = own_columns(embeddings, "vec_id", "embedding", "label").withColumn("vec_id", F.col("vec_id").cast("long"))
     vector = F.transform("embedding", lambda v: v.cast("double"))
     usable = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("embedding", lambda v: v != 0)
@@ -356,8 +372,10 @@ def near_vectors(embeddings: DataFrame, least: float = 0.93, shard: int = SHARD,
     found = classes.join(links, "vec_id", "left").join(groups, "vec_id", "left").select(
         "label", "print", (F.coalesce("n_links", zero) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "vec_id").alias("component"))
-    own = good.select("vec_id", "label", "print").join(found, ["label", "print"]).select("vec_id", "n_links", "component")
+    audited = graphs.groupBy("label", "dim").agg(F.min("recall").alias("recall"))
+    own = good.select("vec_id", "label", "dim", "print").join(found, ["label", "print"]).join(audited, ["label", "dim"]).select(
+        "vec_id", "n_links", "component", "recall")
     component = F.coalesce("component", "vec_id")
     return rows.select("vec_id").join(own, "vec_id", "left").select(
         "vec_id", F.coalesce("n_links", zero).alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+        F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), "recall")
