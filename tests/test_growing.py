@@ -1,5 +1,6 @@
 """Boolean trees, segments, ranked pages and trigrams against scans and single builds."""
 
+import datetime as dt
 import os
 import random
 
@@ -13,6 +14,7 @@ from tidepool.operators import index as ix
 from tidepool.operators import ranked as rk
 from tidepool.operators import segments as sg
 from tidepool.operators.search import SearchTable
+from tidepool.sources import clustered as cl
 from tidepool.sources import loading
 
 WORDS = ["alpha", "Beta", "gamma", "the", "of", "delta", "x1", "北京", "大学", "is"]
@@ -220,3 +222,32 @@ def test_trigrams_equal_like(spark, tmp):
     for pattern in ("ab", "%a_b%", "%"):
         with pytest.raises(ValueError, match="scan"):
             gr.candidates(post, pattern, "like")
+
+
+def test_clustered_lookups_read_few_files(spark, tmp):
+    rng = random.Random(9)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, rng.choice(["k%03d" % rng.randint(0, 400), None]) if i % 50 else "hot", t0 + dt.timedelta(minutes=rng.randint(0, 10 ** 5)), rng.gauss(0, 1))
+            for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, name string, ts timestamp_ntz, v double")
+    cl.write_clustered(df, tmp, ["id", "ts"], files=25)
+    whole = sorted(map(tuple, df.collect()), key=str)
+    assert sorted(map(tuple, cl.read_clustered(spark, tmp).collect()), key=str) == whole
+    own = cl.read_clustered(spark, tmp, {"id": 777})
+    assert [tuple(r) for r in own.collect()] == [rows[777]] and len(own.inputFiles()) <= 8
+    lo, hi = t0 + dt.timedelta(days=10), t0 + dt.timedelta(days=11)
+    some = cl.read_clustered(spark, tmp, ranges={"ts": (lo, hi)})
+    assert sorted(r.id for r in some.collect()) == sorted(r[0] for r in rows if lo <= r[2] < hi) and len(some.inputFiles()) <= 10
+    both = cl.read_clustered(spark, tmp, {"id": [5, 19_000], "name": "nobody"}, {"ts": (None, hi)})
+    assert both.count() == 0
+    assert cl.files_for(spark, tmp, {"id": -1}) == [] and cl.read_clustered(spark, tmp, {"id": -1}).count() == 0
+    # one column: a point lies in one file, or in two where it is cut
+    one = os.path.join(tmp, "one")
+    cl.write_clustered(df, one, ["name"], files=25)
+    for name in ("k005", "k399"):
+        got = cl.read_clustered(spark, one, {"name": name})
+        assert len(got.inputFiles()) <= 2 and got.count() == sum(r[1] == name for r in rows)
+    assert cl.read_clustered(spark, one, {"name": "hot"}).count() == 400
+    assert cl.write_advised(df, os.path.join(tmp, "two"), files=4)[0] == "ts"
+    with pytest.raises(ValueError):
+        cl.write_advised(df.select(F.lit(1).alias("c")), os.path.join(tmp, "three"))

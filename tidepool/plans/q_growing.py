@@ -19,6 +19,8 @@ from tidepool.plans import fixtures as fx
 from tidepool.plans.q_index import INDEXED_SQL, T12_BM25_SQL
 from tidepool.plans.q_search import TWO_WORDS, _tok
 from tidepool.session import load, scratch_path
+from tidepool.sources import clustered as cl
+from tidepool.sources import loading
 
 
 def _fresh(spark, name):
@@ -157,7 +159,44 @@ X2_COUNT_SQL = f"SELECT COUNT(*) AS rows FROM orders WHERE {_ORDERS_WHERE}"
 X2_SLICED_IDS_SQL = f"SELECT 'order ' || o_orderkey AS id FROM orders WHERE {_ORDERS_WHERE}"
 
 
+# ---------------------------------------------------------------- S4 / L21 / X3, L20
+
+# The customer and the dates of the lookups.
+LOOKUP_CUSTOMER, LOOKUP_DATES = 7, ("1995-03-01 00:00:00", "1995-04-01 00:00:00")
+
+
+def s4_clustered_lookup(spark, sf):
+    """Orders laid out by the advised columns; a point and a range lookup of the files that can hold them."""
+    root, o = _fresh(spark, "clustered"), load(spark, sf, "orders")
+    cl.write_clustered(o, root, ["o_custkey", "o_orderdate"], files=16)
+    times = tuple(dt.datetime.fromisoformat(t) for t in LOOKUP_DATES)
+    one = cl.read_clustered(spark, root, {"o_custkey": LOOKUP_CUSTOMER}).withColumn("lookup", F.lit("customer"))
+    some = cl.read_clustered(spark, root, ranges={"o_orderdate": times}).withColumn("lookup", F.lit("month"))
+    return one.unionByName(some).select("lookup", *o.columns)
+
+
+S4_CLUSTERED_SQL = f"""SELECT 'customer' AS lookup, * FROM orders WHERE o_custkey = {LOOKUP_CUSTOMER}
+UNION ALL SELECT 'month', * FROM orders WHERE o_orderdate >= TIMESTAMP '{LOOKUP_DATES[0]}' AND o_orderdate < TIMESTAMP '{LOOKUP_DATES[1]}'"""
+
+
+def l20_bucketed(spark, sf):
+    """Orders and lineitem written in buckets of their order, read back and joined bucket by bucket; rows and quantity per
+    order priority."""
+    own = uuid.uuid4().hex
+    names = {t: f"l20_{t}_{own}" for t in ("orders", "lineitem")}
+    loading.write_bucketed(load(spark, sf, "orders"), names["orders"], ["o_orderkey"], 8, ["o_orderkey"])
+    loading.write_bucketed(load(spark, sf, "lineitem"), names["lineitem"], ["l_orderkey"], 8, ["l_orderkey"])
+    j = spark.table(names["lineitem"]).join(spark.table(names["orders"]).hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+L20_BUCKETED_SQL = """SELECT o_orderpriority, COUNT(*) AS lines, round(sum(l_quantity), 2) AS qty
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1"""
+
+
 QUERIES = {
+    "s4_clustered_lookup": (s4_clustered_lookup, S4_CLUSTERED_SQL),
+    "l20_bucketed": (l20_bucketed, L20_BUCKETED_SQL),
     "x2_sliced_count": (x2_sliced_count, X2_COUNT_SQL),
     "x2_sliced_ids": (x2_sliced_ids, X2_SLICED_IDS_SQL),
     "t20_tree": (t20_tree, T20_TREE_SQL),
