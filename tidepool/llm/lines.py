@@ -20,6 +20,9 @@ from pyspark.sql.types import StructType
 from tidepool.llm.common import BLANKS, batch_rows, in_chunks, own_columns, settled, stored
 
 
+SALTS = 16
+
+
 def line_key(line: bytes) -> bytes:
     return line.strip(BLANKS).lower()  # bytes.lower() touches A-Z only
 
@@ -101,8 +104,10 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, min_docs: int = 5, wi
 
     def make():
         keys = stored(_keys(docs, min_chars), "lines")
-        return keys.join(_repeated(keys, min_docs), "key").where("doc_id <> keeper").groupBy("doc_id").agg(
-            F.collect_set("key").alias("dropped"))
+        # the documents of one line are dealt to SALTS copies of its row
+        found = _repeated(keys, min_docs).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = keys.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        return own.join(found, ["key", "salt"]).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("key").alias("dropped"))
 
     # what is dropped grows with the corpus: never broadcast, however small it is here
     rows = docs.join(settled(make, "dropped").hint("merge"), "doc_id", "left")
