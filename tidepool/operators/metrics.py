@@ -11,8 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.operators.running import exact_split, running, whole
-from tidepool.operators.relational import broadcast_if_small
+from tidepool.operators.relational import FLOATS, broadcast_if_small
+from tidepool.operators.running import exact_split, limbs_of, running, slice_bounds, whole
 from tidepool.session import cut_lineage
 
 # Default latency bucket bounds in seconds (the usual client-library default).
@@ -44,7 +44,10 @@ def gauge(df: DataFrame, keys: list[str], ts: str, op: str, amount: str, tiebrea
     """
     o = F.lower(F.col(op))
     v = F.col(amount)
-    split = exact_split(df, v, also=(1.0,))
+    order = [F.col(ts), *[F.col(c) for c in (tiebreak or [])]]
+    # one pass gives the slices of both running passes and the sizes of the amounts
+    bounds, found = slice_bounds(df, order, None, {"limbs": limbs_of(v)} if isinstance(df.schema[amount].dataType, FLOATS) else None)
+    split = exact_split(df, v, also=(1.0,), limbs=found.get("limbs"))
     one = F.lit(1).cast(df.schema[amount].dataType)
     delta = F.when(o == "inc", one).when(o == "dec", -one).when(o == "add", v).when(o == "sub", -v).otherwise(one - one)
     amounts, deltas = split(v), split(delta)
@@ -52,14 +55,13 @@ def gauge(df: DataFrame, keys: list[str], ts: str, op: str, amount: str, tiebrea
     for name in amounts:
         r = r.withColumn(f"_d_{name}", deltas[name]).withColumn(f"_a_{name}", amounts[name])
     sums = {f"_run_{name}": F.col(f"_d_{name}") for name in amounts}
-    order = [F.col(ts), *[F.col(c) for c in (tiebreak or [])]]
-    r = running(r, keys, order, sums=sums)
+    r = running(r, keys, order, sums=sums, bounds=bounds)
     # at a set row the base is amount - run(at the set); carried forward as "last non-null"
     # the second pass reads the first one three times (slice bounds, summary, window):
     # materialise it once in the shared folder instead of recomputing it
     base = F.struct(*[(F.col(f"_a_{n}") - F.col(f"_run_{n}")).alias(n) for n in amounts])
     r = cut_lineage(r.withColumn("_base", F.when(o == "set", base)), "gauge")
-    r = running(r, keys, order, lasts={"_last_base": F.col("_base")})
+    r = running(r, keys, order, lasts={"_last_base": F.col("_base")}, bounds=bounds)
     value = whole({n: F.coalesce(F.col(f"_last_base.{n}"), F.col(f"_run_{n}") - F.col(f"_run_{n}")) + F.col(f"_run_{n}")
                    for n in amounts})
     return r.withColumn("gauge_value", value).drop("_base", "_last_base", *[f"_{k}_{n}" for n in amounts for k in ("d", "a", "run")])

@@ -9,10 +9,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidepool.operators.running import exact_parts, ranks, running, whole
+from tidepool.operators.running import exact_split, limbs_of, ranks, running, slice_bounds, whole
 from tidepool.session import cut_lineage
 
+FLOATS = (T.DoubleType, T.FloatType)
+
 # A side is broadcast only when its estimated size is below this bound.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
@@ -172,7 +175,7 @@ def analytic(df: DataFrame, by: list[str], ts: str, value: str, tiebreak: list[s
     """Lag / lead / running sum / moving average over rows / sum over a time range,
     per key in (ts, tie-break) order, without a per-key task.
 
-    Running sums are taken over ``exact_parts`` (DECIMAL and counters of NaN and infinities), so
+    Running sums are taken over ``exact_split`` (DECIMAL and counters of NaN and infinities), so
     frame sums taken as differences of running sums stay exact and a NaN counts in its frames
     only; a frame without a value has no sum.  The running pass is materialised once; every row
     then offers its value to the rows one before / after it and its running sums to the row k
@@ -182,8 +185,10 @@ def analytic(df: DataFrame, by: list[str], ts: str, value: str, tiebreak: list[s
     """
     order = [ts, *(tiebreak or [])]
     v = F.col(value)
-    parts = {**exact_parts(df, v), "n": v.isNotNull().cast("bigint")}
-    r = running(df, by, order, sums={"_pos": F.lit(1).cast("bigint"), **{f"_{n}": c for n, c in parts.items()}}, slices=slices)
+    # one pass gives the slices of both running passes, which are over the same times, and the sizes of the values
+    bounds, found = slice_bounds(df, order, slices, {"limbs": limbs_of(v)} if isinstance(df.schema[value].dataType, FLOATS) else None)
+    parts = {**exact_split(df, v, limbs=found.get("limbs"))(v), "n": v.isNotNull().cast("bigint")}
+    r = running(df, by, order, sums={"_pos": F.lit(1).cast("bigint"), **{f"_{n}": c for n, c in parts.items()}}, slices=slices, bounds=bounds)
     # the running pass feeds several lookups: materialise it once in the shared folder
     r = r.withColumn("_st", F.struct(*[F.col(f"_{n}").alias(n) for n in parts])).drop(*[f"_{n}" for n in parts])
     r = cut_lineage(r, "analytic")
@@ -223,7 +228,7 @@ def analytic(df: DataFrame, by: list[str], ts: str, value: str, tiebreak: list[s
     qs = probe.select(*by, "_pt", F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias("_pos"),
                       F.lit(None).cast(stype).alias("_sv"), "_t")
     asof = running(qs.unionByName(marks), by, [F.col("_pt"), F.col("_side"), F.col("_pos")],
-                   lasts={"_st_before": F.col("_sv")}, slices=slices).where(F.col("_side") == 0) \
+                   lasts={"_st_before": F.col("_sv")}, slices=slices, bounds=bounds).where(F.col("_side") == 0) \
         .select(*by, F.col("_t").alias(ts), "_st_before")
     rng = _left_null_safe(peer, asof, [*by, ts]).select(
         *by, ts, frame("_st_peer", "_st_before")[0].alias("_range"))

@@ -79,28 +79,37 @@ def default_slices(df: DataFrame) -> int:
     return int(conf.get("tidepool.window.slices", None) or conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_slices(df: DataFrame, order, slices: int, name: str = "_b") -> DataFrame:
+def slice_bounds(df: DataFrame, order, slices: int | None = None, also: dict[str, Column] | None = None) -> tuple[list, dict]:
+    """(bounds of the slices, values of ``also``): quantiles of the first order column, and further aggregates of the
+    rows, from one pass over ``df``.  Passes over the same rows in the same order may share the bounds; results do not
+    depend on them.  No bounds (one slice, the plain per-key window) for a column that is neither a
+    number, a time nor a string."""
+    n = slices or default_slices(df)
+    (first, _), = _norm_order(order)[:1]
+    probe = df.select(first.alias("_o"))
+    dtype = probe.schema["_o"].dataType
+    aggs = [c.alias(k) for k, c in (also or {}).items()]
+    sketch = n > 1 and _numeric(F.col("_o"), dtype) is not None
+    if sketch:
+        aggs.append(F.percentile_approx(_numeric(first, dtype), [i / n for i in range(1, n)], 10 * n).alias("_bounds"))
+    got = df.agg(*aggs).first().asDict() if aggs else {}
+    bounds = got.pop("_bounds", None) or []
+    if n > 1 and isinstance(dtype, (T.StringType, T.BinaryType)):
+        bounds = _sampled_bounds(probe, n)
+    return sorted(set(bounds)), got
+
+
+def with_slices(df: DataFrame, order, slices: int, name: str = "_b", bounds: list | None = None) -> DataFrame:
     """Add the slice id of every row: the number of quantile bounds of the first order column
     that its value has passed (a tree of native comparisons, in which NaN is the greatest value as
-    in Spark's order), in the order's direction; NULLs get their own end slice.  A first column
-    that is neither a number, a time nor a string gives one slice (the plain per-key window)."""
+    in Spark's order), in the order's direction; NULLs get their own end slice."""
     (first, desc), = _norm_order(order)[:1]
-    probe = df.select(first.alias("_o"))
-    dtype = probe.schema["_o"].dataType
-    num = _numeric(F.col("_o"), dtype)
-    text = isinstance(dtype, (T.StringType, T.BinaryType))
-    if slices <= 1 or (num is None and not text):
-        return df.withColumn(name, F.lit(0))
-    if text:
-        x, bounds = first, _sampled_bounds(probe, slices)
-    else:
-        x = _numeric(first, dtype)
-        bounds = probe.select(num.alias("_q")).where(F.col("_q").isNotNull()).approxQuantile(
-            "_q", [i / slices for i in range(1, slices)], 1.0 / (10 * slices))
-    bounds = sorted(set(bounds))
+    bounds = slice_bounds(df, order, slices)[0] if bounds is None else bounds
     if not bounds:
         return df.withColumn(name, F.lit(0))
-    passed = _bounds_passed(x, bounds)
+    dtype = df.select(first.alias("_o")).schema["_o"].dataType
+    x = _numeric(first, dtype)
+    passed = _bounds_passed(first if x is None else x, bounds)
     own = F.lit(len(bounds)) - passed if desc else passed
     return df.withColumn(name, F.when(first.isNull(), F.lit(len(bounds) + 1 if desc else -1)).otherwise(own))
 
@@ -115,13 +124,27 @@ def _limb_unit(limb: int) -> tuple[float, float]:
     return math.ldexp(1.0, low // 2), math.ldexp(1.0, low - low // 2)
 
 
-def exact_split(df: DataFrame, value: Column, also: tuple[float, ...] = ()) -> Callable[[Column], dict[str, Column]]:
+def _finite(v: Column) -> Column:
+    return ~F.isnan(v) & (F.abs(v) != float("inf")) & (v != 0)
+
+
+def _limb(v: Column) -> Column:
+    return F.floor(F.log2(F.abs(v)) / LIMB_BITS)
+
+
+def limbs_of(value: Column) -> Column:
+    """An aggregate for :func:`slice_bounds`: the ranges of magnitude that doubles fall in, 66 at most."""
+    v = value.cast("double")
+    return F.collect_set(F.when(_finite(v), _limb(v)))
+
+
+def exact_split(df: DataFrame, value: Column, also: tuple[float, ...] = (), limbs: list | None = None) -> Callable[[Column], dict[str, Column]]:
     """A function that takes a column of the values of ``value``, their negatives, 0 and ``also`` to parts whose
     running sums, and differences of them, are exact; ``whole`` gives the value of summed parts.
 
     Integers and DECIMALs are one DECIMAL part ``s``.  Doubles are split by magnitude: a part for
     each range of ``LIMB_BITS`` binary orders that occurs (one aggregate finds them; two or three as a
-    rule), in which a value is a whole number of the range's unit of at most 87 bits, so that
+    rule; ``limbs`` are those that :func:`limbs_of` found, if a pass has), in which a value is a whole number of the range's unit of at most 87 bits, so that
     5e11 rows add up exactly in a DECIMAL and no value, however large, takes digits from another;
     and counters ``x`` of NaN, ``p`` and ``q`` of the infinities.
     """
@@ -131,10 +154,7 @@ def exact_split(df: DataFrame, value: Column, also: tuple[float, ...] = ()) -> C
     if isinstance(dtype, T.DecimalType):
         # spare digits: each sum of two DECIMALs of 38 digits gives one of its scale up
         return lambda c: {"s": F.coalesce(c, F.lit(0)).cast(f"decimal(38,{min(dtype.scale + 3, 37)})")}
-    finite = lambda v: ~F.isnan(v) & (F.abs(v) != float("inf")) & (v != 0)
-    limb = lambda v: F.floor(F.log2(F.abs(v)) / LIMB_BITS)
-    v = value.cast("double")
-    found = set(df.select(F.when(finite(v), limb(v)).alias("_l")).agg(F.collect_set("_l")).first()[0])  # at most 66 values
+    found = set(df.agg(limbs_of(value)).first()[0] if limbs is None else limbs)
     limbs = sorted(found | {math.floor(math.log2(abs(x)) / LIMB_BITS) for x in also} or {0})
     wide = "decimal(38,0)"
     half = float(1 << 43)
@@ -147,18 +167,13 @@ def exact_split(df: DataFrame, value: Column, also: tuple[float, ...] = ()) -> C
             units = d / F.lit(one) / F.lit(two)
             high = F.floor(units / half)
             low = F.floor(units - high.cast("double") * half)  # a whole number; a cast would refuse other limbs' values
-            out[f"s{n + 40}"] = F.when(finite(d) & (limb(d) == n), (high.cast(wide) * F.lit(1 << 43).cast("decimal(14,0)")).cast(wide) + low.cast(wide)).otherwise(
+            out[f"s{n + 40}"] = F.when(_finite(d) & (_limb(d) == n), (high.cast(wide) * F.lit(1 << 43).cast("decimal(14,0)")).cast(wide) + low.cast(wide)).otherwise(
                 F.lit(0)).cast(wide)
         flag = lambda x: F.coalesce(x, F.lit(False)).cast("bigint")
         return {**out, "x": flag(F.isnan(d)), "p": flag(d == float("inf")), "q": flag(d == float("-inf"))}
     return parts
 
 
-def exact_parts(df: DataFrame, value: Column) -> dict[str, Column]:
-    """The parts of ``value`` itself, see :func:`exact_split`."""
-    return exact_split(df, value)(value)
-
-
 def whole(parts: dict[str, Column]) -> Column:
     """The double that summed parts of :func:`exact_split` stand for."""
     if "x" not in parts:
@@ -174,8 +189,8 @@ def whole(parts: dict[str, Column]) -> Column:
 
 
 def running(df: DataFrame, keys: list[str], order, sums: dict | None = None, lasts: dict | None = None,
-            exclusive_lasts: bool = False, slices: int | None = None) -> DataFrame:
-    """Add, per row, in ``order`` (a total order within ``keys``):
+            exclusive_lasts: bool = False, slices: int | None = None, bounds: list | None = None) -> DataFrame:
+    """Add, per row, in ``order`` (a total order within ``keys``; ``bounds`` as in :func:`slice_bounds`):
 
     * ``sums[name] = col``: running sum of ``col`` up to and including the row;
     * ``lasts[name] = col``: the last non-null ``col`` up to the row (inclusive), or before
@@ -185,7 +200,7 @@ def running(df: DataFrame, keys: list[str], order, sums: dict | None = None, las
     n = slices or default_slices(df)
     norm = _norm_order(order)
     oc = _sort_cols(norm)
-    src = with_slices(df, order, n)
+    src = with_slices(df, order, n, bounds=bounds)
     for name, c in {**sums, **lasts}.items():
         src = src.withColumn(f"_v_{name}", c)
 
