@@ -114,7 +114,8 @@ def test_equal_hashes_of_other_words_are_told_apart(spark, monkeypatch):
     chunks = list(phrases._tokenise(iter([phrases.pa.RecordBatch.from_pydict(
         {"lang": [r[2] for r in rows], "text": [r[1].encode() for r in rows]})])))
     got = Counter()
-    for batch in phrases._count(3, Sent)(iter(chunks)):
+    packed = sorted((r for batch in phrases._count(3, Sent, 4)(iter(chunks)) for r in batch.to_pylist()), key=lambda r: (r["words"], r["part"]))
+    for batch in phrases._add_up(1)(iter([phrases.pa.RecordBatch.from_pylist(packed)])):
         for r in batch.to_pylist():
             got[r["phrase"].decode()] += r["f"]
     upper = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}

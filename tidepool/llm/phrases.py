@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import MULT, drop_stored, mix, own_columns, stored
+from tidepool.llm.common import MULT, batch_rows, drop_stored, mix, own_columns, stored
 
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: words of a chunk, about
@@ -31,7 +31,7 @@ CHUNK_WORDS = 1 << 16
 #: greatest size of a survivors' map, 16 MB; more survivors only let more through
 FILTER_BITS = 1 << 27
 #: counted n-grams a task holds before it sums equal ones and sends them off; names it holds in the last pass
-RUN, NAMES = 1 << 19, 1 << 17
+RUN, NAMES = 1 << 19, 1 << 18
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TO_PLAIN = bytes.maketrans(_UPPER + b".,;:!?\x0b\x0c\r\t", _UPPER.lower() + b"\n" * 9 + b" ")
 GOLD = 0x9E3779B97F4A7C15
@@ -193,20 +193,38 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Grams]]:
 
 # --- summaries ----------------------------------------------------------------------------------
 
-def _deal(level: str, parts: int, longest: int, sieve):
-    """Per task: each partition's mass (kind 0), then its n-grams with their counts (kind 1)."""
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts as the narrowest integers that hold them."""
+    most = int(counts.max(initial=0))
+    return counts.astype(next(k for k, top in (("<u1", 1 << 8), ("<u2", 1 << 16), ("<u4", 1 << 32), ("<u8", 1 << 64)) if most < top)).tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // max(n, 1) or 1}").astype(np.int64)
+
+
+def _cuts(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, from, to) of the runs of a sorted array."""
+    edges = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    return [(int(part[i]), int(i), int(j)) for i, j in zip(edges, np.append(edges[1:], len(part)), strict=True)]
+
+
+def _deal(level: str, bits: int, longest: int, sieve):
+    """Per run of a task and hash partition (the hash's low ``bits``): its mass (kind 0), and its n-grams by the next 32 bits
+    of their hash with their counts, packed (kind 1).  N-grams that share those bits count as one, which may let one
+    survive that is not frequent, but none go that is."""
     def rows(keys, counts):
-        part = (keys % np.uint64(parts)).astype(np.int32)
-        mass = np.bincount(part, counts, parts).astype(np.int64)
-        has = np.flatnonzero(mass)
-        yield batch(has.astype(np.int32), 0, np.zeros(len(has), np.int64), mass[has])
-        for at in range(0, len(keys), 1 << 17):
-            own = slice(at, at + (1 << 17))
-            yield batch(part[own], 1, keys[own].view(np.int64), counts[own])
-
-    def batch(part, kind, gram, count):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (part, np.full(len(part), kind, np.int8), gram, count)],
-                                          ["part", "kind", "gram", "count"])
+        part = (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        part, low, counts = part[order], ((keys[order] >> np.uint64(bits)) & np.uint64(0xFFFFFFFF)).astype("<u4"), counts[order]
+        cuts = _cuts(part)
+        parts = [c[0] for c in cuts]
+        mass = [int(counts[i:j].sum()) for _, i, j in cuts]
+        none = [None] * len(cuts)
+        for kind, size, keyed, counted in ((0, mass, none, none), (1, mass, [low[i:j].tobytes() for _, i, j in cuts], [_narrow(counts[i:j]) for _, i, j in cuts])):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(parts, pa.int32()), pa.array([kind] * len(parts), pa.int8()), pa.array(size, pa.int64()), pa.array(keyed, pa.binary()),
+                 pa.array(counted, pa.binary())], ["part", "kind", "mass", "grams", "counts"])
 
     def work(batches):
         keys, counts, n = [], [], 0
@@ -236,9 +254,9 @@ def _deal(level: str, parts: int, longest: int, sieve):
     return work
 
 
-def _summarise(least: int, spare: int = 0):
-    """Per hash partition, from its masses and then its rows: the n-grams that may reach ``least``.  A
-    partition's counters are one more than its mass divided by ``least``, and ``spare``."""
+def _summarise(least: int, bits: int, spare: int = 0):
+    """Per hash partition, from its masses and then its n-grams: those that may reach ``least``.  A partition's
+    counters are one more than its mass divided by ``least``, and ``spare``."""
     def work(batches):
         now, mass, summary, keys, counts, held = None, 0, None, [], [], 0
 
@@ -251,24 +269,23 @@ def _summarise(least: int, spare: int = 0):
         def done():
             flush()
             got = summary.at_least(least) if summary is not None else np.zeros(0, np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(got.view(np.int64))], ["gram"])
+            return pa.RecordBatch.from_arrays([pa.array(((got << np.uint64(bits)) | np.uint64(now)).view(np.int64))], ["gram"])
 
         for batch in batches:
-            part, kind, gram, count = (batch.column(c).to_numpy() for c in ("part", "kind", "gram", "count"))
-            edges = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])))
-            for a, b in zip(edges, np.append(edges[1:], len(part)), strict=True):
-                if part[a] != now:
+            for part, kind, size, grams, counted in batch_rows(batch, "part", "kind", "mass", "grams", "counts"):
+                if part != now:
                     if now is not None:
                         yield done()
-                    now, mass, summary, held = part[a], 0, None, 0
-                if kind[a] == 0:
-                    mass += int(count[a:b].sum())
+                    now, mass, summary, held = part, 0, None, 0
+                if kind == 0:
+                    mass += size
                     continue
                 if summary is None:
                     summary = MisraGries(mass // least + 1 + spare)
-                keys.append(gram[a:b].view(np.uint64))
-                counts.append(count[a:b])
-                held += b - a
+                own = np.frombuffer(grams, "<u4").astype(np.uint64)
+                keys.append(own)
+                counts.append(_wide(counted, len(own)))
+                held += len(own)
                 if held >= max(1 << 18, len(summary.keys)):
                     flush()
                     held = 0
@@ -279,9 +296,10 @@ def _summarise(least: int, spare: int = 0):
 
 def _surviving(chunks: DataFrame, level: str, least: int, longest: int, sieve) -> DataFrame:
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = (4 * n - 1).bit_length()
     dealt = chunks.select("lang", "vocabulary", "numbers").mapInArrow(
-        _deal(level, 4 * n, longest, sieve), "part int, kind byte, gram long, count long")
-    return dealt.repartition(n, "part").sortWithinPartitions("part", "kind").mapInArrow(_summarise(least), "gram long")
+        _deal(level, bits, longest, sieve), "part int, kind byte, mass long, grams binary, counts binary")
+    return dealt.repartition(n, "part").sortWithinPartitions("part", "kind").mapInArrow(_summarise(least, bits), "gram long")
 
 
 def _as_map(survivors: DataFrame, most: int) -> np.ndarray:
@@ -298,58 +316,88 @@ def _as_map(survivors: DataFrame, most: int) -> np.ndarray:
 
 # --- exact counts -------------------------------------------------------------------------------
 
-def _count(longest: int, sieve):
-    def strings(grams, m, first):
-        spans = grams.ids[first[:, None] + np.arange(m)]
-        return [b" ".join([grams.words[k] for k in row]) for row in spans.tolist()]
+def _found(grams: Grams, sieve: Survivors, longest: int) -> Iterator[tuple[int, list[bytes], list[int]]]:
+    """(m, phrases, counts): a chunk's phrases of ``m`` words that the maps let through."""
+    known = sieve.has("words", grams.finish(grams.own, 1))
+    c = np.bincount(grams.ids, minlength=len(known))
+    own = np.flatnonzero(known)
+    yield 1, [grams.words[k] for k in own], c[own].tolist()
+    for m, at, h in grams.places(sieve, longest):
+        if m > 2:
+            good = sieve.has("phrases", h)
+            at, h = at[good], h[good]
+        if not len(at):
+            continue
+        order = np.argsort(h, kind="stable")
+        at, h = at[order], h[order]
+        new = np.append(True, h[1:] != h[:-1])
+        # equal hashes are one phrase only if the words are the same; else all are told apart by words
+        lead = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        if any((grams.ids[at + j] != grams.ids[lead + j]).any() for j in range(m)):
+            spans, back = np.unique(grams.ids[at[:, None] + np.arange(m)], axis=0, return_inverse=True)
+            counts = np.bincount(back.ravel())
+        else:
+            first = np.flatnonzero(new)
+            spans, counts = grams.ids[at[first][:, None] + np.arange(m)], np.diff(np.append(first, len(at)))
+        yield m, [b" ".join([grams.words[k] for k in row]) for row in spans.tolist()], counts.tolist()
 
+
+_PACKED = ["lang", "words", "part", "phrases", "counts"]
+
+
+def _count(longest: int, sieve, parts: int):
+    """Per run of a task, language, length and hash partition: the phrases, sorted and packed, and their counts."""
     def work(batches):
         held: dict[tuple[str, int], dict[bytes, int]] = {}
-        size = 0
 
         def give():
             for (lang, m), found in held.items():
+                dealt: dict[int, list[bytes]] = {}
+                for phrase in sorted(found):
+                    dealt.setdefault(xxhash.xxh3_64_intdigest(phrase) % parts, []).append(phrase)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found), pa.string()), pa.array([m] * len(found), pa.int32()),
-                     pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())],
-                    ["lang", "words", "phrase", "f"])
+                    [pa.array([lang] * len(dealt), pa.string()), pa.array([m] * len(dealt), pa.int32()), pa.array(list(dealt), pa.int32()),
+                     pa.array([b"\n".join(own) for own in dealt.values()], pa.binary()),
+                     pa.array([_narrow(np.array([found[x] for x in own], np.int64)) for own in dealt.values()], pa.binary())], _PACKED)
 
         for lang, grams in _chunks(batches):
-            known = sieve.value.has("words", grams.finish(grams.own, 1))
-            c = np.bincount(grams.ids, minlength=len(known))
-            own = held.setdefault((lang, 1), {})
-            for k in np.flatnonzero(known):
-                own[grams.words[k]] = own.get(grams.words[k], 0) + int(c[k])
-            for m, at, h in grams.places(sieve.value, longest):
-                if m > 2:
-                    good = sieve.value.has("phrases", h)
-                    at, h = at[good], h[good]
-                if not len(at):
-                    continue
-                order = np.argsort(h, kind="stable")
-                at, h = at[order], h[order]
-                new = np.append(True, h[1:] != h[:-1])
-                # equal hashes are one phrase only if the words are the same; else all are told apart by words
-                lead = at[np.flatnonzero(new)[np.cumsum(new) - 1]]
-                if any((grams.ids[at + j] != grams.ids[lead + j]).any() for j in range(m)):
-                    spans, back = np.unique(grams.ids[at[:, None] + np.arange(m)], axis=0, return_inverse=True)
-                    counts = np.bincount(back.ravel())
-                    names = [b" ".join([grams.words[k] for k in row]) for row in spans.tolist()]
-                else:
-                    first = np.flatnonzero(new)
-                    counts = np.diff(np.append(first, len(at)))
-                    names = strings(grams, m, at[first])
+            for m, names, counts in _found(grams, sieve.value, longest):
                 own = held.setdefault((lang, m), {})
-                for name, f in zip(names, counts.tolist(), strict=True):
+                for name, f in zip(names, counts, strict=True):
                     own[name] = own.get(name, 0) + f
-            size = sum(map(len, held.values()))
-            if size > NAMES:
+            if sum(map(len, held.values())) > NAMES:
                 yield from give()
                 held.clear()
         yield from give()
     return work
 
 
+def _add_up(least: int):
+    """The phrases of each language, length and partition (rows come by these) with their counts of ``least`` or more."""
+    def work(batches):
+        now, total = None, {}
+
+        def done():
+            good = {p: f for p, f in total.items() if f >= least}
+            total.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([now[0]] * len(good), pa.string()), pa.array(list(good), pa.binary()), pa.array([now[1]] * len(good), pa.int32()),
+                 pa.array(list(good.values()), pa.int64())], ["lang", "phrase", "words", "f"])
+
+        for batch in batches:
+            for lang, m, part, phrases, counted in batch_rows(batch, *_PACKED):
+                if (lang, m, part) != now:
+                    if now is not None:
+                        yield done()
+                    now = (lang, m, part)
+                own = phrases.split(b"\n")
+                for phrase, f in zip(own, _wide(counted, len(own)).tolist(), strict=True):
+                    total[phrase] = total.get(phrase, 0) + f
+        if now is not None:
+            yield done()
+    return work
+
+
 def frequent_phrases(chunks: DataFrame, longest: int = MAX_WORDS, least: int = MIN_COUNT) -> DataFrame:
     """(lang, phrase, words, f): all phrases of 1 to ``longest`` words found ``least`` times or more in their
     language's pieces, with their exact counts; ``chunks`` as made by :func:`tokens`."""
@@ -361,10 +409,13 @@ def frequent_phrases(chunks: DataFrame, longest: int = MAX_WORDS, least: int = M
             continue
         sieve.maps[level] = _as_map(_surviving(chunks, level, least, m, sc.broadcast(sieve)), words * max(1, m - 2) // least)
     sent = sc.broadcast(sieve)
-    counted = chunks.select("lang", "vocabulary", "numbers").mapInArrow(
-        _count(longest, sent), "lang string, words int, phrase binary, f long")
-    return counted.groupBy("lang", "words", F.col("phrase").cast("string").alias("phrase")).agg(
-        F.sum("f").alias("f")).where(F.col("f") >= least).select("lang", "phrase", "words", "f")
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = chunks.select("lang", "vocabulary", "numbers").mapInArrow(
+        _count(longest, sent, n), "lang string, words int, part int, phrases binary, counts binary")
+    own = ["lang", "words", "part"]
+    counted = packed.repartition(n, *own).sortWithinPartitions(*own).mapInArrow(
+        _add_up(least), "lang string, phrase binary, words int, f long")
+    return counted.withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def _part(phrase, first, count):
