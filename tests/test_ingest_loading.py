@@ -303,3 +303,22 @@ def test_upsert_keeps_to_the_stored_layout(spark, tmp):
             keyed.upsert(path, again, ["k"], "seq", n_buckets=n + 1)
         with pytest.raises(ValueError):
             keyed.upsert(path, again, ["v"], "seq")
+
+
+def test_upsert_after_a_load_that_died(spark, tmp, monkeypatch):
+    from tidepool import session
+    df = spark.createDataFrame([(1, 1.0, 1), (2, 2.0, 1)], "k long, v double, seq long")
+    path = os.path.join(tmp, "t")
+    real = session.cut_lineage
+
+    def dies(*a, **kw):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(session, "cut_lineage", dies)
+    with pytest.raises(RuntimeError):
+        keyed.upsert(path, df, ["k"], "seq", n_buckets=8)
+    monkeypatch.setattr(session, "cut_lineage", real)
+    with pytest.raises(ValueError, match="8 buckets"):
+        keyed.upsert(path, df, ["k"], "seq", n_buckets=4)
+    keyed.upsert(path, df, ["k"], "seq")
+    assert spark.read.parquet(path).count() == 2

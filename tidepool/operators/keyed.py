@@ -7,6 +7,8 @@ batch to one row per key first and then join once.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -133,22 +135,27 @@ def upsert(path: str, batch: DataFrame, keys: list[str], seq, model: str = "uniq
     with optional partial ``cols``, or ``condition`` on ``col``), materialised in the shared
     folder, and written back with dynamic partition overwrite - every other bucket stays as
     it is.  The first load stores the bucket count (``n_buckets``, 64 unless given) and the keys
-    beside the table; later loads take them from there and another count or other keys are
+    beside the table, before any data, so that a load that dies leaves a table that can be loaded
+    again; later loads take them from there and another count or other keys are
     refused, since rows of one key would come to lie in two buckets.  Returns the touched
     buckets."""
     from tidepool.session import cut_lineage
-    from tidepool.sources.loading import _exists, read_layout, write_layout
+    from tidepool.sources.loading import _children, _exists, read_layout, write_layout
 
     spark = batch.sparkSession
-    if _exists(spark, path):
+    empty = not any(n.startswith(f"{KEY_BUCKET}=") for n in _children(spark, path))
+    if not empty or _exists(spark, os.path.join(path, "_layout")):
         layout = read_layout(spark, path)
         if layout["keys"] != list(keys) or n_buckets not in (None, layout["buckets"]):
             raise ValueError(f"the table has keys {layout['keys']} in {layout['buckets']} buckets, not {list(keys)} in {n_buckets}")
         n_buckets = layout["buckets"]
-    n_buckets = n_buckets or 64
+    elif model not in ("unique", "primary", "condition"):
+        raise ValueError("model must be unique, primary or condition")
+    else:
+        n_buckets = n_buckets or 64
+        write_layout(spark, path, {"keys": list(keys), "buckets": int(n_buckets)})
     b = batch.withColumn(KEY_BUCKET, key_bucket(keys, n_buckets))
     touched = sorted(r[0] for r in b.select(KEY_BUCKET).distinct().collect())
-    empty = not _exists(spark, path)
     target = spark.createDataFrame([], b.schema) if empty else \
         spark.read.parquet(path).where(F.col(KEY_BUCKET).isin(touched))
     t, bb = target.drop(KEY_BUCKET), b.drop(KEY_BUCKET)
@@ -162,6 +169,4 @@ def upsert(path: str, batch: DataFrame, keys: list[str], seq, model: str = "uniq
         raise ValueError("model must be unique, primary or condition")
     merged = cut_lineage(merged.withColumn(KEY_BUCKET, key_bucket(keys, n_buckets)), "upsert")
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(KEY_BUCKET).parquet(path)
-    if empty:
-        write_layout(spark, path, {"keys": list(keys), "buckets": int(n_buckets)})
     return touched

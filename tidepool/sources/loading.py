@@ -136,6 +136,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def _children(spark: SparkSession, path: str) -> list[str]:
+    fs, p, _ = _fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
     """Create a small file through the cluster file system (atomic rename from a temp name)."""
     fs, p, jvm = _fs(spark, path)
