@@ -325,6 +325,14 @@ def test_pipeline_stages(spark):
     assert not leaks & set(text(four)) and leaks and four.count() >= three.count() - len(leaks) - 2
     pieces = cp.pack(spark, four, SF)
     assert {r.doc_id for r in pieces.collect()} == set(text(four))
+    # the stages run as one: the pieces of the same documents
+    encode = packing.encoder(added=True)
+    want = Counter()
+    for i, t in text(four).items():
+        ids = np.array([*encode(t), 0], "<u4")
+        for k, (at, n) in enumerate(packing.cut(len(ids), 2048)):
+            want[i, k, n, zlib.crc32(ids[at:at + n].tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in cp.run(spark, SF).collect()) == want
 
 
 def test_pipeline_on_odd_rows(spark, tmp_path):

@@ -375,3 +375,79 @@ def test_toxicity_edge_rows(spark):
     got = toxicity.score(docs, toxicity.train(docs, frame(spark, [(3, 1), (2, 0)], "doc_id long, toxic int"))).collect()
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     assert toxicity.score(frame(spark, []), toxicity.train(docs, none)).count() == 0
+
+
+# --- plain versions of the learned operators
+
+def plain_mixture(model, text, penalty=1.0):
+    """The best penalised language set among all, by EM in plain loops from equal shares."""
+    counts = Counter()
+    words = b" ".join(text.lower().encode().translate(langid.KEEP).split())
+    raw = b" " + words + b" "
+    for k in range(len(raw) - 2):
+        code = raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]
+        counts[(code * 2654435761 % (1 << 32)) >> (32 - langid.BITS)] += 1
+    total, best = sum(counts.values()), None
+    for size in (1, 2, 3):
+        for own in combinations(range(len(model.langs)), size):
+            share = [1 / size] * size
+            for _ in range(400):
+                new = [0.0] * size
+                for b, c in counts.items():
+                    parts = [s * float(np.exp(model.logp[i, b])) for s, i in zip(share, own, strict=True)]
+                    for j, p in enumerate(parts):
+                        new[j] += c * p / sum(parts)
+                share = [x / total for x in new]
+                if size == 1:
+                    break
+            like = sum(c * float(np.log(sum(s * np.exp(model.logp[i, b]) for s, i in zip(share, own, strict=True)))) for b, c in counts.items())
+            value = like - penalty * np.log(total) * (size - 1)
+            if best is None or value > best[0]:
+                best = (value, dict(zip(own, share, strict=True)))
+    return best[1]
+
+
+def test_mixtures_match_plain_em():
+    rng = np.random.default_rng(3)
+    vocab = {"aa": ["the", "and", "with", "other"], "bb": ["der", "und", "nicht", "schon"], "cc": ["les", "avec", "mais", "dans"]}
+    text = {k: " ".join(rng.choice(v, 300)) for k, v in vocab.items()}
+    counts = np.array([langid.trigram_counts(text[k]) + 0.5 for k in vocab])
+    model = langid.Model(list(vocab), np.log(counts / counts.sum(axis=1, keepdims=True)))
+    for shares in ((30, 0, 0), (20, 15, 0), (15, 12, 14), (0, 2, 25)):
+        t = " ".join(w for k, n in zip(vocab, shares, strict=True) for w in rng.choice(vocab[k], n))
+        langs, share = model.mixture(t, rounds=400)
+        want = plain_mixture(model, t)
+        assert set(langs) == set(want)
+        assert all(abs(want[i] - s) < 0.01 for i, s in zip(langs, share, strict=True))
+
+
+def test_ftrl_matches_plain_updates(spark):
+    """Weights by the published per-coordinate rules, a dictionary per coordinate."""
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(i, " ".join(rng.choice(words, 12)) + (" bad words here" if i % 3 == 0 else "")) for i in range(120)]
+    labels = [(i, int(i % 3 == 0)) for i in range(120)]
+    docs, marks = frame(spark, rows), frame(spark, labels, "doc_id long, toxic long")
+    slots, weights = toxicity.train(docs, marks, l1=0.5, alpha=0.5)
+    got = dict(zip(slots.tolist(), weights.tolist(), strict=True))
+    order = {r.doc_id: r.d for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("d"),
+                                                langid.crc_fold(F.col("doc_id")).alias("fold")).where("fold <> 0").collect()}
+    z, n, last = {}, {}, 1 << toxicity.BITS
+
+    def weight(i):
+        l1 = 0.0 if i == last else 0.5
+        x = z.get(i, 0.0)
+        return 0.0 if abs(x) <= l1 else -(x - np.sign(x) * l1) / ((1.0 + n.get(i, 0.0) ** 0.5) / 0.5 + 0.1)
+
+    for _ in range(2):
+        for i in sorted(order, key=order.get):
+            own = [*toxicity.features(dict(rows)[i].encode()).tolist(), last]
+            w = {k: weight(k) for k in own}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - int(i % 3 == 0)
+            for k in own:
+                sigma = ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / 0.5
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    want = {k: weight(k) for k in [*z] if weight(k) != 0.0 or k == last}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert len(want) > 5
