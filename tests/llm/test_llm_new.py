@@ -68,6 +68,16 @@ def test_collocations_match_plain_counting(spark):
         assert got == plain_collocations(rows, longest, least, top) and got
 
 
+def test_long_texts_are_cut_between_pieces(monkeypatch):
+    monkeypatch.setattr(phrases, "TEXT_BYTES", 40)
+    rng = random.Random(1)
+    for text in (text_of(rng, 300), "word " * 100, "a, " * 50, "", "é" * 99 + "." + "b" * 60):
+        parts = list(phrases._bounded(text.encode()))
+        pieces = lambda t: [p.split() for p in re.split(rb"[.,;:!?\n\x0b\x0c\r]", t) if p.split()]
+        assert [p for part in parts for p in pieces(part)] == pieces(text.encode())
+        assert len(parts) > 1 or len(text) < 60 or not re.search(r"[.,;:!?\n]", text[40:])
+
+
 def test_collocations_of_nothing(spark):
     assert phrases.collocations(docs_of(spark, [])).count() == 0
     assert phrases.collocations(docs_of(spark, [(1, None, None, None), (2, "a b", "en", "s")])).count() == 0

@@ -15,6 +15,7 @@ counts what the maps let through by the words themselves, so neither hashes nor
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +29,15 @@ from tidepool.llm.common import MULT, batch_rows, drop_stored, mix, own_columns,
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: words of a chunk, about
 CHUNK_WORDS = 1 << 16
+#: bytes of a text that are tokenised at once
+TEXT_BYTES = 1 << 20
 #: greatest size of a survivors' map, 16 MB; more survivors only let more through
 FILTER_BITS = 1 << 27
 #: counted n-grams a task holds before it sums equal ones and sends them off; names it holds in the last pass
 RUN, NAMES = 1 << 19, 1 << 18
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TO_PLAIN = bytes.maketrans(_UPPER + b".,;:!?\x0b\x0c\r\t", _UPPER.lower() + b"\n" * 9 + b" ")
+_BREAK = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
 GOLD = 0x9E3779B97F4A7C15
 
 
@@ -95,6 +99,15 @@ def _chunk(lang: str, texts: list[bytes]) -> tuple:
     return lang, int((out < size).sum()), vocabulary, out.tobytes()
 
 
+def _bounded(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about ``TEXT_BYTES``, cut between pieces, which no phrase crosses."""
+    at = 0
+    while len(text) - at > TEXT_BYTES and (end := _BREAK.search(text, at + TEXT_BYTES)):
+        yield text[at:end.start()]
+        at = end.end()
+    yield text[at:] if at else text
+
+
 def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
@@ -108,11 +121,12 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
-            lang, text = lang.as_py(), text.as_py() or b""
-            held.setdefault(lang, []).append(text)
-            size[lang] = size.get(lang, 0) + len(text) + 1
-            if size[lang] >= 6 * CHUNK_WORDS:
-                yield give(lang)
+            lang = lang.as_py()
+            for part in _bounded(text.as_py() or b""):
+                held.setdefault(lang, []).append(part)
+                size[lang] = size.get(lang, 0) + len(part) + 1
+                if size[lang] >= 6 * CHUNK_WORDS:
+                    yield give(lang)
     for lang in list(held):
         yield give(lang)
 
