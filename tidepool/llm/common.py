@@ -37,11 +37,11 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
 _open: list[list[str]] = []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet under the shared ``spark.checkpoint.dir`` and read back: the
     lineage ends there, and any executor can read it again after another was lost."""
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     if _open:
         _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

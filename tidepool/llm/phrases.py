@@ -135,7 +135,7 @@ def tokens(documents: DataFrame) -> DataFrame:
     """(lang, n, vocabulary, numbers): the documents' words in chunks of one language, stored."""
     docs = own_columns(documents, "lang", "text").select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    return stored(docs.mapInArrow(_tokenise, "lang string, n long, vocabulary binary, numbers binary"), "tokens")
+    return stored(docs.mapInArrow(_tokenise, "lang string, n long, vocabulary binary, numbers binary"), "tokens", "zstd")
 
 
 # --- n-grams of a chunk -------------------------------------------------------------------------
