@@ -105,7 +105,7 @@ def _with_hashes(rows: DataFrame, name: str, size: int) -> DataFrame:
 
 
 def _window_hash(words: Column, size: int) -> Column:
-    """The hash of an array of ``size`` words, as :func:`_hashes` gives it."""
+    """The hash of an array of ``size`` words, as :func:`_with_hashes` gives it."""
     own = [F.xxhash64(F.get(words, F.lit(i))) for i in range(size)]
     half = 1
     while half < size:
@@ -131,8 +131,7 @@ def _anchored(docs: DataFrame, held: DataFrame, few: bool) -> DataFrame:
     none, two or one.  A document without one meets no window in any form, and is not brought to its forms."""
     anchors = held.where(F.col("form") != TINY).select("run", F.col("anchor").alias("hash")).distinct()
     runs = [r["run"] for r in anchors.select("run").distinct().collect()]  # at most len(RUNS)
-    low = F.array_remove(F.split(F.lower(plain(F.col("text"))), NO_WORD), "")
-    rows = docs.select("doc_id", low.alias("low")).select("doc_id", F.transform("low", lambda w: F.xxhash64(w)).alias("h1"))
+    rows = docs.select("doc_id", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(F.lower(w))).alias("h1"))
     for n in runs:
         rows = _with_hashes(rows.withColumn(f"h{n}", F.col("h1")), f"h{n}", n) if n > 1 else rows
     hits = rows.select("doc_id", F.explode_outer(F.concat(*[f"h{n}" for n in runs]) if runs else F.col("h1")).alias("hash"))
