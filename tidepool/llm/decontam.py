@@ -213,7 +213,7 @@ def contamination(documents: DataFrame, held: DataFrame, size: int = SIZE) -> Da
     out = None
     if hits is not None:
         # texts of the documents that were hit, with their slot values
-        hits = stored(hits, "hits")
+        hits = stored(hits.hint("rebalance"), "hits")  # few rows of many tasks: few files
         places = hits.groupBy("doc_id").agg(F.collect_set(F.struct("form", "at", "hash", "short")).alias("places"))
         texts = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
         texts = typed_values(with_forms(texts)).join(places, "doc_id")
@@ -250,7 +250,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, size: int = SIZE, min_wind
         met = contamination(documents, held, size).join(total, ["form", "item_id"]).where(
             F.col("n_windows") >= F.least(F.lit(min_windows), "total"))
         items = met.groupBy("doc_id", "item_id").agg(F.min(F.struct("form", "n_windows"))["n_windows"].alias("n_windows"))
-        return items.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum("n_windows").alias("n_windows"))
+        return items.groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sum("n_windows").alias("n_windows")).hint("rebalance")
     return settled(make, "leaks")
 
 
