@@ -215,7 +215,8 @@ def contamination(documents: DataFrame, held: DataFrame, size: int = SIZE) -> Da
         # texts of the documents that were hit, with their slot values
         hits = stored(hits.hint("rebalance"), "hits")  # few rows of many tasks: few files
         places = hits.groupBy("doc_id").agg(F.collect_set(F.struct("form", "at", "hash", "short")).alias("places"))
-        texts = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+        # hits grow with the corpus: joined by sorting, however few they are here
+        texts = docs.join(hits.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
         texts = typed_values(with_forms(texts)).join(places, "doc_id")
         met = texts.select("doc_id", "folded", "low", "typed", "typed_raw", F.explode("places").alias("p")).select(
             "doc_id", "p.form", "p.at", "p.hash", "p.short",
