@@ -248,3 +248,14 @@ def test_gauge_keys_of_very_different_sizes(spark):
     got = {(r.k, r.ts.hour): r.gauge_value for r in me.gauge(df, ["k"], "ts", "op", "v").collect()}
     assert got["a", 0] == 1e25 and got["a", 1] == 1e25
     assert [got["b", h] for h in range(5)] == pytest.approx([1e-9, 3e-9, 1 + 3e-9, 4e-9, 3e-9], rel=1e-12)
+
+
+def test_left_join_of_many_narrow_rows_is_not_broadcast(spark, tmp_path):
+    # 60 times the orders of sf0.1 were estimated at 25 to 53 MB by their files, and took 20 times as much as rows
+    n = 700_000
+    o = spark.range(n).select((F.col("id") % 1000).alias("k"), F.xxhash64("id").alias("a"), F.rand(1).alias("b"))
+    o.write.parquet(f"{tmp_path}/o")
+    o = spark.read.parquet(f"{tmp_path}/o")
+    assert 8 * 1024 * 1024 < rel.estimated_bytes(o) < 64 * 1024 * 1024
+    j = rel.equi_join(spark.range(5).withColumnRenamed("id", "k"), o, "k", "left")
+    assert "ResolvedHint" not in j._jdf.queryExecution().analyzed().toString()

@@ -16,8 +16,9 @@ from tidepool.session import cut_lineage
 
 FLOATS = (T.DoubleType, T.FloatType)
 
-# A side is broadcast only when its estimated size is below this bound.
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+# A side is broadcast only when its estimated size is below this bound.  The estimate counts a scan by its
+# compressed files: as rows in the driver's memory, narrow columns of many rows took 20 times as much.
+BROADCAST_MAX_BYTES = 8 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
