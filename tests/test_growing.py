@@ -251,3 +251,23 @@ def test_clustered_lookups_read_few_files(spark, tmp):
     assert cl.write_advised(df, os.path.join(tmp, "two"), files=4)[0] == "ts"
     with pytest.raises(ValueError):
         cl.write_advised(df.select(F.lit(1).alias("c")), os.path.join(tmp, "three"))
+
+
+def test_sliced_bitmaps_repeat_no_row(spark):
+    from tidepool.operators import sliced as sl
+    df = spark.createDataFrame([(i * 40_000 // 50, i % 5 or None) for i in range(200)], "pos long, code long")
+    rows = df.select(F.expr(f"pos div {sl.BUCKET}").alias("bucket"), F.expr(f"cast(pos % {sl.BUCKET} as int)").alias("place"), "code")
+    got = sl._slices(rows, "c", 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    # rows are shuffled as they are: what is made of them comes after
+    assert plan.count("Exchange") == 1
+    below = plan[plan.index("Exchange"):]
+    assert "Generate" not in below and "bitmap_construct_agg" not in below
+    bits = {(r["slice"], r["bit"]): r["n"] for r in got.groupBy("slice", "bit").agg(F.sum(F.bitmap_count("bitmap")).alias("n")).collect()}
+    want = {(-1, 1): 160, (-1, 0): 40}
+    for s in range(3):
+        for b in (0, 1):
+            n = 40 * sum((c >> s & 1) == b for c in range(1, 5))
+            if n:
+                want[(s, b)] = n
+    assert bits == want

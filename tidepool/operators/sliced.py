@@ -86,25 +86,34 @@ def _numbered(df: DataFrame, col: str, name: str) -> DataFrame:
     return cut_lineage(row_numbers(own, [], ["value"], "_n").select("value", (F.col("_n") - 1).alias(name)), "codes")
 
 
+def _slices(rows: DataFrame, column: str, bits: int) -> DataFrame:
+    """The bitmaps of one column from (bucket, place, code).  A bucket's rows are brought together first and all its
+    bitmaps are built side by side, a null place being passed over: no row is repeated per bit, and no
+    unfinished bitmap is shuffled."""
+    has = [F.col("code").isNull(), F.col("code").isNotNull()]
+    sets = {(-1, b): has[b] for b in (0, 1)}
+    sets.update({(s, b): F.expr(f"(shiftright(code, {s}) & 1) = {b}") for s in range(bits) for b in (0, 1)})
+    wide = rows.repartition("bucket").groupBy("bucket").agg(
+        *[F.bitmap_construct_agg(F.when(cond, F.col("place"))).alias(f"m{i}") for i, cond in enumerate(sets.values())])
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("slice"), F.lit(b).alias("bit"), F.col(f"m{i}").alias("bitmap")) for i, (s, b) in enumerate(sets)]))
+    return wide.select("bucket", each.alias("m")).where(F.bitmap_count("m.bitmap") > 0).select(
+        F.lit(column).alias("column"), "m.slice", "m.bit", "bucket", "m.bitmap")
+
+
 def build_sliced_index(df: DataFrame, cols: list[str], id_col: str) -> SlicedIndex:
     """Index ``cols`` of rows told apart by ``id_col`` (of any type that has an order; not null, not repeated)."""
     ids = _numbered(df, id_col, "pos").withColumnRenamed("value", "id")
     if ids.count() != df.count():
         raise ValueError(f"{id_col} is null or repeated: its rows cannot be told apart in an index")
-    rows = df.select(id_col, *cols).join(broadcast_if_small(ids.withColumnRenamed("id", id_col)), id_col)
+    rows = cut_lineage(df.select(id_col, *cols).join(broadcast_if_small(ids.withColumnRenamed("id", id_col)), id_col).select("pos", *cols), "rows")
     codes, sizes, parts = {}, {}, []
     at = [F.expr(f"pos div {BUCKET}").alias("bucket"), F.expr(f"cast(pos % {BUCKET} as int)").alias("place")]
     for c in cols:
         codes[c] = _numbered(df, c, "code")
         sizes[c] = codes[c].count()
         own = rows.select("pos", F.col(c).alias("value")).join(broadcast_if_small(codes[c]), "value", "left")
-        bits = max(sizes[c] - 1, 0).bit_length()
-        has = F.struct(F.lit(-1).alias("slice"), F.col("code").isNotNull().cast("int").alias("bit"))
-        each = [F.struct(F.lit(s).alias("slice"), F.expr(f"cast(shiftright(code, {s}) & 1 as int)").alias("bit")) for s in range(bits)]
-        all_of = F.when(F.col("code").isNull(), F.array(has)).otherwise(F.array(has, *each))
-        parts.append(own.select(F.lit(c).alias("column"), *at, F.explode(all_of).alias("s")).select("column", "bucket", "place", "s.slice", "s.bit"))
-    long = reduce(lambda a, b: a.unionByName(b), parts)
-    slices = long.groupBy("column", "slice", "bit", "bucket").agg(F.bitmap_construct_agg("place").alias("bitmap"))
+        parts.append(_slices(own.select(*at, "code"), c, max(sizes[c] - 1, 0).bit_length()))
+    slices = reduce(lambda a, b: a.unionByName(b), parts)
     return SlicedIndex(ids, codes, sizes, cut_lineage(slices, "slices"))
 
 
