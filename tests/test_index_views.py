@@ -244,3 +244,30 @@ def test_pairs_with_support_equal_the_plain_form(spark):
     for least in (2, 10, 30):
         got = {(r.kind_a, r.kind_b): r.windows for r in an.cooccurrence(df, "e", "ts", "k", min_windows=least).collect()}
         assert got == {p: n for p, n in plain.items() if n >= least}
+
+
+def test_pairs_with_support_are_counted_in_blocks(spark, monkeypatch):
+    from tidepool.operators import analysis as an
+    rng = random.Random(4)
+    # one entity that every kind acts on each day, and many that few do: both ways of counting
+    rows = [(0, dt.datetime(2024, 1, 1 + d), f"k{k:02}") for k in range(30) for d in range(4)]
+    rows += [(rng.randint(1, 60), dt.datetime(2024, 1, 1 + rng.randint(0, 9)), f"k{rng.randint(0, 29):02}") for _ in range(900)]
+    df = spark.createDataFrame(rows, "e int, ts timestamp, k string")
+    plain = {(r.kind_a, r.kind_b): r.windows for r in an.cooccurrence(df, "e", "ts", "k").collect()}
+    monkeypatch.setattr(an, "BLOCK_WINDOWS", 200)
+    monkeypatch.setattr(an, "TILE_CELLS", 64)
+    monkeypatch.setattr(an, "DENSE_SHARE", 4)
+    pairs = an.cooccurrence(df, "e", "ts", "k", min_windows=6)
+    assert {(r.kind_a, r.kind_b): r.windows for r in pairs.collect()} == {p: n for p, n in plain.items() if n >= 6}
+    # the pairs themselves are not joined by their windows, nor shuffled
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "kind_a" not in plan.split("FlatMapGroupsInArrow", 1)[1].split("\n", 1)[1]
+
+
+def test_bitmaps_are_built_where_their_rows_are(spark):
+    from tidepool.operators import index as ix
+    df = spark.createDataFrame([(i, i % 3) for i in range(100)], "id long, v int")
+    plan = ix.build_bitmap_index(df, ["v"], "id")._jdf.queryExecution().executedPlan().toString()
+    # the only shuffle moves rows, before any bitmap
+    assert plan.count("Exchange") == 1
+    assert "bitmap_construct_agg" not in plan[plan.index("Exchange"):]

@@ -189,13 +189,15 @@ def build_bitmap_index(df: DataFrame, cols: list[str], id_col: str) -> DataFrame
     """Value -> bitmap of row ids, per 32768-id bucket (ids must be >= 0; stored as id+1).
 
     Rows: column, value (as string), bucket, bitmap (binary), rows.
+    The rows of one bitmap are brought together before it is built: bitmaps made where rows happen to lie
+    would be as many as rows, at 4096 bytes each, in the shuffle and the sort of their merge.
     """
     pos = F.col(id_col).cast("bigint") + 1
     parts = []
     for c in cols:
         parts.append(df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
                                F.bitmap_bucket_number(pos).alias("bucket"), F.bitmap_bit_position(pos).alias("bit")))
-    long = reduce(lambda a, b: a.unionByName(b), parts)
+    long = reduce(lambda a, b: a.unionByName(b), parts).repartition("column", "value", "bucket")
     return long.groupBy("column", "value", "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"),
                                                          F.count(F.lit(1)).alias("rows"))
 
