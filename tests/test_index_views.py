@@ -271,3 +271,17 @@ def test_bitmaps_are_built_where_their_rows_are(spark):
     # the only shuffle moves rows, before any bitmap
     assert plan.count("Exchange") == 1
     assert "bitmap_construct_agg" not in plan[plan.index("Exchange"):]
+
+
+def test_postings_group_tokens_within_their_row(spark):
+    from tidepool.operators import index as ix
+    from tidepool.operators.search import SearchTable
+    # a key that repeats: fields of one length are indexed as one, others apart
+    df = spark.createDataFrame([(1, "b a b"), (1, "a c c"), (1, "a"), (2, None), (3, " . "), (4, "x")], "doc_id long, body string")
+    post, lengths = ix.build_inverted_index([SearchTable("docs", df, ["body"])])
+    got = sorted((r.id, r.length, r.token, r.tf, r.positions) for r in post.collect())
+    assert got == [("1", 1, "a", 1, [0]), ("1", 3, "a", 2, [0, 1]), ("1", 3, "b", 2, [0, 2]), ("1", 3, "c", 2, [1, 2]), ("4", 1, "x", 1, [0])]
+    assert sorted((r.id, r.length) for r in lengths.collect()) == [("1", 1), ("1", 3), ("1", 3), ("2", 0), ("3", 0), ("4", 1)]
+    # no aggregate over the occurrences of tokens
+    plan = post._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.index("Aggregate") > plan.rindex("Generate explode(array_distinct")

@@ -30,6 +30,19 @@ def token_bucket(token: Column, buckets: int = TOKEN_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
+def _run_starts(placed: Column) -> Column:
+    """Where the runs of one token start in sorted (token, pos), and the end."""
+    first = F.transform(placed, lambda x, i: F.when((i == 0) | (x["token"] != F.get(placed, i - 1)["token"]), i))
+    return F.concat(F.filter(first, lambda i: i.isNotNull()), F.array(F.size(placed)))
+
+
+def _runs_of(placed: Column, starts: Column) -> Column:
+    """(token, positions) of every run."""
+    return F.transform(F.slice(starts, 1, F.size(starts) - 1), lambda a, j: F.struct(
+        F.get(placed, a)["token"].alias("token"),
+        F.transform(F.slice(placed, a + 1, F.get(starts, j + 1) - a), lambda x: x["pos"]).alias("positions")))
+
+
 def build_inverted_index(tables: list[SearchTable], parser: str = "standard",
                          slices: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(postings, doc_lengths).
@@ -57,13 +70,22 @@ def build_inverted_index(tables: list[SearchTable], parser: str = "standard",
     rows = rows.repartition(n, "source_table", "id", "tie")
     long = rows.select("source_table", "id", "tie", F.explode("p").alias("p")) \
         .select("source_table", "id", "tie", F.col("p.field").alias("field"), tx.tokens(F.col("p.value"), parser).alias("toks"))
-    # the length before the explode, so that no token row drags the token array along; the outer
-    # form, because the inner one infers a filter that tokenises every text a second time
-    sized = long.withColumn("length", F.coalesce(F.size("toks"), F.lit(0)))
-    lengths = sized.select("source_table", "field", "id", "tie", "length")
-    post = sized.select("source_table", "field", "id", "tie", "length", F.posexplode_outer("toks").alias("pos", "token")) \
-        .where("token IS NOT NULL").groupBy("source_table", "field", "id", "tie", "length", "token") \
-        .agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    lengths = long.select("source_table", "field", "id", "tie", F.coalesce(F.size("toks"), F.lit(0)).alias("length"))
+    # a row's tokens are grouped within the row, so no occurrence is a row of a sort; rows that share a key
+    # lie in one group and their fields of one length are indexed as one
+    held = rows.groupBy("source_table", "id", "tie").agg(F.flatten(F.collect_list("p")).alias("p"))
+    fields_of = held.select("source_table", "id", "tie", F.transform("p", lambda p: F.struct(
+        p["field"].alias("field"), tx.tokens(p["value"], parser).alias("toks"))).alias("f"))
+    kinds = F.array_distinct(F.transform("f", lambda x: F.struct(x["field"].alias("field"), F.coalesce(F.size(x["toks"]), F.lit(0)).alias("length"))))
+    # outer, so that no filter is inferred that tokenises every text a second time
+    per_field = fields_of.select("source_table", "id", "tie", "f", F.explode_outer(kinds).alias("k")).where("k.length > 0").select(
+        "source_table", F.col("k.field").alias("field"), "id", "tie", F.col("k.length").alias("length"),
+        F.filter("f", lambda x: (x["field"] == F.col("k.field")) & (F.size(x["toks"]) == F.col("k.length"))).alias("f"))
+    placed = F.array_sort(F.flatten(F.transform("f", lambda x: F.transform(x["toks"], lambda t, i: F.struct(t.alias("token"), i.alias("pos"))))))
+    post = per_field.select("source_table", "field", "id", "tie", "length", placed.alias("s")) \
+        .select("source_table", "field", "id", "tie", "length", "s", _run_starts(F.col("s")).alias("at")) \
+        .select("source_table", "field", "id", "tie", "length", F.explode_outer(_runs_of(F.col("s"), F.col("at"))).alias("r")) \
+        .select("source_table", "field", "id", "tie", "length", "r.token", F.size("r.positions").cast("bigint").alias("tf"), "r.positions")
     return post, lengths
 
 
@@ -197,7 +219,7 @@ def build_bitmap_index(df: DataFrame, cols: list[str], id_col: str) -> DataFrame
     for c in cols:
         parts.append(df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"),
                                F.bitmap_bucket_number(pos).alias("bucket"), F.bitmap_bit_position(pos).alias("bit")))
-    long = reduce(lambda a, b: a.unionByName(b), parts).repartition("column", "value", "bucket")
+    long = reduce(lambda a, b: a.unionByName(b), parts).repartition("value", "bucket")
     return long.groupBy("column", "value", "bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"),
                                                          F.count(F.lit(1)).alias("rows"))
 
