@@ -224,6 +224,31 @@ def test_trigrams_equal_like(spark, tmp):
             gr.candidates(post, pattern, "like")
 
 
+def test_trigram_postings_are_lists_of_a_block(spark, tmp):
+    texts = ["the quick fox", "a quick \U0001d4b3y\U0001d4b3 fox", "", "ab", None, "Quick quick QUICK"]
+    rows = [(i // 3 if i % 40 else None, texts[i % 6] if i % 7 else f"the quick fox {i}", texts[i % 5]) for i in range(400)]  # keys repeat or are null
+    t = table(spark, [*rows, (1000, "quick " + "".join(map(chr, range(0x4e00, 0x5400))), None)])
+    parts = t.df.rdd.getNumPartitions()
+    # a row per trigram of a block, however many texts hold it
+    one = gr.gram_postings([SearchTable("docs", t.df.coalesce(1), ["title"])]).where("token IS NOT NULL")
+    assert one.count() == one.select("token").distinct().count()
+    n = t.df.where("lower(title) LIKE '%qui%'").count()
+    assert n > 200 and [len(r.rows) for r in one.where("token = 'QUI'").collect()] == [n]
+    for block in (gr.BLOCK, 100, 1):
+        path = f"{tmp}/{block}"
+        gr.write_grams([t], path, buckets=3, block=block)
+        post = gr.read_grams(spark, path)
+        if block < gr.BLOCK:
+            assert post.where("keys IS NOT NULL").count() > 2 * parts
+        for pattern, how in (("quick", "contains"), ("the%x 1_%", "like"), ("%\U0001d4b3Y\U0001d4b3%", "ilike"), ("fox", "contains"), ("\u4e01\u4e02\u4e03", "contains")):
+            want = sorted(str(r.doc_id) + f for f in ("title", "body") for r in t.df.where(tx.like_search(f, pattern, how)).collect() if r.doc_id is not None)
+            got = sorted(r.id + r.field for r in gr.like_rows([t], post, pattern, how).collect())
+            assert want and got == want, (block, pattern, how)
+        held = {tuple(r) for r in gr.candidates(post, "fox").collect()}
+        assert held == {tuple(r) for r in gr.candidates(gr.gram_postings([t]), "fox").collect()}
+        assert ("docs", "title", None, "") in held or any(k[2] is None for k in held)
+
+
 def test_clustered_lookups_read_few_files(spark, tmp):
     rng = random.Random(9)
     t0 = dt.datetime(2024, 1, 1)

@@ -4,13 +4,21 @@ Every distinct run of three characters of a field, folded in case, is a posting.
 pattern's literal parts holds all their trigrams, so the rows with all of them are the candidates,
 and only their texts are read and checked.  A pattern without three literal characters in a row
 has no trigram: it is refused here and needs the scan (``text.like_search``).
+
+Postings are lists: a task takes the rows of a field in blocks of a bounded number of trigrams and writes, per
+block and trigram, the places in the block of the rows that hold it.  A last row of the block without a trigram
+has the keys by place.  So the shuffle moves a row per trigram of a block, not one per trigram of every text.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +31,15 @@ from tidepool.sources.loading import drop_layout, read_layout, write_layout
 
 KEY = ["source_table", "id", "tie"]
 SIZE = 3
+#: trigrams of a block, each counted once per row: what a task holds at a time; a row is never divided
+BLOCK = 1 << 21
+#: characters of a text whose trigrams are taken at once
+SLICE = 1 << 20
+#: the bucket of the rows that hold the keys of a block
+KEYS_BUCKET = -1
+_BITS = 21  # of a code point
+_POSTINGS = "source_table string, field string, block long, token string, rows array<int>, keys array<struct<id: string, tie: string>>"
+_KEYS = pa.list_(pa.struct([("id", pa.string()), ("tie", pa.string())]))
 
 
 def fold(c: Column) -> Column:
@@ -30,27 +47,74 @@ def fold(c: Column) -> Column:
     return F.upper(F.lower(c))
 
 
-def grams(c: Column) -> Column:
-    """The distinct trigrams of the folded text."""
-    return F.array_distinct(F.regexp_extract_all(fold(c), F.lit(f"(?s)(?=({'.' * SIZE}))"), F.lit(1)))
-
-
-def gram_postings(tables: list[SearchTable]) -> DataFrame:
-    """(source_table, field, id, tie, token): a row per distinct trigram of a field; no grouping, so no hot trigram."""
+def _codes(text: str) -> np.ndarray:
+    """The distinct trigrams of a folded text as sorted numbers."""
+    parts = []
+    for lo in range(0, max(0, len(text) - SIZE + 1), SLICE):
+        c = np.frombuffer(text[lo:lo + SLICE + SIZE - 1].encode("utf-32-le"), "<u4").astype(np.int64)
+        parts.append(np.unique(c[:-2] << 2 * _BITS | c[1:-1] << _BITS | c[2:]))
+    if not parts:
+        return np.empty(0, np.int64)
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+
+
+def _tokens(codes: np.ndarray) -> list[str]:
+    chars = np.stack([codes >> 2 * _BITS, codes >> _BITS, codes], 1) & (1 << _BITS) - 1
+    text = chars.astype("<u4").tobytes().decode("utf-32-le")
+    return [text[i:i + SIZE] for i in range(0, len(text), SIZE)]
+
+
+def _block(own: tuple[str, str], number: int, held: list[np.ndarray], keys: list[dict]) -> Iterator[pa.RecordBatch]:
+    codes = np.concatenate(held)
+    order = np.argsort(codes, kind="stable")  # the rows of a trigram stay in order
+    rows = np.repeat(np.arange(len(held), dtype=np.int32), [len(h) for h in held])[order]
+    first = np.flatnonzero(np.diff(codes[order], prepend=-1))
+    tokens = _tokens(codes[order][first])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)).astype(np.int32)), pa.array(rows))
+    for toks, places, owners in ((tokens, lists, pa.nulls(len(tokens), _KEYS)),
+                                 ([None], pa.nulls(1, pa.list_(pa.int32())), pa.array([keys], _KEYS))):
+        n = len(toks)
+        yield pa.RecordBatch.from_arrays([pa.array([own[0]] * n, pa.string()), pa.array([own[1]] * n, pa.string()), pa.array([number] * n, pa.int64()),
+                                          pa.array(toks, pa.string()), places, owners],
+                                         ["source_table", "field", "block", "token", "rows", "keys"])
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    # blocks are numbered within their partition, as rows are by monotonically_increasing_id
+    number = TaskContext.get().partitionId() << 32
+    own, held, keys, size = None, [], [], 0
+    for batch in batches:
+        for table, field, key, tie, text in zip(*[batch.column(c).to_pylist() for c in ("source_table", "field", "id", "tie", "text")], strict=True):
+            codes = _codes(text)
+            if not len(codes):
+                continue
+            if held and (own != (table, field) or size + len(codes) > block):
+                yield from _block(own, number, held, keys)
+                number, held, keys, size = number + 1, [], [], 0
+            own, size = (table, field), size + len(codes)
+            held.append(codes)
+            keys.append({"id": key, "tie": tie})
+    if held:
+        yield from _block(own, number, held, keys)
+
+
+def gram_postings(tables: list[SearchTable], block: int = BLOCK) -> DataFrame:
+    """(source_table, field, block, token, rows, keys): per block of a field's rows, a row per distinct trigram with the places in
+    the block of the rows that hold it (``keys`` null), and one row with the keys of all places (``token`` and ``rows`` null)."""
     out = []
     for t in tables:
         for f in t.fields or searchable_fields(t.df):
             out.append(t.df.where(F.col(f).isNotNull()).select(
                 F.lit(t.name).alias("source_table"), F.lit(f).alias("field"), _hit_id(t).alias("id"), _tie(t).alias("tie"),
-                F.explode(grams(F.col(f).cast("string"))).alias("token")))
-    return reduce(lambda a, b: a.unionByName(b), out)
+                fold(F.col(f).cast("string")).alias("text")))
+    return reduce(lambda a, b: a.unionByName(b), out).mapInArrow(lambda batches: _in_blocks(batches, block), _POSTINGS)
 
 
-def write_grams(tables: list[SearchTable], path: str, buckets: int = ix.TOKEN_BUCKETS) -> None:
-    """The postings by bucket of the trigram, sorted by it."""
+def write_grams(tables: list[SearchTable], path: str, buckets: int = ix.TOKEN_BUCKETS, block: int = BLOCK) -> None:
+    """The postings by bucket of the trigram, sorted by it; the keys of the blocks in a bucket of their own."""
     spark = tables[0].df.sparkSession
     drop_layout(spark, path)
-    p = gram_postings(tables).withColumn("bucket", ix.token_bucket(F.col("token"), buckets))
+    p = gram_postings(tables, block).withColumn("bucket", F.when(F.col("token").isNull(), KEYS_BUCKET).otherwise(ix.token_bucket(F.col("token"), buckets)))
     spread_for_write(p, ["bucket"]).sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
     write_layout(spark, path, {"buckets": int(buckets), "parser": "grams"})
 
@@ -73,8 +137,8 @@ def pattern_grams(spark: SparkSession, pattern: str, how: str = "contains") -> l
     parts = [p for p in literal_parts(pattern, how) if p]
     if not parts:
         return []
-    row = spark.range(1).select(*[grams(F.lit(p)).alias(f"p{i}") for i, p in enumerate(parts)]).first()
-    return sorted({g for own in row for g in own})
+    row = spark.range(1).select(*[fold(F.lit(p)).alias(f"p{i}") for i, p in enumerate(parts)]).first()
+    return sorted({p[i:i + SIZE] for p in row for i in range(len(p) - SIZE + 1)})
 
 
 def candidates(postings: DataFrame, pattern: str, how: str = "contains") -> DataFrame:
@@ -82,9 +146,15 @@ def candidates(postings: DataFrame, pattern: str, how: str = "contains") -> Data
     wanted = pattern_grams(postings.sparkSession, pattern, how)
     if not wanted:
         raise ValueError(f"pattern {pattern!r} has no {SIZE} literal characters in a row: search it by scan")
-    hits = ix.lookup(postings, wanted)
-    return hits.groupBy("source_table", "field", "id", "tie").agg(F.count_distinct("token").alias("n")).where(
-        F.col("n") == len(wanted)).drop("n")
+    own = ["source_table", "field", "block"]
+    # a block holds a trigram once, so a block with as many lists as trigrams has them all
+    places = ix.lookup(postings, wanted).groupBy(*own).agg(F.collect_list("rows").alias("lists")).where(F.size("lists") == len(wanted)).select(
+        *own, F.reduce(F.slice("lists", 2, len(wanted)), F.get("lists", F.lit(0)), F.array_intersect).alias("rows"))
+    keys = postings.where(F.col("token").isNull())
+    if "bucket" in postings.columns:
+        keys = keys.where(F.col("bucket") == KEYS_BUCKET)
+    return places.join(keys.select(*own, "keys"), own).select("source_table", "field", F.explode("rows").alias("row"), "keys").select(
+        "source_table", "field", F.get("keys", F.col("row")).alias("k")).select("source_table", "field", "k.id", "k.tie").distinct()
 
 
 def like_rows(tables: list[SearchTable], postings: DataFrame, pattern: str, how: str = "contains") -> DataFrame:
