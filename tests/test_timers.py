@@ -99,6 +99,49 @@ def test_alerts_end_by_timer_and_equal_the_batch_form(spark, tmp):
     assert got["d", hours(9)] == ("RESOLVED", hours(12))
 
 
+def test_the_rules_of_a_label_set_share_a_state_and_a_timer(spark, tmp):
+    rule = lambda i, metric, above, for_s: {**RULES[0], "rule_id": i, "metric": metric, "expression": f"value > {above}", "for_duration_s": for_s}
+    rules = [rule("r1", "m", 10, 7200), rule("r2", "m", 15, 0), rule("r3", "n", 10, 3600)]
+    keys = ["rule_id", "user", "active_at"]
+
+    def run(path, labels):
+        src = st.read_stream(spark, os.path.join(tmp, "src", "*"), SAMPLES)
+        out = tm.timed_alerts(src, rules, 3600, labels, idle_seconds=6 * 3600)
+        w = out.writeStream.outputMode("update").option("checkpointLocation", f"{path}/ck").foreachBatch(
+            lambda df, bid: df.write.mode("overwrite").parquet(f"{path}/out/batch_id={bid}")).trigger(availableNow=True)
+        tm.start_stateful(w).awaitTermination()
+        got = spark.read.schema(out.schema.add("batch_id", "long")).parquet(f"{path}/out").where("state <> 'LATE_SAMPLE'")
+        own = [k for k in keys if k in got.columns]
+        last = got.groupBy(*own).agg(F.max_by(F.struct("state", "resolved_at", "value"), "batch_id").alias("r"))
+        state = spark.read.format("statestore").option("path", f"{path}/ck").option("stateVarName", "series").load().collect()
+        return sorted((*[r[k] for k in own], *r.r) for r in last.where("r.state <> 'INACTIVE'").collect()), state
+
+    rng, every = random.Random(5), []
+    for part in range(2):
+        users = [u for u in ("a", "b", "c", "gone") if u != "gone" or not part]
+        # c has samples of one metric alone; gone falls silent
+        rows = [(metric, user, hours(12 * part + h), rng.choice([0.0, 12.0, 20.0, 20.0])) for user in users for metric in "mnx"
+                for h in range(12) if rng.random() < 0.8 and (user != "c" or metric == "n")]
+        every += rows
+        put(spark, rows, SAMPLES, tmp, part)
+        got, state = run(f"{tmp}/by-user", ["user"])
+        clock = max(r[2] for r in every)
+        want = al.evaluate_alerts(spark.createDataFrame(every, SAMPLES), rules, 3600, ["user"], as_of=clock)
+        assert got == sorted((r.rule_id, r.user, r.active_at, r.state, r.resolved_at, r.value) for r in want.collect())
+        assert {g[0] for g in got} == {"r1", "r2", "r3"}
+        # one row of state per user, with its rules; the silent user has left
+        assert sorted(r.key.user for r in state) == sorted(users)
+        assert {r.key.user: sorted(x.rule_id for x in r.value.rules) for r in state}["a"] == ["r1", "r2", "r3"]
+        assert {r.key.user: sorted(x.rule_id for x in r.value.rules) for r in state}["c"] == ["r3"]
+    every = [r for r in every if r[1] == "a"]
+    tmp = f"{tmp}/alone"
+    put(spark, every, SAMPLES, tmp, 0)
+    got, state = run(f"{tmp}/no-labels", None)
+    want = al.evaluate_alerts(spark.createDataFrame(every, SAMPLES), rules, 3600, as_of=max(r[2] for r in every))
+    assert got == sorted((r.rule_id, r.active_at, r.state, r.resolved_at, r.value) for r in want.collect())
+    assert sorted(r.key.rule_id for r in state) == ["r1", "r2", "r3"]
+
+
 def test_idle_series_leave_the_state_and_late_samples_are_told(spark, tmp):
     put(spark, [("m", "a", hours(0), 20.0), ("m", "a", hours(1), 20.0), ("m", "b", hours(0), 0.0)], SAMPLES, tmp, 0)
     alert_rows(spark, tmp, idle=7200)
