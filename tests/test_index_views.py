@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -264,6 +265,27 @@ def test_pairs_with_support_are_counted_in_blocks(spark, monkeypatch):
     assert "kind_a" not in plan.split("FlatMapGroupsInArrow", 1)[1].split("\n", 1)[1]
 
 
+def test_pairs_with_support_shuffle_each_row_a_bounded_number_of_times(spark, monkeypatch):
+    from tidepool.operators import analysis as an
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 20), dt.datetime(2024, 1, 1 + rng.randint(0, 9)), f"k{rng.randint(0, 99):02}") for _ in range(4000)]
+    df = spark.createDataFrame(rows, "e int, ts timestamp, k string").repartition(5)
+    plain = {(r.kind_a, r.kind_b): r.windows for r in an.cooccurrence(df, "e", "ts", "k").collect()}
+    want = {p: n for p, n in plain.items() if n >= 7}
+    monkeypatch.setattr(an, "BLOCK_WINDOWS", 20)
+    # more than 100 blocks of the least size: a row is moved to about 8, and to more where a task could not hold two of the eight
+    for most, low, high in ((1 << 21, 5, 9), (100, 15, 60)):
+        monkeypatch.setattr(an, "BLOCKS", 8, raising=False)
+        monkeypatch.setattr(an, "MOST_BLOCK_WINDOWS", most, raising=False)
+        pairs = an.cooccurrence(df, "e", "ts", "k", min_windows=7)
+        assert {(r.kind_a, r.kind_b): r.windows for r in pairs.collect()} == want and len(want) > 50
+        copies = int(re.search(r"sequence\(0, (\d+)", pairs._jdf.queryExecution().analyzed().toString())[1]) + 1
+        assert low <= copies <= high
+    # windows are numbered without gaps, whatever their partition
+    numbered = an._numbered(df.select("e", "ts").distinct().repartition(7))
+    assert sorted(r["_item"] for r in numbered.collect()) == list(range(numbered.count()))
+
+
 def test_bitmaps_are_built_where_their_rows_are(spark):
     from tidepool.operators import index as ix
     df = spark.createDataFrame([(i, i % 3) for i in range(100)], "id long, v int")
