@@ -14,6 +14,7 @@ from tidepool.operators import index as ix
 from tidepool.operators import ranked as rk
 from tidepool.operators import segments as sg
 from tidepool.operators.search import SearchTable
+from tidepool.session import cut_lineage
 from tidepool.sources import clustered as cl
 from tidepool.sources import loading
 
@@ -53,6 +54,39 @@ def test_phrases_follow_the_parser(spark):
     assert hits("京大学", "chinese") == ["北京大学"]
 
 
+def test_a_tree_makes_the_postings_once(spark):
+    t = table(spark, random_rows(random.Random(8), 80))
+    post, lengths = ix.build_inverted_index([t])
+    stored, made = cut_lineage(post), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+    q = (bq.Term("alpha gamma", all=True) | bq.Phrase("of the")) & (bq.Term("beta", "title") | bq.Term("delta", "body")) & ~bq.Term("x1")
+    got = keys(bq.search_postings(q, stored.mapInArrow(counted, stored.schema), lengths))
+    assert got == keys(bq.search_rows([t], q)) and got
+    # the counts and the clauses read what was made, not the texts again
+    assert made.value == stored.count()
+
+
+def test_postings_are_made_in_parts(spark, monkeypatch):
+    t = table(spark, random_rows(random.Random(9), 150))
+    whole = ix._in_parts
+    got = {}
+    for size in (1, 7, 1 << 19):
+        def parts(batches, size=size):
+            ix.PART_TOKENS = size
+            yield from whole(batches)
+        monkeypatch.setattr(ix, "_in_parts", parts)
+        post, _ = ix.build_inverted_index([t])
+        got[size] = sorted((r.field, r.id, r.length, r.token, r.tf, r.positions) for r in post.collect())
+    toks = {(f, str(r["doc_id"]), w): [i for i, x in enumerate(r["t"]) if x == w]
+            for f in t.fields for r in t.df.select("doc_id", tx.tokens(f).alias("t")).collect() for w in r["t"] or ()}
+    assert {(f, i, w): p for f, i, _, w, _, p in got[1]} == toks
+    assert got[1] == got[7] == got[1 << 19] and all(tf == len(p) for *_, tf, p in got[1])
+
+
 def test_rarest_clause_comes_first(spark):
     counts = {"alpha": 100, "beta": 3, "gamma": 50}
     assert bq._size(bq.Term("alpha beta"), counts, "standard") == 103

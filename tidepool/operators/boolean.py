@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidepool.functions import text as tx
 from tidepool.operators import index as ix
 from tidepool.operators.search import SearchTable, _hit_id, _tie, searchable_fields
+from tidepool.session import cut_lineage
 
 KEY = ["source_table", "id", "tie"]
 
@@ -152,7 +153,11 @@ def _keys(q: Query, postings: DataFrame, every: DataFrame, counts: dict[str, int
 
 def search_postings(q: Query, postings: DataFrame, lengths: DataFrame, parser: str = "standard") -> DataFrame:
     """(source_table, id, tie) of the rows that match, from the postings of the query's tokens.  ``lengths`` holds
-    the keys of all rows of the index (a row without any token too); it is read only where a NOT stands alone."""
+    the keys of all rows of the index (a row without any token too); it is read only where a NOT stands alone.
+    Postings that are not read from a stored index are made once, and those of the query's tokens stored: the counts and
+    each clause would tokenise every text again."""
     toks = list(dict.fromkeys(t for leaf in _leaves(q) for t in _tokens(leaf, parser)))
+    if "bucket" not in postings.columns:
+        postings = cut_lineage(ix.lookup(postings, toks, parser), "postings")
     every = lengths.select(*KEY).distinct()
     return _keys(q, postings, every, _token_counts(postings, toks, parser), parser)

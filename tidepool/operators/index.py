@@ -9,8 +9,12 @@ file so parquet min/max statistics skip row groups.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,23 +28,43 @@ TOKEN_BUCKETS = 64
 # BM25 parameters (the published defaults).
 BM25_K1 = 1.2
 BM25_B = 0.75
+#: tokens whose postings are made at once; a field is never divided
+PART_TOKENS = 1 << 19
 
 
 def token_bucket(token: Column, buckets: int = TOKEN_BUCKETS) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def _run_starts(placed: Column) -> Column:
-    """Where the runs of one token start in sorted (token, pos), and the end."""
-    first = F.transform(placed, lambda x, i: F.when((i == 0) | (x["token"] != F.get(placed, i - 1)["token"]), i))
-    return F.concat(F.filter(first, lambda i: i.isNotNull()), F.array(F.size(placed)))
-
-
-def _runs_of(placed: Column, starts: Column) -> Column:
-    """(token, positions) of every run."""
-    return F.transform(F.slice(starts, 1, F.size(starts) - 1), lambda a, j: F.struct(
-        F.get(placed, a)["token"].alias("token"),
-        F.transform(F.slice(placed, a + 1, F.get(starts, j + 1) - a), lambda x: x["pos"]).alias("positions")))
+def _grouped(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The postings of the fields of a batch, whose ``toks`` are the tokens of one text or of several."""
+    texts = b.column("toks")
+    n_texts = pc.list_value_length(texts).to_numpy(zero_copy_only=False)
+    sizes = pc.list_value_length(texts.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.repeat(np.arange(b.num_rows), n_texts), sizes)
+    pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    coded = texts.flatten().flatten().dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    own = row * len(coded.dictionary) + code
+    # the positions of one text are in order already
+    order = np.lexsort((pos, own)) if (n_texts > 1).any() else np.argsort(own, kind="stable")
+    first = np.flatnonzero(np.diff(own[order], prepend=-1))
+    ends = np.append(first, len(order))
+    of, token = pa.array(row[order[first]]), pa.array(code[order[first]])
+    return pa.RecordBatch.from_arrays([
+        *[b.column(c).take(of) for c in ("source_table", "field", "id", "tie", "length")], coded.dictionary.take(token), pa.array(np.diff(ends)),
+        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(pos[order].astype(np.int32)))],
+        ["source_table", "field", "id", "tie", "length", "token", "tf", "positions"])
+
+
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings by parts of a batch of about ``PART_TOKENS`` tokens."""
+    for b in batches:
+        n = pc.list_value_length(b.column("toks")).to_numpy(zero_copy_only=False) * b.column("length").to_numpy(zero_copy_only=False).astype(np.int64)
+        part = (np.cumsum(n) - n) // PART_TOKENS
+        cuts = [*np.flatnonzero(np.diff(part, prepend=-1)), b.num_rows]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            yield _grouped(b.slice(low, high - low))
 
 
 def build_inverted_index(tables: list[SearchTable], parser: str = "standard",
@@ -81,11 +105,8 @@ def build_inverted_index(tables: list[SearchTable], parser: str = "standard",
     per_field = fields_of.select("source_table", "id", "tie", "f", F.explode_outer(kinds).alias("k")).where("k.length > 0").select(
         "source_table", F.col("k.field").alias("field"), "id", "tie", F.col("k.length").alias("length"),
         F.filter("f", lambda x: (x["field"] == F.col("k.field")) & (F.size(x["toks"]) == F.col("k.length"))).alias("f"))
-    placed = F.array_sort(F.flatten(F.transform("f", lambda x: F.transform(x["toks"], lambda t, i: F.struct(t.alias("token"), i.alias("pos"))))))
-    post = per_field.select("source_table", "field", "id", "tie", "length", placed.alias("s")) \
-        .select("source_table", "field", "id", "tie", "length", "s", _run_starts(F.col("s")).alias("at")) \
-        .select("source_table", "field", "id", "tie", "length", F.explode_outer(_runs_of(F.col("s"), F.col("at"))).alias("r")) \
-        .select("source_table", "field", "id", "tie", "length", "r.token", F.size("r.positions").cast("bigint").alias("tf"), "r.positions")
+    post = per_field.select("source_table", "field", "id", "tie", "length", F.transform("f", lambda x: x["toks"]).alias("toks")).mapInArrow(
+        _in_parts, "source_table string, field string, id string, tie string, length int, token string, tf bigint, positions array<int>")
     return post, lengths
 
 
