@@ -239,6 +239,33 @@ def test_ranked_page_equals_the_full_order_and_reads_less(spark, tmp):
     assert rk.ranked_page(spark, tmp, "nowhere").count() == 0
 
 
+@pytest.mark.parametrize("how", ["small chunks", "divided rows"])
+def test_ranked_postings_leave_their_task_as_lists(spark, tmp, monkeypatch, how):
+    rng = random.Random(10)
+    tables = [table(spark, random_rows(rng, 300) + [(None, "alpha", "beta beta"), (7, "alpha", "beta of the"), (7, "alpha gamma", "x1")]), table(spark, random_rows(rng, 90), "notes")]
+    post, lengths = ix.build_inverted_index(tables)
+    monkeypatch.setattr(rk, "CHUNK", 150)
+    if how == "divided rows":
+        post = post.repartition(5, "token")
+    rk.write_ranked(post, lengths, tmp, buckets=4, rows=16)
+    own = post.where("id is not null")
+    full = sorted((-round(r.score, 9), r.source_table, r.id) for r in ix.bm25(own, ix.field_stats(lengths), "alpha beta").collect())
+    for page, size in ((1, 10), (2, 25), (1, 1000)):
+        got = [(-r.score, r.source_table, r.id) for r in rk.ranked_page(spark, tmp, "alpha beta", page, size).collect()]
+        assert got == full[(page - 1) * size:page * size] and got
+    stored = spark.read.parquet(f"{tmp}/postings")
+    found, keys_of = stored.where("token is not null"), stored.where("token is null")
+    # a posting names its row by block and place, and only the rows of keys have keys
+    assert found.count() == own.count() and found.where("keys is not null").count() == 0 and not {"id", "tie"} & set(stored.columns)
+    # what is shuffled are lists, fewer than postings: one of each has the bound and the count of all
+    lists = found.where("n is not null")
+    assert lists.agg(F.sum("n")).first()[0] == own.count() > 1.5 * lists.count()
+    assert lists.count() == found.select("source_table", "field", "token", "block").distinct().count() == spark.read.parquet(f"{tmp}/blocks").count()
+    assert keys_of.agg(F.max(F.size("keys"))).first()[0] <= 16
+    assert sorted((r.source_table, r.id) for r in keys_of.select("source_table", F.explode("keys").alias("k")).select("source_table", "k.id").collect()) == \
+        sorted((r.source_table, r.id) for r in own.select("source_table", "id").distinct().collect())
+
+
 def test_trigrams_equal_like(spark, tmp):
     rows = [(1, "The Quick brown", "fox_100%"), (2, "the quick BROWN", None), (3, "ΟΔΟΣΑ", "ab"), (4, "", "a%b_c"), (5, None, "line\nbreak quick"),
             (6, "straße", "STRASSE"), (7, "quic", "uick brow"), (8, "x" * 50_000 + " needle", "")]

@@ -85,6 +85,10 @@ def build_inverted_index(tables: list[SearchTable], parser: str = "standard",
         rows_of.append(t.df.select(F.lit(t.name).alias("source_table"), _hit_id(t).alias("id"), _tie(t).alias("tie"),
                                    pairs.alias("p")))
     rows = reduce(lambda a, b: a.unionByName(b), rows_of)
+    # lengths need no row of another task: the scan's splits share the work, and no text is moved
+    long = rows.select("source_table", "id", "tie", F.explode("p").alias("p")) \
+        .select("source_table", "id", "tie", F.col("p.field").alias("field"), tx.tokens(F.col("p.value"), parser).alias("toks"))
+    lengths = long.select("source_table", "field", "id", "tie", F.coalesce(F.size("toks"), F.lit(0)).alias("length"))
     # rows are hash-partitioned by their key once (moving texts, not exploded tokens): the
     # per-(row, field, token) aggregation below is then clustered already and needs no
     # shuffle of the exploded occurrences
@@ -92,9 +96,6 @@ def build_inverted_index(tables: list[SearchTable], parser: str = "standard",
     # small next to the work they cause) down to a few tasks
     n = slices or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "source_table", "id", "tie")
-    long = rows.select("source_table", "id", "tie", F.explode("p").alias("p")) \
-        .select("source_table", "id", "tie", F.col("p.field").alias("field"), tx.tokens(F.col("p.value"), parser).alias("toks"))
-    lengths = long.select("source_table", "field", "id", "tie", F.coalesce(F.size("toks"), F.lit(0)).alias("length"))
     # a row's tokens are grouped within the row, so no occurrence is a row of a sort; rows that share a key
     # lie in one group and their fields of one length are indexed as one
     held = rows.groupBy("source_table", "id", "tie").agg(F.flatten(F.collect_list("p")).alias("p"))
